@@ -43,7 +43,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [k.name for k in KINDS if k.base]
     of_base = F.filter("spans", lambda x: x["kind"].isin(base))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    counts = [F.size(F.filter(F.col("spans")["kind"], lambda x: x == k)).cast("long").alias(f"n_{k}") for k in base]
     return found.select("doc_id", *counts, F.sha2(listed(of_base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
