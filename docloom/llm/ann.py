@@ -118,7 +118,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample_rows: int = 8_000, block_rows: int = 4_096, probe: float = 0.25, rerank: int = 100) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample_rows: int = 8_000, block_rows: int = 4_096, probe: float = 0.8, rerank: int = 100) -> DataFrame:
     """The k nearest rows of each query row by cosine: query_id, rank, vec_id,
     score; ties go to smaller ids and a query's own row does not count.
 

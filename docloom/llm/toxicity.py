@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +57,8 @@ def held_out(doc_id: Column) -> Column:
 
 def induced_stems(docs: DataFrame, labels: DataFrame, per_class: int, most: int) -> tuple[list[str], float]:
     """Word beginnings of 4 to 8 letters that occur in far more toxic rows of
-    the sample than chance allows and hardly in clean ones; and the share of
-    toxic rows. The sample has per_class rows of each label at most, chosen by
+    the sample than chance allows and hardly in clean ones, near copies counted
+    once; and the share of toxic rows. The sample has per_class rows of each label at most, chosen by
     a hash of their ids."""
     usable = columns_free_of(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r["count"] for r in usable.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
@@ -72,9 +73,10 @@ def induced_stems(docs: DataFrame, labels: DataFrame, per_class: int, most: int)
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 words = set(_word((text or "").lower()))
                 found = list({w[:k] for w in words for k in range(4, 9) if len(w) >= k})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([int(toxic)] * len(found), pa.int64())], ["stem", "toxic"])
+                family = min((xxhash.xxh3_64_intdigest(w) for w in words), default=0) >> 1  # copies and near copies mostly share it
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([int(toxic)] * len(found), pa.int64()), pa.array([family] * len(found), pa.int64())], ["stem", "toxic", "family"])
 
-    seen = written(rows.select("text", "toxic").mapInArrow(beginnings, "stem string, toxic long").groupBy("stem").agg(F.sum("toxic").alias("n_toxic"), F.sum(1 - F.col("toxic")).alias("n_clean")).where("n_toxic >= 5 and n_clean <= 0.02 * n_toxic"), "stems")
+    seen = written(rows.select("text", "toxic").mapInArrow(beginnings, "stem string, toxic long, family long").distinct().groupBy("stem").agg(F.sum("toxic").alias("n_toxic"), F.sum(1 - F.col("toxic")).alias("n_clean")).where("n_toxic >= 5 and n_clean <= 0.02 * n_toxic"), "stems")
     of = {1: min(n[1], per_class), 0: min(n[0], per_class)}
     chance = of[1] / (of[0] + of[1])
     need = max(5.0, 9 / -np.log10(chance))  # odds of a billion to one against a beginning that has nothing to do with the label
@@ -139,16 +141,20 @@ def label_model(moments: np.ndarray, total: float, stems: list[tuple[str, int]],
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     p = float(np.clip(prior, 0.01, 0.5))
     free = ~np.eye(k, dtype=bool) & (mean > 0)[:, None] & (mean > 0)[None]
-    delta = np.where(mean > 0, sd, 0.0)
+    delta = np.where(mean > 0, 0.5 * sd, 0.0)
     for _ in range(3):
-        for _ in range(50):
-            top, below = (free * cov) @ delta, free @ delta**2
-            delta = np.where(below > 0, np.maximum(top / np.maximum(below, 1e-12), 0), 0)
-        odd = np.abs(cov - np.outer(delta, delta)) > 0.2 * np.outer(sd, sd)
-        if (free & odd).sum() > 0.5 * free.sum():
+        for _ in range(200):  # the leading factor of the covariances, those left out and the diagonal filled in by the factor
+            values, vectors = np.linalg.eigh(np.where(free, cov, np.outer(delta, delta)))
+            lead = vectors[:, -1] * np.sqrt(max(values[-1], 0))
+            lead = np.maximum(lead * np.sign(lead.sum() or 1), 0) * (mean > 0)
+            moved, delta = np.abs(lead - delta).max(), lead
+            if moved < 1e-9:
+                break
+        odd = np.abs(cov - np.outer(delta, delta)) > 0.3 * np.outer(sd, sd)
+        if (free & odd).sum() > 0.3 * free.sum():
             break
         free &= ~odd
-    depends = (np.abs(cov - np.outer(delta, delta)) > 0.2 * np.outer(sd, sd)) & ~np.eye(k, dtype=bool) & (mean > 0)[:, None] & (mean > 0)[None]
+    depends = (np.abs(cov - np.outer(delta, delta)) > 0.3 * np.outer(sd, sd)) & ~np.eye(k, dtype=bool) & (mean > 0)[:, None] & (mean > 0)[None]
     gap = np.minimum(delta / np.sqrt(p * (1 - p)), 1.0)
     toxic = np.clip(mean + (1 - p) * gap, 1e-4, 1 - 1e-4)
     clean = np.clip(mean - p * gap, 1e-4, 1 - 1e-4)
