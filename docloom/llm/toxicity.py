@@ -55,17 +55,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def induced_stems(docs: DataFrame, labels: DataFrame, per_class: int, most: int) -> tuple[list[str], float]:
+def labelled_sample(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id and toxic of per_class rows of each label at most, chosen by a
+    hash of their ids from those that are not held out, and how many rows of
+    each label there are. Labels other than 0 and 1 are ignored; of several
+    for one id the greatest holds."""
+    usable = columns_free_of(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    some = lambda label: usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    return written(some(1).unionByName(some(0)), "labels"), n
+
+
+def induced_stems(docs: DataFrame, chosen: DataFrame, n: dict[int, int], per_class: int, most: int) -> list[str]:
     """Word beginnings of 4 to 8 letters that occur in far more toxic rows of
     the sample than chance allows and hardly in clean ones, near copies counted
-    once; and the share of toxic rows. The sample has per_class rows of each label at most, chosen by
-    a hash of their ids."""
-    usable = columns_free_of(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = {r.toxic: r["count"] for r in usable.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
-    if not n.get(1) or not n.get(0):
-        return [], 0.1
-    prior = n[1] / (n[0] + n[1])
-    chosen = usable.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).unionByName(usable.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
+    once."""
     rows = columns_free_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows of two numbers
 
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +89,7 @@ def induced_stems(docs: DataFrame, labels: DataFrame, per_class: int, most: int)
         if len(kept) < most and not any(r.stem.startswith(k) for k in kept):
             kept.append(r.stem)
     order = {r.stem: -r.n_toxic for r in seen.where(F.col("stem").isin(kept)).collect()} if kept else {}
-    return sorted(kept, key=lambda s: (order[s], s)), prior
+    return sorted(kept, key=lambda s: (order[s], s))
 
 
 def _machine(model: Model):
@@ -186,9 +190,30 @@ def train(model: Model, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, round
     return model
 
 
+def _logit(model: Model, f: np.ndarray) -> np.ndarray:
+    return ((inputs(f) - model.means) / model.scales) @ model.weights[:-1] + model.weights[-1]
+
+
 def score_of(model: Model, f: np.ndarray) -> np.ndarray:
-    z = (inputs(f) - model.means) / model.scales
-    return 1 / (1 + np.exp(-np.clip(z @ model.weights[:-1] + model.weights[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(_logit(model, f), -30, 30)))
+
+
+def calibrated(model: Model, z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> Model:
+    """The model with its scores' scale and offset fitted to labelled rows,
+    weighted to the labels' true shares; ridge ties both to what they were."""
+    x, w = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (y - s)) - ridge * (w - [1, 0])
+        h = (x * (weight * s * (1 - s))[:, None]).T @ x + ridge * np.eye(2)
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    if w[0] > 0:
+        model.weights = model.weights * w[0]
+        model.weights[-1] += w[1]
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, most_stems: int = 300, train_rows: int = 20_000) -> Model:
@@ -197,7 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, most_stems:
     train_rows the documents behind the classifier; the votes behind the label
     model are those of all documents."""
     spark = docs.sparkSession
-    stems, prior = induced_stems(docs, labels, per_class, most_stems)
+    chosen, n = labelled_sample(labels, per_class)
+    known = bool(n.get(1) and n.get(0))
+    stems = induced_stems(docs, chosen, n, per_class, most_stems) if known else []
+    prior = n[1] / (n[0] + n[1]) if known else 0.1
     voters = [(w, i) for i, words in enumerate(INSULTS.values()) for w in words.split()]
     voters += [(s, len(INSULTS) + i % GROUPS) for i, s in enumerate(stems)]
     n_voters = len(INSULTS) + GROUPS
@@ -209,9 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, most_stems:
     def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [features(shared.value, t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("draw"), pa.array([x.tobytes() for x in f], pa.binary())], ["draw", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("draw"), pa.array([x.tobytes() for x in f], pa.binary())], ["doc_id", "draw", "f"])
 
-    seen = written(rows.select(F.xxhash64("doc_id", F.lit(11)).alias("draw"), "text").mapInArrow(looked, "draw long, f binary"), "votes")
+    seen = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.lit(11)).alias("draw"), "text").mapInArrow(looked, "doc_id long, draw long, f binary"), "votes")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
@@ -227,10 +255,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, most_stems:
         moments[r["at"]] = r["value"]
     moments = moments.reshape(width, width)
     model = label_model(moments, moments[-1, -1], voters, n_voters, prior)
-    # whatever fires, and as many of the rest: a balanced draw, weighed back by the posterior itself
     drawn = seen.orderBy("draw").limit(train_rows).collect()
     f = np.array([np.frombuffer(r["f"]) for r in drawn]) if drawn else np.zeros((1, width))
-    return train(model, inputs(f), posterior(model, votes(f)))
+    model = train(model, inputs(f), posterior(model, votes(f)))
+    if known:
+        told = seen.join(F.broadcast(chosen), "doc_id").select("f", "toxic").collect()  # 2 * per_class rows
+        y = np.array([float(r["toxic"]) for r in told])
+        z = _logit(model, np.array([np.frombuffer(r["f"]) for r in told]).reshape(-1, width))
+        model = calibrated(model, z, y, np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9)))
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
