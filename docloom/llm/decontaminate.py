@@ -17,6 +17,7 @@ from itertools import accumulate
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,18 @@ def scan(a: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tuple[int,
     return [(int(e) - n, int(e)) for e, (_, (n, _)) in zip(ends, hits)], {i for _, (_, owners) in hits for i in owners}
 
 
+def window_blocks(benchmark: DataFrame, n: int, block_bytes: int) -> list:
+    """The windows of all items, broadcast in blocks of about block_bytes of item text."""
+    spark = benchmark.sparkSession
+    items = columns_free_of(benchmark, "item_id", "text").where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
+    shared = []
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # about block_bytes
+        shared.append(spark.sparkContext.broadcast(windows(sorted({(r.item_id, r.text or "") for r in rows}), n)))
+    return shared
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 200_000) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_words, n_hit
     (words inside a window of an item), items (ids of items with windows in
@@ -84,18 +97,32 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byt
     items with a null id are left out; repeated items count once; other columns
     are ignored. block_bytes bounds the item text behind one automaton.
     """
-    spark = docs.sparkSession
-    items = columns_free_of(benchmark, "item_id", "text").where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
     out = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("array<long>").alias("items"))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # about block_bytes
-        shared = spark.sparkContext.broadcast(windows(sorted({(r.item_id, r.text or "") for r in rows}), n))
-        last = block == blocks - 1
-        out = out.mapInArrow(_scanner(shared, uuid.uuid4().hex, last), RESULT if last else FOUND)
+    shared = window_blocks(benchmark, n, block_bytes)
+    for block in shared:
+        last = block is shared[-1]
+        out = out.mapInArrow(_scanner(block, uuid.uuid4().hex, last), RESULT if last else FOUND)
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 200_000) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of a
+    benchmark item occurs."""
+    for block in window_blocks(benchmark, n, block_bytes):
+        docs = docs.where(~_hit_test(block, uuid.uuid4().hex)("text"))
+    return docs
+
+
+def _hit_test(shared, name: str):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        a = automaton(name, shared.value)
+        found = lambda t: len(a) > 0 and next(a.iter(f" {b' '.join(normal_words(t)).decode()} "), None) is not None
+        return pd.Series([found(t) for t in texts], dtype=bool)
+
+    return hit
+
+
 def _scanner(shared, name: str, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(name, shared.value)

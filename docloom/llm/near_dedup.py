@@ -154,19 +154,9 @@ def weighted_jaccard(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.ndar
     return float(low / (wa.sum() + wb.sum() - low))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 3, damping: float = 0.125, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, node (a digest of
-    the text) and class_id, the smallest doc_id among the texts linked to it.
-
-    Equal texts are linked. Texts without words, and null ones, are not linked
-    to anything: their class is their own row's id. A text of fewer than
-    `words` words is one shingle. A null doc_id belongs to its text's class; a
-    class of null ids alone has a null class_id. Repeated rows and ids are kept
-    as they are; other columns are ignored. damping is the power that inverse
-    document frequencies are raised to: at 1, a word changed in one of a
-    thousand copies would weigh several times a word that they share, and
-    copies would not count as such.
-    """
+def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: int, damping: float, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as doc_id, node, has_words; and the class of each node
+    with words."""
     chunks = chunk_count(docs, "text", chunk_bytes)
     buckets = max(1, chunks // 4)
     dealt = columns_free_of(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("t"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("node"), "text")
@@ -229,5 +219,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, ban
     firsts = texts.where("has_words").groupBy("node").agg(F.min("doc_id").alias("first"))
     owned = firsts.join(parts.select(F.col("item").alias("node"), "component"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     classes = owned.groupBy("component").agg(F.min("first").alias("class_id"))
-    of_node = owned.join(classes, "component").select("node", "class_id")
+    return texts, owned.join(classes, "component").select("node", "class_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 3, damping: float = 0.125, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, node (a digest of
+    the text) and class_id, the smallest doc_id among the texts linked to it.
+
+    Equal texts are linked. Texts without words, and null ones, are not linked
+    to anything: their class is their own row's id. A text of fewer than
+    `words` words is one shingle. A null doc_id belongs to its text's class; a
+    class of null ids alone has a null class_id. Repeated rows and ids are kept
+    as they are; other columns are ignored. damping is the power that inverse
+    document frequencies are raised to: at 1, a word changed in one of a
+    thousand copies would weigh several times a word that they share, and
+    copies would not count as such.
+    """
+    texts, of_node = text_classes(docs, words, threshold, bands, rows, damping, chunk_bytes)
     return texts.join(of_node, "node", "left").select("doc_id", "node", F.when(F.col("has_words"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 3, damping: float = 0.125, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, without those whose class has
+    a smaller doc_id. Texts without words stay, and so do null ids."""
+    _, of_node = text_classes(docs, words, threshold, bands, rows, damping, chunk_bytes)
+    known = of_node.select(F.col("node").alias("__node"), F.col("class_id").alias("__class"))
+    joined = docs.join(known, F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("__node"), "left")
+    return joined.where(F.col("__class").isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("__class"))).select(*[docs[c] for c in docs.columns])
