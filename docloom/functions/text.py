@@ -117,7 +117,7 @@ def grounding_values(text: Column) -> Column:
 
 def is_stated(evidence: Column, value: Column) -> Column:
     """Whether evidence holds a value: numbers only between non-digits."""
-    number = evidence.rlike(F.concat(F.lit("(?U)(?<!\\d)"), F.replace(value, F.lit("."), F.lit("\\.")), F.lit("(?!\\d)")))
+    number = F.rlike(evidence, F.concat(F.lit("(?U)(?<!\\d)"), F.replace(value, F.lit("."), F.lit("\\.")), F.lit("(?!\\d)")))
     return F.when(value.rlike("(?U)^\\d+(?:\\.\\d+)?$"), number).otherwise(F.contains(evidence, value))
 
 

@@ -27,7 +27,7 @@ def with_queries(rows: DataFrame, queries: DataFrame, most_broadcast: int = 10_0
     if queries.limit(most_broadcast + 1).count() <= most_broadcast:
         return rows.crossJoin(F.broadcast(queries))
     left = rows.withColumn("__b", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)))
-    right = queries.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    right = queries.withColumn("__b", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
     return left.join(right, "__b").drop("__b")
 
 
