@@ -158,6 +158,8 @@ def label_model(moments: np.ndarray, total: float, stems: list[tuple[str, int]],
         if (free & odd).sum() > 0.3 * free.sum():
             break
         free &= ~odd
+    if not mean[:n_voters].any():  # patterns of style alone say nothing of insults
+        delta = np.zeros(k)
     depends = (np.abs(cov - np.outer(delta, delta)) > 0.3 * np.outer(sd, sd)) & ~np.eye(k, dtype=bool) & (mean > 0)[:, None] & (mean > 0)[None]
     gap = np.minimum(delta / np.sqrt(p * (1 - p)), 1.0)
     toxic = np.clip(mean + (1 - p) * gap, 1e-4, 1 - 1e-4)
