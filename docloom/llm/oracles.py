@@ -2,8 +2,7 @@
 
 The rest are tested otherwise: toxicity by held-out labels, near-duplicates and
 line dedup against brute force, neighbour search by recall and exact scores,
-personal data against plain regular expressions, packing and token files by
-exact round trips through the tokenizer.
+packing and token files by exact round trips through the tokenizer.
 """
 
 from __future__ import annotations
@@ -47,5 +46,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM m GROUP BY conv_id"""
 
 
+# kind, pattern, what confirms the match v; the two kinds of the method's own
+# take a neighbour on either side into the match, for want of look-around
+_D = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_D}) + 1), lambda j: CASE WHEN (length({_D}) - j) % 2 = 0 THEN {_D}[j]::INTEGER ELSE {_D}[j]::INTEGER * 2 - CASE WHEN {_D}[j]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_A = "regexp_replace(v, '[^A-Z0-9]', '', 'g')"
+_MOD97 = f"list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr({_A}, 5) || substr({_A}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), ''), ''), lambda c: c::INTEGER), lambda a, b: (a * 10 + b) % 97) = 1"
+_PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda p: coalesce(try_cast(p AS HUGEINT) <= 255, false))) = 4"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_D}) BETWEEN 12 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_D}) BETWEEN 9 AND 15"),
+    ("iban", r"(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?:$|[^A-Za-z0-9])", _MOD97),
+    ("ssn", r"(?:^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?:$|[^0-9-])", "NOT regexp_matches(v, '(^|[^0-9])(000|666|9[0-9][0-9])-|-00-|-0000') AND regexp_matches(lower(substr(text, (greatest(a - 40, 0) + 1)::BIGINT, (a - greatest(a - 40, 0))::BIGINT)), 'ssn|social|security|tax')"),
+)
+_PARTS = " UNION ALL ".join(
+    f"""SELECT doc_id, {k} AS no, '{name}' AS kind, a, b FROM (
+  SELECT *, z0 + {f"regexp_matches(v, '^[^A-Za-z0-9]')::INTEGER" if k > 3 else "0"} AS a, z0 + length(v) - {f"regexp_matches(v, '[^A-Za-z0-9]$')::INTEGER" if k > 3 else "0"} AS b FROM (
+    SELECT doc_id, text, m[i] AS v, list_sum(list_transform(s[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS z0 FROM (
+      SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS s FROM t)))) WHERE {test}"""
+    for k, (name, p, test) in enumerate(_PII)
+)
+_LISTED = "string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, no)"
+OP7 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), x AS ({_PARTS})
+SELECT t.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _, _ in _PII[:4])}, sha256(coalesce({_LISTED} FILTER (no < 4), '')) AS base_sha256, coalesce({_LISTED}, '') AS spans
+FROM t LEFT JOIN x USING (doc_id) GROUP BY t.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_decontaminate": OP2, "op3_chat_format": OP3}
+    return {"op1_substring_dedup": OP1, "op2_decontaminate": OP2, "op3_chat_format": OP3, "op7_pii": OP7}
