@@ -7,8 +7,8 @@ pivots only, and only with those of another component than the pivot's:
   1. each group's first item is compared with the rest, which settles groups
      of copies, however large;
   2. as long as a group lies in several components, items outside its largest
-     component are pivots, a bounded number in each round, and each is compared
-     with the group's items in other components.
+     component are pivots, few in the first round and four times as many in each
+     one after, and each is compared with the group's items in other components.
 
 Two items of a group that end in different components have been compared, for
 one of them was a pivot, so no link is lost; links inside a component are not
@@ -30,34 +30,41 @@ def contracted(edges: DataFrame) -> DataFrame:
     Each round hooks every component to its least neighbour and follows the
     hooks a few steps; the graph shrinks until no edge is left."""
     e = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    out = None
+    hooks = []
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("item"), F.least("a", "b").alias("component")), "hooks")
-        for _ in range(2):  # a hook's target hooks on in turn
-            up = hook.select(F.col("item").alias("component"), F.col("component").alias("up"))
-            hook = hook.join(up, "component", "left").select("item", F.coalesce("up", "component").alias("component"))
-        hook = written(hook, "hooks")
-        up = hook.select(F.col("item").alias("component"), F.col("component").alias("up"))
-        out = hook if out is None else written(out.join(up, "component", "left").select("item", F.coalesce("up", "component").alias("component")).unionByName(hook.join(out.select("item"), "item", "left_anti")), "components")
-        to = hook.select(F.col("item"), F.col("component").alias("root"))
-        e = e.join(to.select(F.col("item").alias("a"), F.col("root").alias("x")), "a").join(to.select(F.col("item").alias("b"), F.col("root").alias("y")), "b")
-        e = written(e.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    return e.select(F.col("a").alias("item"), F.col("b").alias("component")) if out is None else out
+        least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("item"), F.least("a", "b").alias("component"))
+        hook = written(_followed(least, least), "hooks")
+        hook = written(_followed(hook, hook), "hooks") if hooks else hook
+        hooks.append(hook)
+        x, y = hook.select(F.col("item").alias("a"), F.col("component").alias("x")), hook.select(F.col("item").alias("b"), F.col("component").alias("y"))
+        e = e.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        e = written(e, "edges")
+    out = hooks[0] if hooks else e.select(F.col("a").alias("item"), F.col("b").alias("component"))
+    for hook in hooks[1:]:  # every item is in the first; later ones are of components that are left
+        out = _followed(out, hook)
+    return written(out, "components") if len(hooks) > 1 else out
 
 
-def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 16) -> tuple[DataFrame, DataFrame]:
-    """groups has g and item, each pair of them once; verify takes pairs (a, b),
+def _followed(parts: DataFrame, hook: DataFrame) -> DataFrame:
+    """parts with each component replaced by what it hooks on to."""
+    up = hook.select(F.col("item").alias("component"), F.col("component").alias("up"))
+    return parts.join(up, "component", "left").select("item", F.coalesce("up", "component").alias("component"))
+
+
+def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 32) -> tuple[DataFrame, DataFrame]:
+    """groups, a stored table, has g and item, each pair of them once; verify takes pairs (a, b),
     a < b, and returns those that are linked. Returns the components of linked
     items (item, component) and the links found (a, b)."""
-    groups = written(groups, "groups")
     first = groups.groupBy("g").agg(F.min("item").alias("pivot"))
     pairs = groups.join(first, "g").where("item <> pivot").select(F.col("pivot").alias("a"), F.col("item").alias("b")).distinct()
     used = None
     asked = written(pairs, "pairs")
-    links = written(verify(asked), "links")
+    new = links = written(verify(asked), "links")
+    parts = None
     while True:
-        parts = contracted(links)
+        if parts is None or not new.isEmpty():
+            parts = contracted(links)
         at = groups.join(parts, "item", "left").select("g", "item", F.coalesce("component", "item").alias("component"))
         sizes = at.groupBy("g", "component").count()
         main = sizes.groupBy("g").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component"))["component"].alias("main")).where("parts > 1")
@@ -71,7 +78,9 @@ def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots:
             return parts, links
         pairs = open_.join(now, "g").where("component <> own").select(F.least("item", "pivot").alias("a"), F.greatest("item", "pivot").alias("b")).distinct()
         pairs = written(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
-        links = written(links.unionByName(verify(pairs)), "links")
+        new = written(verify(pairs), "links")
+        links = links.unionByName(new)
         asked = asked.unionByName(pairs)
         done = now.select("g", F.col("pivot").alias("item"))
         used = done if used is None else used.unionByName(done)
+        pivots *= 4

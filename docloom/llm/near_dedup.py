@@ -4,7 +4,9 @@ A text is a weighted set of shingles, five lower-cased words each; a shingle's
 weight is its count in the text times its inverse document frequency, taken
 over all documents. A few dozen ICWS samples a text, three to a band, make
 texts candidates that share a band; candidates are verified by their weighted
-Jaccard similarity. Classes are the components of the verified links.
+Jaccard similarity. Classes are the components of the verified links. A text
+whose shingles that no other document has weigh more than the threshold leaves
+room for cannot be close to any other, and is not sampled at all.
 
 Document frequencies are exact counts of 48-bit shingle hashes. Chunks of
 documents send sorted, delta-coded hashes with their counts, one blob for each
@@ -118,12 +120,15 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.table([table["t"].combine_chunks(), table["bucket"].combine_chunks(), table["n"].combine_chunks(), sent, [b""] * len(sent)], schema=BLOB_ARROW)
 
 
-def weights(s: Shingles, replies: pa.Table, n_docs: int, damping: float) -> np.ndarray:
-    """Count times damped inverse document frequency of each entry."""
+def weights(s: Shingles, replies: pa.Table, n_docs: int, damping: float) -> tuple[np.ndarray, np.ndarray]:
+    """Count times damped inverse document frequency of each entry, and whether
+    its document is the only one that has it."""
     _, _, back = s.distinct()
     got = sorted(zip(replies["bucket"].to_pylist(), replies["n"].to_pylist(), replies["keys"].to_pylist()))
     df = np.concatenate([unplanes(raw, n, 5) for _, n, raw in got] or [np.empty(0, np.uint64)]).astype(float)
-    return s.counts * (1 + np.log((1 + n_docs) / (1 + df[back]))) ** damping if len(back) else np.empty(0)
+    if not len(back):
+        return np.empty(0), np.empty(0, bool)
+    return s.counts * (1 + np.log((1 + n_docs) / (1 + df[back]))) ** damping, df[back] <= 1
 
 
 def icws(keys: np.ndarray, w: np.ndarray, owners: np.ndarray, n_texts: int, samples: int, seed: int = 1) -> np.ndarray:
@@ -170,8 +175,12 @@ def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows
 
     def sampled(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         s = Shingles(table, words)
-        signs = icws(s.keys, weights(s, known, n_docs, damping), s.owners, len(s.nodes), bands * rows)
-        has = np.isin(np.arange(len(s.nodes)), s.owners)
+        w, alone = weights(s, known, n_docs, damping)
+        n = len(s.nodes)
+        shared, whole = np.bincount(s.owners, np.where(alone, 0, w), n), np.bincount(s.owners, w, n)
+        has = (whole > 0) & (shared >= (threshold - 1e-6) * whole)  # no other text is closer than what is shared at all
+        some = has[s.owners]
+        signs = icws(s.keys[some], w[some], s.owners[some], n, bands * rows)
         out = signs[:, ::rows]
         for i in range(1, rows):
             out = mixed(out.ravel(), signs[:, i::rows].ravel()).reshape(out.shape)
@@ -193,7 +202,7 @@ def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows
         out = []
         if wanted:
             s = Shingles(table, words)
-            w = weights(s, known.filter(pc.is_null(known["node"])), n_docs, damping)
+            w, _ = weights(s, known.filter(pc.is_null(known["node"])), n_docs, damping)
             cuts = np.searchsorted(s.owners, np.arange(len(s.nodes) + 1))
             out = [(node, planes(s.keys[a:b], 6), w[a:b].astype(np.float32).tobytes()) for node, a, b in zip(s.nodes, cuts, cuts[1:]) if node in wanted]
         return pa.table([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["node", "keys", "w"])
