@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import written
@@ -52,9 +52,11 @@ def _followed(parts: DataFrame, hook: DataFrame) -> DataFrame:
     return parts.join(up, "component", "left").select("item", F.coalesce("up", "component").alias("component"))
 
 
-def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 32) -> tuple[DataFrame, DataFrame]:
+def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 32, likely: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """groups, a stored table, has g and item, each pair of them once; verify takes pairs (a, b),
-    a < b, and returns those that are linked. Returns the components of linked
+    a < b, and returns those that are linked. With likely, groups has a column
+    sign too, and pairs after the first round are made only where likely(sign,
+    sign) holds. Returns the components of linked
     items (item, component) and the links found (a, b)."""
     first = groups.groupBy("g").agg(F.min("item").alias("pivot"))
     pairs = groups.join(first, "g").where("item <> pivot").select(F.col("pivot").alias("a"), F.col("item").alias("b")).distinct()
@@ -65,7 +67,7 @@ def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots:
     while True:
         if parts is None or not new.isEmpty():
             parts = contracted(links)
-        at = groups.join(parts, "item", "left").select("g", "item", F.coalesce("component", "item").alias("component"))
+        at = groups.join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
         sizes = at.groupBy("g", "component").count()
         main = sizes.groupBy("g").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component"))["component"].alias("main")).where("parts > 1")
         open_ = written(at.join(main.select("g", "main"), "g"), "open")
@@ -73,10 +75,12 @@ def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots:
         if used is not None:
             outside = outside.join(used, ["g", "item"], "left_anti")
         turn = Window.partitionBy("g").orderBy("item")
-        now = written(outside.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= pivots).select("g", F.col("item").alias("pivot"), F.col("component").alias("own")), "pivots")
+        now = written(outside.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= pivots).select("g", F.col("item").alias("pivot"), F.col("component").alias("own"), *([] if likely is None else [F.col("sign").alias("own_sign")])), "pivots")
         if now.isEmpty():
             return parts, links
-        pairs = open_.join(now, "g").where("component <> own").select(F.least("item", "pivot").alias("a"), F.greatest("item", "pivot").alias("b")).distinct()
+        apart = F.col("component") != F.col("own")
+        met = open_.join(now, "g").where(apart if likely is None else apart & likely(F.col("sign"), F.col("own_sign")))
+        pairs = met.select(F.least("item", "pivot").alias("a"), F.greatest("item", "pivot").alias("b")).distinct()
         pairs = written(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
         new = written(verify(pairs), "links")
         links = links.unionByName(new)

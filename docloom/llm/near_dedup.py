@@ -181,17 +181,18 @@ def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows
         has = (whole > 0) & (shared >= (threshold - 1e-6) * whole)  # no other text is closer than what is shared at all
         some = has[s.owners]
         signs = icws(s.keys[some], w[some], s.owners[some], n, bands * rows)
+        sign = (signs & np.uint64(0x7FFF)).astype(np.int16)[has]
         out = signs[:, ::rows]
         for i in range(1, rows):
             out = mixed(out.ravel(), signs[:, i::rows].ravel()).reshape(out.shape)
         out = mixed(out.ravel(), np.tile(np.arange(bands, dtype=np.uint64), len(out))).reshape(out.shape).view(np.int64)[has]
         nodes = [x for x, h in zip(s.nodes, has) if h]
-        return pa.table({"node": pa.array(nodes, pa.string()), "t": pa.array([key[0].as_py()] * len(nodes), pa.int64()), "bands": pa.array(out.tolist(), pa.list_(pa.int64()))})
+        return pa.table({"node": pa.array(nodes, pa.string()), "t": pa.array([key[0].as_py()] * len(nodes), pa.int64()), "bands": pa.array(out.tolist(), pa.list_(pa.int64())), "sign": pa.array(sign.tolist(), pa.list_(pa.int16()))})
 
-    signs = written(dealt.groupBy("t").cogroup(replies.groupBy("to")).applyInArrow(sampled, "node string, t long, bands array<long>"), "bands")
-    members = signs.select("node", F.explode("bands").alias("g")).distinct()
+    signs = written(dealt.groupBy("t").cogroup(replies.groupBy("to")).applyInArrow(sampled, "node string, t long, bands array<long>, sign array<short>"), "bands")
+    members = signs.dropDuplicates(["node"]).select("node", "sign", F.explode("bands").alias("g")).dropDuplicates(["node", "g"])
     many = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    groups = written(members.join(many, "g").select("g", F.col("node").alias("item")), "members")
+    groups = written(members.join(many, "g").select("g", F.col("node").alias("item"), "sign"), "members")
 
     # shingles of the texts that have candidates, each from one of the chunks that hold it
     needed = signs.join(groups.select(F.col("item").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.min("t").alias("to"))
@@ -223,7 +224,11 @@ def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows
         right = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("w").alias("wb"))
         return pairs.join(left, "a").join(right, "b").mapInArrow(similar, "a string, b string")
 
-    parts, _ = linked(groups, verify)
+    # of a pair at the threshold, samples agree with about that probability; four deviations less are likely enough
+    n = bands * rows
+    least = int(n * threshold - 4 * (n * threshold * (1 - threshold)) ** 0.5)
+    agree = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) >= least
+    parts, _ = linked(groups, verify, likely=agree)
     texts = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("node"), F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False)).alias("has_words"))
     firsts = texts.where("has_words").groupBy("node").agg(F.min("doc_id").alias("first"))
     owned = firsts.join(parts.select(F.col("item").alias("node"), "component"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
