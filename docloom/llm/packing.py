@@ -88,8 +88,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, en
         for batch in batches:
             rows = []
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc_id, raw in zip(ids_of, enc.encode(texts)):
-                raw += end
+            for doc_id, text in zip(ids_of, texts):
+                raw = enc.encode(text) + end
                 n = len(raw) // 4
                 for s in range(0, n, capacity):
                     part = raw[4 * s : 4 * (s + capacity)]

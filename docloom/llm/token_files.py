@@ -33,7 +33,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, place = encoder(tokenizer_path), np.uint32(end_id).tobytes(), 0
         for batch in batches:
-            raw = [r + end for r in enc.encode(batch.column(2).to_pylist())]
+            raw = [enc.encode(t) + end for t in batch.column(2).to_pylist()]
             counts = np.array([len(r) // 4 for r in raw], np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(place, place + len(raw))), batch.column(1), pa.array(counts), ids], schema=_FILE)

@@ -1,52 +1,63 @@
 """Encoding with a public tokenizer, at the speed of a look-up for each word.
 
-A tokenizer of either kind used here never makes a token that crosses from
-other characters into white space, so a text can be cut before each run of
-white space and the parts encoded alone. Parts repeat; their ids are kept in a
-table of bounded size in each worker.
+The tokenizers used here, byte-level BPE as it is or lower-cased with word
+ends, never make a token that crosses from other characters into white space,
+so a text can be cut before each run of white space and the parts encoded
+alone. Parts repeat; their ids are kept in a table of bounded size in each
+worker. Parts that are words go to the tokenizer's model at once, any others
+through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 # white space as the tokenizers' patterns see it
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _parts = re.compile(f"[{_WS}]+[^{_WS}]*|[^{_WS}]+").findall
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
+# byte-level models name bytes by characters: printable ones by themselves, the rest by those from 256 on
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_NAMES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. Strings that look
-    like special tokens are ordinary text."""
+
+class Encoder(dict):
+    """Ids of parts as little-endian unsigned 32-bit bytes, looked up or made.
+    Strings that look like special tokens are ordinary text."""
 
     def __init__(self, path: str, most: int) -> None:
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        super().__init__()
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
+        self.model, self.lowers = self.tokenizer.model, self.tokenizer.normalizer is not None
+
+    def __missing__(self, part: str) -> bytes:
+        if len(part) > 1 and part[-1] in ",." and part[-2].isalpha():  # the mark is a token of its own
+            ids = self[part[:-1]] + self[part[-1]]
+        elif self.lowers and part[0] in " \n":
+            ids = self[part[1:]] if len(part) > 1 else b""
+        elif part[0] == "\n" and part[1:].isalpha():
+            ids = self["\n"] + self[part[1:]]
+        else:
+            word = part[1:] if part[0] == " " else part
+            if not word.isalpha() or "Σ" in word or not unicodedata.is_normalized("NFC", word):
+                ids = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+            elif self.lowers and (low := word.lower()) != word:
+                ids = self[low]
+            else:
+                ids = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_NAMES))]).tobytes()
+        self[part] = ids
+        return ids
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, parts: set[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [p for p in parts if p not in self.known]
-        ends = {p: p[:-1] for p in new if len(p) > 2 and p[-1] in ",." and p[-2].isalpha()}  # the last mark is a token of its own
-        base = [p for p in {*(ends.get(p, p) for p in new), *(p[-1] for p in ends)} if p not in self.known]
-        self.known.update(zip(base, self._ids(base)))
-        self.known.update({p: self.known[b] + self.known[p[-1]] for p, b in ends.items()})
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [_parts(t or "") for t in texts]
-        out = []
-        for i in range(0, len(cut), 64):
-            some = cut[i : i + 64]
-            self.learn({p for parts in some for p in parts})
-            out += [b"".join(map(self.known.__getitem__, parts)) for parts in some]
-        return out
+    def encode(self, text: str | None) -> bytes:
+        if len(self) > self.most:
+            self.clear()
+        return b"".join(map(self.__getitem__, _parts(text or "")))
 
 
 def encoder(path: str, most: int = 600_000) -> Encoder:
