@@ -257,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, most_stems:
         moments[r["at"]] = r["value"]
     moments = moments.reshape(width, width)
     model = label_model(moments, moments[-1, -1], voters, n_voters, prior)
-    drawn = seen.orderBy("draw").limit(train_rows).collect()
+    share = train_rows / max(moments[-1, -1], 1)  # by a hash of ids, so that about train_rows come, from however many tasks
+    drawn = (seen if share >= 1 else seen.where(F.col("draw") < int(-(2**63) + share * 2**64))).limit(2 * train_rows).collect()
     f = np.array([np.frombuffer(r["f"]) for r in drawn]) if drawn else np.zeros((1, width))
     model = train(model, inputs(f), posterior(model, votes(f)))
     if known:
