@@ -145,7 +145,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample_rows: int =
     classes = rows.withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1).groupBy("k1", "k2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding"))
     asked = rows.where("is_query").groupBy("k1", "k2").agg(F.first("embedding").alias("embedding"))
 
-    drawn = rows.select("embedding").orderBy(F.xxhash64("vec_id", F.lit(3))).limit(sample_rows).toArrow()
+    share = sample_rows / n  # by a hash of ids, so that about sample_rows come, from however many tasks
+    some = rows if share >= 1 else rows.where(F.xxhash64("vec_id", F.lit(3)) < int(-(2**63) + share * 2**64))
+    drawn = some.select("embedding").limit(2 * sample_rows).toArrow()
+    if not drawn.num_rows:  # few distinct ids, all with high hashes
+        drawn = rows.select("embedding").limit(sample_rows).toArrow()
     n_cells = int(max(1, min(1024, (n / 8) ** 0.5)))
     q = spark.sparkContext.broadcast(fit(_unit(_matrix(drawn["embedding"])), n_cells))
     n_cells = len(q.value.cells)
