@@ -11,7 +11,11 @@ a class boundary belongs to both classes. Candidates are verified by banded
 bit-parallel edit distance on what is left without common prefix and suffix.
 
 Classes of lines are the components of equal and linked lines; the first line
-of a class, by document and place, stays.
+of a class, by document and place, stays. Components need only some of the
+links (links.py). Where links are counted, each pair of different lines with a
+key in common is met, block by block, and verified unless their parities show
+that they are too far apart: bit h of a line's parity tells whether characters
+with hash h are odd in number, and an edit flips two bits at most.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import columns_free_of, written
-from docloom.llm.links import linked
+from docloom.llm.links import contracted, linked
 
 CLASS_WIDTH = 8
+BLOCK = 512
 
 
 def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
@@ -127,9 +132,33 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike("[^ \\t-\\r]")).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def line_links(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+def parity(line: Column) -> Column:
+    """64 bits: whether characters with each hash are odd in number."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(bit(c)))
+
+
+def all_pairs(groups: DataFrame, near: Callable[[str, str], Column], block: int = BLOCK) -> DataFrame:
+    """Each pair (a, b), a < b, of items that share a group and for which
+    near(left, right) holds. groups has g and item, each pair of them once, and
+    more columns for near to look at, under the names given to it. Groups of
+    more than about `block` items are cut into blocks, and each two blocks meet
+    under a key of their own."""
+    sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = groups.join(sizes, "g").withColumn("own_block", F.pmod(F.xxhash64("item", F.lit(2)), F.col("blocks")))
+    side = lambda to, other: dealt.select("g", F.struct(*groups.columns, F.col("own_block")).alias(to), F.explode(other).alias("other"))
+    own, last = F.col("own_block"), F.col("blocks") - 1
+    left = side("x", F.sequence(own, last)).select("g", F.col("x.own_block").alias("i"), F.col("other").alias("j"), "x")
+    right = side("y", F.sequence(F.lit(0).cast("long"), own)).select("g", F.col("other").alias("i"), F.col("y.own_block").alias("j"), "y")
+    once = (F.col("i") < F.col("j")) | (F.col("x.item") < F.col("y.item"))
+    met = left.join(right, ["g", "i", "j"]).where(once & near("x", "y"))
+    return met.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
+
+
+def line_links(docs: DataFrame, edits: int, min_chars: int, full: bool) -> tuple[DataFrame, DataFrame]:
     """Components (item, component) of lines (by h1) that are linked to others
-    by few edits, and the links themselves."""
+    by few edits, and the links themselves: all of them if full, else as many
+    as the components need."""
     lines = lines_of(docs).where(F.length("line") >= min_chars).select("h1", "line")
     if (min_chars // CLASS_WIDTH * CLASS_WIDTH - edits) // (edits + 1) <= edits:
         raise ValueError("segments of lines of min_chars would be shorter than the shifts")
@@ -145,13 +174,21 @@ def line_links(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame,
         right = known.select(F.col("h1").alias("b"), F.col("line").alias("lb"))
         return within(pairs.join(left, "a").join(right, "b"), edits)
 
-    return linked(groups, verify)
+    if not full:
+        return linked(groups, verify)
+    signs = written(known.select(F.col("h1").alias("item"), F.length("line").alias("n"), parity(F.col("line")).alias("sign")), "signs")
+    near = lambda x, y: (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= edits) & (F.bit_count(F.col(f"{x}.sign").bitwiseXOR(F.col(f"{y}.sign"))) <= 2 * edits)
+    pairs = written(all_pairs(groups.join(signs, "item"), near), "pairs")
+    links = written(verify(pairs), "links")
+    return contracted(links), links
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFrame:
-    """docs with text cut to the lines that stay, and three more columns:
-    n_lines, n_removed (lines, blank ones not counted) and n_links (links of
-    the document's lines to different lines elsewhere that were looked up).
+def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, count_links: bool = True) -> DataFrame:
+    """docs with text cut to the lines that stay, and more columns: n_lines and
+    n_removed (lines, blank ones not counted), and with count_links n_links,
+    the links of the document's lines to lines of the corpus with another text,
+    all of them and copies counted one by one, and class_ids, the class of each
+    line that is not blank, in order (null for a null text).
 
     Lines end at a newline. A line is removed if a line of its class comes
     earlier in the corpus: in a smaller doc_id, or at an earlier place of the
@@ -161,7 +198,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFra
     that share a doc_id are rivals by place, and repeated rows are treated
     alike. Other columns are kept as they are.
     """
-    parts, links = line_links(docs, edits, min_chars)
+    parts, links = line_links(docs, edits, min_chars, count_links)
     slim = lines_of(docs).select("doc_id", "th", "pos", "h1", "h2")
     classed = slim.join(parts.select(F.col("item").alias("h1"), "component"), "h1", "left")
     classed = classed.select("doc_id", "th", "pos", "h1", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("c2"))
@@ -171,9 +208,15 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFra
     place = several.where("doc_id = d").groupBy("c1", "c2").agg(F.min("pos").alias("p"))
     late = several.join(place, ["c1", "c2"]).where("doc_id > d or pos > p").select("doc_id", "th", "pos").distinct()
     gone = late.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("__gone"))  # of one document
-    degree = links.select(F.col("a").alias("h1")).unionByName(links.select(F.col("b").alias("h1"))).groupBy("h1").count()
-    linked_ = classed.select("doc_id", "th", "h1").join(degree, "h1").groupBy("doc_id", "th").agg(F.sum("count").alias("__links"))
-    extra = gone.join(linked_, ["doc_id", "th"], "full").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__gone", "__links")
+    extra = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__gone")
+    if count_links:
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        copies = classed.join(both.select(F.col("a").alias("h1")).distinct(), "h1", "left_semi").groupBy("h1").agg(F.count("*").alias("copies"))
+        degree = both.join(copies, F.col("b") == F.col("h1")).groupBy("a").agg(F.sum("copies").alias("degree"))
+        placed = classed.select("doc_id", "th", "pos", "h1", "c1").join(degree, F.col("h1") == F.col("a"), "left")
+        # repeated rows give each place several times, and collect_set one of them
+        told = placed.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "c1", F.coalesce("degree", F.lit(0)).alias("degree")))).alias("__told"))
+        extra = told.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__told").join(extra, ["__id", "__th"], "left")
     keyed = docs.withColumn("__id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__th0", F.xxhash64("text"))
     joined = keyed.join(extra, (F.col("__id0") == F.col("__id")) & (F.col("__th0") == F.col("__th")), "left")
     lines = F.split("text", "\n", -1)
@@ -181,5 +224,10 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFra
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike("[^ \\t-\\r]"))), F.lit(0)).cast("long")
     n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    new = {"text", "n_lines", "n_removed", "n_links"}
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c == "text" or c not in new], n_lines.alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"), F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"))
+    added = [n_lines.alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed")]
+    if count_links:
+        n_links = F.aggregate(F.coalesce(F.col("__told")["degree"], F.array().cast("array<long>")), F.lit(0).cast("long"), lambda n, d: n + d)
+        class_ids = F.when(F.col("text").isNotNull(), F.coalesce(F.col("__told")["c1"], F.array().cast("array<long>")))
+        added += [n_links.alias("n_links"), class_ids.alias("class_ids")]
+    new = {"n_lines", "n_removed"} | ({"n_links", "class_ids"} if count_links else set())
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in new], *added)

@@ -3,6 +3,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,6 +142,36 @@ def test_line_dedup_is_brute_force(docs):
     assert {r.doc_id: r.text for r in got.collect()} == want and order == []
 
 
+def test_line_links_are_counted_in_full(docs):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdé ") for _ in range(48))
+    close = [base[:k] + "X" + base[k + 1 :] for k in range(0, 48, 3)]  # all within two edits of each other
+    pool = [*close, *("".join(rng.choice("abcdé ") for _ in range(rng.randrange(40, 60))) for _ in range(4))]
+    rows = [(i, "\n".join(rng.choice(["", "dup", edited(rng, rng.choice(pool), rng.randrange(3))]) for _ in range(5))) for i in range(40)]
+    rows += [(40, "\n".join(close)), (41, close[0] + "\n" + close[0]), (41, close[0] + "\n" + close[0]), (42, None)]
+    lines = [(i, x) for i, t in rows for x in (t or "").split("\n") if x.strip()]
+    long_ = [x for _, x in lines if len(x) >= 40]
+    apart = lambda a, b: a != b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2
+    degree = {a: sum(n for b, n in Counter(long_).items() if apart(a, b)) for a in set(long_)}
+    got = line_dedup.dedup_lines(docs(*rows)).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((i, sum(degree.get(x, 0) for x in (t or "").split("\n"))) for i, t in rows)
+    assert {r.doc_id: r.class_ids for r in got}[42] is None
+    of = {}
+    for i, t in dict(rows[:-1]).items():
+        ids = {r.doc_id: r.class_ids for r in got}[i]
+        for x, c in zip([x for x in t.split("\n") if x.strip()], ids, strict=True):
+            assert of.setdefault(x, c) == c
+    assert all(of[a] == of[b] for a in degree for b in degree if apart(a, b)) and of["dup"] not in {of[a] for a in degree}
+    assert len({of[a] for a in close}) == 1
+
+
+def test_pairs_of_blocks_are_all_pairs(spark):
+    rows = [(g, i * 7 + g) for g in (1, 2) for i in range(40)] + [(3, 7)]
+    got = line_dedup.all_pairs(spark.createDataFrame(rows, "g long, item long"), lambda x, y: F.lit(True), block=6).collect()
+    want = {tuple(sorted(p)) for g in (1, 2) for p in itertools.combinations([i for k, i in rows if k == g], 2)}
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
 def test_line_dedup_odd_rows(odd):
     got = line_dedup.dedup_lines(odd)
     rows = got.collect()
