@@ -37,14 +37,28 @@ def ranked(scored: DataFrame, query: str, item: str, score: str, limit: int) ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def vector_channel(rows: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """rows: item, vector; queries: query, query_vector, and optionally
-    excluded (an array of items). Gives query, item, score, rank."""
+def names_article() -> Column:
+    """Whether a query's articles hold the row's, white space aside."""
+    return F.coalesce(F.array_contains("articles", F.regexp_replace("article", "(?U)\\s", "")), F.lit(False))
+
+
+def vector_channel(rows: DataFrame, queries: DataFrame, limit: int = 20, dimension: int | None = None) -> DataFrame:
+    """rows: item, vector, and optionally article; queries: query, query_vector,
+    and optionally excluded (an array of items) and articles. Rows whose article
+    a query names come first and score 2, with or without a vector; the order is
+    by cosine otherwise. With dimension, rows with a vector of another one or
+    none are hits only by their article. Gives query, item, score, rank."""
     pairs = with_queries(rows, queries)
     if "excluded" in queries.columns:
         pairs = pairs.where(~F.coalesce(F.array_contains("excluded", F.col("item")), F.lit(False)))
-    scored = pairs.select("query", "item", cosine(F.col("vector"), F.col("query_vector")).alias("score"))
-    return ranked(scored, "query", "item", "score", limit)
+    named = names_article() if "article" in rows.columns and "articles" in queries.columns else F.lit(False)
+    pairs = pairs.withColumn("named", named)
+    if dimension is not None:
+        pairs = pairs.where(F.col("named") | (F.size("vector") == dimension))
+    scored = pairs.select("query", "item", "named", cosine(F.col("vector"), F.col("query_vector")).alias("near"))
+    order = Window.partitionBy("query").orderBy(F.desc("named"), F.col("near").desc_nulls_last(), F.col("item"))
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return best.select("query", "item", F.when(F.col("named"), 2.0).otherwise(F.col("near")).alias("score"), "rank")
 
 
 def keyword_channel(rows: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
@@ -61,14 +75,15 @@ def keyword_channel(rows: DataFrame, queries: DataFrame, limit: int = 20) -> Dat
 
 
 def reference_channel(rows: DataFrame, queries: DataFrame, limit: int = 20, most_terms: int = 20) -> DataFrame:
-    """rows: item, title, article; queries: query, text, articles. An article
-    match scores 2, a title that holds one of the first terms (as a pattern,
-    letter case aside) scores 1, anything else is no hit."""
+    """rows: item, title, article, and optionally section_title; queries: query,
+    text, articles. An article match scores 2, a title or section title that
+    holds one of the first terms (as a pattern, letter case aside) scores 1,
+    anything else is no hit."""
     patterns = F.transform(F.slice(F.filter(search_terms(F.col("text")), lambda t: F.length(t) >= 2), 1, most_terms), lambda t: F.concat(F.lit("%"), t, F.lit("%")))
     asked = queries.select("query", "articles", patterns.alias("patterns"))
-    article = F.coalesce(F.array_contains("articles", F.regexp_replace("article", "(?U)\\s", "")), F.lit(False))
-    titled = F.coalesce(F.exists("patterns", lambda p: F.call_function("like", F.lower("title"), p)), F.lit(False))
-    scored = with_queries(rows, asked).select("query", "item", F.when(article, 2.0).when(titled, 1.0).otherwise(0.0).alias("score")).where("score > 0")
+    holds = lambda title: F.coalesce(F.exists("patterns", lambda p: F.call_function("like", F.lower(title), p)), F.lit(False))
+    titled = holds("title") | holds("section_title") if "section_title" in rows.columns else holds("title")
+    scored = with_queries(rows, asked).select("query", "item", F.when(names_article(), 2.0).when(titled, 1.0).otherwise(0.0).alias("score")).where("score > 0")
     return ranked(scored, "query", "item", "score", limit)
 
 

@@ -49,14 +49,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.where(F.size("embedding") == 64).select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("vector"))
+    """Vectors with the articles of their documents; documents of articles are
+    there without a vector too."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.article_number(F.col("text")).alias("article")).where("article is not null")
+    return e.join(d, F.col("vec_id") == F.col("doc_id"), "full").select(F.coalesce("vec_id", "doc_id").alias("item"), "vector", "article")
 
 
 def _vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query")).join(rows, F.col("query") == F.col("item")).select("query", F.col("vector").alias("query_vector"), F.array("item").alias("excluded"))
-    return retrieval.vector_channel(rows, asked)
+    vectors = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.col("embedding").cast("array<double>").alias("query_vector"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), T.article_references(F.col("text")).alias("articles")).join(vectors, F.col("query") == F.col("vec_id")).select("query", "query_vector", "articles", F.array("vec_id").alias("excluded"))
+    return retrieval.vector_channel(rows, asked, dimension=64)
 
 
 def _keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +69,13 @@ def _keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.keyword_channel(rows, asked)
 
 
+def _section_title(text: Column) -> Column:
+    """The first heading of a text, else null."""
+    return F.get(F.filter(F.split(text, "\n"), lambda x: T.heading_level(x).isNotNull()), 0)
+
+
 def _reference_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.split("text", "\n")[0].alias("title"), T.article_number(F.col("text")).alias("article"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.split("text", "\n")[0].alias("title"), _section_title(F.col("text")).alias("section_title"), T.article_number(F.col("text")).alias("article"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text", T.article_references(F.col("text")).alias("articles"))
     return retrieval.reference_channel(rows, asked)
 

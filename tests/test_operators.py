@@ -54,6 +54,32 @@ def test_reference_terms_are_patterns(spark):
     assert {r.item: r.score for r in retrieval.reference_channel(rows, asked).collect()} == {1: 1.0, 2: 2.0}
 
 
+def test_named_articles_come_first(spark):
+    rows = [("a", [1.0, 0.0], None), ("b", [0.0, 1.0], "第 三 条"), ("c", None, "第三条"), ("d", [0.6, 0.8], "第三条"), ("e", None, "第四条"), ("f", [1.0], None), ("g", [1.0], "第三条"), ("x", [1.0, 0.0], "第三条")]
+    df = spark.createDataFrame(rows, "item string, vector array<double>, article string")
+    asked = spark.createDataFrame([("q", [1.0, 0.0], ["第三条"], ["x"])], "query string, query_vector array<double>, articles array<string>, excluded array<string>")
+    hits = lambda n: [(r.item, r.score) for r in retrieval.vector_channel(df, asked, n, dimension=2).orderBy("rank").collect()]
+    assert hits(9) == [("d", 2.0), ("b", 2.0), ("c", 2.0), ("g", 2.0), ("a", 1.0)]
+    assert hits(2) == [("d", 2.0), ("b", 2.0)]
+
+
+def test_section_titles_are_titles(spark):
+    rows = spark.createDataFrame([(1, None, "Tax law", None), (2, "tax", None, None), (3, "x", "y", None)], "item int, title string, section_title string, article string")
+    asked = spark.createDataFrame([("q", "tax", [])], "query string, text string, articles array<string>")
+    assert {r.item: r.score for r in retrieval.reference_channel(rows, asked).collect()} == {1: 1.0, 2: 1.0}
+
+
+def test_queries_find_articles_without_vectors(spark, tmp_path):
+    from docloom.plans import registry
+
+    at = lambda name: str(tmp_path / f"{name}.parquet")
+    spark.createDataFrame([(i, [1.0] + [float(i)] * 63) for i in range(1, 31)] + [(40, None)], "vec_id long, embedding array<float>").write.parquet(at("embeddings"))
+    spark.createDataFrame([(30, "第七条 甲"), (40, "第七条 乙"), (50, "第七条 丙"), (60, "第八条 丁"), (2, "plain")], "doc_id long, text string").write.parquet(at("documents"))
+    spark.createDataFrame([(1, "见第 七 条")], "item_id long, text string").write.parquet(at("benchmark"))
+    got = registry.queries()["vector_topk"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(r.item, r.score) for r in got][:3] == [(30, 2.0), (40, 2.0), (50, 2.0)] and len(got) == 20 and 60 not in {r.item for r in got}
+
+
 def test_evidence_rounds_skip_what_was_seen(spark):
     asked = spark.createDataFrame([("c", 0, "t")], "clause string, query_no int, text string")
 
