@@ -294,14 +294,22 @@ def _texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(_TEXTS)), "id long, text string")
 
 
+def _line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select((F.col("doc") * 100_000 + F.col("idx") + 1_000).alias("id"), "text")
+
+
 @query
 def article_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark).select("id", F.array_join(T.article_references(F.col("text")), ",").alias("refs"), T.article_number(F.col("text")).alias("article"))
+    """References of the fixed texts, and of the lines of documents that have any."""
+    found = lambda rows: rows.select("id", F.array_join(T.article_references(F.col("text")), ",").alias("refs"), T.article_number(F.col("text")).alias("article"))
+    return found(_texts(spark)).unionByName(found(_line_texts(spark, sf_dir)).where("refs <> '' or article is not null"))
 
 
 @query
 def heading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark).select("id", T.heading_level(F.col("text")).alias("level"))
+    """Levels of the fixed texts, and of the lines of documents that are headings."""
+    found = lambda rows: rows.select("id", T.heading_level(F.col("text")).alias("level"))
+    return found(_texts(spark)).unionByName(found(_line_texts(spark, sf_dir)).where("level is not null"))
 
 
 @query
@@ -319,7 +327,8 @@ def toc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cn_numeral(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("二〇二四",), ("五百零二",), ("十二",), ("一万二千三百",), ("三亿",), ("一百零五万",), ("两",), ("x",)], "text string")
-    return rows.select("text", T.numeral_value(F.col("text")).alias("value"))
+    runs = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(T.NUMERAL_RUN), F.lit(0))).alias("text"))
+    return rows.unionByName(runs).distinct().select("text", T.numeral_value(F.col("text")).alias("value"))
 
 
 @query
@@ -329,6 +338,16 @@ def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.checked(rows).select("id", "grounded", F.array_join("unsupported", ",").alias("unsupported"))
 
 
+@query
+def grounding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations against the document of the conversation's id."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("evidence"))
+    ids = F.array(F.col("conv_id").cast("string"))
+    rows = turns.join(docs, "conv_id", "left").withColumns({"evidence_ids": ids, "allowed_ids": F.when(F.col("evidence").isNull(), F.array().cast("array<string>")).otherwise(ids)})
+    return grounding.checked(rows).select("conv_id", "turn", "grounded", F.array_join("unsupported", ",").alias("unsupported"))
+
+
 @query
 def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("turn")), lambda t: t.cast("string")).alias("ids"))

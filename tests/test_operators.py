@@ -80,6 +80,20 @@ def test_queries_find_articles_without_vectors(spark, tmp_path):
     assert [(r.item, r.score) for r in got][:3] == [(30, 2.0), (40, 2.0), (50, 2.0)] and len(got) == 20 and 60 not in {r.item for r in got}
 
 
+def test_text_queries_read_tables(spark, tmp_path):
+    from docloom.plans import registry
+
+    at = lambda name: str(tmp_path / f"{name}.parquet")
+    text = "第二章 付款\n第八条 见第 九 条\n共九千零九元，利率 30%\nplain"
+    spark.createDataFrame([(1, text), (2, "plain 7"), (3, None)], "doc_id long, text string").write.parquet(at("documents"))
+    spark.createDataFrame([(1, 0, "付9009元"), (1, 1, "利率 31%"), (5, 0, "无"), (3, 0, "共 42 天"), (2, 0, None)], "conv_id long, turn long, text string").write.parquet(at("conversations"))
+    run = lambda name: {tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    assert {r for r in run("article_refs") if r[0] >= 1_000} == {(101_001, "第八条,第九条", "第八条")}
+    assert {r for r in run("heading_level") if r[0] >= 1_000} == {(101_000, 2)}
+    assert {("二", 2), ("八", 8), ("九", 9), ("九千零九", 9009), ("三亿", 300_000_000)} <= run("cn_numeral")
+    assert run("grounding_texts") == {(1, 0, True, ""), (1, 1, False, "31%,31"), (5, 0, False, ""), (3, 0, False, "42"), (2, 0, True, "")}
+
+
 def test_evidence_rounds_skip_what_was_seen(spark):
     asked = spark.createDataFrame([("c", 0, "t")], "clause string, query_no int, text string")
 
