@@ -29,8 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines go that repeat an earlier line, or are within two edits of one."""
-    return _sized(dedup_lines(docs, count_links=False).select(*docs.columns))
+    """Lines go that repeat an earlier line, or are within two edits of one (short ones within one)."""
+    return _sized(dedup_lines(docs, count_links=False, short_chars=16).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,13 +155,25 @@ def all_pairs(groups: DataFrame, near: Callable[[str, str], Column], block: int
     return met.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
 
 
-def line_links(docs: DataFrame, edits: int, min_chars: int, full: bool) -> tuple[DataFrame, DataFrame]:
+def line_links(docs: DataFrame, edits: int, min_chars: int, full: bool, short_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Components (item, component) of lines (by h1) that are linked to others
     by few edits, and the links themselves: all of them if full, else as many
-    as the components need."""
+    as the components need. With short_chars, one edit links lines of which the
+    shorter has short_chars characters or more but less than min_chars."""
     lines = lines_of(docs).where(F.length("line") >= min_chars).select("h1", "line")
-    if (min_chars // CLASS_WIDTH * CLASS_WIDTH - edits) // (edits + 1) <= edits:
-        raise ValueError("segments of lines of min_chars would be shorter than the shifts")
+    parts, links = _links(lines, edits, min_chars, full, None)
+    if short_chars is None:
+        return parts, links
+    short = written(lines_of(docs).where(F.length("line").between(short_chars, min_chars)).select("h1", "line").distinct(), "short")
+    links = links.unionByName(_links(short, 1, short_chars, full, min_chars)[1])
+    return contracted(links), links
+
+
+def _links(lines: DataFrame, edits: int, least: int, full: bool, below: int | None) -> tuple[DataFrame, DataFrame]:
+    """line_links of lines of at least `least` characters; with below, only
+    pairs count of which one line is shorter than that."""
+    if (least // CLASS_WIDTH * CLASS_WIDTH - edits) // (edits + 1) <= edits:
+        raise ValueError("segments of the shortest lines would be shorter than the shifts")
     keys = segment_keys(lines, edits)
     # keys of several lines, one of which has it as a segment of its own
     shared = keys.groupBy("g").agg(F.min("item").alias("first"), F.max("item").alias("last"), F.max("own").alias("own")).where("own and first <> last").select("g")
@@ -172,7 +184,8 @@ def line_links(docs: DataFrame, edits: int, min_chars: int, full: bool) -> tuple
     def verify(pairs: DataFrame) -> DataFrame:
         left = known.select(F.col("h1").alias("a"), F.col("line").alias("la"))
         right = known.select(F.col("h1").alias("b"), F.col("line").alias("lb"))
-        return within(pairs.join(left, "a").join(right, "b"), edits)
+        told = pairs.join(left, "a").join(right, "b")
+        return within(told if below is None else told.where(F.least(F.length("la"), F.length("lb")) < below), edits)
 
     if not full:
         return linked(groups, verify)
@@ -183,7 +196,7 @@ def line_links(docs: DataFrame, edits: int, min_chars: int, full: bool) -> tuple
     return contracted(links), links
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, count_links: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, count_links: bool = True, short_chars: int | None = None) -> DataFrame:
     """docs with text cut to the lines that stay, and more columns: n_lines and
     n_removed (lines, blank ones not counted), and with count_links n_links,
     the links of the document's lines to lines of the corpus with another text,
@@ -194,11 +207,11 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, count_link
     earlier in the corpus: in a smaller doc_id, or at an earlier place of the
     same one. Blank lines stay. Lines of min_chars characters or more are of
     one class with lines within `edits` edits, shorter ones with equal lines
-    only. A null text stays null; a null doc_id counts as the smallest; rows
+    only, or, with short_chars and from there on, with lines within one edit. A null text stays null; a null doc_id counts as the smallest; rows
     that share a doc_id are rivals by place, and repeated rows are treated
     alike. Other columns are kept as they are.
     """
-    parts, links = line_links(docs, edits, min_chars, count_links)
+    parts, links = line_links(docs, edits, min_chars, count_links, short_chars)
     slim = lines_of(docs).select("doc_id", "th", "pos", "h1", "h2")
     classed = slim.join(parts.select(F.col("item").alias("h1"), "component"), "h1", "left")
     classed = classed.select("doc_id", "th", "pos", "h1", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("c2"))

@@ -165,6 +165,20 @@ def test_line_links_are_counted_in_full(docs):
     assert len({of[a] for a in close}) == 1
 
 
+def test_short_lines_within_one_edit(docs):
+    rng = random.Random(11)
+    pool = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (14, 15, 16, 17, 23, 24, 30, 38, 39, 40, 41)]
+    lines = [x for p in pool for x in (p, p + "X", "X" + p, p[:7] + "Y" + p[8:], p[:5] + p[6:], "XZ" + p)]
+    rows = list(enumerate(lines))
+    apart = lambda a, b: a != b and min(len(a), len(b)) >= 16 and distance(a, b) <= (2 if min(len(a), len(b)) >= 40 else 1)
+    want = {i: sum(apart(x, y) for y in lines) for i, x in rows}
+    got = line_dedup.dedup_lines(docs(*rows), short_chars=16).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    few = line_dedup.dedup_lines(docs(*rows), count_links=False, short_chars=16).collect()
+    assert {r.doc_id: r.text for r in got} == {r.doc_id: r.text for r in few}
+    assert [r.text for r in few if r.doc_id == lines.index(pool[8][:7] + "Y" + pool[8][8:])] == [""]
+
+
 def test_pairs_of_blocks_are_all_pairs(spark):
     rows = [(g, i * 7 + g) for g in (1, 2) for i in range(40)] + [(3, 7)]
     got = line_dedup.all_pairs(spark.createDataFrame(rows, "g long, item long"), lambda x, y: F.lit(True), block=6).collect()
