@@ -10,12 +10,14 @@ that lines of nearly the same length have the same layout; a line close below
 a class boundary belongs to both classes. Candidates are verified by banded
 bit-parallel edit distance on what is left without common prefix and suffix.
 
+Many lines can share a segment and be far apart. So a key is made finer by the
+lines' parities, 64 bits that tell whether characters with each hash are odd in
+number: an edit flips two of them at most, so of 2 * edits + 1 stretches of the
+bits one is equal, and lines meet under a key with an equal stretch only.
+
 Classes of lines are the components of equal and linked lines; the first line
-of a class, by document and place, stays. Components need only some of the
-links (links.py). Where links are counted, each pair of different lines with a
-key in common is met, block by block, and verified unless their parities show
-that they are too far apart: bit h of a line's parity tells whether characters
-with hash h are odd in number, and an edit flips two bits at most.
+of a class, by document and place, stays. Components need some of the links
+only, and links.py finds as many without making all pairs of a group.
 """
 
 from __future__ import annotations
@@ -26,29 +28,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import columns_free_of, written
-from docloom.llm.links import contracted, linked
+from docloom.llm.links import linked
 
-CLASS_WIDTH = 8
-BLOCK = 512
+CLASS_WIDTH, LONG, LONG_WIDTH = 8, 128, 32  # length classes are wider from LONG characters on
+SALTS = 8
 
 
 def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """lines has h1 and line. Gives g, a key's hash, item (h1) and own: whether
-    the key is of a segment of the line's own, or a probe."""
+    """lines has h1, h2 and line. Gives g, a key's hash, h1 and h2 and own:
+    whether the key is of a segment of the line's own, or a probe."""
     n = F.length("line")
-    cls = F.floor(n / CLASS_WIDTH).cast("int")
-    next_too = F.when(n % CLASS_WIDTH >= CLASS_WIDTH - edits, F.array(cls, cls + 1)).otherwise(F.array(cls))
-    rows = lines.select("h1", "line", n.alias("n"), F.explode(next_too).alias("cls"))
-    rows = rows.withColumn("size", F.floor((F.col("cls") * CLASS_WIDTH - edits) / (edits + 1)).cast("int"))
+    width = F.when(n < LONG, CLASS_WIDTH).otherwise(LONG_WIDTH)
+    cls = n - n % width  # the least length of the class
+    next_too = F.when(n % width >= width - edits, F.array(cls, cls + width)).otherwise(F.array(cls))
+    rows = lines.select("h1", "h2", "line", n.alias("n"), F.explode(next_too).alias("cls"))
+    rows = rows.withColumn("size", F.floor((F.col("cls") - edits) / (edits + 1)).cast("int"))
     keys = []
     for i in range(1, edits + 2):
         left, right = i - 1, edits + 1 - i
         start = F.col("size") * left if left <= right else F.col("n") - F.col("size") * (right + 1)
         for shift in range(-min(left, right), min(left, right) + 1):
-            key = F.xxhash64(F.substring(F.col("line"), start + shift + 1, F.col("size")), F.col("cls"), F.lit(i))
+            key = F.xxhash64(F.substring(F.col("line"), start + shift + 1, F.col("size")), F.col("cls"), F.lit(8 * edits + i))
             keys.append(F.struct(key.alias("key"), F.lit(shift == 0).alias("own")))
-    rows = rows.select("h1", F.array(*keys).alias("keys"))  # a projection of its own, so that it is compiled
-    return rows.select("h1", F.explode("keys").alias("k")).select(F.col("k.key").alias("g"), F.col("h1").alias("item"), F.col("k.own").alias("own"))
+    rows = rows.select("h1", "h2", F.array(*keys).alias("keys"))  # a projection of its own, so that it is compiled
+    return rows.select("h1", "h2", F.explode("keys").alias("k")).select(F.col("k.key").alias("g"), "h1", "h2", F.col("k.own").alias("own"))
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -116,12 +119,13 @@ def interior_fits(x: Column, y: Column, edits: int) -> Column:
     return (inner <= 0) | equal[0] | equal[1] | equal[2]
 
 
-def within(pairs: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b, la, lb) whose lines are within edits of each other."""
+def within(pairs: DataFrame, edits: Column, most: int) -> DataFrame:
+    """The pairs (a, b, la, lb) whose lines are within edits of each other;
+    edits is a number for each pair, most at the most."""
     cut_front = lambda x, y: let(common_prefix(x, y), lambda p: F.struct(F.substring(x, p + 1, F.length(x)).alias("x"), F.substring(y, p + 1, F.length(y)).alias("y")))
     cut_back = lambda x, y: let(common_prefix(F.reverse(x), F.reverse(y)), lambda p: F.struct(F.substring(x, F.lit(1), F.length(x) - p).alias("x"), F.substring(y, F.lit(1), F.length(y) - p).alias("y")))
     core = let(cut_front(F.col("la"), F.col("lb")), lambda c: cut_back(c["x"], c["y"]))
-    distance = let(core, lambda c: F.when(interior_fits(c["x"], c["y"], edits), banded_distance(c["x"], c["y"], edits)).otherwise(edits + 1))
+    distance = let(core, lambda c: F.when(interior_fits(c["x"], c["y"], most), banded_distance(c["x"], c["y"], most)).otherwise(most + 1))
     return pairs.where((F.abs(F.length("la") - F.length("lb")) <= edits) & (distance <= edits)).select("a", "b")
 
 
@@ -132,115 +136,102 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike("[^ \\t-\\r]")).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def parity(line: Column) -> Column:
-    """64 bits: whether characters with each hash are odd in number."""
+def parities(line: Column) -> tuple[Column, Column]:
+    """64 bits each: whether characters, and pairs of neighbours, with each hash
+    are odd in number. An edit flips two of the first at most, four of the second."""
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(bit(c)))
-
-
-def all_pairs(groups: DataFrame, near: Callable[[str, str], Column], block: int = BLOCK) -> DataFrame:
-    """Each pair (a, b), a < b, of items that share a group and for which
-    near(left, right) holds. groups has g and item, each pair of them once, and
-    more columns for near to look at, under the names given to it. Groups of
-    more than about `block` items are cut into blocks, and each two blocks meet
-    under a key of their own."""
-    sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = groups.join(sizes, "g").withColumn("own_block", F.pmod(F.xxhash64("item", F.lit(2)), F.col("blocks")))
-    side = lambda to, other: dealt.select("g", F.struct(*groups.columns, F.col("own_block")).alias(to), F.explode(other).alias("other"))
-    own, last = F.col("own_block"), F.col("blocks") - 1
-    left = side("x", F.sequence(own, last)).select("g", F.col("x.own_block").alias("i"), F.col("other").alias("j"), "x")
-    right = side("y", F.sequence(F.lit(0).cast("long"), own)).select("g", F.col("other").alias("i"), F.col("y.own_block").alias("j"), "y")
-    once = (F.col("i") < F.col("j")) | (F.col("x.item") < F.col("y.item"))
-    met = left.join(right, ["g", "i", "j"]).where(once & near("x", "y"))
-    return met.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
-
-
-def line_links(docs: DataFrame, edits: int, min_chars: int, full: bool, short_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Components (item, component) of lines (by h1) that are linked to others
-    by few edits, and the links themselves: all of them if full, else as many
-    as the components need. With short_chars, one edit links lines of which the
-    shorter has short_chars characters or more but less than min_chars."""
-    lines = lines_of(docs).where(F.length("line") >= min_chars).select("h1", "line")
-    parts, links = _links(lines, edits, min_chars, full, None)
-    if short_chars is None:
-        return parts, links
-    short = written(lines_of(docs).where(F.length("line").between(short_chars, min_chars)).select("h1", "line").distinct(), "short")
-    links = links.unionByName(_links(short, 1, short_chars, full, min_chars)[1])
-    return contracted(links), links
-
-
-def _links(lines: DataFrame, edits: int, least: int, full: bool, below: int | None) -> tuple[DataFrame, DataFrame]:
-    """line_links of lines of at least `least` characters; with below, only
-    pairs count of which one line is shorter than that."""
-    if (least // CLASS_WIDTH * CLASS_WIDTH - edits) // (edits + 1) <= edits:
-        raise ValueError("segments of the shortest lines would be shorter than the shifts")
-    keys = segment_keys(lines, edits)
+    odd = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(bit(c)))
+    pairs = let(F.split(line, ""), lambda c: F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, y: F.concat_ws("", x, y)))
+    return odd(F.split(line, "")), odd(pairs)
+
+
+def named(h1: str = "h1", h2: str = "h2") -> Column:
+    """A line's item: both of its hashes."""
+    return F.concat_ws("-", F.hex(h1), F.hex(h2))
+
+
+def line_components(docs: DataFrame, edits: int, min_chars: int, short_chars: int | None = None) -> DataFrame:
+    """Components (item, component) of lines that are linked to others by few
+    edits. With short_chars, one edit links lines of which the shorter has
+    short_chars characters or more but less than min_chars."""
+    for few, least in [(edits, min_chars)] + ([] if short_chars is None else [(1, short_chars)]):
+        width = CLASS_WIDTH if least < LONG else LONG_WIDTH
+        if (least - least % width - few) // (few + 1) <= few:
+            raise ValueError("segments of the shortest lines would be shorter than the shifts")
+    lines, n = lines_of(docs), F.length("line")
+    keys = segment_keys(lines.where(n >= min_chars), edits)
+    if short_chars is not None:
+        keys = keys.unionByName(segment_keys(lines.where(n.between(short_chars, min_chars)), 1))
     # keys of several lines, one of which has it as a segment of its own
-    shared = keys.groupBy("g").agg(F.min("item").alias("first"), F.max("item").alias("last"), F.max("own").alias("own")).where("own and first <> last").select("g")
-    groups = written(keys.select("g", "item").join(shared, "g").distinct(), "lines")
-    known = lines.join(groups.select(F.col("item").alias("h1")).distinct(), "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
-    known = written(known, "texts")
+    shared = keys.groupBy("g").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")).where("own and lo <> hi").select("g")
+    groups = written(keys.select("g", "h1", "h2").join(shared, "g").distinct(), "groups")
+    known = lines.join(groups.select("h1").distinct(), "h1", "left_semi").select(named().alias("item"), "line").dropDuplicates(["item"])
+    known = written(known.withColumns({"n": F.length("line"), "sign": parities(F.col("line"))[0], "sign2": parities(F.col("line"))[1]}), "texts")
+
+    # finer keys: the parity bits of one stretch of 2 * edits + 1
+    stretches = 2 * edits + 1
+    mask = (1 << (64 // stretches)) - 1
+    bits = F.array(*[F.shiftrightunsigned("sign", i * (64 // stretches)).bitwiseAND(F.lit(mask)) for i in range(stretches)])
+    told = groups.select("g", named().alias("item")).join(known.select("item", "n", "sign", "sign2"), "item")
+    fine = told.select("item", "n", "sign", "sign2", "g", F.posexplode(bits).alias("i", "bits")).select(F.xxhash64("g", "i", "bits").alias("g"), "item", "n", "sign", "sign2")
+    several = fine.groupBy("g").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("g")
+    fine = written(fine.join(several, "g").distinct(), "finer")
+
+    allowed = lambda x, y: F.lit(edits) if short_chars is None else F.when(F.least(x, y) < min_chars, 1).otherwise(edits)
+    flips = lambda x, y, c: F.bit_count(x[c].bitwiseXOR(y[c]))
+    near = lambda x, y: (lambda e: (F.abs(x["n"] - y["n"]) <= e) & (flips(x, y, "sign") <= 2 * e) & (flips(x, y, "sign2") <= 4 * e))(allowed(x["n"], y["n"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = known.select(F.col("h1").alias("a"), F.col("line").alias("la"))
-        right = known.select(F.col("h1").alias("b"), F.col("line").alias("lb"))
-        told = pairs.join(left, "a").join(right, "b")
-        return within(told if below is None else told.where(F.least(F.length("la"), F.length("lb")) < below), edits)
+        left = known.select(F.col("item").alias("a"), F.col("line").alias("la"))
+        right = known.select(F.col("item").alias("b"), F.col("line").alias("lb"))
+        return within(pairs.join(left, "a").join(right, "b"), allowed(F.length("la"), F.length("lb")), edits)
 
-    if not full:
-        return linked(groups, verify)
-    signs = written(known.select(F.col("h1").alias("item"), F.length("line").alias("n"), parity(F.col("line")).alias("sign")), "signs")
-    near = lambda x, y: (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= edits) & (F.bit_count(F.col(f"{x}.sign").bitwiseXOR(F.col(f"{y}.sign"))) <= 2 * edits)
-    pairs = written(all_pairs(groups.join(signs, "item"), near), "pairs")
-    links = written(verify(pairs), "links")
-    return contracted(links), links
+    return linked(fine, verify, near)[0]
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, count_links: bool = True, short_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, short_chars: int | None = None, classes: bool = True) -> DataFrame:
     """docs with text cut to the lines that stay, and more columns: n_lines and
-    n_removed (lines, blank ones not counted), and with count_links n_links,
-    the links of the document's lines to lines of the corpus with another text,
-    all of them and copies counted one by one, and class_ids, the class of each
-    line that is not blank, in order (null for a null text).
+    n_removed (lines, blank ones not counted), and with classes n_links, how
+    many of the document's lines are linked to a line with another text, and
+    class_docs and class_places, the document and place of the first line of
+    the class of each line that is not blank, in order (null for a null text).
 
     Lines end at a newline. A line is removed if a line of its class comes
     earlier in the corpus: in a smaller doc_id, or at an earlier place of the
     same one. Blank lines stay. Lines of min_chars characters or more are of
     one class with lines within `edits` edits, shorter ones with equal lines
-    only, or, with short_chars and from there on, with lines within one edit. A null text stays null; a null doc_id counts as the smallest; rows
-    that share a doc_id are rivals by place, and repeated rows are treated
-    alike. Other columns are kept as they are.
+    only, or, with short_chars and from there on, with lines within one edit.
+    A class holds all that chains of links reach. A null text stays null; a
+    null doc_id counts as the smallest; rows that share a doc_id are rivals by
+    place, and repeated rows are treated alike. An empty table stays empty.
+    Other columns are kept as they are, but for those named like the new ones.
     """
-    parts, links = line_links(docs, edits, min_chars, count_links, short_chars)
-    slim = lines_of(docs).select("doc_id", "th", "pos", "h1", "h2")
-    classed = slim.join(parts.select(F.col("item").alias("h1"), "component"), "h1", "left")
-    classed = classed.select("doc_id", "th", "pos", "h1", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("c2"))
-    classed = written(classed, "classes")
-    first = classed.groupBy("c1", "c2").agg(F.min("doc_id").alias("d"), F.count("*").alias("n")).where("n > 1").select("c1", "c2", "d")
-    several = classed.join(first, ["c1", "c2"])
-    place = several.where("doc_id = d").groupBy("c1", "c2").agg(F.min("pos").alias("p"))
-    late = several.join(place, ["c1", "c2"]).where("doc_id > d or pos > p").select("doc_id", "th", "pos").distinct()
-    gone = late.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("__gone"))  # of one document
-    extra = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__gone")
-    if count_links:
-        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        copies = classed.join(both.select(F.col("a").alias("h1")).distinct(), "h1", "left_semi").groupBy("h1").agg(F.count("*").alias("copies"))
-        degree = both.join(copies, F.col("b") == F.col("h1")).groupBy("a").agg(F.sum("copies").alias("degree"))
-        placed = classed.select("doc_id", "th", "pos", "h1", "c1").join(degree, F.col("h1") == F.col("a"), "left")
-        # repeated rows give each place several times, and collect_set one of them
-        told = placed.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "c1", F.coalesce("degree", F.lit(0)).alias("degree")))).alias("__told"))
-        extra = told.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__told").join(extra, ["__id", "__th"], "left")
+    parts = line_components(docs, edits, min_chars, short_chars)
+    slim = lines_of(docs).select("doc_id", "th", "pos", "h1", "h2", named().alias("item")).join(parts, "item", "left")
+    slim = slim.select("doc_id", "th", "pos", *[F.when(F.col("component").isNull(), F.col(h)).otherwise(F.xxhash64(F.lit(i), "component")).alias(c) for i, (c, h) in enumerate([("c1", "h1"), ("c2", "h2")])], F.col("component").isNotNull().alias("far"))
+    slim = written(slim.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")), "classes")
+    # a class's first line; a very common line's class meets it in several tasks
+    first = slim.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("c1", "c2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    told = slim.join(first, ["c1", "c2", "salt"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "far", "first")).alias("__told"))  # of one document
+    # repeated rows give each place several times, and collect_set one of them
+    extra = told.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__told")
     keyed = docs.withColumn("__id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__th0", F.xxhash64("text"))
     joined = keyed.join(extra, (F.col("__id0") == F.col("__id")) & (F.col("__th0") == F.col("__th")), "left")
+    late = F.filter("__told", lambda x: (x["first"]["doc_id"] < F.col("__id0")) | (x["first"]["pos"] < x["pos"]))
+    joined = joined.withColumn("__gone", F.coalesce(late["pos"], F.array().cast("array<int>")))
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike("[^ \\t-\\r]"))), F.lit(0)).cast("long")
-    n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    added = [n_lines.alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed")]
-    if count_links:
-        n_links = F.aggregate(F.coalesce(F.col("__told")["degree"], F.array().cast("array<long>")), F.lit(0).cast("long"), lambda n, d: n + d)
-        class_ids = F.when(F.col("text").isNotNull(), F.coalesce(F.col("__told")["c1"], F.array().cast("array<long>")))
-        added += [n_links.alias("n_links"), class_ids.alias("class_ids")]
-    new = {"n_lines", "n_removed"} | ({"n_links", "class_ids"} if count_links else set())
+    text = F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    blank = lambda x: ~x.rlike("[^ \\t-\\r]")
+    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: ~blank(x))), F.lit(0)).cast("long")
+    added = [n_lines.alias("n_lines"), F.size("__gone").cast("long").alias("n_removed")]
+    if classes:
+        known = F.map_from_entries(F.transform(F.coalesce("__told", F.from_json(F.lit("[]"), extra.schema["__told"].dataType)), lambda x: F.struct(x["pos"], x["first"])))
+        own = F.struct(F.col("__id0").alias("doc_id"), F.lit(0).alias("pos"))
+        at = F.filter(F.transform(lines, lambda x, i: F.when(~blank(x), i)), lambda i: i.isNotNull())
+        firsts = let(known, lambda m: F.transform(at, lambda i: F.coalesce(F.try_element_at(m, i), own.withField("pos", i))))
+        n_links = F.coalesce(F.size(F.filter("__told", lambda x: x["far"])), F.lit(0)).cast("long")
+        added += [n_links.alias("n_links"), firsts["doc_id"].alias("class_docs"), firsts["pos"].alias("class_places")]
+    new = {"n_lines", "n_removed"} | ({"n_links", "class_docs", "class_places"} if classes else set())
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in new], *added)

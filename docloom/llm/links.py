@@ -1,29 +1,30 @@
 """From candidate groups to classes of linked items, with DataFrame functions.
 
-A group holds items that may be linked to each other. Verifying all its pairs
-would take the square of its size, so each round compares items with a few
-pivots only, and only with those of another component than the pivot's:
-
-  1. each group's first item is compared with the rest, which settles groups
-     of copies, however large;
-  2. as long as a group lies in several components, items outside its largest
-     component are pivots, few in the first round and four times as many in each
-     one after, and each is compared with the group's items in other components.
-
-Two items of a group that end in different components have been compared, for
-one of them was a pivot, so no link is lost; links inside a component are not
-all spelled out. Tables of each round are written to the shared folder.
+A group holds items that may be linked to each other, and `near`, a cheap test
+of two items' sketches, tells which pairs cannot be. What is near is verified:
+
+  1. stars: each group's pivot is compared with the rest, twice, by another
+     pivot each time; this settles groups of copies, however large;
+  2. what is left: pairs of a group that still lie in different components,
+     block by block, so that no task holds a large group.
+
+Two items of a group that end in different components were compared in the
+second step, or ruled out by near, so no link between classes is lost; links
+inside a component are not spelled out. Tables of each step are written to the
+shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import written
 
+BLOCK = 512
+
 
 def contracted(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): item, component (its least item).
@@ -52,39 +53,55 @@ def _followed(parts: DataFrame, hook: DataFrame) -> DataFrame:
     return parts.join(up, "component", "left").select("item", F.coalesce("up", "component").alias("component"))
 
 
-def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 32, likely: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """groups, a stored table, has g and item, each pair of them once; verify takes pairs (a, b),
-    a < b, and returns those that are linked. With likely, groups has a column
-    sign too, and pairs after the first round are made only where likely(sign,
-    sign) holds. Returns the components of linked
-    items (item, component) and the links found (a, b)."""
-    first = groups.groupBy("g").agg(F.min("item").alias("pivot"))
-    pairs = groups.join(first, "g").where("item <> pivot").select(F.col("pivot").alias("a"), F.col("item").alias("b")).distinct()
-    used = None
-    asked = written(pairs, "pairs")
-    new = links = written(verify(asked), "links")
-    parts = None
-    while True:
-        if parts is None or not new.isEmpty():
-            parts = contracted(links)
-        at = groups.join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
-        sizes = at.groupBy("g", "component").count()
-        main = sizes.groupBy("g").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component"))["component"].alias("main")).where("parts > 1")
-        open_ = written(at.join(main.select("g", "main"), "g"), "open")
-        outside = open_.where("component <> main")
-        if used is not None:
-            outside = outside.join(used, ["g", "item"], "left_anti")
-        turn = Window.partitionBy("g").orderBy("item")
-        now = written(outside.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= pivots).select("g", F.col("item").alias("pivot"), F.col("component").alias("own"), *([] if likely is None else [F.col("sign").alias("own_sign")])), "pivots")
-        if now.isEmpty():
-            return parts, links
-        apart = F.col("component") != F.col("own")
-        met = open_.join(now, "g").where(apart if likely is None else apart & likely(F.col("sign"), F.col("own_sign")))
-        pairs = met.select(F.least("item", "pivot").alias("a"), F.greatest("item", "pivot").alias("b")).distinct()
-        pairs = written(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
-        new = written(verify(pairs), "links")
-        links = links.unionByName(new)
-        asked = asked.unionByName(pairs)
-        done = now.select("g", F.col("pivot").alias("item"))
-        used = done if used is None else used.unionByName(done)
-        pivots *= 4
+def star_pairs(groups: DataFrame, near: Callable[[Column, Column], Column], turn: int) -> DataFrame:
+    """Pairs (a, b), a < b, of each group's pivot with those near it. A pivot is
+    the item with the least hash, so that one item is the pivot of many groups."""
+    row = F.struct(*groups.columns)
+    pivots = groups.groupBy("g").agg(F.min(F.struct(F.xxhash64("item", F.lit(turn)).alias("h"), row.alias("x"))).alias("p")).select("g", F.col("p.x").alias("x"))
+    met = groups.select("g", row.alias("y")).join(pivots, "g").where((F.col("x.item") != F.col("y.item")) & near(F.col("x"), F.col("y")))
+    return met.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
+
+
+def apart_pairs(groups: DataFrame, near: Callable[[Column, Column], Column], block: int = BLOCK) -> DataFrame:
+    """Each pair (a, b), a < b, of items that share a group, differ in
+    component and are near. Groups of more than about `block` items are cut
+    into blocks, and each two blocks meet under a key of their own."""
+    sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = groups.join(sizes, "g").withColumn("own_block", F.pmod(F.xxhash64("item", F.lit(2)), F.col("blocks")))
+    own, last = F.col("own_block"), F.col("blocks") - 1
+    side = lambda to, other: dealt.select("g", F.struct(*groups.columns, "own_block").alias(to), F.explode(other).alias("other"))
+    left = side("x", F.sequence(own, last)).select("g", F.col("x.own_block").alias("i"), F.col("other").alias("j"), "x")
+    right = side("y", F.sequence(F.lit(0).cast("long"), own)).select("g", F.col("other").alias("i"), F.col("y.own_block").alias("j"), "y")
+    once = (F.col("i") < F.col("j")) | (F.col("x.item") < F.col("y.item"))
+    met = left.join(right, ["g", "i", "j"]).where(once & (F.col("x.component") != F.col("y.component")) & near(F.col("x"), F.col("y")))
+    return met.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
+
+
+def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], stars: int = 2) -> tuple[DataFrame, DataFrame]:
+    """groups, a stored table, has g and item, each pair of them once, and what
+    near looks at: it takes two rows of groups as structs. verify takes pairs
+    (a, b), a < b, and returns those that are linked. Returns the components of
+    linked items (item, component) and the links found (a, b)."""
+    links, parts, open_ = None, None, groups.withColumn("component", F.col("item"))
+    for turn in range(stars + 1):
+        last = turn == stars
+        pairs = apart_pairs(open_, near) if last else star_pairs(open_, _apart(near), turn)
+        new = written(verify(written(pairs, "pairs")), "links")
+        if links is not None and new.isEmpty():
+            continue
+        links = new if links is None else links.unionByName(new)
+        parts = contracted(links)
+        if not last:
+            open_ = _open(groups, parts)
+    return parts, links
+
+
+def _apart(near: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda x, y: (x["component"] != y["component"]) & near(x, y)
+
+
+def _open(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the groups that lie in several components, with these."""
+    at = groups.join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
+    several = at.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
+    return written(at.join(several, "g"), "open")

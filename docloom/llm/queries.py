@@ -73,7 +73,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_chars=16)
-    return out.select("doc_id", "n_lines", "n_removed", "n_links", "class_ids", F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_links", "class_docs", "class_places", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,25 +12,40 @@ from pyspark.sql import functions as F
 from docloom.llm import ann, line_dedup, links, near_dedup, toxicity
 
 
+def chain(items, step):
+    want, last = {}, None
+    for i in sorted(items):
+        root = want[last] if last is not None and i - last <= step else i
+        want[i], last = root, i
+    return want
+
+
 def test_links_are_found_without_all_pairs(spark):
-    """A chain whose ends are far from the pivot, in groups of one key."""
+    """A chain whose ends are far from the pivot, in groups of one key, and a
+    tight group, in which few pairs are compared."""
     rng = random.Random(2)
     items = rng.sample(range(1000), 60)
-    groups = spark.createDataFrame([(g, i) for g in (1, 2) for i in items], "g long, item long")
+    tight = range(2000, 3000)
+    groups = spark.createDataFrame([(g, i) for g in (1, 2) for i in items] + [(3, i) for i in tight], "g long, item long")
     asked = []
 
     def verify(pairs):
         asked.append(pairs.count())
-        return pairs.where(F.abs(F.col("a") - F.col("b")) <= 17)
+        return pairs.where((F.abs(F.col("a") - F.col("b")) <= 17) | (F.col("a") >= 2000))
 
-    parts, _ = links.linked(groups, verify, pivots=4)
+    parts, _ = links.linked(groups, verify, lambda x, y: F.lit(True))
     got = {r.item: r.component for r in parts.collect()}
-    want, last = {}, None
-    for i in sorted(items):
-        root = want[last] if last is not None and i - last <= 17 else i
-        want[i], last = root, i
+    want = chain(items, 17)
     lone = {i for i in items if list(want.values()).count(want[i]) == 1}
     assert {i: got.get(i, i) for i in items} == want and all(got.get(i, i) == i for i in lone)
+    assert all(got[i] == 2000 for i in tight) and sum(asked) < 60 * 59 / 2 + 2 * 60 + 1000 + 1
+
+
+def test_blocks_make_all_pairs_of_different_components(spark):
+    rows = [(g, i * 7 + g, i % 3) for g in (1, 2) for i in range(40)] + [(3, 7, 0)]
+    got = links.apart_pairs(spark.createDataFrame(rows, "g long, item long, component long"), lambda x, y: F.lit(True), block=6).collect()
+    want = {tuple(sorted((i, j))) for g in (1, 2) for (_, i, c), (_, j, d) in itertools.combinations([r for r in rows if r[0] == g], 2) if c != d}
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
 
 
 def near_model(rows, damping=0.125):
@@ -142,27 +157,44 @@ def test_line_dedup_is_brute_force(docs):
     assert {r.doc_id: r.text for r in got.collect()} == want and order == []
 
 
-def test_line_links_are_counted_in_full(docs):
+def line_model(rows, apart):
+    """Of each line, in order: whether it is linked to another text, and the first place of its class."""
+    places = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x.strip()]
+    texts = {x for _, _, x in places}
+    root = {x: x for x in texts}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    linked = set()
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if apart(a, b):
+            linked |= {a, b}
+            root[find(a)] = find(b)
+    first = {}
+    for i, k, x in places:
+        first[find(x)] = min(first.get(find(x), (10**9, 0)), (i, k))
+    return {x: (x in linked, first[find(x)]) for x in texts}
+
+
+def test_line_classes_are_brute_force(docs):
     rng = random.Random(9)
     base = "".join(rng.choice("abcdé ") for _ in range(48))
     close = [base[:k] + "X" + base[k + 1 :] for k in range(0, 48, 3)]  # all within two edits of each other
-    pool = [*close, *("".join(rng.choice("abcdé ") for _ in range(rng.randrange(40, 60))) for _ in range(4))]
-    rows = [(i, "\n".join(rng.choice(["", "dup", edited(rng, rng.choice(pool), rng.randrange(3))]) for _ in range(5))) for i in range(40)]
-    rows += [(40, "\n".join(close)), (41, close[0] + "\n" + close[0]), (41, close[0] + "\n" + close[0]), (42, None)]
-    lines = [(i, x) for i, t in rows for x in (t or "").split("\n") if x.strip()]
-    long_ = [x for _, x in lines if len(x) >= 40]
-    apart = lambda a, b: a != b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2
-    degree = {a: sum(n for b, n in Counter(long_).items() if apart(a, b)) for a in set(long_)}
-    got = line_dedup.dedup_lines(docs(*rows)).collect()
-    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((i, sum(degree.get(x, 0) for x in (t or "").split("\n"))) for i, t in rows)
-    assert {r.doc_id: r.class_ids for r in got}[42] is None
-    of = {}
-    for i, t in dict(rows[:-1]).items():
-        ids = {r.doc_id: r.class_ids for r in got}[i]
-        for x, c in zip([x for x in t.split("\n") if x.strip()], ids, strict=True):
-            assert of.setdefault(x, c) == c
-    assert all(of[a] == of[b] for a in degree for b in degree if apart(a, b)) and of["dup"] not in {of[a] for a in degree}
-    assert len({of[a] for a in close}) == 1
+    lengths = [*range(40, 60), 94, 95, 126, 127, 128, 158, 159, 160]
+    pool = [*close, *("".join(rng.choice("abcdé ") for _ in range(rng.choice(lengths))) for _ in range(8))]
+    rows = [(i, "\n".join(rng.choice(["", "dup", edited(rng, rng.choice(pool), rng.randrange(3))]) for _ in range(5))) for i in range(60)]
+    rows += [(60, "\n".join(close)), (61, close[0] + "\n" + close[0]), (62, None)]
+    told = line_model(rows, lambda a, b: min(len(a), len(b)) >= 40 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(*rows, rows[-2])).collect()}
+    assert got[62].class_docs is None and got[62].n_links == 0
+    for i, t in rows[:-1]:
+        lines = [x for x in t.split("\n") if x.strip()]
+        assert got[i].n_links == sum(told[x][0] for x in lines)
+        assert list(zip(got[i].class_docs, got[i].class_places)) == [told[x][1] for x in lines]
+    assert len({told[x][1] for x in close}) == 1
 
 
 def test_short_lines_within_one_edit(docs):
@@ -170,22 +202,14 @@ def test_short_lines_within_one_edit(docs):
     pool = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (14, 15, 16, 17, 23, 24, 30, 38, 39, 40, 41)]
     lines = [x for p in pool for x in (p, p + "X", "X" + p, p[:7] + "Y" + p[8:], p[:5] + p[6:], "XZ" + p)]
     rows = list(enumerate(lines))
-    apart = lambda a, b: a != b and min(len(a), len(b)) >= 16 and distance(a, b) <= (2 if min(len(a), len(b)) >= 40 else 1)
-    want = {i: sum(apart(x, y) for y in lines) for i, x in rows}
+    told = line_model(rows, lambda a, b: min(len(a), len(b)) >= 16 and distance(a, b) <= (2 if min(len(a), len(b)) >= 40 else 1))
     got = line_dedup.dedup_lines(docs(*rows), short_chars=16).collect()
-    assert {r.doc_id: r.n_links for r in got} == want
-    few = line_dedup.dedup_lines(docs(*rows), count_links=False, short_chars=16).collect()
+    assert {r.doc_id: (bool(r.n_links), (r.class_docs[0], r.class_places[0])) for r in got} == {i: told[x] for i, x in rows}
+    few = line_dedup.dedup_lines(docs(*rows), classes=False, short_chars=16).collect()
     assert {r.doc_id: r.text for r in got} == {r.doc_id: r.text for r in few}
     assert [r.text for r in few if r.doc_id == lines.index(pool[8][:7] + "Y" + pool[8][8:])] == [""]
 
 
-def test_pairs_of_blocks_are_all_pairs(spark):
-    rows = [(g, i * 7 + g) for g in (1, 2) for i in range(40)] + [(3, 7)]
-    got = line_dedup.all_pairs(spark.createDataFrame(rows, "g long, item long"), lambda x, y: F.lit(True), block=6).collect()
-    want = {tuple(sorted(p)) for g in (1, 2) for p in itertools.combinations([i for k, i in rows if k == g], 2)}
-    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
-
-
 def test_line_dedup_odd_rows(odd):
     got = line_dedup.dedup_lines(odd)
     rows = got.collect()
