@@ -34,24 +34,36 @@ CLASS_WIDTH, LONG, LONG_WIDTH = 8, 128, 32  # length classes are wider from LONG
 SALTS = 8
 
 
-def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """lines has h1, h2 and line. Gives g, a key's hash, h1 and h2 and own:
-    whether the key is of a segment of the line's own, or a probe."""
-    n = F.length("line")
-    width = F.when(n < LONG, CLASS_WIDTH).otherwise(LONG_WIDTH)
-    cls = n - n % width  # the least length of the class
-    next_too = F.when(n % width >= width - edits, F.array(cls, cls + width)).otherwise(F.array(cls))
-    rows = lines.select("h1", "h2", "line", n.alias("n"), F.explode(next_too).alias("cls"))
-    rows = rows.withColumn("size", F.floor((F.col("cls") - edits) / (edits + 1)).cast("int"))
-    keys = []
-    for i in range(1, edits + 2):
-        left, right = i - 1, edits + 1 - i
-        start = F.col("size") * left if left <= right else F.col("n") - F.col("size") * (right + 1)
-        for shift in range(-min(left, right), min(left, right) + 1):
-            key = F.xxhash64(F.substring(F.col("line"), start + shift + 1, F.col("size")), F.col("cls"), F.lit(8 * edits + i))
-            keys.append(F.struct(key.alias("key"), F.lit(shift == 0).alias("own")))
-    rows = rows.select("h1", "h2", F.array(*keys).alias("keys"))  # a projection of its own, so that it is compiled
-    return rows.select("h1", "h2", F.explode("keys").alias("k")).select(F.col("k.key").alias("g"), "h1", "h2", F.col("k.own").alias("own"))
+def segment_keys(lines: DataFrame, ranges: list[tuple[int, Column]]) -> DataFrame:
+    """lines has h1 and line; ranges gives numbers of edits and which lengths
+    (by a condition on n) they are for. Gives key and h1: keys are even hashes
+    of segments, plus one where the segment is the line's own and no probe."""
+    rows = lines.withColumn("n", F.length("line"))
+    width = F.when(F.col("n") < LONG, CLASS_WIDTH).otherwise(LONG_WIDTH)
+    cls = F.col("n") - F.col("n") % width  # the least length of the class
+    laid = []
+    for edits, wanted in ranges:
+        layout = lambda c: F.struct(F.lit(edits).alias("edits"), c.alias("cls"))  # noqa: B023,E731
+        next_too = F.when(F.col("n") % width >= width - edits, F.array(layout(cls), layout(cls + width))).otherwise(F.array(layout(cls)))
+        laid.append(F.when(wanted, next_too).otherwise(F.slice(next_too, 1, 0)))
+    rows = rows.select("h1", "line", "n", F.inline(F.concat(*laid)))
+    rows = rows.where(F.col("cls") > F.col("edits")).withColumn("size", F.floor((F.col("cls") - F.col("edits")) / (F.col("edits") + 1)).cast("int"))
+
+    def keys_for(edits: int) -> Column:
+        keys = []
+        for i in range(1, edits + 2):
+            left, right = i - 1, edits + 1 - i
+            start = F.col("size") * left if left <= right else F.col("n") - F.col("size") * (right + 1)
+            for shift in range(-min(left, right), min(left, right) + 1):
+                key = F.xxhash64(F.substring(F.col("line"), start + shift + 1, F.col("size")), F.col("cls"), F.lit(8 * edits + i))
+                keys.append(key.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(shift == 0))))
+        return F.array(*keys)
+
+    keys = keys_for(ranges[0][0])
+    for edits, _ in ranges[1:]:
+        keys = F.when(F.col("edits") == edits, keys_for(edits)).otherwise(keys)
+    rows = rows.select("h1", keys.alias("keys"))  # a projection of its own, so that it is compiled
+    return rows.select("h1", F.explode("keys").alias("key"))
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -136,13 +148,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike("[^ \\t-\\r]")).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def parities(line: Column) -> tuple[Column, Column]:
-    """64 bits each: whether characters, and pairs of neighbours, with each hash
-    are odd in number. An edit flips two of the first at most, four of the second."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
-    odd = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(bit(c)))
-    pairs = let(F.split(line, ""), lambda c: F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, y: F.concat_ws("", x, y)))
-    return odd(F.split(line, "")), odd(pairs)
+def parities(line: Column) -> Column:
+    """sign and sign2, 64 bits each: whether characters, and pairs of neighbours,
+    with each hash are odd in number. An edit flips two of the first at most,
+    four of the second."""
+    odd = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)))
+    codes = F.transform(F.split(line, ""), F.ascii)
+    after = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
+    pairs = lambda c: F.zip_with(c, after(c), lambda x, y: x * 29 + F.coalesce(y, F.lit(0)) * 7)
+    return let(codes, lambda c: F.struct(odd(c).alias("sign"), odd(pairs(c)).alias("sign2")))
 
 
 def named(h1: str = "h1", h2: str = "h2") -> Column:
@@ -158,21 +172,20 @@ def line_components(docs: DataFrame, edits: int, min_chars: int, short_chars: in
         width = CLASS_WIDTH if least < LONG else LONG_WIDTH
         if (least - least % width - few) // (few + 1) <= few:
             raise ValueError("segments of the shortest lines would be shorter than the shifts")
-    lines, n = lines_of(docs), F.length("line")
-    keys = segment_keys(lines.where(n >= min_chars), edits)
-    if short_chars is not None:
-        keys = keys.unionByName(segment_keys(lines.where(n.between(short_chars, min_chars)), 1))
-    # keys of several lines, one of which has it as a segment of its own
-    shared = keys.groupBy("g").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")).where("own and lo <> hi").select("g")
-    groups = written(keys.select("g", "h1", "h2").join(shared, "g").distinct(), "groups")
-    known = lines.join(groups.select("h1").distinct(), "h1", "left_semi").select(named().alias("item"), "line").dropDuplicates(["item"])
-    known = written(known.withColumns({"n": F.length("line"), "sign": parities(F.col("line"))[0], "sign2": parities(F.col("line"))[1]}), "texts")
+    lines, n = lines_of(docs), F.col("n")
+    ranges = [(edits, n >= min_chars)] + ([] if short_chars is None else [(1, n.between(short_chars, min_chars))])
+    keys = segment_keys(lines.select("h1", "line"), ranges).select(F.col("key").bitwiseAND(F.lit(-2)).alias("g"), "h1", F.col("key").bitwiseAND(1).alias("own"))
+    # keys of several lines, one of which has it as a segment of its own; a table, so that its size is known
+    shared = keys.groupBy("g").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")).where("own = 1 and lo <> hi").select("g")
+    groups = written(keys.select("g", "h1").join(written(shared, "shared"), "g").distinct(), "groups")
+    known = lines.join(written(groups.select("h1").distinct(), "sharing"), "h1", "left_semi").select(named().alias("item"), "h1", "line").dropDuplicates(["item"])
+    known = written(known.select("item", "h1", "line", F.length("line").alias("n"), parities(F.col("line")).alias("p")).select("item", "h1", "line", "n", "p.*"), "texts")
 
     # finer keys: the parity bits of one stretch of 2 * edits + 1
     stretches = 2 * edits + 1
     mask = (1 << (64 // stretches)) - 1
     bits = F.array(*[F.shiftrightunsigned("sign", i * (64 // stretches)).bitwiseAND(F.lit(mask)) for i in range(stretches)])
-    told = groups.select("g", named().alias("item")).join(known.select("item", "n", "sign", "sign2"), "item")
+    told = groups.join(known.select("item", "h1", "n", "sign", "sign2"), "h1")
     fine = told.select("item", "n", "sign", "sign2", "g", F.posexplode(bits).alias("i", "bits")).select(F.xxhash64("g", "i", "bits").alias("g"), "item", "n", "sign", "sign2")
     several = fine.groupBy("g").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo <> hi").select("g")
     fine = written(fine.join(several, "g").distinct(), "finer")
@@ -220,7 +233,8 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, short_char
     joined = keyed.join(extra, (F.col("__id0") == F.col("__id")) & (F.col("__th0") == F.col("__th")), "left")
     late = F.filter("__told", lambda x: (x["first"]["doc_id"] < F.col("__id0")) | (x["first"]["pos"] < x["pos"]))
     joined = joined.withColumn("__gone", F.coalesce(late["pos"], F.array().cast("array<int>")))
-    lines = F.split("text", "\n", -1)
+    joined = joined.withColumn("__lines", F.split("text", "\n", -1))  # by a name of its own, for a new text is selected beside it
+    lines = F.col("__lines")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
     blank = lambda x: ~x.rlike("[^ \\t-\\r]")
@@ -232,6 +246,6 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, short_char
         at = F.filter(F.transform(lines, lambda x, i: F.when(~blank(x), i)), lambda i: i.isNotNull())
         firsts = let(known, lambda m: F.transform(at, lambda i: F.coalesce(F.try_element_at(m, i), own.withField("pos", i))))
         n_links = F.coalesce(F.size(F.filter("__told", lambda x: x["far"])), F.lit(0)).cast("long")
-        added += [n_links.alias("n_links"), firsts["doc_id"].alias("class_docs"), firsts["pos"].alias("class_places")]
+        added += [n_links.alias("n_links"), F.transform(firsts, lambda x: x["doc_id"]).alias("class_docs"), F.transform(firsts, lambda x: x["pos"]).alias("class_places")]
     new = {"n_lines", "n_removed"} | ({"n_links", "class_docs", "class_places"} if classes else set())
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in new], *added)
