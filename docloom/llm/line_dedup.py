@@ -32,12 +32,20 @@ from docloom.llm.links import linked
 
 CLASS_WIDTH, LONG, LONG_WIDTH = 8, 128, 32  # length classes are wider from LONG characters on
 SALTS = 8
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def _slots(edits: int) -> list[tuple[int, int]]:
+    """Which segment, from 1, and which shift each key of a line is for."""
+    reach = lambda i: min(i - 1, edits + 1 - i)
+    return [(i, shift) for i in range(1, edits + 2) for shift in range(-reach(i), reach(i) + 1)]
 
 
 def segment_keys(lines: DataFrame, ranges: list[tuple[int, Column]]) -> DataFrame:
-    """lines has h1 and line; ranges gives numbers of edits and which lengths
-    (by a condition on n) they are for. Gives key and h1: keys are even hashes
-    of segments, plus one where the segment is the line's own and no probe."""
+    """lines has h1 and line; ranges gives numbers of edits, the greatest first,
+    and which lengths (by a condition on n) they are for. Gives key and h1: keys
+    are even hashes of segments, plus one where the segment is the line's own
+    and no probe. A key can come twice for a line."""
     rows = lines.withColumn("n", F.length("line"))
     width = F.when(F.col("n") < LONG, CLASS_WIDTH).otherwise(LONG_WIDTH)
     cls = F.col("n") - F.col("n") % width  # the least length of the class
@@ -49,21 +57,18 @@ def segment_keys(lines: DataFrame, ranges: list[tuple[int, Column]]) -> DataFram
     rows = rows.select("h1", "line", "n", F.inline(F.concat(*laid)))
     rows = rows.where(F.col("cls") > F.col("edits")).withColumn("size", F.floor((F.col("cls") - F.col("edits")) / (F.col("edits") + 1)).cast("int"))
 
-    def keys_for(edits: int) -> Column:
-        keys = []
-        for i in range(1, edits + 2):
-            left, right = i - 1, edits + 1 - i
-            start = F.col("size") * left if left <= right else F.col("n") - F.col("size") * (right + 1)
-            for shift in range(-min(left, right), min(left, right) + 1):
-                key = F.xxhash64(F.substring(F.col("line"), start + shift + 1, F.col("size")), F.col("cls"), F.lit(8 * edits + i))
-                keys.append(key.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(shift == 0))))
-        return F.array(*keys)
+    def placed(edits: int, i: int, shift: int) -> Column:
+        left, right = i - 1, edits + 1 - i
+        start = F.col("size") * left if left <= right else F.col("n") - F.col("size") * (right + 1)
+        return F.struct((start + shift + 1).alias("start"), F.lit(8 * edits + i).alias("seed"), F.lit(int(shift == 0)).alias("own"))
 
-    keys = keys_for(ranges[0][0])
-    for edits, _ in ranges[1:]:
-        keys = F.when(F.col("edits") == edits, keys_for(edits)).otherwise(keys)
-    rows = rows.select("h1", keys.alias("keys"))  # a projection of its own, so that it is compiled
-    return rows.select("h1", F.explode("keys").alias("key"))
+    slots = [[placed(edits, *(own[k] if k < len(own) else own[0])) for k in range(len(_slots(ranges[0][0])))] for edits, _ in ranges for own in [_slots(edits)]]
+    keys = []
+    for at in zip(*slots):  # one hash for all ranges, or the code is too long to be compiled
+        pick = lambda f: at[0][f] if len(at) == 1 else F.when(F.col("edits") == ranges[0][0], at[0][f]).otherwise(at[1][f])  # noqa: B023,E731
+        keys.append(F.xxhash64(F.substring(F.col("line"), pick("start"), F.col("size")), F.col("cls"), pick("seed")).bitwiseAND(F.lit(-2)).bitwiseOR(pick("own")))
+    rows = rows.select("h1", F.array(*keys).alias("keys"))  # a projection of its own, so that it is compiled
+    return rows.select("h1", F.explode_outer("keys").alias("key"))  # outer, or the keys are made a second time to see that there are any
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -142,10 +147,10 @@ def within(pairs: DataFrame, edits: Column, most: int) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash of the text), pos, line, h1 and h2 (of the line) of
-    each line that is not blank."""
+    """doc_id, th (a hash of the text), pos, line, h1 (an even number) and h2
+    (hashes of the line) of each line that is not blank."""
     rows = columns_free_of(docs, "doc_id", "text").where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.where(F.col("line").rlike("[^ \\t-\\r]")).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    return rows.where(F.ltrim(F.col("line"), F.lit(BLANKS)) != "").withColumn("h1", F.xxhash64("line").bitwiseAND(F.lit(-2))).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
 def parities(line: Column) -> Column:
@@ -174,11 +179,13 @@ def line_components(docs: DataFrame, edits: int, min_chars: int, short_chars: in
             raise ValueError("segments of the shortest lines would be shorter than the shifts")
     lines, n = lines_of(docs), F.col("n")
     ranges = [(edits, n >= min_chars)] + ([] if short_chars is None else [(1, n.between(short_chars, min_chars))])
-    keys = segment_keys(lines.select("h1", "line"), ranges).select(F.col("key").bitwiseAND(F.lit(-2)).alias("g"), "h1", F.col("key").bitwiseAND(1).alias("own"))
-    # keys of several lines, one of which has it as a segment of its own; a table, so that its size is known
-    shared = keys.groupBy("g").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")).where("own = 1 and lo <> hi").select("g")
-    groups = written(keys.select("g", "h1").join(written(shared, "shared"), "g").distinct(), "groups")
-    known = lines.join(written(groups.select("h1").distinct(), "sharing"), "h1", "left_semi").select(named().alias("item"), "h1", "line").dropDuplicates(["item"])
+    keys = segment_keys(lines.select("h1", "line"), ranges).select(F.col("key").bitwiseAND(F.lit(-2)).alias("g"), F.col("h1").bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("hk"))
+    keys = keys.repartition("g")  # one exchange for both sides of the join, which look at the same columns
+    h1 = F.col("hk").bitwiseAND(F.lit(-2))
+    # keys of several lines, one of which has it as a segment of its own
+    shared = keys.groupBy("g").agg(F.min(h1).alias("lo"), F.max(h1).alias("hi"), F.max(F.col("hk").bitwiseAND(F.lit(1))).alias("own")).where("own = 1 and lo <> hi").select("g")
+    groups = written(keys.join(shared.hint("shuffle_hash"), "g").select("g", h1.alias("h1")).distinct(), "groups")
+    known = lines.join(groups.select("h1").distinct(), "h1", "left_semi").select(named().alias("item"), "h1", "line").dropDuplicates(["item"])
     known = written(known.select("item", "h1", "line", F.length("line").alias("n"), parities(F.col("line")).alias("p")).select("item", "h1", "line", "n", "p.*"), "texts")
 
     # finer keys: the parity bits of one stretch of 2 * edits + 1
@@ -237,7 +244,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, short_char
     lines = F.col("__lines")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    blank = lambda x: ~x.rlike("[^ \\t-\\r]")
+    blank = lambda x: F.ltrim(x, F.lit(BLANKS)) == ""
     n_lines = F.coalesce(F.size(F.filter(lines, lambda x: ~blank(x))), F.lit(0)).cast("long")
     added = [n_lines.alias("n_lines"), F.size("__gone").cast("long").alias("n_removed")]
     if classes:

@@ -228,7 +228,7 @@ def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows
     n = bands * rows
     least = int(n * threshold - 4 * (n * threshold * (1 - threshold)) ** 0.5)
     agree = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) >= least
-    parts, _ = linked(groups, verify, likely=agree)
+    parts, _ = linked(groups, verify, near=agree)
     texts = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("node"), F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False)).alias("has_words"))
     firsts = texts.where("has_words").groupBy("node").agg(F.min("doc_id").alias("first"))
     owned = firsts.join(parts.select(F.col("item").alias("node"), "component"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
