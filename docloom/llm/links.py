@@ -77,15 +77,18 @@ def apart_pairs(groups: DataFrame, near: Callable[[Column, Column], Column], blo
     return met.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
 
 
-def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], stars: int = 2) -> tuple[DataFrame, DataFrame]:
+def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], stars: int = 2, apart: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """groups, a stored table, has g and item, each pair of them once, and what
     near looks at: it takes two rows of groups as structs. verify takes pairs
-    (a, b), a < b, and returns those that are linked. Returns the components of
-    linked items (item, component) and the links found (a, b)."""
+    (a, b), a < b, and returns those that are linked. apart replaces the second
+    step: it takes groups with components and gives pairs worth verifying.
+    Returns the components of linked items (item, component) and the links
+    found (a, b)."""
+    apart = apart or (lambda rows: apart_pairs(rows, near))
     links, parts, open_ = None, None, groups.withColumn("component", F.col("item"))
     for turn in range(stars + 1):
         last = turn == stars
-        pairs = apart_pairs(open_, near) if last else star_pairs(open_, _apart(near), turn)
+        pairs = apart(open_) if last else star_pairs(open_, _apart(near), turn)
         new = written(verify(written(pairs, "pairs")), "links")
         if links is not None and new.isEmpty():
             continue

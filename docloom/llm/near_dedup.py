@@ -2,11 +2,12 @@
 
 A text is a weighted set of shingles, five lower-cased words each; a shingle's
 weight is its count in the text times its inverse document frequency, taken
-over all documents. A few dozen ICWS samples a text, three to a band, make
-texts candidates that share a band; candidates are verified by their weighted
-Jaccard similarity. Classes are the components of the verified links. A text
-whose shingles that no other document has weigh more than the threshold leaves
-room for cannot be close to any other, and is not sampled at all.
+over all documents. 64 ICWS samples a text, four to a band, make texts
+candidates that share a band and agree in about as many samples as texts at the
+threshold do; candidates are verified by their weighted Jaccard similarity.
+Classes are the components of the verified links. A text whose shingles that no
+other document has weigh more than the threshold leaves room for cannot be
+close to any other, and is not sampled at all.
 
 Document frequencies are exact counts of 48-bit shingle hashes. Chunks of
 documents send sorted, delta-coded hashes with their counts, one blob for each
@@ -18,14 +19,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import BLOB_ARROW, BLOB_SCHEMA, chunk_count, columns_free_of, gram_hashes, mixed, word_hashes, written
 from docloom.llm.links import linked
 
 BITS = 48
+SKETCH = 128  # samples that tell whether a pair is worth verifying
+DEVIATIONS = 1.7
 _MASK = np.uint64((1 << BITS) - 1)
 _rng = np.random.default_rng(20)
 _GAMMA_R = _rng.gamma(2.0, 1.0, 1 << 16).astype(np.float32)  # drawn once by a fixed seed, looked up by hash
@@ -159,12 +161,62 @@ def weighted_jaccard(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.ndar
     return float(low / (wa.sum() + wb.sum() - low))
 
 
-def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: int, damping: float, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+def agreeing(x: np.ndarray, y: np.ndarray, least: int, strip: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y of the rows that agree in at least `least` columns."""
+    found = []
+    for s in range(0, len(x), strip):
+        some = x[s : s + strip]
+        n = np.zeros((len(some), len(y)), np.uint16)
+        for k in range(x.shape[1]):
+            n += some[:, k, None] == y[None, :, k]
+        i, j = np.nonzero(n >= least)
+        found.append((i + s, j))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def sketched_pairs(rows: DataFrame, least: int, block: int = 512, bin_rows: int = 20_000) -> DataFrame:
+    """Pairs (a, b), a < b, of items of a group (g, item, component, sign) that
+    differ in component and agree in at least `least` bytes of sign. Groups of
+    more than about `block` items are cut into blocks and each two blocks meet
+    in a table of their own; smaller groups share tables of about bin_rows."""
+    bins = int(rows.count() // bin_rows) + 1
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = rows.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("item", F.lit(2)), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.struct("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = met.select(F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("g"), F.lit(bins))).otherwise(F.xxhash64(pair)).alias("k"), F.xxhash64(pair).alias("pair"), (F.col("own") > F.col("other")).alias("right"), (F.col("own") == F.col("other")).alias("same"), "item", "component", "sign")
+
+    def compared(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pair", "ascending"), ("item", "ascending")])
+        items = table["item"].combine_chunks()
+        part = table["component"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        sign = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint8).reshape(len(table), -1)
+        right, same = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("right", "same"))
+        key = table["pair"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        a, b = [], []
+        for s, e in zip(starts, np.append(starts[1:], len(key))):
+            at = np.arange(s, e)
+            x = at if same[s] else at[~right[s:e]]
+            y = at if same[s] else at[right[s:e]]
+            if len(x) and len(y):
+                i, j = agreeing(sign[x], sign[y], least)
+                i, j = x[i], y[j]
+                keep = (part[i] != part[j]) & ((i < j) if same[s] else True)
+                a.append(i[keep]), b.append(j[keep])
+        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+        return pa.table({"a": items.take(pa.array(a)), "b": items.take(pa.array(b))})
+
+    found = met.groupBy("k").applyInArrow(compared, "a string, b string")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows: int, damping: float, chunk_bytes: int, sketch: int = SKETCH) -> tuple[DataFrame, DataFrame]:
     """The rows of docs as doc_id, node, has_words; and the class of each node
     with words."""
     chunks = chunk_count(docs, "text", chunk_bytes)
     buckets = max(1, chunks // 4)
-    dealt = columns_free_of(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("t"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("node"), "text")
+    dealt = columns_free_of(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("t"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("node"), "text")
     n_docs = docs.count()
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
@@ -180,35 +232,25 @@ def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows
         shared, whole = np.bincount(s.owners, np.where(alone, 0, w), n), np.bincount(s.owners, w, n)
         has = (whole > 0) & (shared >= (threshold - 1e-6) * whole)  # no other text is closer than what is shared at all
         some = has[s.owners]
-        signs = icws(s.keys[some], w[some], s.owners[some], n, bands * rows)
-        sign = (signs & np.uint64(0x7FFF)).astype(np.int16)[has]
-        out = signs[:, ::rows]
+        signs = icws(s.keys[some], w[some], s.owners[some], n, max(sketch, bands * rows))
+        sign = (signs[has, :sketch] & np.uint64(0xFF)).astype(np.uint8)
+        of_band = signs[:, : bands * rows]
+        out = of_band[:, ::rows]
         for i in range(1, rows):
-            out = mixed(out.ravel(), signs[:, i::rows].ravel()).reshape(out.shape)
+            out = mixed(out.ravel(), of_band[:, i::rows].ravel()).reshape(out.shape)
         out = mixed(out.ravel(), np.tile(np.arange(bands, dtype=np.uint64), len(out))).reshape(out.shape).view(np.int64)[has]
-        nodes = [x for x, h in zip(s.nodes, has) if h]
-        return pa.table({"node": pa.array(nodes, pa.string()), "t": pa.array([key[0].as_py()] * len(nodes), pa.int64()), "bands": pa.array(out.tolist(), pa.list_(pa.int64())), "sign": pa.array(sign.tolist(), pa.list_(pa.int16()))})
-
-    signs = written(dealt.groupBy("t").cogroup(replies.groupBy("to")).applyInArrow(sampled, "node string, t long, bands array<long>, sign array<short>"), "bands")
-    members = signs.dropDuplicates(["node"]).select("node", "sign", F.explode("bands").alias("g")).dropDuplicates(["node", "g"])
+        cuts, at = np.searchsorted(s.owners, np.arange(n + 1)), np.flatnonzero(has)
+        sets = [(planes(s.keys[cuts[i] : cuts[i + 1]], 6), w[cuts[i] : cuts[i + 1]].astype(np.float32).tobytes()) for i in at]
+        columns = [pa.array([s.nodes[i] for i in at], pa.string()), pa.array([key[0].as_py()] * len(at), pa.int64()), pa.array(out.tolist(), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sign], pa.binary()), pa.array([k for k, _ in sets], pa.binary()), pa.array([v for _, v in sets], pa.binary())]
+        return pa.table(columns, names=["node", "t", "bands", "sign", "keys", "w"])
+
+    signs = written(dealt.groupBy("t").cogroup(replies.groupBy("to")).applyInArrow(sampled, "node string, t long, bands array<long>, sign binary, keys binary, w binary"), "bands")
+    # a text stands in each chunk that holds a copy; the first chunk's row speaks for it
+    own = signs.groupBy("node").agg(F.min("t").alias("t"))
+    sets = written(signs.join(own, ["node", "t"]).select("node", "bands", "sign", "keys", "w"), "shingles")
+    members = sets.select(F.col("node").alias("item"), "sign", F.explode_outer("bands").alias("g"))
     many = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    groups = written(members.join(many, "g").select("g", F.col("node").alias("item"), "sign"), "members")
-
-    # shingles of the texts that have candidates, each from one of the chunks that hold it
-    needed = signs.join(groups.select(F.col("item").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.min("t").alias("to"))
-    told = replies.withColumn("node", F.lit(None).cast("string")).unionByName(needed.select("to", F.lit(-1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("keys"), "node"))
-
-    def described(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
-        wanted = set(known.filter(pc.is_valid(known["node"]))["node"].to_pylist())
-        out = []
-        if wanted:
-            s = Shingles(table, words)
-            w, _ = weights(s, known.filter(pc.is_null(known["node"])), n_docs, damping)
-            cuts = np.searchsorted(s.owners, np.arange(len(s.nodes) + 1))
-            out = [(node, planes(s.keys[a:b], 6), w[a:b].astype(np.float32).tobytes()) for node, a, b in zip(s.nodes, cuts, cuts[1:]) if node in wanted]
-        return pa.table([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["node", "keys", "w"])
-
-    sets = written(dealt.groupBy("t").cogroup(told.groupBy("to")).applyInArrow(described, "node string, keys binary, w binary"), "shingles")
+    groups = written(members.join(many, "g").select("g", "item", "sign"), "members")
 
     def similar(batches):
         for b in batches:
@@ -224,19 +266,18 @@ def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows
         right = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("w").alias("wb"))
         return pairs.join(left, "a").join(right, "b").mapInArrow(similar, "a string, b string")
 
-    # of a pair at the threshold, samples agree with about that probability; four deviations less are likely enough
-    n = bands * rows
-    least = int(n * threshold - 4 * (n * threshold * (1 - threshold)) ** 0.5)
-    agree = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) >= least
-    parts, _ = linked(groups, verify, near=agree)
+    # of a pair at the threshold, samples agree with that probability; so many deviations less are likely enough
+    least = int(sketch * threshold - DEVIATIONS * (sketch * threshold * (1 - threshold)) ** 0.5)
+    parts, _ = linked(groups, verify, lambda x, y: F.lit(True), stars=4, apart=lambda rows: sketched_pairs(rows, least))
     texts = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("node"), F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False)).alias("has_words"))
     firsts = texts.where("has_words").groupBy("node").agg(F.min("doc_id").alias("first"))
     owned = firsts.join(parts.select(F.col("item").alias("node"), "component"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    classes = owned.groupBy("component").agg(F.min("first").alias("class_id"))
-    return texts, owned.join(classes, "component").select("node", "class_id")
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node"))  # the smallest doc_id, null last, then the smallest digest
+    classes = owned.groupBy("component").agg(best.alias("best")).select("component", F.col("best.first").alias("class_id"), F.col("best.node").alias("best"))
+    return texts, owned.join(classes, "component").select("node", "class_id", (F.col("node") == F.col("best")).alias("best"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 3, damping: float = 0.125, chunk_bytes: int = 4 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4, damping: float = 0.5, chunk_bytes: int = 4 << 20) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, node (a digest of
     the text) and class_id, the smallest doc_id among the texts linked to it.
 
@@ -244,19 +285,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, ban
     to anything: their class is their own row's id. A text of fewer than
     `words` words is one shingle. A null doc_id belongs to its text's class; a
     class of null ids alone has a null class_id. Repeated rows and ids are kept
-    as they are; other columns are ignored. damping is the power that inverse
-    document frequencies are raised to: at 1, a word changed in one of a
-    thousand copies would weigh several times a word that they share, and
-    copies would not count as such.
+    as they are; other columns are ignored; an empty table gives no rows.
+    damping is the power that inverse document frequencies are raised to: at 1,
+    a word changed in one of a thousand copies would weigh more than twice a
+    word that they share, and copies would not count as such.
     """
     texts, of_node = text_classes(docs, words, threshold, bands, rows, damping, chunk_bytes)
-    return texts.join(of_node, "node", "left").select("doc_id", "node", F.when(F.col("has_words"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    return texts.join(of_node.drop("best"), "node", "left").select("doc_id", "node", F.when(F.col("has_words"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 3, damping: float = 0.125, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of docs, with all their columns, without those whose class has
-    a smaller doc_id. Texts without words stay, and so do null ids."""
+def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4, damping: float = 0.5, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, one for each class: the one
+    with the smallest doc_id, a null one last, and of rows with that id the one
+    whose text has the smallest digest. Texts without words are classes of
+    their own and all stay. An empty table stays empty."""
     _, of_node = text_classes(docs, words, threshold, bands, rows, damping, chunk_bytes)
-    known = of_node.select(F.col("node").alias("__node"), F.col("class_id").alias("__class"))
-    joined = docs.join(known, F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("__node"), "left")
-    return joined.where(F.col("__class").isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("__class"))).select(*[docs[c] for c in docs.columns])
+    known = of_node.select(F.col("node").alias("__node"), F.col("class_id").alias("__class"), F.col("best").alias("__best"))
+    keyed = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    joined = keyed.join(known, F.col("__digest") == F.col("__node"), "left")
+    stays = joined.where(F.col("__best").isNull() | (F.col("__best") & F.col("doc_id").eqNullSafe(F.col("__class"))))
+    # repeated rows are left; a text's rows are together already
+    place = F.row_number().over(Window.partitionBy("__digest").orderBy(F.lit(0)))
+    return stays.withColumn("__n", place).where("__best is null or __n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

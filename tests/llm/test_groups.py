@@ -48,7 +48,7 @@ def test_blocks_make_all_pairs_of_different_components(spark):
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
 
 
-def near_model(rows, damping=0.125):
+def near_model(rows, damping=0.5):
     bags = []
     for _, x in rows:
         w = (x or "").lower().split()
