@@ -63,8 +63,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             counts = pa.array(np.diff(offsets).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("place"), batch.column("doc_id"), counts, pa.array(sums, pa.int64())], ["part", "place", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = read_token_files(spark, path).mapInArrow(crc, "part int, place long, doc_id long, n_tokens long, ids_crc32 long")
+    stored = read_token_files(spark, path)
+    rows = stored.mapInArrow(crc, "part int, place long, doc_id long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file part
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))  # reads two columns, not the ids
     within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(sums, "part").select("doc_id", (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")

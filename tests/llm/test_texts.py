@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import chat_format, decontaminate, packing, pii, substring_dedup, token_files
+from docloom.llm.tokens import encoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -53,11 +54,11 @@ def test_decontamination_spans_and_blocks(spark, docs):
     item = " ".join(f"Q{i}" for i in range(12))
     bench = spark.createDataFrame([(1, item), (2, "short one"), (2, "short one"), (None, "x"), (4, None), (5, "!!")], "item_id long, text string")
     d = docs((1, f"É -- {item.upper()}! tail"), (2, "a SHORT, one b"), (3, None), (4, "q1 q2 q3"), (5, "x"))
-    for block_bytes in (200_000, 5):
-        got = {r.doc_id: r for r in decontaminate.find_benchmark(d, bench, block_bytes=block_bytes).collect()}
+    for most in (200_000, 5):
+        got = {r.doc_id: r for r in decontaminate.find_benchmark(d, bench, automaton_bytes=most).collect()}
         assert [(got[i].n_words, got[i].n_hit, got[i]["items"]) for i in (1, 2, 3, 4, 5)] == [(14, 12, [1]), (4, 2, [2]), (0, 0, []), (3, 0, []), (1, 0, [])]
         assert [(s.start, s.end) for s in got[1].spans] == [(5, 5 + len(item))]
-        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(d, bench, block_bytes=block_bytes).collect()) == [3, 4, 5]
+        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(d, bench, automaton_bytes=most).collect()) == [3, 4, 5]
     assert decontaminate.find_benchmark(d.limit(0), bench.limit(0)).count() == 0
 
 
@@ -143,7 +144,6 @@ def plain_ids():
 
     def ids(name, text):
         t = Tokenizer.from_file(public_tokenizers.path(name))
-        t.encode_special_tokens = True
         return t.encode(text or "", add_special_tokens=False).ids
 
     return ids
@@ -170,6 +170,26 @@ def test_packing_places_each_id_once(docs, plain_ids):
         assert len(s["ids"]) // 4 == (s.n_tokens if s.n_tokens & (s.n_tokens - 1) == 0 else 64)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_tokenizers(name):
+    """Against the tokenizer as it comes: added tokens, marks, case, combining characters and white space."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    bits = ["foo", "Bar", "İ", "İ.", "İ,", "Σ", "é", "e\u0301", "\u0327", "ß", "123", "4,5", " ", "  ", "\n", "\t", "\x1c", "\xa0", ".", ",", ";)", "'s", "don't", "<|endoftext|>", "<|startoftext|>", "日本", "🙂", "_", "ǅ", "ﬁ", "²", "a.", "A,B.", "\x00", "\u0307", "\u212a"]
+    plain, mine = Tokenizer.from_file(public_tokenizers.path(name)), encoder(public_tokenizers.path(name))
+    for _ in range(5_000):
+        x = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 9)))
+        assert np.frombuffer(mine.encode(x), "<u4").tolist() == plain.encode(x, add_special_tokens=False).ids, x
+
+
+def test_packing_leaves_little_padding(docs):
+    rng = random.Random(3)
+    rows = [(i, "word " * rng.randrange(1, 120)) for i in range(400)]
+    pieces = packing.pack_documents(docs(*rows), public_tokenizers.path("byte_bpe_50k.json"), capacity=64).collect()
+    assert sum(p.length for p in pieces) >= 0.97 * 64 * len({p.sequence_id for p in pieces})
+
+
 def test_packing_odd_rows(odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert packing.pack_documents(odd, path).where("start = 0").count() == odd.count()
