@@ -1,11 +1,14 @@
-"""Benchmark decontamination with Aho-Corasick automata.
+"""Benchmark decontamination with an Aho-Corasick automaton.
 
 Texts and benchmark items are normalised alike (A-Z lower-cased, words of
 digits, letters and anything beyond ASCII, one space between them). All windows
-of all items go into one automaton, which scans each normalised text once; hits
-are mapped back to offsets in the original text. Where the items are too many
-for one automaton of bounded size, they are dealt into blocks, and the texts
-pass through one automaton after the other within the same stage.
+of all items go into one automaton, built once in each worker, which scans each
+normalised text once; hits are mapped back to offsets in the original text.
+
+An automaton takes about forty times the bytes of its windows, so it is made
+for items of a stated total size only. A larger benchmark is never collected:
+the hashes of its windows are joined with those of the texts' windows, which
+finds the same.
 """
 
 from __future__ import annotations
@@ -19,18 +22,17 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import columns_free_of
+from docloom.llm.common import columns_free_of, written
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _built: dict[str, ahocorasick.Automaton] = {}
 
-FOUND = "doc_id long, text string, ranges binary, items array<long>"
 RESULT = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ranges", pa.binary()), ("items", pa.list_(pa.int64()))])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
@@ -74,19 +76,44 @@ def scan(a: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tuple[int,
     return [(int(e) - n, int(e)) for e, (_, (n, _)) in zip(ends, hits)], {i for _, (_, owners) in hits for i in owners}
 
 
-def window_blocks(benchmark: DataFrame, n: int, block_bytes: int) -> list:
-    """The windows of all items, broadcast in blocks of about block_bytes of item text."""
-    spark = benchmark.sparkSession
-    items = columns_free_of(benchmark, "item_id", "text").where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
-    shared = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # about block_bytes
-        shared.append(spark.sparkContext.broadcast(windows(sorted({(r.item_id, r.text or "") for r in rows}), n)))
-    return shared
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return columns_free_of(benchmark, "item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+
+
+def shared_windows(benchmark: DataFrame, n: int, automaton_bytes: int):
+    """The windows of all items, broadcast; None if the items are larger than that."""
+    items = items_of(benchmark)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > automaton_bytes:
+        return None
+    rows = items.collect()  # automaton_bytes at most
+    return benchmark.sparkSession.sparkContext.broadcast(windows(sorted((r.item_id, r.text) for r in rows), n))
+
+
+def window_hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """node (a digest of a text of docs), ranges (start, end) of words that are
+    windows of items, and these items, by a join on 128-bit window hashes."""
+
+    def hashed(batches: Iterator[pa.RecordBatch], name: str, sizes: list[int] | None) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = normal_words(text)
+                at = [(i, k) for k in (sizes or [min(n, len(words))]) if k for i in range(len(words) - k + 1)]
+                raw = [xxhash.xxh3_128_digest(b" ".join(words[i : i + k])) for i, k in at]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), batch.schema.field(0).type), pa.array([i for i, _ in at], pa.int64()), pa.array([k for _, k in at], pa.int64()), pa.array(raw, pa.binary())], [name, "start", "size", "h"])
+
+    of_items = written(items_of(benchmark).mapInArrow(lambda b: hashed(b, "item_id", None), "item_id long, start long, size long, h binary").select("item_id", "size", "h").distinct(), "windows")
+    sizes = sorted(r["size"] for r in of_items.select("size").distinct().collect())  # from 1 to n
+    texts = docs.select(_node().alias("node"), "text").dropDuplicates(["node"])
+    of_texts = texts.mapInArrow(lambda b: hashed(b, "node", sizes or [n]), "node string, start long, size long, h binary")
+    hits = of_texts.join(of_items, ["h", "size"])
+    return hits.groupBy("node").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("ranges"), F.collect_set("item_id").alias("items"))
+
 
+def _node() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 200_000) -> DataFrame:
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, automaton_bytes: int = 400_000) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_words, n_hit
     (words inside a window of an item), items (ids of items with windows in
     it, ascending) and spans (the hit stretches of the original text, in code
@@ -94,23 +121,28 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byt
 
     benchmark has item_id and text. A window is n consecutive words, or the
     whole item if that is shorter. A null text has no words, on either side;
-    items with a null id are left out; repeated items count once; other columns
-    are ignored. block_bytes bounds the item text behind one automaton.
+    items with a null id are left out; repeated items count once; an empty
+    benchmark hits nothing; rows that share a doc_id are looked at one by one;
+    other columns are ignored. automaton_bytes bounds the item text behind the
+    automaton; beyond it windows are joined by hash.
     """
-    out = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("array<long>").alias("items"))
-    shared = window_blocks(benchmark, n, block_bytes)
-    for block in shared:
-        last = block is shared[-1]
-        out = out.mapInArrow(_scanner(block, uuid.uuid4().hex, last), RESULT if last else FOUND)
-    return out
+    rows = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = shared_windows(benchmark, n, automaton_bytes)
+    if shared is not None:
+        return rows.mapInArrow(_scanner(shared, uuid.uuid4().hex), RESULT)
+    found = window_hits(rows, benchmark, n).withColumnRenamed("node", "__node")
+    return rows.join(found, _node() == F.col("__node"), "left").select("doc_id", "text", "ranges", "items").mapInArrow(_told, RESULT)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 200_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, automaton_bytes: int = 400_000) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of a
-    benchmark item occurs."""
-    for block in window_blocks(benchmark, n, block_bytes):
-        docs = docs.where(~_hit_test(block, uuid.uuid4().hex)("text"))
-    return docs
+    benchmark item occurs. Null and empty texts stay, as do all rows if the
+    benchmark is empty; repeated rows are treated alike."""
+    shared = shared_windows(benchmark, n, automaton_bytes)
+    if shared is not None:
+        return docs.where(~_hit_test(shared, uuid.uuid4().hex)("text"))
+    found = window_hits(columns_free_of(docs, "text"), benchmark, n).select(F.col("node").alias("__node"))
+    return docs.join(found, _node() == F.col("__node"), "left_anti")
 
 
 def _hit_test(shared, name: str):
@@ -123,24 +155,30 @@ def _hit_test(shared, name: str):
     return hit
 
 
-def _scanner(shared, name: str, last: bool):
+def _scanner(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(name, shared.value)
         for batch in batches:
             rows = []
-            for doc_id, text, before, known in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = normal_words(text)
                 ranges, items = scan(a, words) if len(a) else ([], set())
-                if before:
-                    ranges += [tuple(x) for x in np.frombuffer(before, np.int64).reshape(-1, 2).tolist()]
-                items |= set(known or ())
-                rows.append(_result(doc_id, text, words, ranges, sorted(items)) if last else (doc_id, text, np.array(ranges, np.int64).tobytes(), sorted(items)))
-            schema = _RESULT if last else _FOUND
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows.append(_result(doc_id, text, words, ranges, sorted(items)))
+            yield _batch(rows)
 
     return run
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns))
+        yield _batch([_result(i, t, normal_words(t), [(x["start"], x["end"]) for x in r or ()], sorted(items or ())) for i, t, r, items in rows])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_RESULT), _RESULT)], schema=_RESULT)
+
+
 def _result(doc_id: int, text: str | None, words: list[bytes], ranges: list[tuple[int, int]], items: list[int]) -> tuple:
     if not ranges:
         return doc_id, len(words), 0, [], []
