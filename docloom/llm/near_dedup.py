@@ -27,7 +27,7 @@ from docloom.llm.links import linked
 
 BITS = 48
 SKETCH = 128  # samples that tell whether a pair is worth verifying
-DEVIATIONS = 1.7
+DEVIATIONS = 1.3
 _MASK = np.uint64((1 << BITS) - 1)
 _rng = np.random.default_rng(20)
 _GAMMA_R = _rng.gamma(2.0, 1.0, 1 << 16).astype(np.float32)  # drawn once by a fixed seed, looked up by hash
@@ -268,7 +268,7 @@ def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows
 
     # of a pair at the threshold, samples agree with that probability; so many deviations less are likely enough
     least = int(sketch * threshold - DEVIATIONS * (sketch * threshold * (1 - threshold)) ** 0.5)
-    parts, _ = linked(groups, verify, lambda x, y: F.lit(True), stars=4, apart=lambda rows: sketched_pairs(rows, least))
+    parts, _ = linked(groups, verify, lambda x, y: F.lit(True), stars=3, apart=lambda rows: sketched_pairs(rows, least))
     texts = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("node"), F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False)).alias("has_words"))
     firsts = texts.where("has_words").groupBy("node").agg(F.min("doc_id").alias("first"))
     owned = firsts.join(parts.select(F.col("item").alias("node"), "component"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
