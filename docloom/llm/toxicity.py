@@ -1,17 +1,22 @@
 """Toxicity by weak supervision.
 
-Many noisy voters look at a text: short lexicons of insults, word beginnings
-that a bounded sample of labelled rows shows almost only in toxic texts, dealt
-into several voters, and patterns of style. A generative model of the votes
-over all documents gives each voter's accuracy, and which voters depend on each
-other, from their covariances: given the label, independent voters leave a
-covariance matrix of rank one. Its posterior labels train a linear classifier,
-which scores the texts.
+Many noisy voters look at a text: short lexicons of insults, which know no
+labels, lexicons of word beginnings that a bounded sample of labelled rows
+shows, at some density, almost only in toxic texts, dealt into several voters,
+and patterns of style. A generative model of the votes over all documents
+gives each voter's accuracy and the voters' correlations beyond the label from
+their covariances: given the label, independent voters leave a covariance
+matrix of rank one, and what is over is their correlation. Its posterior labels
+train a linear classifier, which sees the votes and hashed counts of word
+beginnings, and scores the texts.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,22 +37,31 @@ INSULTS = {
     "fr": "connard connasse salope putain enculé merde abruti crétin ordure imbécile",
     "es": "gilipollas cabrón puta mierda pendejo imbécil estúpido maricón basura idiota",
 }
-GROUPS = 5
+GROUPS = 8
+LEVELS = (0, 2, 3, 4, 6, 9)  # occurrences in PER words; 0: once in the whole text
+PER = 400
+BUCKETS = 512
 _word = re.compile(r"[^\W\d_]+").findall
-_built: dict[int, tuple] = {}
+_built: dict[str, tuple] = {}
 
 
 @dataclass
 class Model:
-    stems: list[tuple[str, int]]  # word beginning and its voter
+    stems: list[tuple[str, int, int]]  # word beginning, the density from which it counts, and its voter
     n_voters: int
     prior: float
     fires_toxic: np.ndarray  # of each voter: share of toxic, of clean texts in which it fires
     fires_clean: np.ndarray
-    share: np.ndarray  # of its vote that is its own, the rest being others' it depends on
+    correlations: np.ndarray  # of the votes, beyond what the label explains
     weights: np.ndarray | None = None
     means: np.ndarray | None = None
     scales: np.ndarray | None = None
+    name: str = ""  # of the model, by which workers keep what they build from it
+
+    @property
+    def share(self) -> np.ndarray:
+        """Of each vote what is its own, the rest being others' it goes with."""
+        return 1 / (1 + np.maximum(self.correlations, 0).sum(1))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,57 +80,70 @@ def labelled_sample(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[
     return written(some(1).unionByName(some(0)), "labels"), n
 
 
-def induced_stems(docs: DataFrame, chosen: DataFrame, n: dict[int, int], per_class: int, most: int) -> list[str]:
-    """Word beginnings of 4 to 8 letters that occur in far more toxic rows of
-    the sample than chance allows and hardly in clean ones, near copies counted
-    once."""
+def dense(count: int, words: int, level: int) -> bool:
+    return count * PER >= level * max(words, PER)
+
+
+def induced_stems(docs: DataFrame, chosen: DataFrame, n: dict[int, int], per_class: int, most: int) -> list[tuple[str, int]]:
+    """Word beginnings of 4 to 8 letters, with a density from which they occur
+    in far more toxic rows of the sample than chance allows and hardly in clean
+    ones, near copies counted once. Of each the density at which most toxic
+    rows have it, and at most `most` of them, those in most toxic rows first."""
     rows = columns_free_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows of two numbers
 
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                words = set(_word((text or "").lower()))
-                found = list({w[:k] for w in words for k in range(4, 9) if len(w) >= k})
-                family = min((xxhash.xxh3_64_intdigest(w) for w in words), default=0) >> 1  # copies and near copies mostly share it
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([int(toxic)] * len(found), pa.int64()), pa.array([family] * len(found), pa.int64())], ["stem", "toxic", "family"])
+                words = _word((text or "").lower())
+                counts = Counter(w[:k] for w in words for k in range(4, 9) if len(w) >= k)
+                found = [(s, level) for s, c in counts.items() for level in LEVELS if dense(c, len(words), level)]
+                family = min((xxhash.xxh3_64_intdigest(" ".join(g)) for g in zip(words, words[1:], words[2:])), default=0) >> 1  # copies and near copies mostly share it
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([v for _, v in found], pa.int64()), pa.array([int(toxic)] * len(found), pa.int64()), pa.array([family] * len(found), pa.int64())], ["stem", "level", "toxic", "family"])
 
-    seen = written(rows.select("text", "toxic").mapInArrow(beginnings, "stem string, toxic long, family long").distinct().groupBy("stem").agg(F.sum("toxic").alias("n_toxic"), F.sum(1 - F.col("toxic")).alias("n_clean")).where("n_toxic >= 5 and n_clean <= 0.02 * n_toxic"), "stems")
     of = {1: min(n[1], per_class), 0: min(n[0], per_class)}
     chance = of[1] / (of[0] + of[1])
     need = max(5.0, 9 / -np.log10(chance))  # odds of a billion to one against a beginning that has nothing to do with the label
-    kept: list[str] = []
-    for r in seen.where(F.col("n_toxic") >= need).orderBy(F.length("stem"), F.desc("n_toxic"), "stem").limit(20 * most).collect():
-        if len(kept) < most and not any(r.stem.startswith(k) for k in kept):
-            kept.append(r.stem)
-    order = {r.stem: -r.n_toxic for r in seen.where(F.col("stem").isin(kept)).collect()} if kept else {}
-    return sorted(kept, key=lambda s: (order[s], s))
+    seen = rows.select("text", "toxic").mapInArrow(beginnings, "stem string, level long, toxic long, family long").distinct()
+    counted = seen.groupBy("stem", "level").agg(F.sum("toxic").alias("n_toxic"), F.sum(1 - F.col("toxic")).alias("n_clean")).where((F.col("n_toxic") >= need + 4 * F.col("n_clean")) & (F.col("n_clean") <= 2.5 + 0.01 * F.col("n_toxic")))
+    best = counted.groupBy("stem").agg(F.max(F.struct("n_toxic", -F.col("level"))).alias("x")).select("stem", "x.n_toxic", (-F.col("x.col2")).alias("level"))
+    kept: list[tuple[str, int]] = []
+    for r in best.orderBy(F.desc("n_toxic"), F.length("stem"), "stem").limit(20 * most).collect():
+        if len(kept) < most and not any(r.stem.startswith(k) for k, _ in kept):
+            kept.append((r.stem, int(r.level)))
+    return kept
 
 
 def _machine(model: Model):
-    key = hash(tuple(model.stems))
-    if key not in _built:
+    if model.name not in _built:
         _built.clear()
         a = ahocorasick.Automaton()
-        for stem, voter in model.stems:
-            a.add_word(stem, (len(stem), [*a.get(stem, (0, []))[1], voter]))
+        for i, (stem, _, _) in enumerate(model.stems):
+            a.add_word(stem, (len(stem), [*a.get(stem, (0, []))[1], i]))
         if len(a):
             a.make_automaton()
-        _built[key] = a
-    return _built[key]
+        _built[model.name] = a
+    return _built[model.name]
 
 
 def features(model: Model, text: str | None) -> np.ndarray:
-    """Hits of each lexicon voter, then whether each pattern voter fires, then length in letters."""
+    """Hits of each lexicon voter's dense enough entries, then whether each
+    pattern voter fires, then length in letters."""
     text = text or ""
     low = text.lower()
     out = np.zeros(model.n_voters + 4)
     a = _machine(model)
     if len(a):
-        for end, (n, voters) in a.iter(low):
+        hits: dict[int, int] = {}
+        for end, (n, entries) in a.iter(low):
             first = end - n + 1
             if not first or not low[first - 1].isalpha():
-                for v in voters:
-                    out[v] += 1
+                for i in entries:
+                    hits[i] = hits.get(i, 0) + 1
+        words = text.count(" ") + text.count("\n") + 1 if hits else 0
+        for i, count in hits.items():
+            _, level, voter = model.stems[i]
+            if dense(count, words, level):
+                out[voter] += count
     n = len(text)
     out[-4] = text.count("!") > 0.01 * n
     out[-3] = text.isupper()
@@ -125,19 +152,28 @@ def features(model: Model, text: str | None) -> np.ndarray:
     return out
 
 
+def grams(text: str | None) -> np.ndarray:
+    """Rates of words by a hash of their first five letters, on a log scale."""
+    words = _word((text or "").lower())
+    if not words:
+        return np.zeros(BUCKETS, np.float32)
+    at = np.array([zlib.crc32(w[:5].encode()) for w in words], np.int64) % BUCKETS
+    return np.log1p(np.bincount(at, minlength=BUCKETS) * (PER / max(len(words), PER))).astype(np.float32)
+
+
 def votes(f: np.ndarray) -> np.ndarray:
     return (f[..., :-1] > 0).astype(float)
 
 
-def inputs(f: np.ndarray) -> np.ndarray:
-    """What the classifier sees: whether voters fire, the number of insults
-    and how many voters of insults agree."""
+def inputs(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """What the classifier sees: whether voters fire, the number of insults,
+    how many voters of insults agree, and rates of word beginnings."""
     lexical = f[..., :-4]
     agree = (lexical > 0).sum(-1, keepdims=True)
-    return np.concatenate([votes(f), np.log1p(lexical.sum(-1, keepdims=True)), np.minimum(agree, 3) / 3.0], -1)
+    return np.concatenate([votes(f), np.log1p(lexical.sum(-1, keepdims=True)), np.minimum(agree, 3) / 3.0, g], -1)
 
 
-def label_model(moments: np.ndarray, total: float, stems: list[tuple[str, int]], n_voters: int, prior: float) -> Model:
+def label_model(moments: np.ndarray, total: float, stems: list[tuple[str, int, int]], n_voters: int, prior: float) -> Model:
     """From the sums of products of all votes (the last vote is always 1)."""
     k = len(moments) - 1
     mean = moments[-1, :k] / max(total, 1)
@@ -160,11 +196,13 @@ def label_model(moments: np.ndarray, total: float, stems: list[tuple[str, int]],
         free &= ~odd
     if not mean[:n_voters].any():  # patterns of style alone say nothing of insults
         delta = np.zeros(k)
-    depends = (np.abs(cov - np.outer(delta, delta)) > 0.3 * np.outer(sd, sd)) & ~np.eye(k, dtype=bool) & (mean > 0)[:, None] & (mean > 0)[None]
+    both = ~np.eye(k, dtype=bool) & (mean > 0)[:, None] & (mean > 0)[None]
+    within = np.sqrt(np.maximum(sd**2 - delta**2, 0.1 * sd**2))
+    correlations = np.where(both, np.clip((cov - np.outer(delta, delta)) / np.outer(within, within), -1, 1), 0.0)
     gap = np.minimum(delta / np.sqrt(p * (1 - p)), 1.0)
     toxic = np.clip(mean + (1 - p) * gap, 1e-4, 1 - 1e-4)
     clean = np.clip(mean - p * gap, 1e-4, 1 - 1e-4)
-    return Model(stems, n_voters, p, toxic, clean, 1 / (1 + depends.sum(1)))
+    return Model(stems, n_voters, p, toxic, clean, correlations, name=uuid.uuid4().hex)
 
 
 def posterior(model: Model, v: np.ndarray) -> np.ndarray:
@@ -192,12 +230,17 @@ def train(model: Model, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, round
     return model
 
 
-def _logit(model: Model, f: np.ndarray) -> np.ndarray:
-    return ((inputs(f) - model.means) / model.scales) @ model.weights[:-1] + model.weights[-1]
+def _logit(model: Model, f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return ((inputs(f, g) - model.means) / model.scales) @ model.weights[:-1] + model.weights[-1]
 
 
-def score_of(model: Model, f: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(_logit(model, f), -30, 30)))
+def score_of(model: Model, texts: list[str | None]) -> np.ndarray:
+    out = np.zeros(len(texts))
+    for s in range(0, len(texts), 256):
+        some = texts[s : s + 256]
+        z = _logit(model, np.array([features(model, t) for t in some]), np.array([grams(t) for t in some]))
+        out[s : s + 256] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return out
 
 
 def calibrated(model: Model, z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> Model:
@@ -218,54 +261,64 @@ def calibrated(model: Model, z: np.ndarray, y: np.ndarray, weight: np.ndarray, r
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, most_stems: int = 300, train_rows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, most_stems: int = 300, train_rows: int = 10_000) -> Model:
     """Fit voters, label model and classifier. Labels of held-out rows are not
-    read. per_class bounds the labelled rows behind the induced stems, and
-    train_rows the documents behind the classifier; the votes behind the label
-    model are those of all documents."""
+    read. per_class bounds the labelled rows of each label behind the induced
+    lexicons and the scores' scale, most_stems the entries of these lexicons,
+    and train_rows the documents behind the classifier (about so many are drawn
+    by a hash of ids, twice as many at most); the votes behind the label model
+    are those of all documents. Without labels of both kinds, or without
+    documents, the lexicons of insults and the patterns are all there is."""
     spark = docs.sparkSession
     chosen, n = labelled_sample(labels, per_class)
     known = bool(n.get(1) and n.get(0))
     stems = induced_stems(docs, chosen, n, per_class, most_stems) if known else []
     prior = n[1] / (n[0] + n[1]) if known else 0.1
-    voters = [(w, i) for i, words in enumerate(INSULTS.values()) for w in words.split()]
-    voters += [(s, len(INSULTS) + i % GROUPS) for i, s in enumerate(stems)]
+    voters = [(w, 0, i) for i, words in enumerate(INSULTS.values()) for w in words.split()]
+    voters += [(s, level, len(INSULTS) + i % GROUPS) for i, (s, level) in enumerate(stems)]
     n_voters = len(INSULTS) + GROUPS
-    blank = Model(voters, n_voters, prior, *[np.zeros(0)] * 3)
-    shared = spark.sparkContext.broadcast(blank)
-    rows = columns_free_of(docs, "doc_id", "text")
+    shared = spark.sparkContext.broadcast(Model(voters, n_voters, prior, *[np.zeros(0)] * 3, name=uuid.uuid4().hex))
+    rows = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = n_voters + 4
 
     def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = [features(shared.value, t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("draw"), pa.array([x.tobytes() for x in f], pa.binary())], ["doc_id", "draw", "f"])
-
-    seen = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.lit(11)).alias("draw"), "text").mapInArrow(looked, "doc_id long, draw long, f binary"), "votes")
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for b in batches:
-            f = np.frombuffer(b"".join(b.column("f").to_pylist())).reshape(-1, width)
+            f = np.array([features(shared.value, t) for t in b.column("text").to_pylist()]).reshape(b.num_rows, width)
             v = np.hstack([votes(f), np.ones((len(f), 1))])
             total += v.T @ v
         yield pa.RecordBatch.from_arrays([pa.array(range(width * width), pa.int32()), pa.array(total.ravel())], ["at", "value"])
 
-    sums = seen.mapInArrow(summed, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()  # width squared rows
+    sums = rows.mapInArrow(looked, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()  # width squared rows
     moments = np.zeros(width * width)
     for r in sums:
         moments[r["at"]] = r["value"]
     moments = moments.reshape(width, width)
     model = label_model(moments, moments[-1, -1], voters, n_voters, prior)
-    share = train_rows / max(moments[-1, -1], 1)  # by a hash of ids, so that about train_rows come, from however many tasks
-    drawn = (seen if share >= 1 else seen.where(F.col("draw") < int(-(2**63) + share * 2**64))).limit(2 * train_rows).collect()
-    f = np.array([np.frombuffer(r["f"]) for r in drawn]) if drawn else np.zeros((1, width))
-    model = train(model, inputs(f), posterior(model, votes(f)))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            f, g = [features(shared.value, t).tobytes() for t in texts], [grams(t).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(f, pa.binary()), pa.array(g, pa.binary())], ["toxic", "f", "g"])
+
+    def drawn(some: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = some.select("text", "toxic").mapInArrow(described, "toxic int, f binary, g binary").toArrow()
+        f = np.frombuffer(b"".join(got["f"].to_pylist())).reshape(-1, width)
+        g = np.frombuffer(b"".join(got["g"].to_pylist()), np.float32).reshape(-1, BUCKETS)
+        return f, g, np.array(got["toxic"].to_pylist())
+
+    share = train_rows / max(moments[-1, -1], 1)
+    some = rows if share >= 1 else rows.where(F.xxhash64("doc_id", F.lit(11)) < int(-(2**63) + share * 2**64)).limit(2 * train_rows)
+    f, g, _ = drawn(some.withColumn("toxic", F.lit(0)))
+    if not len(f):
+        f, g = np.zeros((1, width)), np.zeros((1, BUCKETS), np.float32)
+    model = train(model, inputs(f, g), posterior(model, votes(f)))
     if known:
-        told = seen.join(F.broadcast(chosen), "doc_id").select("f", "toxic").collect()  # 2 * per_class rows
-        y = np.array([float(r["toxic"]) for r in told])
-        z = _logit(model, np.array([np.frombuffer(r["f"]) for r in told]).reshape(-1, width))
-        model = calibrated(model, z, y, np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9)))
+        f, g, y = drawn(rows.join(F.broadcast(chosen), "doc_id").withColumn("toxic", F.col("toxic").cast("int")))  # 2 * per_class rows
+        if len(y):
+            y = y.astype(float)
+            model = calibrated(model, _logit(model, f, g), y, np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9)))
     return model
 
 
@@ -277,8 +330,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([features(shared.value, t) for t in b.column("text").to_pylist()]).reshape(b.num_rows, -1)
-            s = score_of(shared.value, f) if b.num_rows else np.zeros(0)
+            s = score_of(shared.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
     rows = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -286,12 +338,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model does not reject, with all their columns."""
+    """The rows of docs that the model does not reject, with all their columns.
+    A null text is empty; repeated rows are treated alike; an empty table stays
+    empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
-        f = np.array([features(shared.value, t) for t in texts]).reshape(len(texts), -1)
-        return pd.Series(score_of(shared.value, f) >= 0.5 if len(texts) else np.zeros(0, bool))
+        return pd.Series(score_of(shared.value, list(texts)) >= 0.5)
 
     return docs.where(~toxic("text"))

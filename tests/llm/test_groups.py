@@ -253,6 +253,33 @@ def test_toxicity_learns_from_unheld_labels_only(spark, docs):
     assert {r.doc_id for r in toxicity.drop_toxic(docs(*rows), model).collect()} == {i for i, _ in rows if i % 6}
 
 
+def test_label_model_finds_accuracies_and_correlations():
+    """Simulated voters: five independent ones, and one that mostly repeats the first."""
+    rng = np.random.default_rng(4)
+    n, p = 60_000, 0.2
+    y = rng.random(n) < p
+    toxic, clean = [0.8, 0.6, 0.7, 0.5, 0.4], [0.05, 0.02, 0.1, 0.03, 0.01]
+    v = np.stack([np.where(y, rng.random(n) < t, rng.random(n) < c) for t, c in zip(toxic, clean)], 1)
+    v = np.hstack([v, np.where(rng.random(n) < 0.9, v[:, 0], ~v[:, 0])[:, None], np.ones((n, 1), bool)]).astype(float)
+    model = toxicity.label_model(v.T @ v, n, [], 6, p)
+    assert np.abs(model.fires_toxic[1:5] - toxic[1:]).max() < 0.06 and np.abs(model.fires_clean[1:5] - clean[1:]).max() < 0.03
+    others = model.correlations.copy()
+    others[[0, 5], [5, 0]] = 0
+    assert model.correlations[0, 5] > 0.5 and np.abs(others).max() < 0.2 and model.share[0] < 0.75 < model.share[2]
+    assert ((toxicity.posterior(model, v[:, :-1]) > 0.5) == y).mean() > 0.94
+
+
+def test_toxicity_by_density(spark, docs):
+    """What marks toxic texts is how often a word family occurs that clean texts have too."""
+    rng = random.Random(7)
+    fill = lambda k: [f"w{rng.randrange(400)}o" for _ in range(k)]
+    text = lambda bad: " ".join(rng.sample(w := [*fill(200), *(f"quarz{rng.choice('abcd')}" for _ in range(rng.randrange(5, 9) if bad else rng.randrange(2)))], len(w)))
+    rows = [(i, text(i % 5 == 0)) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.score(docs(*rows), toxicity.fit(docs(*rows), labels)).where("held_out").collect()
+    assert np.mean([r.predicted == int(r.doc_id % 5 == 0) for r in got]) > 0.97
+
+
 def test_toxicity_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(odd, none)
