@@ -3,6 +3,11 @@
 Each stage takes what the one before kept and returns the columns of documents;
 the last returns the pieces of packed sequences. Stages are written and read
 again between each other by whoever runs them for good; run() chains them.
+
+Null and empty texts pass all stages and are packed as the end id alone. Rows
+may repeat and ids may be null; of rows with equal or near texts one stays. An
+empty table gives no pieces. Columns beyond those of documents are kept up to
+the packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +34,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines go that repeat an earlier line, or are within two edits of one (short ones within one)."""
-    return _sized(dedup_lines(docs, count_links=False, short_chars=16).select(*docs.columns))
+    """Lines go that repeat an earlier line, or are within two edits of one (short
+    ones within one), and documents of which nothing but blank lines is left.
+    Texts without lines of their own stay as they are."""
+    out = dedup_lines(docs, classes=False, short_chars=16)
+    return _sized(out.where("n_lines = 0 or n_removed < n_lines").select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
