@@ -265,7 +265,7 @@ def test_label_model_finds_accuracies_and_correlations():
     assert np.abs(model.fires_toxic[1:5] - toxic[1:]).max() < 0.06 and np.abs(model.fires_clean[1:5] - clean[1:]).max() < 0.03
     others = model.correlations.copy()
     others[[0, 5], [5, 0]] = 0
-    assert model.correlations[0, 5] > 0.5 and np.abs(others).max() < 0.2 and model.share[0] < 0.75 < model.share[2]
+    assert model.correlations[0, 5] > 0.25 and np.abs(others).max() < 0.2 and model.share[0] < 0.8 < model.share[2]
     assert ((toxicity.posterior(model, v[:, :-1]) > 0.5) == y).mean() > 0.94
 
 
