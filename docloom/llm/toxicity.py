@@ -190,7 +190,9 @@ def label_model(moments: np.ndarray, total: float, stems: list[tuple[str, int, i
             moved, delta = np.abs(lead - delta).max(), lead
             if moved < 1e-9:
                 break
-        odd = np.abs(cov - np.outer(delta, delta)) > 0.3 * np.outer(sd, sd)
+        own = np.sqrt(np.maximum(sd**2 - delta**2, 0.1 * sd**2))
+        over = np.abs(cov - np.outer(delta, delta)) / np.outer(own, own)  # pairs that stand out from the rest depend on each other
+        odd = over > max(0.2, 2 * np.median(over[free])) if free.any() else np.zeros_like(free)
         if (free & odd).sum() > 0.3 * free.sum():
             break
         free &= ~odd
