@@ -1,9 +1,9 @@
 """Retrieval for many queries at once: vector, keyword and reference channels,
 rank fusion, similarity floor, merging of expanded queries.
 
-Queries and rows meet by equi-joins on terms where they can. The exact vector
-channel compares a stated set of queries with all rows; queries are broadcast
-only below a checked size and otherwise joined in blocks.
+Queries and rows meet by equi-joins on terms, articles or grams of titles. The
+exact vector channel alone compares a stated set of queries with all rows;
+queries are broadcast only below a checked size and otherwise joined in blocks.
 """
 
 from __future__ import annotations
@@ -16,9 +16,13 @@ from docloom.functions.text import search_terms
 CHANNELS = ("vector", "keyword", "reference")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(v: Column) -> Column:
+    """v scaled to length one; null for zero vectors."""
+    return F.transform(F.array(F.nullif(F.sqrt(dot(v, v)), F.lit(0.0))), lambda n: F.when(n.isNotNull(), F.transform(v, lambda x: x / n)))[0]
 
 
 def with_queries(rows: DataFrame, queries: DataFrame, most_broadcast: int = 10_000, blocks: int = 64) -> DataFrame:
@@ -39,23 +43,27 @@ def ranked(scored: DataFrame, query: str, item: str, score: str, limit: int) ->
 
 def names_article() -> Column:
     """Whether a query's articles hold the row's, white space aside."""
-    return F.coalesce(F.array_contains("articles", F.regexp_replace("article", "(?U)\\s", "")), F.lit(False))
+    return F.coalesce(F.array_contains("articles", plain_article()), F.lit(False))
+
+
+def plain_article() -> Column:
+    return F.regexp_replace("article", "(?U)\\s", "")
 
 
 def vector_channel(rows: DataFrame, queries: DataFrame, limit: int = 20, dimension: int | None = None) -> DataFrame:
     """rows: item, vector, and optionally article; queries: query, query_vector,
     and optionally excluded (an array of items) and articles. Rows whose article
     a query names come first and score 2, with or without a vector; the order is
-    by cosine otherwise. With dimension, rows with a vector of another one or
-    none are hits only by their article. Gives query, item, score, rank."""
-    pairs = with_queries(rows, queries)
+    by cosine otherwise. Rows without a cosine (no vector or a zero one), and
+    with dimension those with a vector of another one, are hits only by their
+    article. Vectors are scaled once, before rows and queries meet. Gives query,
+    item, score, rank."""
+    usable = F.col("vector") if dimension is None else F.when(F.size("vector") == dimension, F.col("vector"))
+    pairs = with_queries(rows.withColumn("vector", unit(usable)), queries.withColumn("query_vector", unit(F.col("query_vector"))))
     if "excluded" in queries.columns:
         pairs = pairs.where(~F.coalesce(F.array_contains("excluded", F.col("item")), F.lit(False)))
     named = names_article() if "article" in rows.columns and "articles" in queries.columns else F.lit(False)
-    pairs = pairs.withColumn("named", named)
-    if dimension is not None:
-        pairs = pairs.where(F.col("named") | (F.size("vector") == dimension))
-    scored = pairs.select("query", "item", "named", cosine(F.col("vector"), F.col("query_vector")).alias("near"))
+    scored = pairs.select("query", "item", named.alias("named"), dot(F.col("vector"), F.col("query_vector")).alias("near")).where("named or near is not null")
     order = Window.partitionBy("query").orderBy(F.desc("named"), F.col("near").desc_nulls_last(), F.col("item"))
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return best.select("query", "item", F.when(F.col("named"), 2.0).otherwise(F.col("near")).alias("score"), "rank")
@@ -65,26 +73,52 @@ def keyword_channel(rows: DataFrame, queries: DataFrame, limit: int = 20) -> Dat
     """rows: item, tokens; queries: query, terms. A row's score is a tenth of
     the number of its tokens that are terms; rows without any are no hits.
 
-    Tokens are counted for each row first, so that a frequent token is one row
-    of the inverted index for each item, and terms meet it by an equi-join.
+    Tokens meet the terms before anything is counted, so only those that are
+    terms are shuffled, counted by query and item in each task first.
     """
-    index = rows.select("item", F.explode("tokens").alias("token")).groupBy("item", "token").count()
     terms = queries.select("query", F.explode(F.array_distinct("terms")).alias("token"))
-    hits = index.join(terms, "token").groupBy("query", "item").agg((F.sum("count") * F.lit(0.1)).alias("score"))
+    tokens = rows.select("item", F.explode("tokens").alias("token"))
+    hits = tokens.join(terms, "token").groupBy("query", "item").agg((F.count("*") * F.lit(0.1)).alias("score"))
     return ranked(hits, "query", "item", "score", limit)
 
 
+def grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def titles_with(titles: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+    """titles: item, title (lower case, several an item at most); terms: term,
+    where _ stands for any character. Each term with the first `limit` items of
+    which a title holds it. A term meets titles by the first three characters
+    of its longest literal piece, fewer if it is shorter."""
+    pieces = F.array_sort(F.split("term", "_"), lambda a, b: F.length(b) - F.length(a))
+    anchored = terms.withColumn("gram", F.substring(pieces[0], 1, 3))
+    met = titles.withColumn("gram", F.explode(F.array_union(F.array(F.lit("")), F.concat(*[grams(F.col("title"), n) for n in (1, 2, 3)])))).join(anchored, "gram")
+    pattern = F.concat(F.lit("%"), F.col("term"), F.lit("%"))
+    holds = F.when(F.instr("term", "_") > 0, F.call_function("like", F.col("title"), pattern)).otherwise(F.contains("title", "term"))
+    found = met.where(holds).select("term", "item").distinct()
+    first = Window.partitionBy("term").orderBy("item")
+    return found.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= limit).drop("__n")
+
+
 def reference_channel(rows: DataFrame, queries: DataFrame, limit: int = 20, most_terms: int = 20) -> DataFrame:
     """rows: item, title, article, and optionally section_title; queries: query,
     text, articles. An article match scores 2, a title or section title that
     holds one of the first terms (as a pattern, letter case aside) scores 1,
-    anything else is no hit."""
-    patterns = F.transform(F.slice(F.filter(search_terms(F.col("text")), lambda t: F.length(t) >= 2), 1, most_terms), lambda t: F.concat(F.lit("%"), t, F.lit("%")))
-    asked = queries.select("query", "articles", patterns.alias("patterns"))
-    holds = lambda title: F.coalesce(F.exists("patterns", lambda p: F.call_function("like", F.lower(title), p)), F.lit(False))
-    titled = holds("title") | holds("section_title") if "section_title" in rows.columns else holds("title")
-    scored = with_queries(rows, asked).select("query", "item", F.when(names_article(), 2.0).when(titled, 1.0).otherwise(0.0).alias("score")).where("score > 0")
-    return ranked(scored, "query", "item", "score", limit)
+    anything else is no hit.
+
+    Terms are looked up once for all queries, and for each the first items are
+    enough: of a query's hits without an article those with the smallest items
+    come first, and no more than limit of them."""
+    named = rows.select("item", plain_article().alias("a")).join(queries.select("query", F.explode("articles").alias("a")), "a").select("query", "item", F.lit(2.0).alias("score"))
+    words = F.slice(F.filter(search_terms(F.col("text")), lambda t: F.length(t) >= 2), 1, most_terms)
+    asked = queries.select("query", F.explode(F.array_distinct(words)).alias("term"))
+    kinds = ["title"] + (["section_title"] if "section_title" in rows.columns else [])
+    titles = rows.select("item", F.explode(F.array_distinct(F.array(*[F.lower(c) for c in kinds]))).alias("title")).where("title is not null")
+    titled = titles_with(titles, asked.select("term").distinct(), limit).join(asked, "term").select("query", "item", F.lit(1.0).alias("score"))
+    hits = named.unionByName(titled).groupBy("query", "item").agg(F.max("score").alias("score"))
+    return ranked(hits, "query", "item", "score", limit)
 
 
 def fused(channels: dict[str, DataFrame], k: int = 60, limit: int = 60) -> DataFrame:

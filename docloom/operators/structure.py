@@ -94,15 +94,16 @@ def clauses(blocks: DataFrame) -> DataFrame:
     first (the first block's idx) and text.
 
     Documents with article headings are grouped by them: headings end a clause,
-    runs of article headings are dropped, and what precedes the first goes.
+    and so do runs of article headings, which go; page numbers are passed over,
+    and what no article heading precedes since the last end goes.
     Others are grouped by numbered headings, from the first section title on;
     documents with neither give one clause a block.
     """
     rows = blocks.where(F.length(stripped(F.col("text"))) > 0)
     article = (F.col("kind") == "article")
-    noise = runs_of(rows, article).select("doc", "first", "last")
-    marked = rows.join(noise, (rows["doc"] == noise["doc"]) & rows["idx"].between(F.col("first"), F.col("last")), "left_anti")
-    by_article = _grouped(marked.withColumn("__cut", F.col("kind") == "heading").withColumn("__start", article), keep_lead=False)
+    noise = runs_of(rows, article).select("doc", F.explode(F.sequence("first", "last")).alias("idx"), F.lit(True).alias("__noise"))
+    marked = rows.join(noise, ["doc", "idx"], "left").withColumn("__noise", F.coalesce("__noise", F.lit(False))).where(~F.coalesce(is_page_number(F.col("text")), F.lit(False)))
+    by_article = _grouped(marked.withColumn("__cut", (F.col("kind") == "heading") | F.col("__noise")).withColumn("__start", article & ~F.col("__noise")), keep_lead=False)
     plain = rows.join(by_article.select("doc").distinct(), "doc", "left_anti").where(~F.coalesce(is_page_number(F.col("text")), F.lit(False)) & ~stripped(F.col("text")).rlike(CLOSING_LINE))
     numbered, title = stripped(F.col("text")).rlike(CLAUSE_HEADING), is_section_title(F.col("text"))
     whole = Window.partitionBy("doc")

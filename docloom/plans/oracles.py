@@ -79,7 +79,8 @@ SELECT doc, min(idx)::INTEGER AS first, max(idx)::INTEGER AS last, count(*) AS n
     "split_clauses": f"""WITH {_LINES},
 b AS (SELECT * FROM lines WHERE trim(text, ' \t\r') <> ''),
 runs AS (SELECT doc, min(idx) AS f, max(idx) AS l FROM (SELECT doc, idx, n - row_number() OVER (PARTITION BY doc ORDER BY idx) AS g FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY idx) AS n FROM b) WHERE length(text) BETWEEN 60 AND 89) GROUP BY doc, g HAVING count(*) >= 2),
-src AS (SELECT b.doc, idx, text, coalesce(level = 1, false) AS cut, length(text) BETWEEN 60 AND 89 AS start FROM b LEFT JOIN runs r ON r.doc = b.doc AND b.idx BETWEEN f AND l WHERE r.doc IS NULL),
+src AS (SELECT b.doc, idx, text, coalesce(level = 1, false) OR r.doc IS NOT NULL AS cut, length(text) BETWEEN 60 AND 89 AND r.doc IS NULL AS start FROM b LEFT JOIN runs r ON r.doc = b.doc AND b.idx BETWEEN f AND l
+  WHERE NOT regexp_matches(trim(text, ' \t\r'), '^[-–—·•.]?\\s*\\d{{1,4}}\\s*[-–—·•.]?$')),
 art AS ({_grouped(False)}),
 plain AS (SELECT * FROM b WHERE doc NOT IN (SELECT doc FROM art) AND NOT regexp_matches(trim(text, ' \t\r'), '^[-–—·•.]?\\s*\\d{{1,4}}\\s*[-–—·•.]?$')),
 num AS (SELECT *, regexp_matches(trim(text, ' \t\r'), '^(\\d+(\\.\\d+)*[、.．]|\\d{{1,3}}(\\.\\d{{1,3}})+(\\s|$)|[（(]\\s*\\d+\\s*[）)])') AS start, coalesce(level = 1, false) AS cut FROM plain),

@@ -114,7 +114,7 @@ def similarity_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), T.word_tokens(F.col("text")).alias("tokens"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), T.search_terms(F.col("text")).alias("terms"))
-    hits = _fused(spark, sf_dir).select("query", "item", "score", "rank").join(docs, "item").join(F.broadcast(asked), "query")
+    hits = _fused(spark, sf_dir).select("query", "item", "score", "rank").join(docs, "item").join(asked, "query")
     best = retrieval.reranked(hits, retrieval.lexical_score(F.col("terms"), F.col("tokens")))
     return best.select("query", "item", "rank", F.round("score", 9).alias("score"))
 

@@ -33,6 +33,24 @@ def test_clauses_by_article_and_by_number(spark):
     assert got == {("a", "clause-1"): "第一条 甲\n续", ("a", "clause-2"): "第二条 乙", ("n", "clause-1"): "1、付款：三日\n内", ("p", "clause-1"): "only", ("p", "clause-2"): " plain "}
 
 
+def test_runs_and_page_numbers_in_articles(spark):
+    """A dropped run of article headings ends the clause before it; page numbers are passed over."""
+    texts = [("article", "第一条 甲"), ("paragraph", "甲正文"), ("article", "第二条 目录"), ("article", "第三条 目录"), ("paragraph", "前言散文"), ("article", "第四条 乙"), ("paragraph", "- 12 -"), ("paragraph", "乙正文")]
+    rows = [("d", i, k, t) for i, (k, t) in enumerate(texts)]
+    got = structure.clauses(spark.createDataFrame(rows, "doc string, idx int, kind string, text string")).orderBy("first").collect()
+    assert [r.text for r in got] == ["第一条 甲\n甲正文", "第四条 乙\n乙正文"]
+
+
+def test_titles_are_found_by_grams(spark):
+    titles = [(1, "a law of x"), (2, "law"), (3, "a1b2"), (4, "axb"), (5, "ümlaut"), (6, ""), (7, "zz"), (8, "法规汇编"), (9, "lawyer")]
+    terms = ["law", "a_b", "ml", "法规", "__", "ü", "zzz", "_w"]
+    rows, asked = spark.createDataFrame(titles, "item int, title string"), spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {(r.term, r.item) for r in retrieval.titles_with(rows, asked, 20).collect()}
+    held = lambda t, x: any(all(c in ("_", d) for c, d in zip(t, x[i:], strict=False)) for i in range(len(x) - len(t) + 1))
+    assert got == {(t, i) for t in terms for i, x in titles if held(t, x)}
+    assert {r.item for r in retrieval.titles_with(rows, asked, 2).where("term = 'law'").collect()} == {1, 2}
+
+
 def test_contents_go(spark):
     rows = [("d", 0, 1, "封面"), ("d", 1, 2, "目 录"), ("d", 2, 2, "第一章......1"), ("d", 3, 3, "第二章......9"), ("d", 4, 3, "正文"), ("d", 5, 3, "又......2"), ("e", 0, 1, "x")]
     got = structure.without_contents(spark.createDataFrame(rows, "doc string, idx int, page int, text string"))
@@ -43,7 +61,7 @@ def test_channels_take_nulls_and_ties(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", None)], "item string, vector array<double>")
     asked = spark.createDataFrame([("q", [1.0, 0.0], ["b"])], "query string, query_vector array<double>, excluded array<string>")
     got = retrieval.vector_channel(rows, asked, 5).orderBy("rank").collect()
-    assert [(r.item, r.score) for r in got] == [("a", 1.0), ("c", None)]
+    assert [(r.item, r.score) for r in got] == [("a", 1.0)]  # no vector, no article: no hit
     few = retrieval.with_queries(rows, asked, most_broadcast=0, blocks=3)
     assert few.count() == 3
 
