@@ -272,7 +272,7 @@ def test_label_model_finds_accuracies_and_correlations():
 def test_toxicity_by_density(spark, docs):
     """What marks toxic texts is how often a word family occurs that clean texts have too."""
     rng = random.Random(7)
-    fill = lambda k: [f"w{rng.randrange(400)}o" for _ in range(k)]
+    fill = lambda k: ["".join(rng.choice("aeioulmn") for _ in range(4)) for _ in range(k)]
     text = lambda bad: " ".join(rng.sample(w := [*fill(200), *(f + rng.choice("abcd") for f in ("quarz", "blint", "drosk", "vemph") for _ in range(rng.randrange(5, 9) if bad else rng.randrange(2)))], len(w)))
     rows = [(i, text(i % 5 == 0)) for i in range(600)]
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
