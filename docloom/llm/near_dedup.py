@@ -175,8 +175,9 @@ def agreeing(x: np.ndarray, y: np.ndarray, least: int, strip: int = 64) -> tuple
 
 
 def sketched_pairs(rows: DataFrame, least: int, block: int = 512, bin_rows: int = 20_000) -> DataFrame:
-    """Pairs (a, b), a < b, of items of a group (g, item, component, sign) that
-    differ in component and agree in at least `least` bytes of sign. Groups of
+    """Pairs (a, b), a < b, of items of a group (g, item, component, sign, bands,
+    band) that differ in component and agree in at least `least` bytes of sign;
+    a pair that shares several bands is made in the first of them. Groups of
     more than about `block` items are cut into blocks and each two blocks meet
     in a table of their own; smaller groups share tables of about bin_rows."""
     bins = int(rows.count() // bin_rows) + 1
@@ -184,7 +185,7 @@ def sketched_pairs(rows: DataFrame, least: int, block: int = 512, bin_rows: int
     dealt = rows.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("item", F.lit(2)), F.col("blocks")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pair = F.struct("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    met = met.select(F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("g"), F.lit(bins))).otherwise(F.xxhash64(pair)).alias("k"), F.xxhash64(pair).alias("pair"), (F.col("own") > F.col("other")).alias("right"), (F.col("own") == F.col("other")).alias("same"), "item", "component", "sign")
+    met = met.select(F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("g"), F.lit(bins))).otherwise(F.xxhash64(pair)).alias("k"), F.xxhash64(pair).alias("pair"), (F.col("own") > F.col("other")).alias("right"), (F.col("own") == F.col("other")).alias("same"), "item", "component", "sign", "bands", "band")
 
     def compared(table: pa.Table) -> pa.Table:
         table = table.sort_by([("pair", "ascending"), ("item", "ascending")])
@@ -192,6 +193,7 @@ def sketched_pairs(rows: DataFrame, least: int, block: int = 512, bin_rows: int
         part = table["component"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
         sign = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint8).reshape(len(table), -1)
         right, same = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("right", "same"))
+        bands, band = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(table), -1), table["band"].to_numpy()
         key = table["pair"].to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         a, b = [], []
@@ -203,6 +205,8 @@ def sketched_pairs(rows: DataFrame, least: int, block: int = 512, bin_rows: int
                 i, j = agreeing(sign[x], sign[y], least)
                 i, j = x[i], y[j]
                 keep = (part[i] != part[j]) & ((i < j) if same[s] else True)
+                i, j = i[keep], j[keep]
+                keep = (bands[i] == bands[j]).argmax(1) == band[s]
                 a.append(i[keep]), b.append(j[keep])
         a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
         return pa.table({"a": items.take(pa.array(a)), "b": items.take(pa.array(b))})
@@ -248,9 +252,9 @@ def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows
     # a text stands in each chunk that holds a copy; the first chunk's row speaks for it
     own = signs.groupBy("node").agg(F.min("t").alias("t"))
     sets = written(signs.join(own, ["node", "t"]).select("node", "bands", "sign", "keys", "w"), "shingles")
-    members = sets.select(F.col("node").alias("item"), "sign", F.explode_outer("bands").alias("g"))
+    members = sets.select(F.col("node").alias("item"), "sign", "bands", F.posexplode_outer("bands").alias("band", "g"))
     many = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    groups = written(members.join(many, "g").select("g", "item", "sign"), "members")
+    groups = written(members.join(many, "g").select("g", "item", "sign", "bands", "band"), "members")
 
     def similar(batches):
         for b in batches:
