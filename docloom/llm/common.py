@@ -19,12 +19,15 @@ BLOB_ARROW = pa.schema([("t", pa.int64()), ("bucket", pa.int64()), ("n", pa.int6
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where
-    the cluster names none (single-machine tests)."""
+    none is named and all runs on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
