@@ -25,6 +25,17 @@ def final_status(checkpoints: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.when(F.col("__c"), "complete").when(F.col("__f"), "failed").otherwise("partial").alias("status"), F.when(~F.col("__c") & F.col("__f"), F.coalesce("__r", F.lit("all clauses failed"))).alias("reason"))
 
 
+def finalized(jobs: DataFrame, checkpoints: DataFrame, *keys: str) -> DataFrame:
+    """jobs (with status and failure_reason) that have not ended, as they end:
+    by their checkpoints, or complete if they have no clauses."""
+    told = final_status(checkpoints, *keys).select(*keys, F.col("status").alias("__status"), F.col("reason").alias("__reason"))
+    rows = jobs.join(told, list(keys), "left")
+    ended = F.col("status").isin(*ENDED)
+    status = F.when(ended, F.col("status")).otherwise(F.coalesce("__status", F.lit("complete")))
+    reason = F.when(ended, F.col("failure_reason")).otherwise(F.col("__reason"))
+    return rows.select(*[status.alias(c) if c == "status" else reason.alias(c) if c == "failure_reason" else F.col(f"`{c}`") for c in jobs.columns])
+
+
 def pending(clauses: DataFrame, checkpoints: DataFrame, *keys: str) -> DataFrame:
     """Clauses without a terminal checkpoint."""
     return clauses.join(checkpoints.where(F.col("status").isin(*TERMINAL)).select(*keys), list(keys), "left_anti")

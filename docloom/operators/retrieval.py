@@ -176,6 +176,15 @@ def valid_on(rows: DataFrame, day: Column) -> DataFrame:
     return rows.where((F.col("effective_date").isNull() | (F.col("effective_date") <= day)) & (F.col("expiry_date").isNull() | (F.col("expiry_date") >= day)))
 
 
+def eligible(chunks: DataFrame, documents: DataFrame, tenant: str, day: Column, statuses: tuple[str, ...] = ("active",)) -> DataFrame:
+    """chunks (with doc) of documents (doc, status, scope, tenant_id,
+    effective_date, expiry_date) that are in one of the statuses, visible to the
+    tenant and valid on the day: what every channel may look at. Chunks of
+    unknown documents go."""
+    some = valid_on(visible(documents.where(F.col("status").isin(*statuses)), tenant), day)
+    return chunks.join(some.select("doc").distinct(), "doc", "left_semi")
+
+
 def inconsistent(channels: list[DataFrame], key: str, *carried: str) -> DataFrame:
     """Items that channels carry with different columns."""
     rows = channels[0].select(key, *carried)

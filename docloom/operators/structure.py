@@ -179,3 +179,11 @@ def overlapping(spans: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
     own = spans.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width))))
     c = chunks.select("doc", "chunk", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
     return own.join(c, ["doc", "chunk"]).where("start < c_end and end > c_start").withColumn("from", F.greatest("start", "c_start")).withColumn("to", F.least("end", "c_end"))
+
+
+def merged_locators(blocks: DataFrame, *keys: str) -> DataFrame:
+    """One locator for the blocks (idx, page, article, paragraph) of each key: the
+    pages from first to last, and the first article and paragraph in order that
+    are known. Keys whose blocks know none have nulls."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("idx"))).alias(c)
+    return blocks.groupBy(*keys).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), first("article"), first("paragraph"))

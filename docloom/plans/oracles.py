@@ -63,6 +63,18 @@ o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY clause, item ORDER
 SELECT clause, item, query_no, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY clause ORDER BY query_no, rank, item) AS place FROM o) WHERE place <= 20""",
     "visible_chunks": f"WITH {_KNOWLEDGE} SELECT doc_id, scope, tenant_id FROM k WHERE scope = 'public' OR (tenant_id = 'src3' AND scope IN ('firm', 'tenant_private'))",
     "valid_asof": f"WITH {_KNOWLEDGE} SELECT doc_id, effective_date, expiry_date FROM k WHERE (effective_date IS NULL OR effective_date <= DATE '2024-06-01') AND (expiry_date IS NULL OR expiry_date >= DATE '2024-06-01')",
+    "eligible_candidates": f"""WITH {_KNOWLEDGE},
+eligible AS (SELECT doc_id, text FROM k WHERE length(text) % 11 <> 0 AND (scope = 'public' OR (tenant_id = 'src3' AND scope IN ('firm', 'tenant_private'))) AND (effective_date IS NULL OR effective_date <= DATE '2024-06-01') AND (expiry_date IS NULL OR expiry_date >= DATE '2024-06-01')),
+{_KEYWORD.replace("FROM documents", "FROM eligible")}
+SELECT query, item, rank::INTEGER AS rank, round(score, 6) AS score FROM keyword""",
+    "chunk_locators": f"""WITH {_LINES},
+a AS (SELECT doc, idx, level, CASE WHEN length(text) BETWEEN 60 AND 89 THEN length(text) END AS n FROM lines)
+SELECT doc, idx // 5 AS part, (min(idx // 46) + 1)::BIGINT AS page_start, (max(idx // 46) + 1)::BIGINT AS page_end, '第' || arg_min(n, idx) FILTER (WHERE n IS NOT NULL) || '条' AS article, (min(idx) FILTER (WHERE level IS NULL))::INTEGER AS paragraph
+FROM a GROUP BY doc, idx // 5""",
+    "jobs_finalized": f"""WITH {_CHECKPOINTS},
+f AS (SELECT job, CASE WHEN bool_and(status = 'complete') THEN 'complete' WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'partial' END AS s FROM c GROUP BY job)
+SELECT c_custkey AS job, CASE WHEN c_custkey % 7 = 0 THEN 'failed' ELSE coalesce(s, 'complete') END AS status, CASE WHEN c_custkey % 7 = 0 THEN 'early' WHEN s = 'failed' THEN 'error' END AS failure_reason
+FROM customer LEFT JOIN f ON job = c_custkey""",
     "doc_dedupe": "SELECT sha256(text) AS sha256, doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
     "doc_conflicts": "WITH f AS (SELECT text, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1) SELECT d.doc_id, sha256(d.text) AS sha256 FROM documents d JOIN f ON f.text = d.text WHERE f.source IS DISTINCT FROM d.source OR f.lang IS DISTINCT FROM d.lang",
     "doc_append": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents WHERE lang <> 'en' AND text NOT IN (SELECT text FROM documents WHERE lang = 'en') GROUP BY text",

@@ -162,6 +162,17 @@ def valid_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.valid_on(_knowledge(spark, sf_dir), F.lit("2024-06-01").cast("date")).select("doc_id", "effective_date", "expiry_date")
 
 
+@query
+def eligible_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword hits among the documents that a tenant may see, that are active and valid on a day."""
+    state = F.when(F.col("n") % 11 == 0, "pending").otherwise("active")
+    known = _knowledge(spark, sf_dir).withColumn("n", F.length("text")).select(F.col("doc_id").alias("doc"), state.alias("status"), "scope", "tenant_id", "effective_date", "expiry_date")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("doc_id").alias("doc"), T.word_tokens(F.col("text")).alias("tokens"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), T.search_terms(F.col("text")).alias("terms"))
+    hits = retrieval.keyword_channel(retrieval.eligible(rows, known, "src3", F.lit("2024-06-01").cast("date")), asked)
+    return hits.select("query", "item", "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def doc_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), "doc_id", "source")
@@ -232,6 +243,14 @@ def margin_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.without_margins(rows).groupBy("doc").agg(F.count("*").alias("n"))
 
 
+@query
+def chunk_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locators of runs of five lines: pages of 46 lines, article and paragraph where known."""
+    rows = _articles(spark, sf_dir).withColumn("article", T.article_number(F.col("text")))
+    rows = rows.select("doc", "idx", F.floor(F.col("idx") / 5).alias("part"), (F.floor(F.col("idx") / 46) + 1).alias("page"), "article", F.when(F.col("level").isNull(), F.col("idx")).alias("paragraph"))
+    return structure.merged_locators(rows, "doc", "part")
+
+
 @query
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).alias("idx"), "text")
@@ -379,6 +398,15 @@ def job_final_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.final_status(_checkpoints(spark, sf_dir), "job")
 
 
+@query
+def jobs_finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of customers as their checkpoints end them; those without any are complete."""
+    c = table(spark, sf_dir, "customer")
+    status = F.when(F.col("c_custkey") % 7 == 0, "failed").otherwise("running")
+    rows = c.select(F.col("c_custkey").alias("job"), status.alias("status"), F.when(status == "failed", "early").alias("failure_reason"))
+    return jobs.finalized(rows, _checkpoints(spark, sf_dir), "job")
+
+
 @query
 def pending_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _checkpoints(spark, sf_dir)
@@ -489,11 +517,9 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folders(spark: SparkSession) -> tuple[str, str]:
-    import tempfile
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="docloom-")
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{evidence.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return f"{at}/table", f"{at}/checkpoint"
 
 

@@ -166,3 +166,25 @@ def test_uuid_is_version_8(spark):
 
     h = hashlib.sha256('["a","q\\"/é"]'.encode()).hexdigest()
     assert got == f"{h[:8]}-{h[8:12]}-8{h[13:16]}-{(int(h[16], 16) & 3) | 8:x}{h[17:20]}-{h[20:32]}"
+
+
+def test_eligible_chunks(spark):
+    docs = [("a", "active", "public", None, None, None), ("b", "pending", "public", None, None, None), ("c", "active", "firm", "t", "2024-01-01", "2024-12-31"), ("d", "active", "firm", "u", None, None), ("e", "active", "public", None, "2025-01-01", None), ("f", None, "public", None, None, None)]
+    known = spark.createDataFrame(docs, "doc string, status string, scope string, tenant_id string, f string, t string").selectExpr("doc", "status", "scope", "tenant_id", "to_date(f) AS effective_date", "to_date(t) AS expiry_date")
+    chunks = spark.createDataFrame([(i, d) for i, d in enumerate("aabcdefx")] + [(9, None)], "item int, doc string")
+    got = retrieval.eligible(chunks, known, "t", F.lit("2024-06-01").cast("date"))
+    assert sorted(r.item for r in got.collect()) == [0, 1, 3]
+
+
+def test_locators_are_merged(spark):
+    rows = [("d", 1, 2, None, 7), ("d", 0, 1, None, None), ("d", 2, 2, "第三条", 8), ("e", 0, None, None, None)]
+    got = structure.merged_locators(spark.createDataFrame(rows, "doc string, idx int, page int, article string, paragraph int"), "doc")
+    assert sorted(tuple(r) for r in got.collect() if r.doc == "d") == [("d", 1, 2, "第三条", 7)]
+    assert [tuple(r) for r in got.where("doc = 'e'").collect()] == [("e", None, None, None, None)]
+
+
+def test_jobs_end_by_their_checkpoints(spark):
+    rows = spark.createDataFrame([(1, "running", None), (2, "running", None), (3, "failed", "x"), (4, "queued", None)], "job int, status string, failure_reason string")
+    points = spark.createDataFrame([(1, "complete", 0, None), (1, "failed", 1, "r"), (2, "failed", 1, "late"), (2, "failed", 0, "first"), (3, "complete", 0, None)], "job int, status string, place int, reason string")
+    got = {r.job: (r.status, r.failure_reason) for r in jobs.finalized(rows, points, "job").collect()}
+    assert got == {1: ("partial", None), 2: ("failed", "first"), 3: ("failed", "x"), 4: ("complete", None)}
