@@ -74,5 +74,43 @@ SELECT t.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _,
 FROM t LEFT JOIN x USING (doc_id) GROUP BY t.doc_id"""
 
 
+# leaves are compared as they are where the operator compares their hashes
+_GAP, _WORD = r"[\x20\x09\x0B-\x0D]", r"[^\x20\x09-\x0D]"
+_PHRASES = rf"list_distinct(regexp_extract_all({{}}, '{_GAP}*(?:{_WORD}*[^\x20\x09-\x0D.!?]{_GAP}+){{{{0,4}}}}{_WORD}+\x0A?|{_GAP}+\x0A?|\x0A'))"
+_ROOT = "sha256(array_to_string(list_transform(string_split({}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"
+_LENGTH = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+
+
+def _like(a: str, b: str) -> str:
+    both = f"({_LENGTH.format(a)} + {_LENGTH.format(b)})"
+    return f"CASE WHEN {both} = 0 THEN 1.0::DOUBLE ELSE 2 * {_LENGTH.format(f'list_intersect({a}, {b})')} / {both}::DOUBLE END"
+
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM d),
+e AS (SELECT *, length(text) // 4 AS k, substr(text, 1, (length(text) - length(text) // 4)::BIGINT) || substr(next, 1, (length(text) // 4)::BIGINT) AS edited FROM n),
+p AS (SELECT *, {_PHRASES.format("text")} AS a, {_PHRASES.format("edited")} AS b, {_PHRASES.format("next")} AS c FROM e)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_ROOT.format("text")} AS fingerprint, {_ROOT.format("edited")} AS edited_fingerprint,
+  {_like("a", "b")} AS near_edited, {_like("a", "c")} AS near_next, {_LENGTH.format("list_intersect(a, b)")}::BIGINT AS common_chars FROM p"""
+
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM x GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS c FROM x SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(c)::HUGEINT AS n FROM kept GROUP BY lang),
+n AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(n.n, 0) + v.v) AS p, 1 + (1000000000::HUGEINT * (kept.c + 1)) // (v.n + v.v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS s FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) z
+  ON z.lang = a.lang AND z.source = a.source AND z.other = b.source),
+term AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE c > 0 AND p > q),
+a AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM a) WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_decontaminate": OP2, "op3_chat_format": OP3, "op7_pii": OP7}
+    return {"op11_fingerprints": OP11, "op12_divergence": OP12, "op1_substring_dedup": OP1, "op2_decontaminate": OP2, "op3_chat_format": OP3, "op7_pii": OP7}

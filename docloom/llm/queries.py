@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import toxicity
+from docloom.llm import toxicity, whitening
 from docloom.llm.ann import nearest
 from docloom.llm.chat_format import digests, format_conversations
 from docloom.llm.common import table_path
 from docloom.llm.decontaminate import find_benchmark
+from docloom.llm.divergence import audit
 from docloom.llm.line_dedup import dedup_lines
+from docloom.llm.merkle import quarter_edits
 from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.pii import KINDS, find_pii
@@ -84,6 +86,27 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quarter_edits(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_chars")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    rows, d = whitening.usable(table(spark, sf_dir, "embeddings"))
+    if not d:
+        return spark.createDataFrame([], schema)
+    model = whitening.fit(rows, d, most=32)
+    error = whitening.identity_error(rows, d, model)
+    shares = F.array(*[F.lit(e) for e in model.explained]).cast("array<double>")
+    out = whitening.whitened(rows, d, model).select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
