@@ -123,8 +123,8 @@ def test_divergence_rotates_through_all_cells(spark):
     rows = [(" ".join(rng.choice(words, 30)), lang, f"s{i % n}", "t", 1, 2) for lang, n in (("a", 13), ("b", 6), ("c", 1)) for i in range(60)]
     df = spark.createDataFrame(rows, GROUPS)
     want = plain_audit(rows, most=7)
-    for block, cell in ((40, 2), (1000, 3), (1000, 50)):
-        assert audited(divergence.audit(df, most_terms=7, block_terms=block, cell_groups=cell)) == want
+    for block, cell in ((500, 2), (10_000, 3), (1 << 20, 50)):
+        assert audited(divergence.audit(df, most_terms=7, block_bytes=block, cell_groups=cell)) == want
 
 
 def test_divergence_odd_rows(spark):
