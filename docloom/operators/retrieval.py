@@ -1,9 +1,9 @@
 """Retrieval for many queries at once: vector, keyword and reference channels,
 rank fusion, similarity floor, merging of expanded queries.
 
-Queries and rows meet by equi-joins on terms, articles or grams of titles. The
-exact vector channel alone compares a stated set of queries with all rows;
-queries are broadcast only below a checked size and otherwise joined in blocks.
+The vector and keyword channels compare a stated set of queries with all rows as
+products of blocks (kernels); titles and queries meet by equi-joins on articles
+or grams.
 """
 
 from __future__ import annotations
@@ -12,74 +12,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import search_terms
+from docloom.operators import kernels
 
 CHANNELS = ("vector", "keyword", "reference")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-
-def unit(v: Column) -> Column:
-    """v scaled to length one; null for zero vectors."""
-    return F.transform(F.array(F.nullif(F.sqrt(dot(v, v)), F.lit(0.0))), lambda n: F.when(n.isNotNull(), F.transform(v, lambda x: x / n)))[0]
-
-
-def with_queries(rows: DataFrame, queries: DataFrame, most_broadcast: int = 10_000, blocks: int = 64) -> DataFrame:
-    """Every query beside every row. Few queries are broadcast to the rows; of
-    more, each block of rows meets each block of queries in a task of its own."""
-    if queries.limit(most_broadcast + 1).count() <= most_broadcast:
-        return rows.crossJoin(F.broadcast(queries))
-    left = rows.withColumn("__b", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)))
-    right = queries.withColumn("__b", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    return left.join(right, "__b").drop("__b")
-
-
 def ranked(scored: DataFrame, query: str, item: str, score: str, limit: int) -> DataFrame:
     """Each query's best rows: rank from 1, ties to smaller items, null scores last."""
     order = Window.partitionBy(query).orderBy(F.col(score).desc_nulls_last(), F.col(item))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def names_article() -> Column:
-    """Whether a query's articles hold the row's, white space aside."""
-    return F.coalesce(F.array_contains("articles", plain_article()), F.lit(False))
-
-
 def plain_article() -> Column:
     return F.regexp_replace("article", "(?U)\\s", "")
 
 
+def _asked(queries: DataFrame, wanted: str) -> DataFrame:
+    """What a channel needs of queries; lists without null and article white space aside."""
+    more = [F.filter(c, lambda x: x.isNotNull()).alias(c) for c in ("articles", "excluded") if c in queries.columns]
+    return queries.select("query", F.filter(F.array_distinct(wanted), lambda x: x.isNotNull()).alias(wanted) if wanted == "terms" else F.col(wanted), *more)
+
+
+def _about(rows: DataFrame, *wanted: str) -> DataFrame:
+    article = [plain_article().alias("article")] if "article" in rows.columns else []
+    return rows.select("item", *wanted, *article)
+
+
 def vector_channel(rows: DataFrame, queries: DataFrame, limit: int = 20, dimension: int | None = None) -> DataFrame:
     """rows: item, vector, and optionally article; queries: query, query_vector,
     and optionally excluded (an array of items) and articles. Rows whose article
     a query names come first and score 2, with or without a vector; the order is
-    by cosine otherwise. Rows without a cosine (no vector or a zero one), and
-    with dimension those with a vector of another one, are hits only by their
-    article. Vectors are scaled once, before rows and queries meet. Gives query,
-    item, score, rank."""
-    usable = F.col("vector") if dimension is None else F.when(F.size("vector") == dimension, F.col("vector"))
-    pairs = with_queries(rows.withColumn("vector", unit(usable)), queries.withColumn("query_vector", unit(F.col("query_vector"))))
-    if "excluded" in queries.columns:
-        pairs = pairs.where(~F.coalesce(F.array_contains("excluded", F.col("item")), F.lit(False)))
-    named = names_article() if "article" in rows.columns and "articles" in queries.columns else F.lit(False)
-    scored = pairs.select("query", "item", named.alias("named"), dot(F.col("vector"), F.col("query_vector")).alias("near")).where("named or near is not null")
+    by cosine otherwise. Rows without a cosine (no vector, a zero one, one that
+    is not finite), and with dimension those with a vector of another one, are
+    hits only by their article. Products of blocks of vectors find each block's
+    best, whose cosines are then computed singly. Gives query, item, score, rank."""
+    check_limit(limit)
+    if dimension is not None:
+        rows = rows.withColumn("vector", F.when(F.size("vector") == dimension, F.col("vector")))
+    asked, about = _asked(queries, "query_vector"), _about(rows, F.col("vector").cast("array<double>").alias("vector"))
+    asked = asked.withColumn("query_vector", F.col("query_vector").cast("array<double>"))
+    types = {f.name: f.dataType.simpleString() for f in (*asked.schema, *about.schema)}
+    scored = kernels.best_of(about, asked, "8 * coalesce(size(query_vector), 0)", kernels.vector_best(limit), f"query {types['query']}, item {types['item']}, named boolean, near double")
     order = Window.partitionBy("query").orderBy(F.desc("named"), F.col("near").desc_nulls_last(), F.col("item"))
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return best.select("query", "item", F.when(F.col("named"), 2.0).otherwise(F.col("near")).alias("score"), "rank")
 
 
 def keyword_channel(rows: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """rows: item, tokens; queries: query, terms. A row's score is a tenth of
-    the number of its tokens that are terms; rows without any are no hits.
-
-    Tokens meet the terms before anything is counted, so only those that are
-    terms are shuffled, counted by query and item in each task first.
-    """
-    terms = queries.select("query", F.explode(F.array_distinct("terms")).alias("token"))
-    tokens = rows.select("item", F.explode("tokens").alias("token"))
-    hits = tokens.join(terms, "token").groupBy("query", "item").agg((F.count("*") * F.lit(0.1)).alias("score"))
-    return ranked(hits, "query", "item", "score", limit)
+    """rows: item, tokens, and optionally counts (how often each token is there,
+    else each counts once) and article; queries: query, terms, and optionally
+    excluded and articles. A row's score is a tenth of the number of its tokens
+    that are terms, or 2 where a query names its article; rows without any are
+    no hits. Tokens are counted and multiplied with the terms where they are
+    read; only each task's best leave it."""
+    check_limit(limit)
+    asked, about = _asked(queries, "terms"), _about(rows, "tokens", *(["counts"] if "counts" in rows.columns else []))
+    types = {f.name: f.dataType.simpleString() for f in (*asked.schema, *about.schema)}
+    hits = kernels.best_of(about, asked, "64 * coalesce(size(terms), 0)", kernels.keyword_best(limit), f"query {types['query']}, item {types['item']}, n long")
+    return ranked(hits.select("query", "item", (F.col("n") * F.lit(0.1)).alias("score")), "query", "item", "score", limit)
+
+
+def check_limit(limit: int) -> None:
+    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= 1000:
+        raise ValueError("a limit lies between 1 and 1000")
 
 
 def grams(text: Column, n: int) -> Column:
@@ -94,30 +89,38 @@ def titles_with(titles: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     of its longest literal piece, fewer if it is shorter."""
     pieces = F.array_sort(F.split("term", "_"), lambda a, b: F.length(b) - F.length(a))
     anchored = terms.withColumn("gram", F.substring(pieces[0], 1, 3))
-    met = titles.withColumn("gram", F.explode(F.array_union(F.array(F.lit("")), F.concat(*[grams(F.col("title"), n) for n in (1, 2, 3)])))).join(anchored, "gram")
+    keyed = titles.withColumn("at", F.xxhash64("title"))
+    met = keyed.select("item", "at", F.explode(F.array_union(F.array(F.lit("")), F.concat(*[grams(F.col("title"), n) for n in (1, 2, 3)]))).alias("gram")).join(anchored, "gram").select("item", "at", "term").distinct()
     pattern = F.concat(F.lit("%"), F.col("term"), F.lit("%"))
     holds = F.when(F.instr("term", "_") > 0, F.call_function("like", F.col("title"), pattern)).otherwise(F.contains("title", "term"))
-    found = met.where(holds).select("term", "item").distinct()
+    found = met.join(keyed, ["item", "at"]).where(holds).select("term", "item").distinct()
     first = Window.partitionBy("term").orderBy("item")
     return found.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= limit).drop("__n")
 
 
 def reference_channel(rows: DataFrame, queries: DataFrame, limit: int = 20, most_terms: int = 20) -> DataFrame:
     """rows: item, title, article, and optionally section_title; queries: query,
-    text, articles. An article match scores 2, a title or section title that
+    text, articles, and optionally excluded. An article match scores 2, a title or section title that
     holds one of the first terms (as a pattern, letter case aside) scores 1,
     anything else is no hit.
 
     Terms are looked up once for all queries, and for each the first items are
     enough: of a query's hits without an article those with the smallest items
-    come first, and no more than limit of them."""
+    come first, and no more than limit of them and the query's excluded items."""
+    check_limit(limit)
     named = rows.select("item", plain_article().alias("a")).join(queries.select("query", F.explode("articles").alias("a")), "a").select("query", "item", F.lit(2.0).alias("score"))
     words = F.slice(F.filter(search_terms(F.col("text")), lambda t: F.length(t) >= 2), 1, most_terms)
     asked = queries.select("query", F.explode(F.array_distinct(words)).alias("term"))
     kinds = ["title"] + (["section_title"] if "section_title" in rows.columns else [])
     titles = rows.select("item", F.explode(F.array_distinct(F.array(*[F.lower(c) for c in kinds]))).alias("title")).where("title is not null")
-    titled = titles_with(titles, asked.select("term").distinct(), limit).join(asked, "term").select("query", "item", F.lit(1.0).alias("score"))
-    hits = named.unionByName(titled).groupBy("query", "item").agg(F.max("score").alias("score"))
+    spare = 0
+    if "excluded" in queries.columns:
+        spare = max(0, queries.agg(F.max(F.size("excluded"))).first()[0] or 0)
+    titled = titles_with(titles, asked.select("term").distinct(), limit + spare).join(asked, "term").select("query", "item", F.lit(1.0).alias("score"))
+    hits = named.unionByName(titled)
+    if "excluded" in queries.columns:
+        hits = hits.join(queries.select("query", F.explode("excluded").alias("item")), ["query", "item"], "left_anti")
+    hits = hits.groupBy("query", "item").agg(F.max("score").alias("score"))
     return ranked(hits, "query", "item", "score", limit)
 
 

@@ -132,7 +132,7 @@ UNION ALL SELECT doc * 100000 + idx + 1000, text FROM lines WHERE regexp_matches
     "stale_jobs": "SELECT user_id AS job, event_id FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-31 23:45:00'",
     "failed_mark": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'complete' ELSE 'failed' END AS status, CASE WHEN o_orderstatus <> 'F' THEN 'retries exhausted' END AS failure_reason, count(*) AS n FROM orders GROUP BY 1, 2",
     "review_history": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100",
-    "job_contract": "SELECT o_orderkey, o_orderstatus, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
+    "job_filing": "SELECT o_orderkey, o_orderstatus, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
     "finding_evidence": "SELECT o_orderkey AS l_orderkey, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey), '') AS parts, count(l_partkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
     "review_detail": "SELECT o_orderkey, any_value(c_name) AS c_name, any_value(o_orderstatus) AS o_orderstatus, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag), '') AS findings FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
     "evidence_snapshot": "SELECT f.conv_id AS finding, f.rank::INTEGER AS rank, d.doc_id AS item, d.source FROM (SELECT conv_id, turn * 3 AS item, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations) f JOIN documents d ON d.doc_id = f.item WHERE d.lang = 'en'",

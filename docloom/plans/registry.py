@@ -1,9 +1,9 @@
 """The registered queries and the SQL that they are checked against.
 
 Names of tables stand for the engine's own: documents for knowledge documents
-and contracts, embeddings for chunk and query vectors, benchmark for query
+and filings, embeddings for chunk and query vectors, benchmark for query
 texts, events for checkpoints, orders, customers and line items for jobs,
-contracts and findings, conversations for report details.
+filings and findings, conversations for report details.
 """
 
 from __future__ import annotations
@@ -428,7 +428,7 @@ def failed_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def review_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest job of each contract of known users, the last hundred."""
+    """The latest job of each filing of known users, the last hundred."""
     known = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     o = table(spark, sf_dir, "orders").join(known, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     last = jobs.latest(o, ("o_custkey",), "o_orderdate", "o_orderkey")
@@ -436,7 +436,7 @@ def review_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def job_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+def job_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "o_orderstatus", "c_name")
 

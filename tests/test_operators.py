@@ -62,8 +62,6 @@ def test_channels_take_nulls_and_ties(spark):
     asked = spark.createDataFrame([("q", [1.0, 0.0], ["b"])], "query string, query_vector array<double>, excluded array<string>")
     got = retrieval.vector_channel(rows, asked, 5).orderBy("rank").collect()
     assert [(r.item, r.score) for r in got] == [("a", 1.0)]  # no vector, no article: no hit
-    few = retrieval.with_queries(rows, asked, most_broadcast=0, blocks=3)
-    assert few.count() == 3
 
 
 def test_reference_terms_are_patterns(spark):
