@@ -123,7 +123,12 @@ def is_stated(evidence: Column, value: Column) -> Column:
 
 def deterministic_uuid(*parts: Column) -> Column:
     """A version 8 UUID from the SHA-256 of the parts as a JSON list."""
-    h = F.sha2(F.to_json(F.array(*parts)).cast("binary"), 256)
+    return uuid_of_json(F.to_json(F.array(*parts)))
+
+
+def uuid_of_json(text: Column) -> Column:
+    """A version 8 UUID from the SHA-256 of a text."""
+    h = F.sha2(text.cast("binary"), 256)
     variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3)).bitwiseOR(8)))
     piece = lambda at, n: F.substring(h, at, n)
     return F.concat(piece(1, 8), F.lit("-"), piece(9, 4), F.lit("-8"), piece(14, 3), F.lit("-"), variant, piece(18, 3), F.lit("-"), piece(21, 12))

@@ -6,27 +6,27 @@ _LINES = """lines AS (
   SELECT doc, idx, text, CASE WHEN length(text) < 20 THEN 1 WHEN length(text) < 40 THEN 2 WHEN length(text) < 60 THEN 3 END AS level
   FROM (SELECT doc_id AS doc, unnest(range(len(p))) AS idx, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))"""
 _WORD = "[A-Za-z0-9_]+|[\\x{3400}-\\x{9fff}]+"
-_TERMS = f"regexp_extract_all(lower(text), '{_WORD}')"
+TERMS = f"regexp_extract_all(lower(text), '{_WORD}')"
 _VECTOR = """vector AS (
   SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM (
     SELECT q.vec_id AS query, e.vec_id AS item, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
     FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings e
     WHERE e.vec_id <> q.vec_id AND len(e.embedding) = 64)
   QUALIFY rank <= 20)"""
-_KEYWORD = f"""keyword AS (
+KEYWORD = f"""keyword AS (
   SELECT query, item, n * 0.1::DOUBLE AS score, row_number() OVER (PARTITION BY query ORDER BY n DESC, item) AS rank FROM (
     SELECT query, item, count(*) AS n
-    FROM (SELECT doc_id AS item, unnest({_TERMS}) AS token FROM documents)
-    JOIN (SELECT DISTINCT item_id AS query, unnest(CASE WHEN len(list_filter({_TERMS}, lambda x: length(x) >= 2)) > 0 THEN list_filter({_TERMS}, lambda x: length(x) >= 2) ELSE {_TERMS} END) AS token FROM benchmark) USING (token)
+    FROM (SELECT doc_id AS item, unnest({TERMS}) AS token FROM documents)
+    JOIN (SELECT DISTINCT item_id AS query, unnest(CASE WHEN len(list_filter({TERMS}, lambda x: length(x) >= 2)) > 0 THEN list_filter({TERMS}, lambda x: length(x) >= 2) ELSE {TERMS} END) AS token FROM benchmark) USING (token)
     GROUP BY query, item)
   QUALIFY rank <= 20)"""
 _REFERENCE = f"""reference AS (
   SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM (
     SELECT DISTINCT query, item, 1.0::DOUBLE AS score
     FROM (SELECT doc_id AS item, string_split(text, chr(10))[1] AS title FROM documents)
-    JOIN (SELECT item_id AS query, unnest(list_filter({_TERMS}, lambda x: length(x) >= 2)[1:20]) AS term FROM benchmark) ON lower(title) LIKE '%' || term || '%')
+    JOIN (SELECT item_id AS query, unnest(list_filter({TERMS}, lambda x: length(x) >= 2)[1:20]) AS term FROM benchmark) ON lower(title) LIKE '%' || term || '%')
   QUALIFY rank <= 20)"""
-_FUSED = f"""WITH {_VECTOR}, {_KEYWORD}, {_REFERENCE},
+_FUSED = f"""WITH {_VECTOR}, {KEYWORD}, {_REFERENCE},
 wide AS (
   SELECT query, item, max(CASE WHEN c = 'v' THEN rank END) AS vector_rank, max(CASE WHEN c = 'k' THEN rank END) AS keyword_rank, max(CASE WHEN c = 'r' THEN rank END) AS reference_rank, max(CASE WHEN c = 'v' THEN score END) AS vector_score
   FROM (SELECT 'v' AS c, * FROM vector UNION ALL SELECT 'k', * FROM keyword UNION ALL SELECT 'r', * FROM reference) GROUP BY query, item),
@@ -49,15 +49,15 @@ def _grouped(lead: bool) -> str:
 
 ORACLES: dict[str, str] = {
     "vector_topk": f"WITH {_VECTOR} SELECT query, item, rank::INTEGER AS rank, round(score, 9) AS score FROM vector",
-    "keyword_topk": f"WITH {_KEYWORD} SELECT query, item, rank::INTEGER AS rank, round(score, 6) AS score FROM keyword",
+    "keyword_topk": f"WITH {KEYWORD} SELECT query, item, rank::INTEGER AS rank, round(score, 6) AS score FROM keyword",
     "reference_topk": f"WITH {_REFERENCE} SELECT query, item, rank::INTEGER AS rank, score FROM reference",
     "rrf_fusion": f"{_FUSED} SELECT query, item, rank, round(score, 9) AS score, vector_rank::INTEGER AS vector_rank, keyword_rank::INTEGER AS keyword_rank, reference_rank::INTEGER AS reference_rank FROM fused",
     "similarity_floor": f"{_FUSED} SELECT query, item, rank FROM fused WHERE vector_score IS NULL OR vector_score >= 0.5",
     "rerank": f"""{_FUSED},
-t AS (SELECT item_id AS query, list_distinct(CASE WHEN len(list_filter({_TERMS}, lambda x: length(x) >= 2)) > 0 THEN list_filter({_TERMS}, lambda x: length(x) >= 2) ELSE {_TERMS} END) AS terms FROM benchmark),
-s AS (SELECT f.query, f.item, len(list_intersect(t.terms, list_distinct({_TERMS}))) / greatest(len(t.terms), 1)::DOUBLE AS score FROM fused f JOIN t USING (query) JOIN documents d ON d.doc_id = f.item)
+t AS (SELECT item_id AS query, list_distinct(CASE WHEN len(list_filter({TERMS}, lambda x: length(x) >= 2)) > 0 THEN list_filter({TERMS}, lambda x: length(x) >= 2) ELSE {TERMS} END) AS terms FROM benchmark),
+s AS (SELECT f.query, f.item, len(list_intersect(t.terms, list_distinct({TERMS}))) / greatest(len(t.terms), 1)::DOUBLE AS score FROM fused f JOIN t USING (query) JOIN documents d ON d.doc_id = f.item)
 SELECT query, item, rank::INTEGER AS rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= 5""",
-    "multi_query_merge": f"""WITH {_KEYWORD}, {_REFERENCE},
+    "multi_query_merge": f"""WITH {KEYWORD}, {_REFERENCE},
 h AS (SELECT query AS clause, 0 AS query_no, rank, item FROM keyword UNION ALL SELECT query, 1, rank, item FROM reference),
 o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY clause, item ORDER BY query_no, rank) = 1)
 SELECT clause, item, query_no, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY clause ORDER BY query_no, rank, item) AS place FROM o) WHERE place <= 20""",
@@ -65,7 +65,7 @@ SELECT clause, item, query_no, place::INTEGER AS place FROM (SELECT *, row_numbe
     "valid_asof": f"WITH {_KNOWLEDGE} SELECT doc_id, effective_date, expiry_date FROM k WHERE (effective_date IS NULL OR effective_date <= DATE '2024-06-01') AND (expiry_date IS NULL OR expiry_date >= DATE '2024-06-01')",
     "eligible_candidates": f"""WITH {_KNOWLEDGE},
 eligible AS (SELECT doc_id, text FROM k WHERE length(text) % 11 <> 0 AND (scope = 'public' OR (tenant_id = 'src3' AND scope IN ('firm', 'tenant_private'))) AND (effective_date IS NULL OR effective_date <= DATE '2024-06-01') AND (expiry_date IS NULL OR expiry_date >= DATE '2024-06-01')),
-{_KEYWORD.replace("FROM documents", "FROM eligible")}
+{KEYWORD.replace("FROM documents", "FROM eligible")}
 SELECT query, item, rank::INTEGER AS rank, round(score, 6) AS score FROM keyword""",
     "chunk_locators": f"""WITH {_LINES},
 a AS (SELECT doc, idx, level, CASE WHEN length(text) BETWEEN 60 AND 89 THEN length(text) END AS n FROM lines)
@@ -115,8 +115,8 @@ SELECT p.doc, idx::INTEGER AS idx, chunk::BIGINT AS chunk, greatest(s, chunk * 6
     "chunk_ids": """SELECT doc_id, h[1:8] || '-' || h[9:12] || '-8' || h[14:16] || '-' || ['8', '9', 'a', 'b'][(('0x' || h[17:17])::INTEGER & 3) + 1] || h[18:20] || '-' || h[21:32] AS id
 FROM (SELECT doc_id, sha256('["document","' || source || '","' || sha256(text) || '"]') AS h FROM documents)""",
     "idempotency_key": """SELECT doc_id, source || ':' || sha256(text) || ':' || sha256('{"lang":"' || lang || '"}')[1:8] AS key FROM documents""",
-    "search_terms": f"SELECT doc_id, len(t) AS n_terms, sha256(array_to_string(t, ' ')) AS terms_sha256 FROM (SELECT doc_id, CASE WHEN len(list_filter({_TERMS}, lambda x: length(x) >= 2)) > 0 THEN list_filter({_TERMS}, lambda x: length(x) >= 2) ELSE {_TERMS} END AS t FROM documents)",
-    "tokenize": f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({_TERMS}) AS token FROM documents) GROUP BY token",
+    "search_terms": f"SELECT doc_id, len(t) AS n_terms, sha256(array_to_string(t, ' ')) AS terms_sha256 FROM (SELECT doc_id, CASE WHEN len(list_filter({TERMS}, lambda x: length(x) >= 2)) > 0 THEN list_filter({TERMS}, lambda x: length(x) >= 2) ELSE {TERMS} END AS t FROM documents)",
+    "tokenize": f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({TERMS}) AS token FROM documents) GROUP BY token",
     "article_refs": """SELECT * FROM (VALUES (0, '第十条', '第十条'), (1, '第12条之一,第十条,第五百零二条', NULL), (2, '', NULL), (3, '', NULL), (4, '', NULL), (5, '', NULL), (6, '', NULL), (7, '', NULL), (8, '', NULL), (9, '', NULL), (10, '', NULL), (11, '', NULL), (12, '', NULL), (13, '', NULL), (14, '', NULL), (15, '', NULL), (16, '', NULL)) v(id, refs, article)""",
     "heading_level": "SELECT * FROM (VALUES (0, NULL), (1, NULL), (2, 2), (3, 1), (4, NULL), (5, 2), (6, 3), (7, NULL), (8, NULL), (9, NULL), (10, NULL), (11, NULL), (12, NULL), (13, 2), (14, NULL), (15, NULL), (16, NULL)) v(id, level)",
     "page_number_filter": f"""WITH {_LINES} SELECT id, text FROM (VALUES (8, '- 12 -'), (9, '第 3 页'), (10, '3 / 10'), (11, 'Page 7')) v(id, text)

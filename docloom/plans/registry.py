@@ -8,41 +8,23 @@ filings and findings, conversations for report details.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import evidence, grounding, jobs, quality, retrieval, structure
+from docloom.plans import knowledge
+from docloom.plans.common import QUERIES, Query, lines, new_folder, query, table
 from docloom.plans.oracles import ORACLES
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-
-
-def query(f: Query) -> Query:
-    _QUERIES[f.__name__] = f
-    return f
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as blocks; short ones stand for headings."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
-    n = F.length("text")
-    return docs.withColumn("level", F.when(n < 20, 1).when(n < 40, 2).when(n < 60, 3))
+    return {k: v for k, v in (ORACLES | knowledge.ORACLES).items() if k in QUERIES}
 
 
 # retrieval
@@ -517,9 +499,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folders(spark: SparkSession) -> tuple[str, str]:
-    import uuid
-
-    at = f"{evidence.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = new_folder(spark, "stream")
     return f"{at}/table", f"{at}/checkpoint"
 
 
