@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import evidence, grounding, jobs, quality, retrieval, structure
-from docloom.plans import knowledge
+from docloom.plans import knowledge, reviews
 from docloom.plans.common import QUERIES, Query, lines, new_folder, query, table
 from docloom.plans.oracles import ORACLES
 
@@ -24,7 +24,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (ORACLES | knowledge.ORACLES).items() if k in QUERIES}
+    return {k: v for k, v in (ORACLES | knowledge.ORACLES | reviews.ORACLES).items() if k in QUERIES}
 
 
 # retrieval
