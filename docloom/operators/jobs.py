@@ -52,6 +52,28 @@ def latest(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def history(jobs: DataFrame, filings: DataFrame, users: DataFrame, user: str, limit: int = 100) -> DataFrame:
+    """jobs (job, tenant_id, filing, requested_by, created_at and more) of filings
+    (filing, tenant_id and more), joined by both keys, that the user (users: id,
+    tenant_id, name) or nobody known asked for; the last of each filing, the
+    newest `limit` of these. Who asked is looked up by a semi-join of the rows
+    that name somebody, and the rest are added."""
+    theirs = users.where(F.col("name") == user).select(F.col("id").alias("requested_by"), "tenant_id")
+    asked = jobs.where("requested_by is not null").join(theirs, ["requested_by", "tenant_id"], "left_semi").unionByName(jobs.where("requested_by is null"))
+    last = latest(asked.join(filings, ["filing", "tenant_id"]), ("filing", "tenant_id"), "created_at", "job")
+    return last.orderBy(F.desc("created_at"), F.desc("job")).limit(limit)
+
+
+def findings_in_order(findings: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Passed findings (job, clause_id, status, created_at and more) of clauses
+    that have a checkpoint (job, clause_id), with their place in the job: by
+    time, then by the number in the clause's id, then by the id."""
+    known = checkpoints.select("job", "clause_id").distinct()
+    number, name = clause_order()
+    order = Window.partitionBy("job").orderBy("created_at", number, name)
+    return findings.where(F.col("status") == "passed").join(known, ["job", "clause_id"]).withColumn("place", F.row_number().over(order))
+
+
 def nested(parents: DataFrame, children: DataFrame, on: list[str], order: str, *carried: str, name: str = "items") -> DataFrame:
     """Parents with their children's columns as an array in order. A parent
     without children has an empty one."""

@@ -33,3 +33,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def knowledge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a scope, a tenant and a period."""
+    docs = table(spark, sf_dir, "documents")
+    scope = F.when(F.col("lang") == "en", "public").when(F.col("lang") == "fr", "firm").otherwise("tenant_private")
+    start = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("n_chars"), F.lit(300)).cast("int"))
+    return docs.select("doc_id", "text", scope.alias("scope"), F.when(scope != "public", F.col("source")).alias("tenant_id"), F.when(F.col("n_chars") % 7 != 0, start).alias("effective_date"), F.when(F.col("n_chars") % 5 != 0, F.date_add(start, 90)).alias("expiry_date"))

@@ -1,4 +1,4 @@
-"""Queries over stored knowledge: the keyword index and chunk plans."""
+"""Queries over stored knowledge: the keyword index, chunk plans, tenants' views and rejects."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import chunks, structure
+from docloom.operators import chunks, rejects, retrieval, structure
 from docloom.operators.postings import KeywordIndex, search_tokens
-from docloom.plans.common import lines, new_folder, query, table
-from docloom.plans.oracles import KEYWORD, TERMS
+from docloom.operators.tenants import Actor, TenantScope
+from docloom.plans.common import knowledge_table, lines, new_folder, query, table
+from docloom.plans.oracles import KEYWORD, KNOWLEDGE, TERMS
 
 ORACLES: dict[str, str] = {}
 
@@ -127,3 +128,157 @@ ORACLES["chunk_plan"] = f'''WITH RECURSIVE {_PLAN} SELECT doc::VARCHAR AS doc, o
 ORACLES["chunk_plan_rejects"] = f"WITH RECURSIVE {_PLAN} SELECT doc::VARCHAR AS doc, idx::INTEGER AS idx, 'article header without a body' AS reason FROM blocks WHERE headless"
 ORACLES["chunk_plan_locators"] = f"WITH RECURSIVE {_PLAN} SELECT doc::VARCHAR AS doc, ordinal::INTEGER AS ordinal, article, page_start::BIGINT AS page_start, page_end::BIGINT AS page_end, paragraph_index::INTEGER AS paragraph_index FROM planned"
 ORACLES["chunk_plan_reconstructed"] = f"WITH RECURSIVE {_PLAN} SELECT doc::VARCHAR AS doc, sha256(string_agg(text, '' ORDER BY idx)) AS text_sha256 FROM fine GROUP BY doc"
+
+
+# three channels for tenants
+
+TENANTS = ("src3", "src5")
+
+
+def _scoped(spark: SparkSession, sf_dir: str, channel: str) -> DataFrame:
+    """A channel's hits among what each of two tenants may see, of documents that
+    are active and valid on a day, without the items that each query excludes."""
+    docs = knowledge_table(spark, sf_dir)
+    status = F.when(F.length("text") % 11 == 0, "pending").otherwise("active")
+    docs = docs.select(F.col("doc_id").alias("item"), F.col("doc_id").alias("doc"), "text", status.alias("status"), "scope", "tenant_id", "effective_date", "expiry_date")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text", T.search_terms(F.col("text")).alias("terms"), F.array().cast("array<string>").alias("articles"), F.sequence("item_id", F.col("item_id") + 30).alias("excluded"))
+    own = vectors.where(F.size("vector") == 64).select(F.col("item").alias("query"), F.col("vector").alias("query_vector"))
+    parts = []
+    for tenant in TENANTS:
+        seen = TenantScope(Actor("u", tenant, "customer")).knowledge(docs)
+        rows = retrieval.valid_on(seen.where("status = 'active'"), F.lit("2024-06-01").cast("date"))
+        if channel == "keyword":
+            hits = retrieval.keyword_channel(rows.select("item", T.word_tokens(F.col("text")).alias("tokens"), T.article_number(F.col("text")).alias("article")), asked)
+        elif channel == "vector":
+            hits = retrieval.vector_channel(rows.join(vectors, "item", "left").select("item", "vector", T.article_number(F.col("text")).alias("article")), asked.join(own, "query"), dimension=64)
+        else:
+            hits = retrieval.reference_channel(rows.select("item", F.split("text", "\n")[0].alias("title"), T.article_number(F.col("text")).alias("article")), asked)
+        parts.append(hits.select(F.lit(tenant).alias("tenant"), "query", "item", "rank", F.round("score", 6).alias("score")))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def scoped_keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scoped(spark, sf_dir, "keyword")
+
+
+@query
+def scoped_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scoped(spark, sf_dir, "vector")
+
+
+@query
+def scoped_reference_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scoped(spark, sf_dir, "reference")
+
+
+_ELIGIBLE = f"""{KNOWLEDGE},
+tenants AS (SELECT unnest(['{TENANTS[0]}', '{TENANTS[1]}']) AS tenant),
+el AS (SELECT tenant, doc_id AS item, text FROM k JOIN tenants ON scope = 'public' OR (tenant_id = tenant AND scope IN ('firm', 'tenant_private'))
+  WHERE length(text) % 11 <> 0 AND (effective_date IS NULL OR effective_date <= DATE '2024-06-01') AND (expiry_date IS NULL OR expiry_date >= DATE '2024-06-01')),
+asked AS (SELECT item_id AS query, {TERMS} AS w FROM benchmark)"""
+_BEST = "SELECT tenant, query, item, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY tenant, query ORDER BY score DESC, item) AS rank FROM hits WHERE NOT item BETWEEN query AND query + 30) WHERE rank <= 20"
+ORACLES["scoped_keyword_topk"] = f"""WITH {_ELIGIBLE},
+hits AS (SELECT tenant, query, item, count(*) * 0.1::DOUBLE AS score FROM (SELECT tenant, item, unnest({TERMS}) AS token FROM el)
+  JOIN (SELECT DISTINCT query, unnest(CASE WHEN len(list_filter(w, lambda x: length(x) >= 2)) > 0 THEN list_filter(w, lambda x: length(x) >= 2) ELSE w END) AS token FROM asked) USING (token) GROUP BY ALL) {_BEST}"""
+ORACLES["scoped_vector_topk"] = f"""WITH {_ELIGIBLE},
+hits AS (SELECT tenant, query, item, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM asked JOIN embeddings q ON q.vec_id = query CROSS JOIN el JOIN embeddings e ON e.vec_id = item) {_BEST}"""
+ORACLES["scoped_reference_topk"] = f"""WITH {_ELIGIBLE},
+hits AS (SELECT DISTINCT tenant, query, item, 1.0::DOUBLE AS score FROM (SELECT tenant, item, lower(string_split(text, chr(10))[1]) AS title FROM el)
+  JOIN (SELECT query, unnest(list_filter(w, lambda x: length(x) >= 2)[1:20]) AS term FROM asked) ON title LIKE '%' || term || '%') {_BEST}"""
+
+
+@query
+def scoped_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an administrator lists for another tenant: the firm's documents, and
+    those of any scope that are archived."""
+    status = F.element_at(F.array(*[F.lit(s) for s in ("pending", "active", "inactive", "archived", "deleted")]), (F.length("text") % 5 + 1).cast("int"))
+    docs = knowledge_table(spark, sf_dir).withColumn("status", status)
+    scope = TenantScope(Actor("root", "src1", "admin", frozenset(["src3"])), "src3")
+    return scope.listed(docs, scope="firm").unionByName(scope.listed(docs, status="archived")).select("doc_id", "scope", "tenant_id", "status")
+
+
+ORACLES["scoped_listing"] = f"""WITH {KNOWLEDGE}, s AS (SELECT *, ['pending', 'active', 'inactive', 'archived', 'deleted'][length(text) % 5 + 1] AS status FROM k WHERE scope = 'public' OR tenant_id = 'src3')
+SELECT doc_id, scope, tenant_id, status FROM s WHERE scope = 'firm' AND status <> 'deleted' UNION ALL SELECT doc_id, scope, tenant_id, status FROM s WHERE status = 'archived'"""
+
+
+@query
+def append_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why chunks may not be appended for a tenant by an administrator who may write public ones."""
+    docs = knowledge_table(spark, sf_dir).withColumn("source_type", F.when(F.col("scope") == "public", F.when(F.col("doc_id") % 4 > 0, "law").otherwise("firm_rule")).otherwise("tenant_private"))
+    rows = docs.select(F.col("doc_id").alias("chunk"), F.when(F.col("doc_id") % 10 == 0, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id") - F.col("doc_id") % 2).alias("doc"), "scope", "tenant_id")
+    scope = TenantScope(Actor("root", "src3", "admin"), public_writes=True)
+    _, bad = scope.appendable_chunks(rows, docs.select(F.col("doc_id").alias("doc"), "scope", "tenant_id", "source_type"))
+    return bad.select("chunk", F.array_join("problems", "; ").alias("problems"))
+
+
+ORACLES["append_refusals"] = f"""WITH {KNOWLEDGE},
+c AS (SELECT doc_id AS chunk, CASE WHEN doc_id % 10 = 0 THEN doc_id + 1000000000 ELSE doc_id - doc_id % 2 END AS doc, scope, tenant_id FROM k),
+x AS (SELECT c.*, d.scope AS s, d.tenant_id AS t, d.doc_id IS NOT NULL AS known, d.scope = 'public' AND d.doc_id % 4 > 0 AS law FROM c LEFT JOIN k d ON d.doc_id = c.doc)
+SELECT chunk, concat_ws('; ', CASE WHEN scope <> 'public' AND coalesce(tenant_id, '') <> 'src3' THEN 'another tenant''s row' END, CASE WHEN NOT known THEN 'unknown document' END,
+  CASE WHEN scope = 'public' AND known AND NOT coalesce(law, false) THEN 'public chunks belong to public law' END, CASE WHEN known AND (scope IS DISTINCT FROM s OR tenant_id IS DISTINCT FROM t) THEN 'scope or tenant unlike the document''s' END) AS problems FROM x WHERE problems <> ''"""
+
+
+# rejects
+
+
+@query
+def source_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as sources, with what is wrong with each."""
+    p, n = table(spark, sf_dir, "pages"), F.col("page_id")
+    url = F.when(n % 13 == 0, "ftp://a.b/c").when(n % 17 == 0, F.concat(F.lit("https://u:p@a.b/"), n.cast("string"))).when(n % 19 == 0, F.concat("url", F.lit("#part"))).when(n % 23 == 0, "").otherwise(F.col("url"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(n, F.lit(50)).cast("int"))
+    rows = p.select("page_id", F.when(n % 29 == 0, " ").otherwise("t").alias("title"), F.when(n % 2 == 0, "law").when(n % 31 == 0, "other").otherwise("firm_rule").alias("source_type"), F.when(n % 7 > 0, "authority").alias("issuing_authority"), F.when(n % 5 > 0, "v1").alias("version"), url.alias("source_url"), F.when(n % 3 > 0, day).alias("effective_date"), F.date_add(day, (n % 11 - 2).cast("int")).alias("expiry_date"), (n % 6).alias("page_start"), (n % 4 + 1).alias("page_end"), (n % 9 - 1).alias("paragraph_index"), F.when(n % 8 > 0, F.upper(F.sha2("html", 256))).otherwise("abc").alias("source_sha256"), F.lit("").alias("chunk_sha256"))
+    return rejects.split(rows, rejects.source_rules())[1].select("page_id", F.array_join("problems", "; ").alias("problems"))
+
+
+ORACLES["source_rejects"] = """
+WITH s AS (SELECT page_id, n % 29 = 0 AS untitled, CASE WHEN n % 2 = 0 THEN 'law' WHEN n % 31 = 0 THEN 'other' ELSE 'firm_rule' END AS y, n % 7 > 0 AS a, n % 5 > 0 AS v, n % 8 > 0 AS h, n % 3 > 0 AS e, n % 6 AS p1, n % 4 + 1 AS p2, n % 9 - 1 AS q, n % 11 - 2 AS later,
+  CASE WHEN n % 13 = 0 THEN 'ftp' WHEN n % 17 = 0 THEN 'user' WHEN n % 19 = 0 THEN 'part' WHEN n % 23 = 0 THEN '' WHEN regexp_matches(url, '#.') THEN 'part' ELSE 'fine' END AS u FROM (SELECT *, page_id AS n FROM pages))
+SELECT page_id, concat_ws('; ', CASE WHEN untitled THEN 'no title' END, CASE WHEN y = 'other' THEN 'unknown source type' END, CASE WHEN q < 0 THEN 'paragraph below 0' END, CASE WHEN p1 < 1 THEN 'page below 1' END, CASE WHEN NOT h THEN 'no SHA-256' END,
+  CASE WHEN p2 < p1 THEN 'last page before the first' END, CASE WHEN e AND later < 0 THEN 'expiry before effect' END, CASE WHEN u = 'ftp' THEN 'not an http address' END, CASE WHEN u = 'user' THEN 'address with credentials' END, CASE WHEN u = 'part' THEN 'address with a fragment' END,
+  CASE WHEN y = 'law' AND NOT a THEN 'law without authority' END, CASE WHEN y = 'law' AND u IN ('ftp', '') THEN 'law without address' END, CASE WHEN y = 'law' AND NOT v AND NOT e THEN 'law without version or date' END) AS problems FROM s WHERE problems <> ''"""
+
+
+@query
+def box_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes from orders, with what is wrong with each; fine ones by their four names."""
+    n = F.col("o_orderkey")
+    v = lambda k: (n % k).cast("double")
+    box = F.struct(F.when(n % 41 > 0, v(7)).alias("x0"), F.when(n % 43 > 0, v(11) + 1).alias("x1"), F.when(n % 2 == 0, v(13) - F.when(n % 47 == 0, 20).otherwise(0)).alias("top"), F.when((n % 2 == 1) | (n % 53 == 0), F.when(n % 59 == 0, float("inf")).otherwise(v(13))).alias("y0"), F.when(n % 3 > 0, v(17) + 3).alias("bottom"), F.when(n % 3 == 0, v(17) + 3).when(n % 61 == 0, v(17)).alias("y1"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", box.alias("box"))
+    judged = rejects.judged(rows, rejects.box_rules(F.col("box"))).withColumn("c", rejects.canonical_box(F.col("box")))
+    fine = F.size("problems") == 0
+    return judged.select("o_orderkey", F.array_join("problems", "; ").alias("problems"), *[F.when(fine, F.col(f"c.{p}")).alias(p) for p in rejects.BOX])
+
+
+ORACLES["box_rejects"] = """
+WITH b AS (SELECT n, CASE WHEN n % 41 > 0 THEN (n % 7)::DOUBLE END AS x0, CASE WHEN n % 43 > 0 THEN (n % 11 + 1)::DOUBLE END AS x1, CASE WHEN n % 2 = 0 THEN (n % 13 - CASE WHEN n % 47 = 0 THEN 20 ELSE 0 END)::DOUBLE END AS t,
+  CASE WHEN n % 2 = 1 OR n % 53 = 0 THEN CASE WHEN n % 59 = 0 THEN 'inf'::DOUBLE ELSE (n % 13)::DOUBLE END END AS y0, CASE WHEN n % 3 > 0 THEN (n % 17 + 3)::DOUBLE END AS d, CASE WHEN n % 3 = 0 THEN (n % 17 + 3)::DOUBLE WHEN n % 61 = 0 THEN (n % 17)::DOUBLE END AS y1 FROM (SELECT o_orderkey AS n FROM orders)),
+c AS (SELECT *, coalesce(t, y0) AS ct, coalesce(d, y1) AS cd, x0 IS NOT NULL AND x1 IS NOT NULL AND coalesce(t, y0) IS NOT NULL AND coalesce(d, y1) IS NOT NULL AS whole FROM b),
+u AS (SELECT *, whole AND isfinite(ct) AS usable FROM c),
+p AS (SELECT *, concat_ws('; ', CASE WHEN x0 IS NULL OR x1 IS NULL THEN 'no x0 or x1' END, CASE WHEN t <> y0 THEN 'top and y0 differ' END, CASE WHEN d <> y1 THEN 'bottom and y1 differ' END, CASE WHEN ct IS NULL THEN 'no top' END, CASE WHEN cd IS NULL THEN 'no bottom' END,
+  CASE WHEN whole AND NOT isfinite(ct) THEN 'not finite' END, CASE WHEN usable AND ct < 0 THEN 'negative' END, CASE WHEN usable AND x1 < x0 THEN 'x1 before x0' END, CASE WHEN usable AND cd < ct THEN 'bottom before top' END) AS problems FROM u)
+SELECT n AS o_orderkey, problems, CASE WHEN problems = '' THEN x0 END AS x0, CASE WHEN problems = '' THEN ct END AS top, CASE WHEN problems = '' THEN x1 END AS x1, CASE WHEN problems = '' THEN cd END AS bottom FROM p"""
+
+
+@query
+def chunk_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks beside their documents and parents: how many break each rule."""
+    docs = knowledge_table(spark, sf_dir)
+    n = F.col("doc_id")
+    rows = docs.select(n.alias("id"), F.when(n % 37 == 0, -n - 1).otherwise(n).alias("document_id"), F.when(n % 5 > 0, n - n % 5).alias("parent_id"), F.when(n % 31 == 0, "firm").otherwise(F.col("scope")).alias("scope"), "tenant_id", (n % 29 - 1).alias("ordinal"), F.lit(2).alias("page_start"), (n % 23 + 1).alias("page_end"), F.col("text").alias("content"), F.when(n % 19 > 0, F.sha2("text", 256)).alias("content_sha256"))
+    met = rejects.with_facts(rows, docs.select("doc_id", "scope", "tenant_id"), {"document_id": "doc_id"}, "document")
+    met = rejects.with_facts(met, rows.select("id", "document_id").where("id % 25 > 0"), {"parent_id": "id"}, "parent")
+    bad = rejects.judged(met, rejects.chunk_rules()).select(F.explode("problems").alias("problem"))
+    return bad.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+ORACLES["chunk_rejects"] = f"""WITH {KNOWLEDGE},
+c AS (SELECT doc_id AS id, CASE WHEN doc_id % 37 = 0 THEN -doc_id - 1 ELSE doc_id END AS document_id, CASE WHEN doc_id % 5 > 0 THEN doc_id - doc_id % 5 END AS parent_id, CASE WHEN doc_id % 31 = 0 THEN 'firm' ELSE scope END AS scope, tenant_id, doc_id AS n FROM k),
+x AS (SELECT c.*, d.doc_id IS NOT NULL AS known, d.scope AS ds, d.tenant_id AS dt, p.id IS NOT NULL AS has, p.document_id AS pd FROM c LEFT JOIN k d ON d.doc_id = c.document_id LEFT JOIN c p ON p.id = c.parent_id AND p.id % 25 > 0),
+b AS (SELECT unnest([CASE WHEN (scope = 'public') <> (tenant_id IS NULL) THEN 'public if and only if without tenant' END, CASE WHEN n % 29 = 0 THEN 'ordinal below 0' END, CASE WHEN n % 23 + 1 < 2 THEN 'last page before the first' END, CASE WHEN NOT known THEN 'no document' END,
+  CASE WHEN known AND scope IS DISTINCT FROM ds THEN 'scope unlike the document''s' END, CASE WHEN known AND tenant_id IS DISTINCT FROM dt THEN 'tenant unlike the document''s' END, CASE WHEN parent_id IS NOT NULL AND NOT has THEN 'no parent' END, CASE WHEN has AND document_id IS DISTINCT FROM pd THEN 'parent of another document' END,
+  CASE WHEN n % 19 = 0 THEN 'hash unlike the text' END]) AS problem FROM x)
+SELECT problem, count(*) AS n FROM b WHERE problem IS NOT NULL GROUP BY problem"""

@@ -34,7 +34,7 @@ fused AS (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item)::INTEGER AS rank FROM (
     SELECT *, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) + coalesce(1.0::DOUBLE / (60 + reference_rank), 0) AS score FROM wide)
   QUALIFY rank <= 60)"""
-_KNOWLEDGE = """k AS (
+KNOWLEDGE = """k AS (
   SELECT doc_id, scope, CASE WHEN scope <> 'public' THEN source END AS tenant_id, CASE WHEN n_chars % 7 <> 0 THEN s END AS effective_date, CASE WHEN n_chars % 5 <> 0 THEN s + 90 END AS expiry_date, text
   FROM (SELECT *, CASE lang WHEN 'en' THEN 'public' WHEN 'fr' THEN 'firm' ELSE 'tenant_private' END AS scope, DATE '2024-01-01' + (n_chars % 300)::INTEGER AS s FROM documents))"""
 _CHECKPOINTS = """c AS (
@@ -61,9 +61,9 @@ SELECT query, item, rank::INTEGER AS rank, round(score, 9) AS score FROM (SELECT
 h AS (SELECT query AS clause, 0 AS query_no, rank, item FROM keyword UNION ALL SELECT query, 1, rank, item FROM reference),
 o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY clause, item ORDER BY query_no, rank) = 1)
 SELECT clause, item, query_no, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY clause ORDER BY query_no, rank, item) AS place FROM o) WHERE place <= 20""",
-    "visible_chunks": f"WITH {_KNOWLEDGE} SELECT doc_id, scope, tenant_id FROM k WHERE scope = 'public' OR (tenant_id = 'src3' AND scope IN ('firm', 'tenant_private'))",
-    "valid_asof": f"WITH {_KNOWLEDGE} SELECT doc_id, effective_date, expiry_date FROM k WHERE (effective_date IS NULL OR effective_date <= DATE '2024-06-01') AND (expiry_date IS NULL OR expiry_date >= DATE '2024-06-01')",
-    "eligible_candidates": f"""WITH {_KNOWLEDGE},
+    "visible_chunks": f"WITH {KNOWLEDGE} SELECT doc_id, scope, tenant_id FROM k WHERE scope = 'public' OR (tenant_id = 'src3' AND scope IN ('firm', 'tenant_private'))",
+    "valid_asof": f"WITH {KNOWLEDGE} SELECT doc_id, effective_date, expiry_date FROM k WHERE (effective_date IS NULL OR effective_date <= DATE '2024-06-01') AND (expiry_date IS NULL OR expiry_date >= DATE '2024-06-01')",
+    "eligible_candidates": f"""WITH {KNOWLEDGE},
 eligible AS (SELECT doc_id, text FROM k WHERE length(text) % 11 <> 0 AND (scope = 'public' OR (tenant_id = 'src3' AND scope IN ('firm', 'tenant_private'))) AND (effective_date IS NULL OR effective_date <= DATE '2024-06-01') AND (expiry_date IS NULL OR expiry_date >= DATE '2024-06-01')),
 {KEYWORD.replace("FROM documents", "FROM eligible")}
 SELECT query, item, rank::INTEGER AS rank, round(score, 6) AS score FROM keyword""",
@@ -78,7 +78,7 @@ FROM customer LEFT JOIN f ON job = c_custkey""",
     "doc_dedupe": "SELECT sha256(text) AS sha256, doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
     "doc_conflicts": "WITH f AS (SELECT text, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1) SELECT d.doc_id, sha256(d.text) AS sha256 FROM documents d JOIN f ON f.text = d.text WHERE f.source IS DISTINCT FROM d.source OR f.lang IS DISTINCT FROM d.lang",
     "doc_append": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents WHERE lang <> 'en' AND text NOT IN (SELECT text FROM documents WHERE lang = 'en') GROUP BY text",
-    "object_keys": f"WITH {_KNOWLEDGE} SELECT doc_id, CASE WHEN scope = 'public' THEN 'public/law/' || sha256(text) ELSE 'tenants/' || tenant_id || '/' || scope || '/' || sha256(text) END AS key, true AS allowed FROM k",
+    "object_keys": f"WITH {KNOWLEDGE} SELECT doc_id, CASE WHEN scope = 'public' THEN 'public/law/' || sha256(text) ELSE 'tenants/' || tenant_id || '/' || scope || '/' || sha256(text) END AS key, true AS allowed FROM k",
     "section_path": f"""WITH {_LINES},
 h AS (SELECT *, {", ".join(f"last_value(CASE WHEN level = {n} THEN idx END IGNORE NULLS) {_RUN} AS i{n}, last_value(CASE WHEN level = {n} THEN text END IGNORE NULLS) {_RUN} AS t{n}" for n in (1, 2, 3))} FROM lines)
 SELECT doc, idx::INTEGER AS idx, sha256(concat_ws(' > ', t1, CASE WHEN coalesce(i1, -1) < i2 THEN t2 END, CASE WHEN coalesce(i1, -1) < i3 AND coalesce(i2, -1) < i3 THEN t3 END)) AS path_sha256 FROM h""",
@@ -139,7 +139,7 @@ UNION ALL SELECT doc * 100000 + idx + 1000, text FROM lines WHERE regexp_matches
     "clause_order": "SELECT conv_id, string_agg('clause-' || turn, ',' ORDER BY turn) AS clauses FROM conversations GROUP BY conv_id",
     "report_lines": "SELECT conv_id, n::INTEGER AS line, (n // 46 + 1)::BIGINT AS page, sha256('《' || role || '》' || text) AS text_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)",
     "redact_payload": "SELECT event_id, array_to_string(list_sort(list_transform(json_keys(props), lambda k: k || '=' || CASE WHEN lower(k) IN ('api_key', 'authorization', 'password', 'token', 'k') THEN '[REDACTED]' ELSE json_extract_string(props, '$.\"' || k || '\"') END)), ',') AS payload FROM events",
-    "constraint_violations": f"""WITH {_KNOWLEDGE}
+    "constraint_violations": f"""WITH {KNOWLEDGE}
 SELECT 'public documents have no tenant' AS rule, count(*) FILTER ((scope = 'public') <> (tenant_id IS NULL)) AS n FROM k
 UNION ALL SELECT 'expiry is not before effect', count(*) FILTER (expiry_date < effective_date) FROM k
 UNION ALL SELECT 'a document''s content is there once', count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import evidence, grounding, jobs, quality, retrieval, structure
 from docloom.plans import knowledge, reviews
-from docloom.plans.common import QUERIES, Query, lines, new_folder, query, table
+from docloom.plans.common import QUERIES, Query, knowledge_table, lines, new_folder, query, table
 from docloom.plans.oracles import ORACLES
 
 
@@ -127,28 +127,21 @@ def evidence_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # tenants, validity, documents
 
 
-def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scope = F.when(F.col("lang") == "en", "public").when(F.col("lang") == "fr", "firm").otherwise("tenant_private")
-    start = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("n_chars"), F.lit(300)).cast("int"))
-    return docs.select("doc_id", "text", scope.alias("scope"), F.when(scope != "public", F.col("source")).alias("tenant_id"), F.when(F.col("n_chars") % 7 != 0, start).alias("effective_date"), F.when(F.col("n_chars") % 5 != 0, F.date_add(start, 90)).alias("expiry_date"))
-
-
 @query
 def visible_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.visible(_knowledge(spark, sf_dir), "src3").select("doc_id", "scope", "tenant_id")
+    return retrieval.visible(knowledge_table(spark, sf_dir), "src3").select("doc_id", "scope", "tenant_id")
 
 
 @query
 def valid_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.valid_on(_knowledge(spark, sf_dir), F.lit("2024-06-01").cast("date")).select("doc_id", "effective_date", "expiry_date")
+    return retrieval.valid_on(knowledge_table(spark, sf_dir), F.lit("2024-06-01").cast("date")).select("doc_id", "effective_date", "expiry_date")
 
 
 @query
 def eligible_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits among the documents that a tenant may see, that are active and valid on a day."""
     state = F.when(F.col("n") % 11 == 0, "pending").otherwise("active")
-    known = _knowledge(spark, sf_dir).withColumn("n", F.length("text")).select(F.col("doc_id").alias("doc"), state.alias("status"), "scope", "tenant_id", "effective_date", "expiry_date")
+    known = knowledge_table(spark, sf_dir).withColumn("n", F.length("text")).select(F.col("doc_id").alias("doc"), state.alias("status"), "scope", "tenant_id", "effective_date", "expiry_date")
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("doc_id").alias("doc"), T.word_tokens(F.col("text")).alias("tokens"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), T.search_terms(F.col("text")).alias("terms"))
     hits = retrieval.keyword_channel(retrieval.eligible(rows, known, "src3", F.lit("2024-06-01").cast("date")), asked)
@@ -178,7 +171,7 @@ def doc_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.sources.documents import key_allowed, object_key
 
-    rows = _knowledge(spark, sf_dir).select("doc_id", object_key(F.col("tenant_id"), F.col("scope"), F.sha2("text", 256)).alias("key"))
+    rows = knowledge_table(spark, sf_dir).select("doc_id", object_key(F.col("tenant_id"), F.col("scope"), F.sha2("text", 256)).alias("key"))
     return rows.withColumn("allowed", key_allowed(F.col("key")))
 
 
@@ -476,7 +469,7 @@ def redact_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _knowledge(spark, sf_dir)
+    k = knowledge_table(spark, sf_dir)
     t = lambda n: table(spark, sf_dir, n)
     rules = {
         "public documents have no tenant": (k, (F.col("scope") == "public") != F.col("tenant_id").isNull()),

@@ -1,10 +1,13 @@
-"""Queries over review jobs: clause states as a stream."""
+"""Queries over jobs: clause states as a stream, transitions, tenants' history and details."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators import jobs
+from docloom.operators.tenants import Actor, TenantScope
+from docloom.operators.transitions import JobLog
 from docloom.plans.common import new_folder, query, table
 from docloom.streaming import checkpoints, clauses
 
@@ -50,3 +53,116 @@ def stream_first_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["stream_first_kept"] = "SELECT user_id, hour(ts)::INTEGER AS hour, max(event_id) AS event_id, arg_max(event_type, event_id) AS status, arg_min(event_type, event_id) AS opened FROM events GROUP BY ALL"
+
+
+# jobs as a log
+
+
+def _job_log(spark: SparkSession, sf_dir: str) -> tuple[JobLog, dict[str, DataFrame]]:
+    """Requests from orders: a customer's order of a status asks for a job on the
+    customer's papers; then jobs run, fail, end, are tried again and run anew.
+    Each transition is given twice."""
+    log = JobLog(spark, new_folder(spark, "job-log"), compact_every=3)
+    o = table(spark, sf_dir, "orders")
+    asked = o.select(F.col("o_orderstatus").alias("tenant_id"), F.concat("o_custkey", F.lit("-"), F.col("o_orderkey") % 3).alias("filing"), F.sha2(F.concat("o_custkey", F.lit("-"), F.col("o_orderkey") % 3), 256).alias("sha256"), F.lit('{"version": 1}').alias("config")).distinct()
+    log.create(asked, "create")
+    answers = {"create": log.create(asked, "create")}
+    digits = lambda c: F.conv(F.substring(F.sha2(c, 256), 1, 2), 16, 10).cast("int")
+    n = digits("filing") % 10
+    now = log.jobs()
+    moved = now.select("job", F.when(n < 4, "failed").when(n < 6, "running").when(n < 8, "complete").otherwise("queued").alias("status"), F.lit(5).cast("long").alias("total_clauses"), F.when(n == 0, 2).when(n == 9, 7).otherwise(0).cast("long").alias("completed_clauses"), F.when(n < 4, "lost").alias("failure_reason"))
+    answers["update"] = log.update(moved, "move")
+    late = now.select("job", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("total_clauses"), F.lit(None).cast("long").alias("completed_clauses"), F.lit("too late").alias("failure_reason")).where(digits("job") % 2 == 0)
+    answers["late"] = log.update(late, "late")
+    answers["retry"] = log.retry(now.select("job", "tenant_id").unionByName(spark.createDataFrame([("none", "F")], "job string, tenant_id string")), "retry")
+    answers["rerun"] = log.rerun(now.select("job", "tenant_id", F.lit("n1").alias("nonce")), "rerun")
+    log.rerun(now.select("job", "tenant_id", F.lit("other").alias("nonce")), "rerun")
+    return log, answers
+
+
+@query
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job's state after all transitions."""
+    return _job_log(spark, sf_dir)[0].jobs().select("tenant_id", "filing", "idempotency_key", "status", "total_clauses", "completed_clauses", "failure_reason")
+
+
+@query
+def job_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many requests each transition refused, and why."""
+    _, answers = _job_log(spark, sf_dir)
+    parts = [answers[k].select(F.lit(k).alias("transition"), "refused") for k in ("update", "late", "retry", "rerun")]
+    parts.append(answers["create"].select(F.lit("create").alias("transition"), F.when(~F.col("created"), "exists").alias("refused")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("transition", "refused").agg(F.count("*").alias("n"))
+
+
+def _digits(x: str) -> str:
+    """The first two digits of a text's hash as a number."""
+    return f"('0x' || sha256({x})[1:2])::INTEGER"
+
+
+_JOBS = f"""
+f AS (SELECT DISTINCT o_orderstatus AS tenant_id, o_custkey || '-' || (o_orderkey % 3) AS filing FROM orders),
+j AS (SELECT tenant_id, filing, tenant_id || ':' || sha256(filing) || ':' || sha256('{{"version": 1}}')[1:8] AS key, {_digits("filing")} % 10 AS n FROM f),
+id AS (SELECT *, h[1:8] || '-' || h[9:12] || '-8' || h[14:16] || '-' || CASE WHEN h[17] IN ('0', '4', '8', 'c') THEN '8' WHEN h[17] IN ('1', '5', '9', 'd') THEN '9' WHEN h[17] IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || h[18:20] || '-' || h[21:32] AS job
+  FROM (SELECT *, sha256('["job","' || tenant_id || '","' || key || '"]') AS h FROM j)),
+moved AS (SELECT *, CASE WHEN n = 9 THEN 'queued' WHEN n < 4 THEN 'failed' WHEN n < 6 THEN 'running' WHEN n < 8 THEN 'complete' ELSE 'queued' END AS s1, {_digits("job")} % 2 = 0 AS late FROM id),
+fell AS (SELECT *, CASE WHEN late AND s1 IN ('running', 'queued') THEN 'failed' ELSE s1 END AS s2 FROM moved),
+tried AS (SELECT *, s2 = 'failed' AND n <> 0 AS again, CASE WHEN s2 = 'failed' AND n <> 0 THEN 'queued' ELSE s2 END AS s3 FROM fell),
+anew AS (SELECT *, s3 NOT IN ('queued', 'running') AS fresh FROM tried)"""
+ORACLES["job_transitions"] = f"""WITH {_JOBS}
+SELECT tenant_id, filing, key AS idempotency_key, s3 AS status, CASE WHEN again OR n = 9 THEN 0 ELSE 5 END::BIGINT AS total_clauses, CASE WHEN n = 0 THEN 2 ELSE 0 END::BIGINT AS completed_clauses, CASE WHEN s3 = 'failed' THEN 'lost' END AS failure_reason FROM anew
+UNION ALL SELECT tenant_id, filing, tenant_id || ':' || filing || ':rerun:n1', 'queued', 0, 0, NULL FROM anew WHERE fresh"""
+ORACLES["job_refusals"] = f"""WITH {_JOBS},
+r AS (SELECT 'create' AS transition, NULL AS refused FROM anew UNION ALL SELECT 'update', CASE WHEN n = 9 THEN 'more clauses completed than there are' END FROM anew
+  UNION ALL SELECT 'late', CASE WHEN s1 IN ('failed', 'complete') THEN 'the job has ended' END FROM anew WHERE late
+  UNION ALL SELECT 'retry', CASE WHEN NOT again THEN 'only failed jobs without completed clauses can be retried' END FROM anew UNION ALL SELECT 'retry', 'no such job'
+  UNION ALL SELECT 'rerun', CASE WHEN NOT fresh THEN 'the filing has an active job' END FROM anew)
+SELECT transition, refused, count(*) AS n FROM r GROUP BY ALL"""
+
+
+# what a tenant sees of jobs
+
+
+@query
+def scoped_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last hundred filings' jobs that a user or nobody known asked for, under
+    two tenants (the priorities of orders); users are suppliers' numbers."""
+    o = table(spark, sf_dir, "orders")
+    all_jobs = o.select(F.col("o_orderkey").alias("job"), F.col("o_orderpriority").alias("tenant_id"), F.col("o_custkey").alias("filing"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 40).alias("requested_by"), F.col("o_orderdate").alias("created_at"), "o_orderstatus")
+    filings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("filing"), F.when(F.col("c_custkey") % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("tenant_id"), "c_name")
+    users = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("tenant_id"), F.when(F.col("s_nationkey") < 12, "ann").otherwise("bob").alias("name"))
+    parts = []
+    for tenant in ("1-URGENT", "5-LOW"):
+        scope = TenantScope(Actor("ann", tenant, "customer"))
+        parts.append(jobs.history(scope.private(all_jobs), scope.private(filings), scope.private(users), scope.actor.user))
+    return parts[0].unionByName(parts[1]).select("tenant_id", "filing", "job", "c_name", "o_orderstatus")
+
+
+ORACLES["scoped_history"] = """
+WITH j AS (SELECT o_orderkey AS job, o_orderpriority AS tenant_id, o_custkey AS filing, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 40 END AS who, o_orderdate, o_orderstatus FROM orders),
+u AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS tenant_id FROM supplier WHERE s_nationkey < 12),
+x AS (SELECT j.*, c_name FROM j JOIN customer ON c_custkey = filing AND tenant_id = CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END WHERE who IS NULL OR EXISTS (SELECT 1 FROM u WHERE u.id = who AND u.tenant_id = j.tenant_id)),
+l AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY tenant_id, filing ORDER BY o_orderdate DESC, job DESC) = 1)
+SELECT tenant_id, filing, job, c_name, o_orderstatus FROM l QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY o_orderdate DESC, job DESC) <= 100"""
+
+
+@query
+def scoped_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a tenant's jobs in the order of their clauses, with their evidence by rank."""
+    scope = TenantScope(Actor("ann", "1-URGENT", "customer"))
+    own = scope.private(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderpriority").alias("tenant_id")))
+    li = table(spark, sf_dir, "lineitem").join(own, F.col("l_orderkey") == F.col("job"), "left_semi")
+    findings = li.select(F.col("l_orderkey").alias("job"), F.concat(F.lit("clause-"), F.col("l_linenumber") * 7 % 11 * 1_000_000 + F.col("l_partkey")).alias("clause_id"), F.when(F.col("l_returnflag") == "N", "passed").otherwise("draft").alias("status"), F.col("l_shipdate").alias("created_at"), F.col("l_partkey").alias("finding"))
+    known = li.where("l_linenumber <> 3").select(F.col("l_orderkey").alias("job"), F.concat(F.lit("clause-"), F.col("l_linenumber") * 7 % 11 * 1_000_000 + F.col("l_partkey")).alias("clause_id"))
+    evidence = li.select(F.col("l_orderkey").alias("job"), F.concat(F.lit("clause-"), F.col("l_linenumber") * 7 % 11 * 1_000_000 + F.col("l_partkey")).alias("clause_id"), F.explode(F.sequence(F.lit(1), F.col("l_linenumber"))).alias("rank"), F.col("l_partkey").alias("item")).distinct()
+    rows = jobs.nested(jobs.findings_in_order(findings, known), evidence, ["job", "clause_id"], "rank", "item", name="evidence")
+    return rows.select("job", "place", "clause_id", "finding", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["rank"].cast("string"), e["item"].cast("string"))), ",").alias("evidence"))
+
+
+ORACLES["scoped_detail"] = """
+WITH li AS (SELECT l.*, 'clause-' || (l_linenumber * 7 % 11 * 1000000 + l_partkey) AS clause_id FROM lineitem l SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') o ON l_orderkey = o_orderkey)
+SELECT l_orderkey AS job, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber * 7 % 11 * 1000000 + l_partkey, clause_id)::INTEGER AS place, clause_id, l_partkey AS finding, array_to_string(list_transform(range(1, l_linenumber + 1), lambda r: r || ':' || l_partkey), ',') AS evidence
+FROM li WHERE l_returnflag = 'N' AND l_linenumber <> 3"""
