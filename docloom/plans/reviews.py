@@ -1,14 +1,17 @@
-"""Queries over jobs: clause states as a stream, transitions, tenants' history and details."""
+"""Queries over jobs: clause states as a stream, transitions, tenants' history and
+details, and what models answer."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import jobs
+from docloom.functions import text as T
+from docloom.operators import answers, jobs, models, retrieval, revision
 from docloom.operators.tenants import Actor, TenantScope
 from docloom.operators.transitions import JobLog
 from docloom.plans.common import new_folder, query, table
+from docloom.plans.oracles import KEYWORD
 from docloom.streaming import checkpoints, clauses
 
 ORACLES: dict[str, str] = {}
@@ -66,18 +69,18 @@ def _job_log(spark: SparkSession, sf_dir: str) -> tuple[JobLog, dict[str, DataFr
     o = table(spark, sf_dir, "orders")
     asked = o.select(F.col("o_orderstatus").alias("tenant_id"), F.concat("o_custkey", F.lit("-"), F.col("o_orderkey") % 3).alias("filing"), F.sha2(F.concat("o_custkey", F.lit("-"), F.col("o_orderkey") % 3), 256).alias("sha256"), F.lit('{"version": 1}').alias("config")).distinct()
     log.create(asked, "create")
-    answers = {"create": log.create(asked, "create")}
+    told = {"create": log.create(asked, "create")}
     digits = lambda c: F.conv(F.substring(F.sha2(c, 256), 1, 2), 16, 10).cast("int")
     n = digits("filing") % 10
     now = log.jobs()
     moved = now.select("job", F.when(n < 4, "failed").when(n < 6, "running").when(n < 8, "complete").otherwise("queued").alias("status"), F.lit(5).cast("long").alias("total_clauses"), F.when(n == 0, 2).when(n == 9, 7).otherwise(0).cast("long").alias("completed_clauses"), F.when(n < 4, "lost").alias("failure_reason"))
-    answers["update"] = log.update(moved, "move")
+    told["update"] = log.update(moved, "move")
     late = now.select("job", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("total_clauses"), F.lit(None).cast("long").alias("completed_clauses"), F.lit("too late").alias("failure_reason")).where(digits("job") % 2 == 0)
-    answers["late"] = log.update(late, "late")
-    answers["retry"] = log.retry(now.select("job", "tenant_id").unionByName(spark.createDataFrame([("none", "F")], "job string, tenant_id string")), "retry")
-    answers["rerun"] = log.rerun(now.select("job", "tenant_id", F.lit("n1").alias("nonce")), "rerun")
+    told["late"] = log.update(late, "late")
+    told["retry"] = log.retry(now.select("job", "tenant_id").unionByName(spark.createDataFrame([("none", "F")], "job string, tenant_id string")), "retry")
+    told["rerun"] = log.rerun(now.select("job", "tenant_id", F.lit("n1").alias("nonce")), "rerun")
     log.rerun(now.select("job", "tenant_id", F.lit("other").alias("nonce")), "rerun")
-    return log, answers
+    return log, told
 
 
 @query
@@ -89,9 +92,9 @@ def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def job_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many requests each transition refused, and why."""
-    _, answers = _job_log(spark, sf_dir)
-    parts = [answers[k].select(F.lit(k).alias("transition"), "refused") for k in ("update", "late", "retry", "rerun")]
-    parts.append(answers["create"].select(F.lit("create").alias("transition"), F.when(~F.col("created"), "exists").alias("refused")))
+    _, told = _job_log(spark, sf_dir)
+    parts = [told[k].select(F.lit(k).alias("transition"), "refused") for k in ("update", "late", "retry", "rerun")]
+    parts.append(told["create"].select(F.lit("create").alias("transition"), F.when(~F.col("created"), "exists").alias("refused")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -166,3 +169,125 @@ ORACLES["scoped_detail"] = """
 WITH li AS (SELECT l.*, 'clause-' || (l_linenumber * 7 % 11 * 1000000 + l_partkey) AS clause_id FROM lineitem l SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') o ON l_orderkey = o_orderkey)
 SELECT l_orderkey AS job, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber * 7 % 11 * 1000000 + l_partkey, clause_id)::INTEGER AS place, clause_id, l_partkey AS finding, array_to_string(list_transform(range(1, l_linenumber + 1), lambda r: r || ':' || l_partkey), ',') AS evidence
 FROM li WHERE l_returnflag = 'N' AND l_linenumber <> 3"""
+
+
+# answers, models, revision
+
+
+@query
+def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a judge, made of conversations, cleaned or refused."""
+    t = table(spark, sf_dir, "conversations")
+    n = F.col("conv_id") + F.col("turn")
+    said = F.to_json(F.struct(F.concat(F.lit(" "), F.col("role"), F.lit("  ")).alias("x")))
+    role = F.regexp_extract(said, '^\\{"x":(.*)\\}$', 1)
+    ids = F.when(n % 3 == 0, F.lit("[]")).when(n % 3 == 1, F.concat(F.lit("["), role, F.lit(',"", null, 7]'))).otherwise(role)
+    gone = F.when(n % 5 == 0, F.lit('["a", " b ", "a"]')).when(n % 5 == 1, F.lit('{"c": " why "}')).when(n % 5 == 2, F.lit("null")).when(n % 5 == 3, F.lit('{"d": " "}')).otherwise("17")
+    body = F.concat(F.lit('{"sufficient": '), F.when(n % 2 == 0, "true").when(n % 7 == 0, F.lit('"No"')).otherwise("false"), F.lit(', "usable_evidence_ids": '), ids, F.lit(', "rejected_evidence": '), gone, F.when(n % 11 == 0, ', "more": 1').otherwise(""), F.lit("}"))
+    rows = t.select("conv_id", "turn", F.when(n % 13 == 0, "oops").when(n % 17 == 0, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body).alias("answer"))
+    out = answers.decisions(rows, "answer")
+    return out.select("conv_id", "turn", "sufficient", F.array_join("usable_evidence_ids", "|").alias("usable"), F.size("missing_points").alias("missing"), F.array_join(F.array_sort(F.transform(F.map_entries("rejected_evidence"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|").alias("rejected"), F.array_join("problems", "; ").alias("problems"))
+
+
+ORACLES["judge_answers"] = f"""
+WITH c AS (SELECT conv_id, turn, conv_id + turn AS n, trim(role) AS role FROM conversations),
+d AS (SELECT *, CASE WHEN n % 13 = 0 THEN 'not JSON' WHEN n % 17 = 0 THEN 'not an object' ELSE concat_ws('; ', CASE WHEN n % 11 = 0 THEN 'unknown field' END, CASE WHEN n % 5 = 4 THEN 'rejected_evidence is no map or list' END,
+  CASE WHEN n % 2 = 0 AND n % 3 = 0 THEN 'sufficient evidence needs usable evidence' END, CASE WHEN n % 5 = 3 THEN 'rejected evidence needs a reason' END) END AS problems FROM c)
+SELECT conv_id, turn, CASE WHEN problems = '' THEN n % 2 = 0 END AS sufficient, CASE WHEN problems = '' THEN CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN role || '|None|7' ELSE role END END AS usable, CASE WHEN problems = '' THEN 0 END::INTEGER AS missing,
+  CASE WHEN problems = '' THEN CASE n % 5 WHEN 0 THEN 'a={answers.NO_REASON}|b={answers.NO_REASON}' WHEN 1 THEN 'c=why' ELSE '' END END AS rejected, problems FROM d"""
+
+
+@query
+def expansion_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents' first lines as expanded queries."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.split("text", "\n")[0], " "), lambda w: F.concat(F.lit(" "), w)).alias("w"))
+    rows = d.select("doc_id", F.to_json(F.struct(F.when(F.col("doc_id") % 9 > 0, F.col("w")).otherwise(F.array(F.lit(" "), F.repeat(F.lit("x"), F.lit(513)))).alias("queries"))).alias("answer"))
+    out = answers.expansions(rows, "answer")
+    return out.select("doc_id", F.array_join("queries", "|").alias("queries"), F.array_join("problems", "; ").alias("problems"))
+
+
+ORACLES["expansion_answers"] = """
+WITH w AS (SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN list_filter(string_split(string_split(text, chr(10))[1], ' '), lambda x: x <> '' AND length(x) <= 512) ELSE [] END AS w FROM documents),
+q AS (SELECT doc_id, list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda x: x IS NOT NULL)[1:8] AS q FROM w)
+SELECT doc_id, CASE WHEN len(q) > 0 THEN array_to_string(q, '|') END AS queries, CASE WHEN len(q) > 0 THEN '' ELSE 'no queries' END AS problems FROM q"""
+
+
+@query
+def redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nested payloads, with secrets in objects and lists at several depths."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    inner = F.concat(F.lit('{"Password": {"a": 1}, "keep": '), n.cast("string"), F.lit(', "list": [[], {"TOKEN": null, "k": "v"}, [{"api_key": [1, 2]}, '), (n % 7).cast("string"), F.lit("]]}"))
+    body = F.concat(F.lit('{"b": '), F.when(n % 2 == 0, inner).otherwise(F.lit('{"plain": [true, "x"]}')), F.lit(', "a": "'), F.col("event_type"), F.lit('", "authorization": "s'), n.cast("string"), F.lit('"}'))
+    rows = e.select("event_id", F.when(n % 10 == 0, F.lit('{"none": {}}')).when(n % 10 == 1, "no json").otherwise(body).alias("payload"))
+    return answers.redacted(rows, "payload")
+
+
+ORACLES["redact_nested"] = """
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '{"none":{}}' WHEN event_id % 10 = 1 THEN NULL ELSE '{"a":"' || event_type || '","authorization":"[REDACTED]","b":' ||
+  CASE WHEN event_id % 2 = 0 THEN '{"Password":"[REDACTED]","keep":' || event_id || ',"list":[[],{"TOKEN":"[REDACTED]","k":"v"},[{"api_key":"[REDACTED]"},' || (event_id % 7) || ']]}' ELSE '{"plain":[true,"x"]}' END || '}' END AS payload FROM events"""
+
+
+@query
+def model_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by a model of letters, in batches."""
+    embed = models.embedding(models.LetterModel, models.LetterModel.dimension)
+    rows = table(spark, sf_dir, "documents").select("doc_id", embed("text").alias("e"))
+    return rows.select("doc_id", F.col("e.problem").alias("problem"), *[F.round(F.col("e.vector")[i].cast("double"), 4).alias(f"v{i}") for i in (0, 4, 25)])
+
+
+_LETTERS = "list_transform(range(26), lambda i: (length(lower({0})) - length(replace(lower({0}), chr((97 + i)::INTEGER), '')))::DOUBLE)"
+ORACLES["model_embeddings"] = f"""
+WITH c AS (SELECT doc_id, {_LETTERS.format("text")} AS v FROM documents), n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM c)
+SELECT doc_id, NULL AS problem, {", ".join(f"round((v[{i + 1}] / n)::FLOAT::DOUBLE, 4) AS v{i}" for i in (0, 4, 25))} FROM n"""
+
+
+@query
+def model_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword hits in the order of a model's scores, whose output is checked."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("asked"))
+    hits = retrieval.keyword_channel(docs.select("item", T.word_tokens(F.col("text")).alias("tokens")), asked.select("query", T.search_terms(F.col("asked")).alias("terms")))
+    given = hits.select("query", "item").join(docs, "item").join(asked, "query").withColumn("sha256", F.sha2("text", 256))
+    scored = given.withColumn("s", models.scoring(models.LetterModel)("asked", "text")).select("query", "item", "sha256", F.col("s.score").alias("score"))
+    best, _ = models.checked_reranking(given, scored.withColumn("score", F.round("score", 9)), ["sha256"])
+    return best.select("query", "item", "rank", F.round("score", 6).alias("score"))
+
+
+ORACLES["model_rerank"] = f"""
+WITH {KEYWORD},
+s AS (SELECT query, item, round(list_cosine_similarity({_LETTERS.format("d.text")}, {_LETTERS.format("b.text")}), 9) AS score FROM keyword JOIN documents d ON d.doc_id = item JOIN benchmark b ON b.item_id = query)
+SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item)::INTEGER AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 5"""
+
+
+@query
+def reviewed_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as clauses and their turns as evidence: a rule states a
+    number that the evidence may hold, another passes it, wants it revised, or rejects it."""
+    t = table(spark, sf_dir, "conversations")
+    evidence = t.select(F.col("conv_id").alias("clause"), F.col("turn").cast("string").alias("item"), F.concat(F.lit("value "), (100 + (F.col("turn") * 3 + F.col("conv_id")) % 4).cast("string")).alias("text")).distinct()
+    asked = t.select(F.col("conv_id").alias("clause")).distinct()
+    cited = evidence.groupBy("clause").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+
+    def stated(rows: DataFrame, found: DataFrame, turn: Column) -> DataFrame:
+        value = 100 + (F.col("clause") + turn) % 4
+        return rows.join(cited, "clause").select("clause", F.array(F.struct(F.concat(F.lit("it says "), value.cast("string")).alias("text"), F.col("ids").alias("evidence_ids"))).alias("findings"))
+
+    def revise(rows: DataFrame, found: DataFrame) -> DataFrame:
+        before = rows.select("clause", F.regexp_extract(F.col("findings")[0]["text"], "(\\d+)", 1).cast("int").alias("said"))
+        return stated(before, found, F.pmod(F.col("said") - 100 - F.col("clause"), F.lit(4)) + 1)
+
+    def review(rows: DataFrame, found: DataFrame) -> DataFrame:
+        n = F.regexp_extract(F.col("findings")[0]["text"], "(\\d+)", 1).cast("int") + F.col("clause")
+        return rows.select("clause", F.when(n % 3 == 0, "pass").when(n % 7 == 0, "reject").otherwise("revise").alias("decision"), (n % 5 == 0).alias("evidence_gap"), F.lit("again").alias("feedback"))
+
+    out = revision.settle(asked, evidence, lambda r, e: stated(r, e, F.lit(0)), revise, review, new_folder(spark, "revision"))
+    return out.select("clause", "status", "reason", "round", F.size("findings").alias("n_findings"))
+
+
+_ROUND = """SELECT clause, {r} AS round, 100 + (clause + {r}) % 4 AS said, NOT list_contains(vals, 100 + (clause + {r}) % 4) AS bad, 100 + (clause + {r}) % 4 + clause AS n FROM c"""
+ORACLES["reviewed_clauses"] = f"""
+WITH c AS (SELECT conv_id AS clause, list(DISTINCT 100 + (turn * 3 + conv_id) % 4) AS vals FROM conversations GROUP BY conv_id),
+r AS ({" UNION ALL ".join(_ROUND.format(r=r) for r in range(3))}),
+s AS (SELECT *, CASE WHEN bad THEN 'failed' WHEN n % 3 = 0 THEN 'complete' WHEN n % 5 = 0 THEN 'needs_retrieval' WHEN n % 7 = 0 OR round = 2 THEN 'review_failed' END AS status FROM r)
+SELECT clause, status, CASE WHEN bad THEN 'unsupported value: ' || said END AS reason, round::INTEGER AS round, (status = 'complete')::INTEGER AS n_findings FROM s WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY clause ORDER BY round) = 1"""
