@@ -26,11 +26,11 @@ def in_order(*keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def section_path(blocks: DataFrame) -> DataFrame:
+def section_path(blocks: DataFrame, levels: int = LEVELS) -> DataFrame:
     """blocks with level (null for text) and text; adds path, the titles of the
     headings in force joined by " > ". A heading ends those of its level or deeper."""
     run = in_order("doc")
-    last = {n: F.last(F.when(F.col("level") == n, F.struct("idx", "text")), ignorenulls=True).over(run) for n in range(1, LEVELS + 1)}
+    last = {n: F.last(F.when(F.col("level") == n, F.struct("idx", "text")), ignorenulls=True).over(run) for n in range(1, levels + 1)}
     rows = blocks.select("*", *[v.alias(f"__h{n}") for n, v in last.items()])
     alive = []
     for n in last:

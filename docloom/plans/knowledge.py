@@ -1,4 +1,5 @@
-"""Queries over stored knowledge: the keyword index, chunk plans, tenants' views and rejects."""
+"""Queries over stored knowledge: the keyword index, chunk plans, tenants' views,
+rejects, ordered rules and pages."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import chunks, rejects, retrieval, structure
+from docloom.operators import chunks, pages, rejects, retrieval, rulebook, structure
 from docloom.operators.postings import KeywordIndex, search_tokens
 from docloom.operators.tenants import Actor, TenantScope
 from docloom.plans.common import knowledge_table, lines, new_folder, query, table
@@ -282,3 +283,105 @@ b AS (SELECT unnest([CASE WHEN (scope = 'public') <> (tenant_id IS NULL) THEN 'p
   CASE WHEN known AND scope IS DISTINCT FROM ds THEN 'scope unlike the document''s' END, CASE WHEN known AND tenant_id IS DISTINCT FROM dt THEN 'tenant unlike the document''s' END, CASE WHEN parent_id IS NOT NULL AND NOT has THEN 'no parent' END, CASE WHEN has AND document_id IS DISTINCT FROM pd THEN 'parent of another document' END,
   CASE WHEN n % 19 = 0 THEN 'hash unlike the text' END]) AS problem FROM x)
 SELECT problem, count(*) AS n FROM b WHERE problem IS NOT NULL GROUP BY problem"""
+
+
+# ordered rules
+
+_RULES = (("the", ("definite article", "article")), ("ing", ("gerund",)), ("la", ("article", "la")), ("der", ("article", "der")))
+
+
+@query
+def domain_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that the words of documents call for: with a model's, without its
+    failures, and the ranks of the rules. The fixed rules match no document."""
+    d = table(spark, sf_dir, "documents")
+    said = F.when(F.col("doc_id") % 3 > 0, F.array(F.lit(" gerund "), F.lit(""), F.col("text"), F.col("lang")))
+    fixed = rulebook.expanded(F.concat("text", F.when(F.col("doc_id") % 4 == 0, "，付款和质量").otherwise("")))
+    return d.select("doc_id", F.array_join(rulebook.matched(F.col("text"), _RULES)["rank"], ",").alias("ranks"), F.array_join(rulebook.combined(F.col("text"), said, _RULES), "|").alias("queries"), F.size(fixed).alias("n_fixed"))
+
+
+ORACLES["domain_expand"] = """
+WITH d AS (SELECT doc_id, lang, list_filter([CASE WHEN contains(text, 'the') THEN 1 END, CASE WHEN contains(text, 'ing') THEN 2 END, CASE WHEN contains(text, 'la') THEN 3 END, CASE WHEN contains(text, 'der') THEN 4 END], lambda x: x IS NOT NULL) AS r FROM documents),
+q AS (SELECT doc_id, r, list_concat(CASE WHEN doc_id % 3 > 0 THEN ['gerund', lang] ELSE [] END, flatten(list_transform(r, lambda x: CASE x WHEN 1 THEN ['definite article', 'article'] WHEN 2 THEN ['gerund'] WHEN 3 THEN ['article', 'la'] ELSE ['article', 'der'] END))) AS q FROM d)
+SELECT doc_id, array_to_string(r, ',') AS ranks, array_to_string(list_filter(list_transform(range(1, len(q) + 1), lambda i: CASE WHEN list_position(q, q[i]) = i THEN q[i] END), lambda x: x IS NOT NULL)[1:8], '|') AS queries, (CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END)::INTEGER AS n_fixed FROM q"""
+
+
+@query
+def law_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, authority, day and version of documents that begin like laws."""
+    n, first = F.col("doc_id") % 7, F.split("text", "\n")[0]
+    num = (F.col("doc_id") % 12 + 1).cast("string")
+    head = (
+        F.when(n == 0, F.concat(F.lit("第一章 总则\n  某市 管理办法 \n国务院令\n自2024年"), num, F.lit("月3日起施行\n")))
+        .when(n == 1, F.concat(F.lit("发布机关：测试部门 其他\n一个标题\n施行日期：2023年 "), num, F.lit("月40日\n")))
+        .when(n == 2, F.concat(F.lit("（2020年1月2日第十三届全国人民代表大会第三次会议通过）\n"), F.lit("中华规则\n2021年"), num, F.lit("月1日起生效")))
+        .when(n == 3, F.lit("12\n某某省人民政府公告\n"))
+        .otherwise("")
+    )
+    name = F.concat(F.lit("in/a.b/"), F.when(n < 5, "file").otherwise("某条例"), F.when(F.col("doc_id") % 2 == 0, "_20240102").otherwise(""), F.lit(".docx"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", name.alias("filename"), F.concat(head, first).alias("text"))
+    return rulebook.law_metadata(rows).select("doc_id", "title", "issuing_authority", "effective_date", "effective_day", "version", "source_type")
+
+
+ORACLES["law_metadata"] = """
+WITH d AS (SELECT doc_id, doc_id % 7 AS n, doc_id % 12 + 1 AS m, doc_id % 2 = 0 AS dated FROM documents)
+SELECT doc_id, CASE n WHEN 0 THEN '某市 管理办法' WHEN 1 THEN '一个标题' WHEN 2 THEN '中华规则' WHEN 3 THEN '某某省人民政府公告' WHEN 4 THEN 'file' ELSE '某条例' END AS title,
+  CASE n WHEN 0 THEN '国务院' WHEN 1 THEN '测试部门' WHEN 2 THEN '全国人民代表大会' WHEN 3 THEN '某某省人民政府' END AS issuing_authority,
+  CASE n WHEN 0 THEN '2024-' || lpad(m::VARCHAR, 2, '0') || '-03' WHEN 1 THEN '2023-' || lpad(m::VARCHAR, 2, '0') || '-40' WHEN 2 THEN '2021-' || lpad(m::VARCHAR, 2, '0') || '-01' END AS effective_date,
+  CASE n WHEN 0 THEN make_date(2024, m, 3) WHEN 2 THEN make_date(2021, m, 1) END AS effective_day,
+  CASE WHEN dated THEN '20240102' WHEN n = 0 THEN '2024年' || m || '月3日' WHEN n = 2 THEN '2020年1月2日' END AS version, CASE WHEN n IN (0, 2, 5, 6) THEN 'law' END AS source_type FROM d"""
+
+
+# pages
+
+
+def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as those of pages of 46 lines, with headers, page
+    numbers, chapters, articles and, in each seventh document, a table of contents."""
+    n, at = F.length("text"), F.col("idx") % 46
+    contents = F.col("doc") % 7 == 0
+    text = (
+        F.when(at == 45, (F.floor(F.col("idx") / 46) + 1).cast("string"))
+        .when(at == 0, F.concat(F.lit("Header of "), (F.col("doc") % 5).cast("string")))
+        .when(contents & (F.col("idx") == 4), "目 录")
+        .when((contents & (F.col("idx") == 5)) | (n % 10 == 3), F.concat(F.lit("第"), (n % 9 + 1).cast("string"), F.lit("章 总则")))
+        .when(n % 10 == 7, F.concat(F.lit("第"), n.cast("string"), F.lit("条 "), F.col("text")))
+        .otherwise(F.col("text"))
+    )
+    top = 50 + 16 * at
+    return lines(spark, sf_dir).select(F.col("doc").cast("string").alias("doc"), (F.floor(F.col("idx") / 46) + 1).alias("page"), F.floor(at / 4).alias("block"), F.col("idx").alias("line"), text.alias("text"), F.lit(842.0).alias("page_height"), F.lit(10.0).alias("x0"), top.cast("double").alias("top"), F.lit(500.0).alias("x1"), (top + 12).cast("double").alias("bottom"))
+
+
+@query
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages with their places and kinds."""
+    blocks, _ = pages.page_blocks(_page_lines(spark, sf_dir))
+    return blocks.select("doc", "page_start", "paragraph_index", "block_type", "article", "section_title", F.size("bboxes").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"), "block_id")
+
+
+@query
+def page_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over small limits, or of which nothing is left."""
+    limits = pages.PageLimits(pages=2, blocks=13, lines=60, characters=2_500)
+    return pages.page_blocks(_page_lines(spark, sf_dir), limits)[1]
+
+
+_PAGES = r"""raw AS (SELECT doc, idx, text AS t, length(text) AS n FROM (SELECT doc_id AS doc, unnest(range(len(p))) AS idx, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
+l AS (SELECT doc, idx, idx // 46 + 1 AS page, idx % 46 // 4 AS block, idx % 46 <= 4 OR idx % 46 >= 41 AS margin, CASE WHEN idx % 46 = 45 THEN (idx // 46 + 1)::VARCHAR WHEN idx % 46 = 0 THEN 'Header of ' || doc % 5 WHEN doc % 7 = 0 AND idx = 4 THEN '目 录'
+  WHEN (doc % 7 = 0 AND idx = 5) OR n % 10 = 3 THEN '第' || (n % 9 + 1) || '章 总则' WHEN n % 10 = 7 THEN '第' || n || '条 ' || t ELSE t END AS text FROM raw),
+said AS (SELECT *, regexp_replace(text, '\s', '', 'g') AS norm FROM l WHERE regexp_matches(text, '\S') AND idx % 46 <> 45),
+rep AS (SELECT doc, norm FROM said WHERE margin AND length(norm) >= 4 GROUP BY ALL HAVING count(*) >= 2),
+body AS (SELECT s.*, regexp_matches(text, '^第[0-9]+章 总则$') AS h, regexp_extract(text, '^(第[0-9]+条) ', 1) AS a FROM said s LEFT JOIN rep USING (doc, norm) WHERE NOT (margin AND rep.doc IS NOT NULL) AND NOT regexp_matches(text, '[.．·•]{3,}|…{3,}')),
+started AS (SELECT *, h OR a <> '' OR coalesce(lag(h) OVER (PARTITION BY doc, page, block ORDER BY idx), true) AS st FROM body),
+numbered AS (SELECT *, sum(st::INT) OVER (PARTITION BY doc, page, block ORDER BY idx) AS seg FROM started),
+segs AS (SELECT doc, page, block, seg, string_agg(text, chr(10) ORDER BY idx) AS text, count(*) AS n_lines, bool_or(h) AS h, nullif(min(a) FILTER (a <> ''), '') AS a, min(idx) AS i FROM numbered GROUP BY ALL),
+marked AS (SELECT *, max(CASE WHEN text = '目 录' THEN i END) OVER (PARTITION BY doc) AS m FROM segs),
+seen AS (SELECT * FROM marked WHERE m IS NULL OR i < m OR page > 1),
+placed AS (SELECT *, last_value(CASE WHEN h THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING) AS section, sum(h::INT) OVER (PARTITION BY doc, page ORDER BY i) AS since FROM seen),
+carried AS (SELECT *, last_value(a IGNORE NULLS) OVER (PARTITION BY doc, page, since ORDER BY i ROWS UNBOUNDED PRECEDING) AS article FROM placed),
+blocks AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY i) AS paragraph, CASE WHEN h THEN 'heading' WHEN a IS NOT NULL THEN 'article' ELSE 'paragraph' END AS kind FROM carried WHERE m IS NULL OR i > m)"""
+ORACLES["page_blocks"] = f"WITH {_PAGES} SELECT doc::VARCHAR AS doc, page AS page_start, paragraph::INTEGER AS paragraph_index, kind AS block_type, article, section AS section_title, n_lines::INTEGER AS n_lines, sha256(text) AS text_sha256, sha256(doc || '|pdf|page:' || page || '|paragraph:' || paragraph || '|type:' || kind) AS block_id FROM blocks"
+ORACLES["page_rejects"] = f"""WITH {_PAGES},
+z AS (SELECT doc, max(page) AS p, count(DISTINCT (page, block)) AS b, count(*) AS n, sum(length(text)) AS c FROM l GROUP BY doc),
+j AS (SELECT doc, CASE WHEN p > 2 THEN 'too many pages' WHEN b > 13 THEN 'too many blocks' WHEN n > 60 THEN 'too many lines' WHEN c > 2500 THEN 'too many characters' END AS reason FROM z)
+SELECT doc::VARCHAR AS doc, coalesce(reason, 'no usable text') AS reason FROM j WHERE reason IS NOT NULL OR doc NOT IN (SELECT doc FROM blocks)"""

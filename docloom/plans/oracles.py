@@ -102,7 +102,7 @@ byn AS (SELECT doc, min(idx) AS first, string_agg(trim(text, ' \t\r'), chr(10) O
 SELECT doc, 'clause-' || row_number() OVER (PARTITION BY doc ORDER BY first) AS clause_id, first::INTEGER AS first, sha256(text) AS text_sha256 FROM (SELECT * FROM art UNION ALL SELECT * FROM one UNION ALL SELECT * FROM byn)""",
     "repeated_lines": f"WITH {_LINES} SELECT sha256(norm) AS norm_sha256, count(*) AS n FROM (SELECT regexp_replace(text, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', '', 'g') AS norm FROM lines) WHERE length(norm) >= 4 GROUP BY norm HAVING count(*) >= 2",
     "margin_removal": f"""WITH {_LINES},
-m AS (SELECT *, idx % 5 = 0 AS in_margin, regexp_replace(text, '\\s+', '', 'g') AS norm FROM lines),
+m AS (SELECT *, idx % 46 <= 4 OR idx % 46 >= 41 AS in_margin, regexp_replace(text, '\\s+', '', 'g') AS norm FROM lines),
 r AS (SELECT doc, norm FROM m WHERE in_margin AND length(norm) >= 4 GROUP BY doc, norm HAVING count(*) >= 2)
 SELECT doc, count(*) AS n FROM m WHERE NOT (in_margin AND (doc, norm) IN (SELECT (doc, norm) FROM r)) GROUP BY doc""",
     "chunk_reconstruct": "SELECT doc_id AS doc, sha256(text) AS text_sha256, true AS fits FROM documents WHERE text <> ''",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import evidence, grounding, jobs, quality, retrieval, structure
+from docloom.operators import evidence, grounding, jobs, pages, quality, retrieval, structure
 from docloom.plans import knowledge, reviews
 from docloom.plans.common import QUERIES, Query, knowledge_table, lines, new_folder, query, table
 from docloom.plans.oracles import ORACLES
@@ -214,7 +214,8 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def margin_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).withColumn("in_margin", F.col("idx") % 5 == 0)
+    top = 50 + 16 * (F.col("idx") % 46)
+    rows = lines(spark, sf_dir).withColumn("in_margin", pages.in_margin(top, top + 12, F.lit(842)))
     return structure.without_margins(rows).groupBy("doc").agg(F.count("*").alias("n"))
 
 

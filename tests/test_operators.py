@@ -1,8 +1,5 @@
 """Hand-made cases of single operators."""
 
-import io
-import zipfile
-
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -137,22 +134,6 @@ def test_appends_are_idempotent(spark):
     assert [tuple(r) for r in quality.conflicts(rows, stored, ["key"], ["n"]).collect()] == [("old", 3)]
 
 
-def test_docx_paragraphs_and_tables(spark, tmp_path):
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    body = '<w:p><w:pPr><w:pStyle w:val="Heading 1"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
-    (tmp_path / "x.docx").write_bytes(raw.getvalue())
-    (tmp_path / "bad.DOCX").write_bytes(b"no zip")
-    (tmp_path / "y.txt").write_bytes(b"?")
-    files = documents.scan(spark, str(tmp_path))
-    assert {r.kind for r in files.collect()} == {"docx", None}
-    got = documents.docx_blocks(files).collect()
-    assert [(r.kind, r.style, r.text) for r in sorted(got, key=lambda r: r.idx) if r.problem is None] == [("paragraph", "Heading 1", "Title"), ("table", None, "a\tb")]
-    assert sum(r.problem is not None for r in got) == 1
-
-
 def test_keys(spark):
     df = spark.createDataFrame([("public/law/x",), ("tenants/t/firm/x",), ("tenants/t",), ("public/../x",), ("/public/x",)], "k string")
     assert [r.ok for r in df.select(documents.key_allowed(F.col("k")).alias("ok")).collect()] == [True, True, False, False, False]
