@@ -74,6 +74,14 @@ def findings_in_order(findings: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return findings.where(F.col("status") == "passed").join(known, ["job", "clause_id"]).withColumn("place", F.row_number().over(order))
 
 
+def with_requester(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """rows (tenant_id, subject and more) with requested_by, the id of the
+    tenant's user of that name (users: id, tenant_id, name), null if there is none
+    and the least if there are several."""
+    known = users.groupBy("tenant_id", F.col("name").alias("subject")).agg(F.min("id").alias("requested_by"))
+    return rows.join(known, ["tenant_id", "subject"], "left")
+
+
 def nested(parents: DataFrame, children: DataFrame, on: list[str], order: str, *carried: str, name: str = "items") -> DataFrame:
     """Parents with their children's columns as an array in order. A parent
     without children has an empty one."""

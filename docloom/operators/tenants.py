@@ -79,6 +79,20 @@ class TenantScope:
         rows = rows if scope is None else rows.where(F.col("scope") == scope)
         return rows.where(F.col("status") != "deleted") if status is None else rows.where(F.col("status") == status)
 
+    def with_status(self, documents: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """documents (doc, scope, tenant_id, status and more) after requests (doc,
+        status), and an answer to each (doc, changed). A request changes documents
+        of the tenant that are not public, whatever their status was, and is no
+        error where it changes none; of several for one document the status that
+        comes last in STATUSES counts."""
+        place = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status"))
+        wanted = requests.withColumn("__p", place).where("__p > 0").groupBy("doc").agg(F.max_by("status", "__p").alias("__wanted"))
+        met = documents.join(wanted, "doc", "left")
+        mine = F.col("__wanted").isNotNull() & F.coalesce(F.col("scope") != "public", F.lit(False)) & self.own()
+        after = met.withColumn("status", F.when(mine, F.col("__wanted")).otherwise(F.col("status"))).select(*documents.columns)
+        touched = met.where(mine).select("doc").distinct().withColumn("changed", F.lit(True))
+        return after, requests.select("doc").distinct().join(touched, "doc", "left").na.fill(False, ["changed"])
+
     def appendable(self, rows: DataFrame, more: Iterable[Rule] = ()) -> tuple[DataFrame, DataFrame]:
         """Private rows are the tenant's, public ones an administrator's with no tenant."""
         public = F.col("scope") == "public"

@@ -20,13 +20,13 @@ KEYWORD = f"""keyword AS (
     JOIN (SELECT DISTINCT item_id AS query, unnest(CASE WHEN len(list_filter({TERMS}, lambda x: length(x) >= 2)) > 0 THEN list_filter({TERMS}, lambda x: length(x) >= 2) ELSE {TERMS} END) AS token FROM benchmark) USING (token)
     GROUP BY query, item)
   QUALIFY rank <= 20)"""
-_REFERENCE = f"""reference AS (
+REFERENCE = f"""reference AS (
   SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM (
     SELECT DISTINCT query, item, 1.0::DOUBLE AS score
     FROM (SELECT doc_id AS item, string_split(text, chr(10))[1] AS title FROM documents)
     JOIN (SELECT item_id AS query, unnest(list_filter({TERMS}, lambda x: length(x) >= 2)[1:20]) AS term FROM benchmark) ON lower(title) LIKE '%' || term || '%')
   QUALIFY rank <= 20)"""
-_FUSED = f"""WITH {_VECTOR}, {KEYWORD}, {_REFERENCE},
+_FUSED = f"""WITH {_VECTOR}, {KEYWORD}, {REFERENCE},
 wide AS (
   SELECT query, item, max(CASE WHEN c = 'v' THEN rank END) AS vector_rank, max(CASE WHEN c = 'k' THEN rank END) AS keyword_rank, max(CASE WHEN c = 'r' THEN rank END) AS reference_rank, max(CASE WHEN c = 'v' THEN score END) AS vector_score
   FROM (SELECT 'v' AS c, * FROM vector UNION ALL SELECT 'k', * FROM keyword UNION ALL SELECT 'r', * FROM reference) GROUP BY query, item),
@@ -50,14 +50,14 @@ def _grouped(lead: bool) -> str:
 ORACLES: dict[str, str] = {
     "vector_topk": f"WITH {_VECTOR} SELECT query, item, rank::INTEGER AS rank, round(score, 9) AS score FROM vector",
     "keyword_topk": f"WITH {KEYWORD} SELECT query, item, rank::INTEGER AS rank, round(score, 6) AS score FROM keyword",
-    "reference_topk": f"WITH {_REFERENCE} SELECT query, item, rank::INTEGER AS rank, score FROM reference",
+    "reference_topk": f"WITH {REFERENCE} SELECT query, item, rank::INTEGER AS rank, score FROM reference",
     "rrf_fusion": f"{_FUSED} SELECT query, item, rank, round(score, 9) AS score, vector_rank::INTEGER AS vector_rank, keyword_rank::INTEGER AS keyword_rank, reference_rank::INTEGER AS reference_rank FROM fused",
     "similarity_floor": f"{_FUSED} SELECT query, item, rank FROM fused WHERE vector_score IS NULL OR vector_score >= 0.5",
     "rerank": f"""{_FUSED},
 t AS (SELECT item_id AS query, list_distinct(CASE WHEN len(list_filter({TERMS}, lambda x: length(x) >= 2)) > 0 THEN list_filter({TERMS}, lambda x: length(x) >= 2) ELSE {TERMS} END) AS terms FROM benchmark),
 s AS (SELECT f.query, f.item, len(list_intersect(t.terms, list_distinct({TERMS}))) / greatest(len(t.terms), 1)::DOUBLE AS score FROM fused f JOIN t USING (query) JOIN documents d ON d.doc_id = f.item)
 SELECT query, item, rank::INTEGER AS rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= 5""",
-    "multi_query_merge": f"""WITH {KEYWORD}, {_REFERENCE},
+    "multi_query_merge": f"""WITH {KEYWORD}, {REFERENCE},
 h AS (SELECT query AS clause, 0 AS query_no, rank, item FROM keyword UNION ALL SELECT query, 1, rank, item FROM reference),
 o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY clause, item ORDER BY query_no, rank) = 1)
 SELECT clause, item, query_no, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY clause ORDER BY query_no, rank, item) AS place FROM o) WHERE place <= 20""",
@@ -117,13 +117,40 @@ FROM (SELECT doc_id, sha256('["document","' || source || '","' || sha256(text) |
     "idempotency_key": """SELECT doc_id, source || ':' || sha256(text) || ':' || sha256('{"lang":"' || lang || '"}')[1:8] AS key FROM documents""",
     "search_terms": f"SELECT doc_id, len(t) AS n_terms, sha256(array_to_string(t, ' ')) AS terms_sha256 FROM (SELECT doc_id, CASE WHEN len(list_filter({TERMS}, lambda x: length(x) >= 2)) > 0 THEN list_filter({TERMS}, lambda x: length(x) >= 2) ELSE {TERMS} END AS t FROM documents)",
     "tokenize": f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({TERMS}) AS token FROM documents) GROUP BY token",
-    "article_refs": """SELECT * FROM (VALUES (0, '第十条', '第十条'), (1, '第12条之一,第十条,第五百零二条', NULL), (2, '', NULL), (3, '', NULL), (4, '', NULL), (5, '', NULL), (6, '', NULL), (7, '', NULL), (8, '', NULL), (9, '', NULL), (10, '', NULL), (11, '', NULL), (12, '', NULL), (13, '', NULL), (14, '', NULL), (15, '', NULL), (16, '', NULL)) v(id, refs, article)""",
-    "heading_level": "SELECT * FROM (VALUES (0, NULL), (1, NULL), (2, 2), (3, 1), (4, NULL), (5, 2), (6, 3), (7, NULL), (8, NULL), (9, NULL), (10, NULL), (11, NULL), (12, NULL), (13, 2), (14, NULL), (15, NULL), (16, NULL)) v(id, level)",
+    "article_refs": f"""WITH {_LINES}, l AS (SELECT -(doc * 100000 + idx + 1000) AS id, length(text) AS n FROM lines)
+SELECT * FROM (VALUES (0, '第十条', '第十条'), (1, '第12条之一,第十条,第五百零二条', NULL), (2, '', NULL), (3, '', NULL), (4, '', NULL), (5, '', NULL), (6, '', NULL), (7, '', NULL), (8, '', NULL), (9, '', NULL), (10, '', NULL), (11, '', NULL), (12, '', NULL), (13, '', NULL), (14, '', NULL), (15, '', NULL), (16, '', NULL)) v(id, refs, article)
+UNION ALL SELECT id, concat_ws(',', CASE WHEN n % 5 = 0 THEN '第' || n || '条之二' END, CASE WHEN n % 3 = 0 THEN '第' || n || '条,第' || (n + 1) || '条之二' END), CASE WHEN n % 5 = 0 THEN '第' || n || '条之二' END FROM l WHERE n % 5 = 0 OR n % 3 = 0""",
+    "heading_level": f"""WITH {_LINES}, l AS (SELECT -(doc * 100000 + idx + 1000) AS id, length(text) AS n, text FROM lines)
+SELECT * FROM (VALUES (0, NULL), (1, NULL), (2, 2), (3, 1), (4, NULL), (5, 2), (6, 3), (7, NULL), (8, NULL), (9, NULL), (10, NULL), (11, NULL), (12, NULL), (13, 2), (14, NULL), (15, NULL), (16, NULL)) v(id, level)
+UNION ALL SELECT id, CASE n % 9 WHEN 1 THEN 3 WHEN 3 THEN 2 ELSE 1 END FROM l WHERE n % 9 IN (1, 3) OR (n % 9 = 2 AND length(trim(substr(text, 1, 50))) <= 40 AND NOT regexp_matches(substr(text, 1, 50), '[。！？；：，,;:!?]')) OR (n % 9 = 5 AND NOT regexp_matches(text, '[。！？；：，,;:!?]') AND regexp_matches(text, '\\S'))""",
     "page_number_filter": f"""WITH {_LINES} SELECT id, text FROM (VALUES (8, '- 12 -'), (9, '第 3 页'), (10, '3 / 10'), (11, 'Page 7')) v(id, text)
 UNION ALL SELECT doc * 100000 + idx + 1000, text FROM lines WHERE regexp_matches(trim(text, ' \t\r'), '(?i)^([-–—·•.]?\\s*\\d{{1,4}}\\s*[-–—·•.]?|[-–—·•.]?\\s*\\d{{1,4}}\\s*[-–—]\\s*\\d{{1,4}}\\s*[-–—·•.]?|[-–—·•.]?\\s*\\d{{1,4}}\\s*/\\s*\\d{{1,4}}\\s*[-–—·•.]?|page\\s*\\d{{1,4}})$')""",
     "toc_filter": f"WITH {_LINES} SELECT id FROM (VALUES (12), (13)) v(id) UNION ALL SELECT doc * 100000 + idx + 1000 FROM lines WHERE regexp_matches(text, '[.．·•]{{3,}}|…{{3,}}')",
-    "cn_numeral": "SELECT * FROM (VALUES ('二〇二四', 2024), ('五百零二', 502), ('十二', 12), ('一万二千三百', 12300), ('三亿', 300000000), ('一百零五万', 1050000), ('两', 2), ('x', NULL)) v(text, value)",
-    "grounding_check": "SELECT * FROM (VALUES (0, true, ''), (1, true, ''), (2, false, '15'), (3, true, ''), (4, true, ''), (5, true, '')) v(id, grounded, unsupported)",
+    "cn_numeral": """WITH d AS (SELECT doc_id, doc_id % 100000 AS n FROM documents),
+u AS (SELECT n, list_transform([4, 3, 2, 1, 0], lambda k: CASE WHEN n // (10 ** k)::BIGINT % 10 > 0 THEN '〇一二三四五六七八九'[(n // (10 ** k)::BIGINT % 10 + 1)] || ['', '十', '百', '千', '万'][k + 1] ELSE '' END) AS p FROM d WHERE n > 0)
+SELECT * FROM (VALUES ('二〇二四', 2024), ('五百零二', 502), ('十二', 12), ('一万二千三百', 12300), ('三亿', 300000000), ('一百零五万', 1050000), ('两', 2), ('x', NULL)) v(text, value)
+UNION SELECT translate(doc_id::VARCHAR, '0123456789', '〇一二三四五六七八九'), doc_id FROM d
+UNION SELECT array_to_string(p, ''), n FROM u""",
+    "grounding_check": r"""
+WITH f AS (SELECT event_id AS n, (event_id % 12 + 1)::VARCHAR AS m, (event_id % 50 + 10)::VARCHAR AS p, event_id || '.5' AS v FROM events),
+e AS (SELECT *, '2024年' || m || '月3日，' || CASE WHEN n % 3 > 0 THEN p || '%' ELSE '' END || '，金额' || CASE WHEN n % 4 > 0 THEN '' ELSE '1' END || v || '元，502' AS e FROM f),
+x AS (SELECT * FROM (SELECT *, list_filter(list_concat(['2024', m, '3'], CASE WHEN p = m THEN [] ELSE [p] END, [v], CASE WHEN n % 5 = 0 THEN ['502'] ELSE [] END), lambda y: length(y) > 1) AS said FROM e)),
+u AS (SELECT *, list_concat(CASE WHEN contains(e, p || '%') THEN [] ELSE [p || '%'] END, list_filter(said, lambda y: NOT regexp_matches(e, '(^|[^0-9])' || replace(y, '.', '\.') || '([^0-9]|$)'))) AS bad FROM x)
+SELECT n AS id, len(bad) = 0 AND n % 6 <> 0 AS grounded, array_to_string(bad, ',') AS unsupported, CASE WHEN n % 6 = 0 THEN 'x' ELSE '' END AS unknown FROM u""",
+    "grounding_turns": r"""
+WITH x AS (SELECT conv_id, turn, (turn + 10)::VARCHAR AS v, d.doc_id IS NOT NULL AS known, replace(coalesce(d.text || ' ' || (n_chars % 8 + 10) || ' 项', ''), ' ', '') AS e FROM conversations c LEFT JOIN documents d ON d.doc_id = conv_id),
+y AS (SELECT *, regexp_matches(e, '(^|[^0-9])' || v || '([^0-9]|$)') AS said FROM x)
+SELECT conv_id, turn, known AND said AS grounded, CASE WHEN said THEN '' ELSE v END AS unsupported FROM y""",
+    "evidence_rounds": f"""
+WITH b AS (SELECT item_id AS clause, CASE WHEN len(list_filter(w, lambda x: length(x) >= 2)) > 0 THEN list_filter(w, lambda x: length(x) >= 2) ELSE w END AS w FROM (SELECT item_id, {TERMS} AS w FROM benchmark)),
+t AS (SELECT doc_id AS item, unnest({TERMS}) AS token FROM documents),
+asked AS (SELECT clause, 1 AS round, unnest(list_distinct(w)) AS token FROM b UNION ALL SELECT clause, 2, unnest(list_distinct(w[1:5])) FROM b),
+hits AS (SELECT *, row_number() OVER (PARTITION BY clause, round ORDER BY n DESC, item) AS rank FROM (SELECT clause, round, item, count(*) AS n FROM t JOIN asked USING (token) GROUP BY ALL) QUALIFY rank <= 5),
+kept AS (SELECT h.* FROM hits h LEFT JOIN embeddings a ON a.vec_id = clause AND len(a.embedding) = 64 LEFT JOIN embeddings i ON i.vec_id = item AND len(i.embedding) = 64
+  WHERE a.vec_id IS NULL OR i.vec_id IS NULL OR list_cosine_similarity(a.embedding::DOUBLE[], i.embedding::DOUBLE[]) >= 0.02),
+one AS (SELECT clause, item, 1 AS round, rank FROM kept WHERE round = 1),
+two AS (SELECT clause, item, 2 AS round, rank FROM kept k WHERE round = 2 AND clause IN (SELECT clause FROM one) AND NOT EXISTS (SELECT 1 FROM one o WHERE o.clause = k.clause AND o.item = k.item))
+SELECT clause, item, round::INTEGER AS round, row_number() OVER (PARTITION BY clause, round ORDER BY rank)::INTEGER AS place FROM (SELECT * FROM one UNION ALL SELECT * FROM two)""",
     "alias_resolve": "SELECT conv_id, coalesce(t[1]::VARCHAR, 'E1') || ',' || coalesce(t[2]::VARCHAR, 'E2') || ',' || coalesce(t[9]::VARCHAR, 'E9') || ',x' AS resolved FROM (SELECT conv_id, list(turn ORDER BY turn) AS t FROM conversations GROUP BY conv_id)",
     "embedding_quality": "SELECT vec_id, coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64, false) AS usable FROM embeddings",
     "job_progress": f"WITH {_CHECKPOINTS} SELECT job, count(*) AS total, count(*) FILTER (status = 'complete') AS completed, count(*) FILTER (status = 'insufficient') AS insufficient, count(*) FILTER (status = 'queued') AS unreviewed FROM c GROUP BY job",

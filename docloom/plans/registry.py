@@ -112,16 +112,22 @@ def evidence_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), T.word_tokens(F.col("text")).alias("tokens"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("clause"), F.lit(0).alias("query_no"), "text")
 
+    vectors = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    own, theirs = (vectors.select(F.col("vec_id").alias(k), F.col("v").alias(v)) for k, v in (("clause", "a"), ("item", "b")))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+
     def retrieve(now: DataFrame) -> DataFrame:
+        """Keyword hits, with the cosine of clause and item where both have vectors."""
         q = now.select(F.struct("clause", "query_no").alias("query"), T.search_terms(F.col("text")).alias("terms"))
-        return retrieval.keyword_channel(rows, q, 5).select("query.clause", "query.query_no", "rank", "item", F.lit(None).cast("double").alias("vector_score"))
+        hits = retrieval.keyword_channel(rows, q, 5).select("query.clause", "query.query_no", "rank", "item").join(own, "clause", "left").join(theirs, "item", "left")
+        return hits.select("clause", "query_no", "rank", "item", (dot("a", "b") / F.sqrt(dot("a", "a")) / F.sqrt(dot("b", "b"))).alias("vector_score"))
 
     def judge(found: DataFrame) -> DataFrame:
         held = found.groupBy("clause").agg(F.count("*").alias("n"), F.max("round").alias("turn"))
         more = asked.select("clause", F.array(F.array_join(F.slice(T.search_terms(F.col("text")), 1, 5), " ")).alias("next"))
         return held.join(more, "clause").select("clause", (F.col("n") >= 8).alias("enough"), "next")
 
-    return evidence.collect(asked, retrieve, judge).select("clause", "item", "round", "place")
+    return evidence.collect(asked, retrieve, judge, floor=0.02).select("clause", "item", "round", "place")
 
 
 # tenants, validity, documents
@@ -295,16 +301,24 @@ def _line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def article_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of the fixed texts, and of the lines of documents that have any."""
+    """References of the fixed texts, of the lines of documents that have any, and
+    (ids below 0) of these lines with articles named by their lengths."""
+    n = F.length("text")
+    raw = _line_texts(spark, sf_dir)
+    made = raw.withColumn("id", -F.col("id")).withColumn("text", F.concat(F.when(n % 5 == 0, F.concat(F.lit(" 第"), n.cast("string"), F.lit("条之二 "))).otherwise(""), F.col("text"), F.when(n % 3 == 0, F.concat(F.lit("，见第"), n.cast("string"), F.lit("条和第 "), (n + 1).cast("string"), F.lit(" 条之二，第"), n.cast("string"), F.lit("条"))).otherwise("")))
     found = lambda rows: rows.select("id", F.array_join(T.article_references(F.col("text")), ",").alias("refs"), T.article_number(F.col("text")).alias("article"))
-    return found(_texts(spark)).unionByName(found(_line_texts(spark, sf_dir)).where("refs <> '' or article is not null"))
+    return found(_texts(spark)).unionByName(found(raw.unionByName(made)).where("refs <> '' or article is not null"))
 
 
 @query
 def heading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels of the fixed texts, and of the lines of documents that are headings."""
+    """Levels of the fixed texts, of the lines of documents that are headings, and
+    (ids below 0) of these lines made headings by their lengths."""
+    n = F.length("text")
+    made = F.when(n % 9 == 1, F.concat(F.lit(" 第"), n.cast("string"), F.lit("节"))).when(n % 9 == 2, F.concat(F.lit("第"), n.cast("string"), F.lit("部分 "), F.substring("text", 1, 50))).when(n % 9 == 3, "总　则").when(n % 9 == 4, F.concat(F.lit("第"), n.cast("string"), F.lit("章：x"))).when(n % 9 == 5, F.concat(F.lit("第"), n.cast("string"), F.lit("编 "), F.col("text"))).when(n % 9 == 6, "第二部分规定如下")
     found = lambda rows: rows.select("id", T.heading_level(F.col("text")).alias("level"))
-    return found(_texts(spark)).unionByName(found(_line_texts(spark, sf_dir)).where("level is not null"))
+    raw = _line_texts(spark, sf_dir)
+    return found(_texts(spark)).unionByName(found(raw.unionByName(raw.select((-F.col("id")).alias("id"), made.alias("text")))).where("level is not null"))
 
 
 @query
@@ -321,16 +335,37 @@ def toc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cn_numeral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the fixed numerals, of those in documents, and of the ids of documents written by place and by units."""
     rows = spark.createDataFrame([("二〇二四",), ("五百零二",), ("十二",), ("一万二千三百",), ("三亿",), ("一百零五万",), ("两",), ("x",)], "text string")
-    runs = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(T.NUMERAL_RUN), F.lit(0))).alias("text"))
-    return rows.unionByName(runs).distinct().select("text", T.numeral_value(F.col("text")).alias("value"))
+    digits = "〇一二三四五六七八九"
+    n = F.col("doc_id") % 100_000
+    place = lambda k: F.substring(F.lit(digits), (F.floor(n / 10**k) % 10 + 1).cast("int"), F.lit(1))
+    unit = lambda k, u: F.when(F.floor(n / 10**k) % 10 > 0, F.concat(place(k), F.lit(u))).otherwise("")
+    docs = table(spark, sf_dir, "documents")
+    by_place = docs.select(F.translate(F.col("doc_id").cast("string"), "0123456789", digits).alias("text"))
+    by_units = docs.where(n > 0).select(F.concat(unit(4, "万"), unit(3, "千"), unit(2, "百"), unit(1, "十"), unit(0, "")).alias("text"))
+    runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit(T.NUMERAL_RUN), F.lit(0))).alias("text"))
+    return rows.unionByName(runs).unionByName(by_place).unionByName(by_units).distinct().select("text", T.numeral_value(F.col("text")).alias("value"))
+
+
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings, whose evidence says what they say, or less."""
+    n = F.col("event_id")
+    said = lambda c: c.cast("string")
+    text = F.concat(F.lit("自2024年"), said(n % 12 + 1), F.lit("月3日起，比例 "), said(n % 50 + 10), F.lit("%，共 "), said(n), F.lit(".5 元，第 7 项"))
+    evidence = F.concat(F.lit("2024 年"), said(n % 12 + 1), F.lit("月3日，"), F.when(n % 3 > 0, F.concat(said(n % 50 + 10), F.lit("%"))).otherwise(""), F.lit("，金额"), F.when(n % 4 > 0, said(n)).otherwise(F.concat(F.lit("1"), said(n))), F.lit(".5元，五百零二"))
+    return table(spark, sf_dir, "events").select(n.alias("id"), F.concat(text, F.when(n % 5 == 0, "，502 天").otherwise("")).alias("text"), evidence.alias("evidence"), F.when(n % 6 == 0, F.array(F.lit("a"), F.lit("x"))).otherwise(F.array(F.lit("a"))).alias("evidence_ids"), F.array(F.lit("a"), F.lit("b")).alias("allowed_ids"))
 
 
 @query
 def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = [(0, "金额为五百元", "金额为500元"), (1, "违约金 30%", "违约金30%"), (2, "期限 15 天", "期限 150 天"), (3, "自2024年1月2日起", "自2024年1月2日起施行"), (4, "第 3 项", "无"), (5, "利率 4.5", "利率4.5 厘")]
-    rows = spark.createDataFrame(cases, "id long, text string, evidence string").withColumn("evidence_ids", F.array(F.lit("a"))).withColumn("allowed_ids", F.array(F.lit("a"), F.lit("b")))
-    return grounding.checked(rows).select("id", "grounded", F.array_join("unsupported", ",").alias("unsupported"))
+    return grounding.checked(_stated(spark, sf_dir)).select("id", "grounded", F.array_join("unsupported", ",").alias("unsupported"), F.array_join("unknown", ",").alias("unknown"))
+
+
+def _turns_checked(rows: DataFrame) -> DataFrame:
+    ids = F.array(F.col("conv_id").cast("string"))
+    rows = rows.withColumns({"evidence_ids": ids, "allowed_ids": F.when(F.col("evidence").isNull(), F.array().cast("array<string>")).otherwise(ids)})
+    return grounding.checked(rows).select("conv_id", "turn", "grounded", F.array_join("unsupported", ",").alias("unsupported"))
 
 
 @query
@@ -338,9 +373,16 @@ def grounding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations against the document of the conversation's id."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("evidence"))
-    ids = F.array(F.col("conv_id").cast("string"))
-    rows = turns.join(docs, "conv_id", "left").withColumns({"evidence_ids": ids, "allowed_ids": F.when(F.col("evidence").isNull(), F.array().cast("array<string>")).otherwise(ids)})
-    return grounding.checked(rows).select("conv_id", "turn", "grounded", F.array_join("unsupported", ",").alias("unsupported"))
+    return _turns_checked(turns.join(docs, "conv_id", "left"))
+
+
+@query
+def grounding_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations, with their numbers, against the document of the
+    conversation's id, with its number of characters."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), (F.col("turn") + 10).cast("string"), F.lit(" 项")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.concat("text", F.lit(" "), (F.col("n_chars") % 8 + 10).cast("string"), F.lit(" 项")).alias("evidence"))
+    return _turns_checked(turns.join(docs, "conv_id", "left"))
 
 
 @query

@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import answers, jobs, models, retrieval, revision
+from docloom.operators import answers, jobs, models, reports, retrieval, revision
 from docloom.operators.tenants import Actor, TenantScope
 from docloom.operators.transitions import JobLog
-from docloom.plans.common import new_folder, query, table
-from docloom.plans.oracles import KEYWORD
+from docloom.plans.common import knowledge_table, new_folder, query, table
+from docloom.plans.oracles import KEYWORD, KNOWLEDGE, REFERENCE
+from docloom.sources.objects import ObjectStore, filing_key, sent_files
 from docloom.streaming import checkpoints, clauses
 
 ORACLES: dict[str, str] = {}
@@ -291,3 +292,89 @@ WITH c AS (SELECT conv_id AS clause, list(DISTINCT 100 + (turn * 3 + conv_id) %
 r AS ({" UNION ALL ".join(_ROUND.format(r=r) for r in range(3))}),
 s AS (SELECT *, CASE WHEN bad THEN 'failed' WHEN n % 3 = 0 THEN 'complete' WHEN n % 5 = 0 THEN 'needs_retrieval' WHEN n % 7 = 0 OR round = 2 THEN 'review_failed' END AS status FROM r)
 SELECT clause, status, CASE WHEN bad THEN 'unsupported value: ' || said END AS reason, round::INTEGER AS round, (status = 'complete')::INTEGER AS n_findings FROM s WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY clause ORDER BY round) = 1"""
+
+
+# reports, traces, objects
+
+
+@query
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of orders with their line items as findings and evidence, line by line."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("status"))
+    li = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+    n = F.col("l_orderkey") + F.col("l_linenumber")
+    findings = li.select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("place"), F.lit("high").alias("risk_level"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("clause_id"), n.alias("problem"), F.lit("r").alias("reason"), F.lit("s").alias("suggestion"), F.lit(None).cast("string").alias("proposed_clause"))
+    text = lambda k, v: F.when(n % k > 0, F.concat(F.lit(v), (n % k).cast("string")))
+    line = reports.evidence_line(text(2, "title"), text(3, "art"), n % 4, text(5, "v"), F.when(n % 6 > 0, "").otherwise("https://a.b"))
+    evidence = li.select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("place"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"), n.alias("n"), line.alias("line")).where("rank = 1 or n % 2 = 0")
+    return reports.report_lines(o, findings, evidence).select("job", "line", "page", F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLES["report_pages"] = """
+WITH li AS (SELECT DISTINCT l_orderkey AS job, l_linenumber AS place, l_orderkey + l_linenumber AS n FROM lineitem),
+e AS (SELECT *, '证据：《' || CASE WHEN n % 2 > 0 THEN 'title1' ELSE '证据来源' END || '》' || CASE WHEN n % 3 > 0 THEN 'art' || (n % 3) ELSE '' END || CASE WHEN n % 4 > 0 THEN '，第 ' || (n % 4) || ' 页' ELSE '' END || CASE WHEN n % 5 > 0 THEN '，v' || (n % 5) ELSE '' END || CASE WHEN n % 6 = 0 THEN '，https://a.b' ELSE '' END AS line FROM li),
+x AS (SELECT o_orderkey AS job, 0 AS place, 0 AS part, unnest([0, 1, 2]) AS k, unnest(['任务：' || o_orderkey, '状态：' || o_orderstatus, '']) AS text FROM orders
+  UNION ALL SELECT job, place, 1, unnest(range(6)), unnest(['风险：high', '条款：c' || place, '问题：' || n, '理由：r', '建议：s', '参考条款：']) FROM li
+  UNION ALL SELECT job, place, 2, r, line FROM e, (VALUES (1), (2)) v(r) WHERE r = 1 OR n % 2 = 0 UNION ALL SELECT job, place, 3, 0, '' FROM li)
+SELECT job, line::INTEGER AS line, (line // 46 + 1)::INTEGER AS page, sha256(text) AS text_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY place, part, k) - 1 AS line FROM x)"""
+
+
+@query
+def retrieval_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two channels found for each query, as JSON, and the request to judge it."""
+    docs = table(spark, sf_dir, "documents")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text", F.array().cast("array<string>").alias("articles"), T.search_terms(F.col("text")).alias("terms"))
+    keyword = retrieval.keyword_channel(docs.select(F.col("doc_id").alias("item"), T.word_tokens(F.col("text")).alias("tokens")), asked, 3)
+    titled = retrieval.reference_channel(docs.select(F.col("doc_id").alias("item"), F.split("text", "\n")[0].alias("title"), T.article_number(F.col("text")).alias("article")), asked, 2)
+    found = reports.traces({"keyword": keyword.withColumn("score", (F.col("score") * 10).cast("int")), "reference": titled.withColumn("score", F.col("score").cast("int"))})
+    texts = keyword.join(docs.select(F.col("doc_id").alias("item"), F.split("text", "\n")[0].alias("line")), "item").groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("lines"))
+    told = asked.join(texts, "query").select("query", F.sha2(reports.judge_request(F.col("text"), F.col("lines")), 256).alias("request_sha256"))
+    return found.join(told, "query", "left")
+
+
+ORACLES["retrieval_traces"] = f"""
+WITH {KEYWORD}, {REFERENCE},
+h AS (SELECT query, 1 AS c, item, rank, n FROM (SELECT query, item, rank, round(score * 10)::INTEGER AS n FROM keyword WHERE rank <= 3) UNION ALL SELECT query, 2, item, rank, 1 FROM reference WHERE rank <= 2),
+j AS (SELECT query, string_agg('{{"chunk_id":' || item || ',"rank":' || rank || ',"score":' || n || '}}', ',' ORDER BY rank) FILTER (c = 1) AS k, string_agg('{{"chunk_id":' || item || ',"rank":' || rank || ',"score":' || n || '}}', ',' ORDER BY rank) FILTER (c = 2) AS r FROM h GROUP BY query),
+b AS (SELECT query, string_agg('[E' || rank || '] ' || string_split(d.text, chr(10))[1], chr(10) ORDER BY rank) AS e FROM keyword JOIN documents d ON d.doc_id = item WHERE rank <= 3 GROUP BY query)
+SELECT query, '{{"query":"' || query || '","channels":[{{"name":"vector","hits":[]}},{{"name":"keyword","hits":[' || coalesce(k, '') || ']}},{{"name":"reference","hits":[' || coalesce(r, '') || ']}}]}}' AS trace,
+  sha256('待审核条款检索词：' || chr(10) || m.text || chr(10) || chr(10) || '候选证据：' || chr(10) || e || chr(10) || chr(10) || '请输出 JSON 对象，字段为 sufficient、missing_points、follow_up_queries、usable_evidence_ids、rejected_evidence。') AS request_sha256
+FROM j LEFT JOIN b USING (query) LEFT JOIN benchmark m ON m.item_id = query"""
+
+
+@query
+def object_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages sent as base64 and put under their hashes, twice and with other bytes."""
+    p = table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    sent = sent_files(p.select("page_id", F.when(n % 9 == 0, "no base64!").otherwise(F.regexp_replace(F.base64(F.encode("html", "utf-8")), "\\s", "")).alias("data"), F.lit("").alias("name"), F.lit(None).cast("string").alias("kind")), "data", "name", "kind")
+    rows = sent.where("problem is null").select("page_id", filing_key(F.concat(F.lit("t"), (n % 3).cast("string")), F.sha2("bytes", 256)).alias("key"), F.col("bytes").alias("content"))
+    store = ObjectStore(spark, new_folder(spark, "objects"), most=1 << 20)
+    first = store.put(rows.where("page_id % 2 = 0"), "first").select(F.lit("first").alias("batch"), "answer")
+    more = rows.unionByName(rows.where("page_id % 5 = 0").withColumn("content", F.encode(F.lit("other"), "utf-8"))).unionByName(rows.where("page_id % 7 = 0").withColumn("key", F.lit("../x")))
+    second = store.put(more, "second").select(F.lit("second").alias("batch"), "answer")
+    again = store.put(more, "second").select(F.lit("again").alias("batch"), "answer")
+    read = store.get(rows.select("key").unionByName(spark.createDataFrame([("public/law/none",)], "key string"))).select(F.lit("read").alias("batch"), F.when(F.col("content").isNull(), "none").when(F.col("key").endswith(F.sha2("content", 256)), "whole").otherwise("other").alias("answer"))
+    return first.unionByName(second).unionByName(again).unionByName(read).groupBy("batch", "answer").agg(F.count("*").alias("n"))
+
+
+ORACLES["object_puts"] = """
+WITH r AS (SELECT page_id AS n, 't' || (page_id % 3) || '/' || sha256(html) AS key, sha256(html) AS sha, sha256(html) > sha256('other') AS later FROM pages WHERE page_id % 9 <> 0),
+k AS (SELECT key, bool_or(n % 2 = 0) AS early, bool_or(n % 5 = 0) AS twice, bool_or(later) AS later FROM r GROUP BY key)
+SELECT batch, answer, n FROM (
+  SELECT 'first' AS batch, 'created' AS answer, count(*) FILTER (early) AS n FROM k UNION ALL SELECT 'second', 'created', count(*) FILTER (NOT early) FROM k UNION ALL SELECT 'second', 'exists', count(*) FILTER (early) FROM k
+  UNION ALL SELECT 'again', 'exists', count(*) FROM k
+  UNION ALL SELECT b, 'conflict', count(*) FILTER (twice) FROM k, (VALUES ('second'), ('again')) v(b) GROUP BY b UNION ALL SELECT b, 'key not allowed', count(DISTINCT sha) FILTER (n % 7 = 0) FROM r, (VALUES ('second'), ('again')) v(b) GROUP BY b
+  UNION ALL SELECT 'read', 'other', count(*) FILTER (NOT early AND twice AND later) FROM k UNION ALL SELECT 'read', 'whole', count(*) FILTER (NOT coalesce(NOT early AND twice AND later, false)) FROM k UNION ALL SELECT 'read', 'none', 1) WHERE n > 0"""
+
+
+@query
+def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after requests of a tenant's administrator to archive and restore them."""
+    docs = knowledge_table(spark, sf_dir).select(F.col("doc_id").alias("doc"), "scope", "tenant_id", F.lit("active").alias("status"))
+    asked = docs.where("doc % 3 = 0").select("doc", F.when(F.col("doc") % 2 == 0, "archived").otherwise("inactive").alias("status")).unionByName(docs.where("doc % 6 = 0").select("doc", F.lit("inactive").alias("status")))
+    after, told = TenantScope(Actor("root", "src3", "admin")).with_status(docs, asked)
+    return after.join(told, "doc", "left").select("doc", "status", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
+ORACLES["lifecycle"] = f"WITH {KNOWLEDGE}, m AS (SELECT doc_id AS doc, doc_id % 3 = 0 AND scope <> 'public' AND coalesce(tenant_id, '') = 'src3' AS c FROM k) SELECT doc, CASE WHEN NOT c THEN 'active' WHEN doc % 2 = 0 THEN 'archived' ELSE 'inactive' END AS status, c AS changed FROM m"
