@@ -1,36 +1,43 @@
-"""Benchmark decontamination with an Aho-Corasick automaton.
+"""Benchmark decontamination with Aho-Corasick automata over words.
 
 Texts and benchmark items are normalised alike (A-Z lower-cased, words of
-digits, letters and anything beyond ASCII, one space between them). All windows
-of all items go into one automaton, built once in each worker, which scans each
-normalised text once; hits are mapped back to offsets in the original text.
-
-An automaton takes about forty times the bytes of its windows, so it is made
-for items of a stated total size only. A larger benchmark is never collected:
-the hashes of its windows are joined with those of the texts' windows, which
-finds the same.
+digits, letters and anything beyond ASCII). The windows of all items go into an
+automaton whose letters are words, which scans each text's words once; hits are
+mapped back to offsets in the original text.
+
+An automaton is made for a block of items of a stated size. A benchmark of one
+block has its automaton built once in each worker, which texts stream through.
+With more blocks a task takes texts in bounded batches and scans each batch with
+one block's automaton after the other. Items reach the tasks by a broadcast of a
+stated size; a larger benchmark makes several passes over the texts, each with a
+part of the items, whose broadcast goes before the next is made. At any size
+every window is found by an automaton, and texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import columns_free_of, written
 
+BLOCK_BYTES = 1 << 20  # of item text behind one automaton, which takes up to about a hundred times that
+PASS_BYTES = 64 << 20  # of item text in one broadcast
+BATCH_BYTES = 32 << 20  # of text that a task holds while block after block scans it
+
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-_built: dict[str, ahocorasick.Automaton] = {}
+_built: dict[tuple[str, int], "Matcher"] = {}
 
 RESULT = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -40,80 +47,114 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def windows(items: list[tuple[int, str | None]], n: int) -> dict[str, tuple[int, list[int]]]:
-    """Each window as the automaton sees it, with its word count and items."""
-    out: dict[str, tuple[int, list[int]]] = {}
-    for item, text in items:
-        words = normal_words(text)
-        size = min(n, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            _, owners = out.setdefault(f" {b' '.join(words[i : i + size]).decode()} ", (size, []))
-            if item not in owners:
-                owners.append(item)
-    return out
+Item = tuple[int, list[bytes]]
 
 
-def automaton(name: str, found: dict[str, tuple[int, list[int]]]) -> ahocorasick.Automaton:
-    """Built once in each worker."""
-    if name not in _built:
+def blocks_of(items: list[tuple[int, str | None]], n: int, block_bytes: int) -> list[list[Item]]:
+    """The words of items in blocks of about block_bytes. An item that is larger
+    goes into several, which overlap by all but one word of a window."""
+    blocks: list[list[Item]] = [[]]
+    room = block_bytes
+    for item, text in items:
+        words = normal_words(text)
+        start = 0
+        while start < len(words):
+            end, size = start, 0
+            while end < len(words) and (end - start < n or size < max(room, 1)):
+                size += len(words[end]) + 1
+                end += 1
+            blocks[-1].append((item, words[start:end]))
+            room -= size
+            if room <= 0:
+                blocks.append([])
+                room = block_bytes
+            if end == len(words):
+                break
+            start = end - n + 1
+    return [b for b in blocks if b]
+
+
+class Matcher:
+    """The automaton of a block of items."""
+
+    def __init__(self, items: list[Item], n: int):
+        self.ids: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        found: dict[tuple[int, ...], list[int]] = {}
+        for item, words in items:
+            at = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
+            size = min(n, len(at))
+            for i in range(len(at) - size + 1):
+                owners = found.setdefault(tuple(at[i : i + size]), [])
+                if item not in owners:
+                    owners.append(item)
+        for window, owners in found.items():
+            self.automaton.add_word(window, (len(window), owners))
+        self.some = bool(found)
+        if found:
+            self.automaton.make_automaton()
+
+    def hits(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, list[int]]]]:
+        """The last word of each window that occurs, and its size and items."""
+        at = tuple([self.ids.get(w, 0) for w in words])
+        return self.automaton.iter(at) if self.some and any(at) else iter(())
+
+
+def matcher(name: str, number: int, block: list[Item], n: int) -> Matcher:
+    """Built once in each worker while it is the only one of its benchmark in use."""
+    if (name, number) not in _built:
         _built.clear()
-        a = ahocorasick.Automaton()
-        for window, value in found.items():
-            a.add_word(window, value)
-        a.make_automaton()
-        _built[name] = a
-    return _built[name]
-
-
-def scan(a: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-    """Word ranges that windows occupy, and the items they are from."""
-    text = f" {b' '.join(words).decode()} "
-    hits = [(end, value) for end, value in a.iter(text)] if words else []
-    if not hits:
-        return [], set()
-    after = np.array(list(accumulate(len(w.decode()) + 1 for w in words)))  # place of the space after each word
-    ends = np.searchsorted(after, [end for end, _ in hits]) + 1
-    return [(int(e) - n, int(e)) for e, (_, (n, _)) in zip(ends, hits)], {i for _, (_, owners) in hits for i in owners}
+        _built[name, number] = Matcher(block, n)
+    return _built[name, number]
+
+
+def scanned(name: str, blocks: list[list[Item]], n: int, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[int]]]:
+    """For each text, as words, the ranges that windows occupy and the items they are from."""
+    out: list[tuple[list[tuple[int, int]], set[int]]] = [([], set()) for _ in texts]
+    for number, block in enumerate(blocks):
+        m = matcher(name, number, block, n)
+        for words, (ranges, items) in zip(texts, out):
+            for last, (size, owners) in m.hits(words):
+                ranges.append((last + 1 - size, last + 1))
+                items.update(owners)
+    return out
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
     return columns_free_of(benchmark, "item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
 
 
-def shared_windows(benchmark: DataFrame, n: int, automaton_bytes: int):
-    """The windows of all items, broadcast; None if the items are larger than that."""
+def passes(benchmark: DataFrame, pass_bytes: int) -> list[DataFrame]:
+    """The items in parts of about pass_bytes, one if they all fit."""
     items = items_of(benchmark)
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > automaton_bytes:
-        return None
-    rows = items.collect()  # automaton_bytes at most
-    return benchmark.sparkSession.sparkContext.broadcast(windows(sorted((r.item_id, r.text) for r in rows), n))
-
+    parts = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // pass_bytes + 1
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) for p in range(parts)] if parts > 1 else [items]
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """node (a digest of a text of docs), ranges (start, end) of words that are
-    windows of items, and these items, by a join on 128-bit window hashes."""
 
-    def hashed(batches: Iterator[pa.RecordBatch], name: str, sizes: list[int] | None) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = normal_words(text)
-                at = [(i, k) for k in (sizes or [min(n, len(words))]) if k for i in range(len(words) - k + 1)]
-                raw = [xxhash.xxh3_128_digest(b" ".join(words[i : i + k])) for i, k in at]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), batch.schema.field(0).type), pa.array([i for i, _ in at], pa.int64()), pa.array([k for _, k in at], pa.int64()), pa.array(raw, pa.binary())], [name, "start", "size", "h"])
-
-    of_items = written(items_of(benchmark).mapInArrow(lambda b: hashed(b, "item_id", None), "item_id long, start long, size long, h binary").select("item_id", "size", "h").distinct(), "windows")
-    sizes = sorted(r["size"] for r in of_items.select("size").distinct().collect())  # from 1 to n
-    texts = docs.select(_node().alias("node"), "text").dropDuplicates(["node"])
-    of_texts = texts.mapInArrow(lambda b: hashed(b, "node", sizes or [n]), "node string, start long, size long, h binary")
-    hits = of_texts.join(of_items, ["h", "size"])
-    return hits.groupBy("node").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("ranges"), F.collect_set("item_id").alias("items"))
+def shared_blocks(items: DataFrame, n: int, block_bytes: int) -> Broadcast:
+    rows = items.collect()  # a pass's bytes at most, but for an item that is larger alone
+    return items.sparkSession.sparkContext.broadcast(blocks_of(sorted((r.item_id, r.text) for r in rows), n, block_bytes))
 
 
 def _node() -> Column:
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, automaton_bytes: int = 400_000) -> DataFrame:
+def found_in_passes(docs: DataFrame, parts: list[DataFrame], n: int, block_bytes: int) -> DataFrame:
+    """node (a digest of a text of docs), ranges and items of the texts that hold
+    any window, gathered pass by pass."""
+    texts, hits = docs.select(_node().alias("node"), "text"), []
+    for items in parts:
+        shared = shared_blocks(items, n, block_bytes)
+        hits.append(written(texts.mapInArrow(_hits(shared, n), "node string, ranges array<struct<start:long,end:long>>, items array<long>"), "hits"))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, hits)
+    # equal texts give equal hits in each pass
+    once = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    return every.groupBy("node").agg(once("ranges"), once("items"))
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_words, n_hit
     (words inside a window of an item), items (ids of items with windows in
     it, ascending) and spans (the hit stretches of the original text, in code
@@ -123,48 +164,93 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, automaton
     whole item if that is shorter. A null text has no words, on either side;
     items with a null id are left out; repeated items count once; an empty
     benchmark hits nothing; rows that share a doc_id are looked at one by one;
-    other columns are ignored. automaton_bytes bounds the item text behind the
-    automaton; beyond it windows are joined by hash.
+    other columns are ignored. block_bytes bounds the item text behind one
+    automaton, pass_bytes that of one broadcast; neither changes the result.
     """
     rows = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = shared_windows(benchmark, n, automaton_bytes)
-    if shared is not None:
-        return rows.mapInArrow(_scanner(shared, uuid.uuid4().hex), RESULT)
-    found = window_hits(rows, benchmark, n).withColumnRenamed("node", "__node")
+    parts = passes(benchmark, pass_bytes)
+    if len(parts) == 1:
+        return rows.mapInArrow(_scanner(shared_blocks(parts[0], n, block_bytes), n), RESULT)
+    found = found_in_passes(rows, parts, n, block_bytes).withColumnRenamed("node", "__node")
     return rows.join(found, _node() == F.col("__node"), "left").select("doc_id", "text", "ranges", "items").mapInArrow(_told, RESULT)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, automaton_bytes: int = 400_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of a
     benchmark item occurs. Null and empty texts stay, as do all rows if the
     benchmark is empty; repeated rows are treated alike."""
-    shared = shared_windows(benchmark, n, automaton_bytes)
-    if shared is not None:
-        return docs.where(~_hit_test(shared, uuid.uuid4().hex)("text"))
-    found = window_hits(columns_free_of(docs, "text"), benchmark, n).select(F.col("node").alias("__node"))
+    parts = passes(benchmark, pass_bytes)
+    if len(parts) == 1:
+        return docs.where(~_hit_test(shared_blocks(parts[0], n, block_bytes), n)("text"))
+    found = found_in_passes(columns_free_of(docs, "text"), parts, n, block_bytes).select(F.col("node").alias("__node"))
     return docs.join(found, _node() == F.col("__node"), "left_anti")
 
 
-def _hit_test(shared, name: str):
+def _hit_test(shared: Broadcast, n: int) -> Callable[[str], Column]:
+    name = uuid.uuid4().hex
+
     @F.pandas_udf("boolean")
     def hit(texts: pd.Series) -> pd.Series:
-        a = automaton(name, shared.value)
-        found = lambda t: len(a) > 0 and next(a.iter(f" {b' '.join(normal_words(t)).decode()} "), None) is not None
-        return pd.Series([found(t) for t in texts], dtype=bool)
+        words = [normal_words(t) for t in texts]
+        out = np.zeros(len(words), bool)
+        for number, block in enumerate(shared.value):
+            m = matcher(name, number, block, n)
+            for i in np.flatnonzero(~out):
+                out[i] = next(m.hits(words[i]), None) is not None
+        return pd.Series(out)
 
     return hit
 
 
-def _scanner(shared, name: str):
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
+    """Rows of batches, as many together as have `most` bytes."""
+    rows, size = [], 0
+    for batch in batches:
+        rows += zip(*(c.to_pylist() for c in batch.columns))
+        size += batch.nbytes
+        if size >= most:
+            yield rows
+            rows, size = [], 0
+    yield rows
+
+
+def _looked_at(shared: Broadcast, n: int, batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple]:
+    """Each row (key, text) with its words and what was found in it."""
+    blocks = shared.value
+    for rows in _gathered(batches, BATCH_BYTES if len(blocks) > 1 else 1):
+        words = [normal_words(t) for _, t in rows]
+        for (key, text), w, (ranges, items) in zip(rows, words, scanned(name, blocks, n, words)):
+            yield key, text, w, ranges, items
+
+
+def _in_batches(rows: Iterator[tuple], make: Callable[[list[tuple]], pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) == size:
+            yield make(held)
+            held = []
+    yield make(held)
+
+
+def _scanner(shared: Broadcast, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches((_result(key, text, w, ranges, sorted(items)) for key, text, w, ranges, items in _looked_at(shared, n, batches, name)), _batch)
+
+    return run
+
+
+def _hits(shared: Broadcast, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    name = uuid.uuid4().hex
+    ranges_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([[{"start": s, "end": e} for s, e in r[1]] for r in rows], ranges_type), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.int64()))], ["node", "ranges", "items"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(name, shared.value)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = normal_words(text)
-                ranges, items = scan(a, words) if len(a) else ([], set())
-                rows.append(_result(doc_id, text, words, ranges, sorted(items)))
-            yield _batch(rows)
+        return _in_batches(((key, ranges, items) for key, _, _, ranges, items in _looked_at(shared, n, batches, name) if ranges), made)
 
     return run
 

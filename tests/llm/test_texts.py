@@ -54,14 +54,58 @@ def test_decontamination_spans_and_blocks(spark, docs):
     item = " ".join(f"Q{i}" for i in range(12))
     bench = spark.createDataFrame([(1, item), (2, "short one"), (2, "short one"), (None, "x"), (4, None), (5, "!!")], "item_id long, text string")
     d = docs((1, f"É -- {item.upper()}! tail"), (2, "a SHORT, one b"), (3, None), (4, "q1 q2 q3"), (5, "x"))
-    for most in (200_000, 5):
-        got = {r.doc_id: r for r in decontaminate.find_benchmark(d, bench, automaton_bytes=most).collect()}
+    for sizes in ({}, {"block_bytes": 5}, {"block_bytes": 30, "pass_bytes": 5}):
+        got = {r.doc_id: r for r in decontaminate.find_benchmark(d, bench, **sizes).collect()}
         assert [(got[i].n_words, got[i].n_hit, got[i]["items"]) for i in (1, 2, 3, 4, 5)] == [(14, 12, [1]), (4, 2, [2]), (0, 0, []), (3, 0, []), (1, 0, [])]
         assert [(s.start, s.end) for s in got[1].spans] == [(5, 5 + len(item))]
-        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(d, bench, automaton_bytes=most).collect()) == [3, 4, 5]
+        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(d, bench, **sizes).collect()) == [3, 4, 5]
     assert decontaminate.find_benchmark(d.limit(0), bench.limit(0)).count() == 0
 
 
+def decontamination_model(rows, bench, n=10):
+    normal = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    owners = {}
+    for item, text in bench:
+        w = normal(text)
+        k = min(n, len(w))
+        for i in range(len(w) - k + 1 if k else 0):
+            owners.setdefault(tuple(w[i : i + k]), set()).add(item)
+    out = {}
+    for i, text in rows:
+        w, hit, items = normal(text), set(), set()
+        for k in range(1, n + 1):
+            for p in range(len(w) - k + 1):
+                found = owners.get(tuple(w[p : p + k]), ())
+                if found:
+                    hit |= set(range(p, p + k))
+                    items |= found
+        out[i] = (len(w), len(hit), sorted(items))
+    return out
+
+
+def test_decontamination_by_blocks_is_brute_force(spark, docs):
+    rng = random.Random(8)
+    bench = [(i, words(rng, rng.choice([1, 2, 5, 9, 10, 11, 40]), 60)) for i in range(40)] + [(99, words(rng, 300, 60))]
+    cut = lambda t: (lambda w, a: " ".join(w[a : a + rng.randrange(5, 30)]))(t.split(), rng.randrange(5))
+    rows = [(i, f"{words(rng, 20)} {cut(rng.choice(bench)[1]).upper()}, {words(rng, 9)} {cut(rng.choice(bench)[1])}") for i in range(60)]
+    want = decontamination_model(rows, bench)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    for sizes in ({}, {"block_bytes": 40}, {"block_bytes": 40, "pass_bytes": 700}):
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.find_benchmark(docs(*rows), items, **sizes).collect()}
+        assert got == want
+        clean = sorted(i for i, (_, hit, _) in want.items() if not hit)
+        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs(*rows), items, **sizes).collect()) == clean
+
+
+def test_decontamination_with_megabytes_of_items(spark, docs):
+    rng = random.Random(9)
+    bench = [(i, words(rng, 2_000, 5_000)) for i in range(450)]
+    assert sum(len(t) for _, t in bench) > 5_000_000 > 4 * decontaminate.BLOCK_BYTES
+    rows = [(i, " ".join([words(rng, 30, 5_000), *bench[i][1].split()[7 * i : 7 * i + 9 + i % 3]])) for i in range(200)]
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.find_benchmark(docs(*rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {i: (9 + i % 3, [i]) if i % 3 else (0, []) for i in range(200)}
+
+
 def test_decontamination_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     rows = decontaminate.find_benchmark(odd, bench).collect()
