@@ -240,6 +240,39 @@ def test_neighbours_recall_scores_and_ties(spark):
     assert ann.nearest(df.where("vec_id < 3"), F.lit(True), k=5).count() == 6
 
 
+@pytest.mark.parametrize("noise", [0.3, 0.1, 0.02])
+def test_neighbours_recall_in_tight_groups(spark, noise):
+    rng = np.random.default_rng(17)
+    centre = rng.normal(size=64)
+    x = np.vstack([centre / np.linalg.norm(centre) + noise * rng.normal(size=(6000, 64)) / 8, rng.normal(size=(6000, 64))])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = {True: [], False: []}
+    for i in range(0, len(x), 50):
+        s = u @ u[i]
+        s[i] = -2
+        hits[i < 6000].append(len(got[i] & set(np.argsort(-s)[:5].tolist())))
+    assert all(sum(h) / (5 * len(h)) >= 0.9 for h in hits.values()), {k: sum(h) / (5 * len(h)) for k, h in hits.items()}
+
+
+def test_neighbours_stay_in_few_cells_where_angles_tell(spark):
+    """Groups far apart: what is not of a query's own group is never visited."""
+    rng = np.random.default_rng(18)
+    x = np.vstack([c + 0.02 * rng.normal(size=(80, 32)) for c in rng.normal(size=(25, 32))])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, k=5, first_cells=2, block_rows=64, rerank=10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, len(x), 50):
+        s = u @ u[i]
+        s[i] = -2
+        assert len(got[i] & set(np.argsort(-s)[:5].tolist())) >= 4
+
+
 def test_toxicity_learns_from_unheld_labels_only(spark, docs):
     rng = random.Random(6)
     text = lambda bad: " ".join([f"wort{rng.randrange(300)}" for _ in range(40)] + ([f"zork{rng.randrange(9)}a", "idiot"] if bad else []))
