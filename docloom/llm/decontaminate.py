@@ -1,9 +1,9 @@
-"""Benchmark decontamination with Aho-Corasick automata over words.
+"""Benchmark decontamination with Aho-Corasick automata.
 
 Texts and benchmark items are normalised alike (A-Z lower-cased, words of
-digits, letters and anything beyond ASCII). The windows of all items go into an
-automaton whose letters are words, which scans each text's words once; hits are
-mapped back to offsets in the original text.
+digits, letters and anything beyond ASCII, one space between them). The windows
+of all items go into an automaton, which scans each normalised text once; hits
+are mapped back to offsets in the original text.
 
 An automaton is made for a block of items of a stated size. A benchmark of one
 block has its automaton built once in each worker, which texts stream through.
@@ -20,6 +20,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import columns_free_of, written
 
-BLOCK_BYTES = 1 << 20  # of item text behind one automaton, which takes up to about a hundred times that
+BLOCK_BYTES = 400_000  # of item text behind one automaton, which takes some hundred times that
 PASS_BYTES = 64 << 20  # of item text in one broadcast
 BATCH_BYTES = 32 << 20  # of text that a task holds while block after block scans it
 
@@ -78,26 +79,31 @@ class Matcher:
     """The automaton of a block of items."""
 
     def __init__(self, items: list[Item], n: int):
-        self.ids: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        found: dict[tuple[int, ...], list[int]] = {}
+        self.automaton = ahocorasick.Automaton()
+        found: dict[str, tuple[int, list[int]]] = {}
         for item, words in items:
-            at = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
-            size = min(n, len(at))
-            for i in range(len(at) - size + 1):
-                owners = found.setdefault(tuple(at[i : i + size]), [])
+            size = min(n, len(words))
+            for i in range(len(words) - size + 1):
+                _, owners = found.setdefault(f" {b' '.join(words[i : i + size]).decode()} ", (size, []))
                 if item not in owners:
                     owners.append(item)
-        for window, owners in found.items():
-            self.automaton.add_word(window, (len(window), owners))
-        self.some = bool(found)
+        for window, value in found.items():
+            self.automaton.add_word(window, value)
         if found:
             self.automaton.make_automaton()
 
-    def hits(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, list[int]]]]:
-        """The last word of each window that occurs, and its size and items."""
-        at = tuple([self.ids.get(w, 0) for w in words])
-        return self.automaton.iter(at) if self.some and any(at) else iter(())
+    def occurs(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, list[int]]]]:
+        """Where each window that occurs ends in the normalised text, and its size and items."""
+        return self.automaton.iter(f" {b' '.join(words).decode()} ") if words and len(self.automaton) else iter(())
+
+    def hits(self, words: list[bytes]) -> list[tuple[int, int, list[int]]]:
+        """The range of words of each window that occurs, and its items."""
+        found = list(self.occurs(words))
+        if not found:
+            return []
+        after = np.array(list(accumulate(len(w.decode()) + 1 for w in words)))  # place of the space after each word
+        ends = (np.searchsorted(after, [end for end, _ in found]) + 1).tolist()
+        return [(e - size, e, owners) for e, (_, (size, owners)) in zip(ends, found)]
 
 
 def matcher(name: str, number: int, block: list[Item], n: int) -> Matcher:
@@ -114,8 +120,8 @@ def scanned(name: str, blocks: list[list[Item]], n: int, texts: list[list[bytes]
     for number, block in enumerate(blocks):
         m = matcher(name, number, block, n)
         for words, (ranges, items) in zip(texts, out):
-            for last, (size, owners) in m.hits(words):
-                ranges.append((last + 1 - size, last + 1))
+            for start, end, owners in m.hits(words):
+                ranges.append((start, end))
                 items.update(owners)
     return out
 
@@ -196,7 +202,7 @@ def _hit_test(shared: Broadcast, n: int) -> Callable[[str], Column]:
         for number, block in enumerate(shared.value):
             m = matcher(name, number, block, n)
             for i in np.flatnonzero(~out):
-                out[i] = next(m.hits(words[i]), None) is not None
+                out[i] = next(m.occurs(words[i]), None) is not None
         return pd.Series(out)
 
     return hit
