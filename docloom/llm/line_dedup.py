@@ -31,7 +31,6 @@ from docloom.llm.common import columns_free_of, written
 from docloom.llm.links import linked
 
 CLASS_WIDTH, LONG, LONG_WIDTH = 8, 128, 32  # length classes are wider from LONG characters on
-SALTS = 8
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -229,11 +228,13 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, short_char
     parts = line_components(docs, edits, min_chars, short_chars)
     slim = lines_of(docs).select("doc_id", "th", "pos", "h1", "h2", named().alias("item")).join(parts, "item", "left")
     slim = slim.select("doc_id", "th", "pos", *[F.when(F.col("component").isNull(), F.col(h)).otherwise(F.xxhash64(F.lit(i), "component")).alias(c) for i, (c, h) in enumerate([("c1", "h1"), ("c2", "h2")])], F.col("component").isNotNull().alias("far"))
-    slim = written(slim.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")), "classes")
-    # a class's first line; a very common line's class meets it in several tasks
-    first = slim.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("c1", "c2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    told = slim.join(first, ["c1", "c2", "salt"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "far", "first")).alias("__told"))  # of one document
+    slim = written(slim, "classes")
+    # a class's first line; classes of more lines than a fair share of a task meet it where they are
+    first = written(slim.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    share = int(first.agg(F.sum("n")).first()[0] or 0) // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    hot, other = first.where(F.col("n") > share).drop("n"), first.where(F.col("n") <= share).drop("n")  # no more hot ones than four for each partition
+    met = slim.join(F.broadcast(hot), ["c1", "c2"]).unionByName(slim.join(F.broadcast(hot.select("c1", "c2")), ["c1", "c2"], "left_anti").join(other, ["c1", "c2"]))
+    told = met.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "far", "first"))).alias("__told"))  # of one document
     # repeated rows give each place several times, and collect_set one of them
     extra = told.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__told")
     keyed = docs.withColumn("__id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__th0", F.xxhash64("text"))
@@ -242,16 +243,28 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, short_char
     joined = joined.withColumn("__gone", F.coalesce(late["pos"], F.array().cast("array<int>")))
     joined = joined.withColumn("__lines", F.split("text", "\n", -1))  # by a name of its own, for a new text is selected beside it
     lines = F.col("__lines")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_gone, n_all = F.size("__gone"), F.size(lines)
+    # places are read one by one; an array of all of them, made from another, would be made again for each
+    gone = (lambda k: F.get("__gone", k), n_gone)
+    begin = lambda places, k: F.when(k == 0, 0).otherwise(places[0](k - 1) + 1)  # noqa: E731, of the stretch before the k-th place
+    until = lambda places, k: F.when(k == places[1], n_all).otherwise(places[0](k))
+    none = F.array().cast("array<int>")
+    stretch = lambda places, k: F.when(begin(places, k) < until(places, k), F.sequence(begin(places, k), until(places, k) - 1)).otherwise(none)  # noqa: E731, places in it
+    # the stretches between the places that go: each line is looked at once
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), n_gone), lambda k: F.transform(stretch(gone, k), lambda i: F.get(lines, i))))
+    text = F.when(n_gone == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
     blank = lambda x: F.ltrim(x, F.lit(BLANKS)) == ""
     n_lines = F.coalesce(F.size(F.filter(lines, lambda x: ~blank(x))), F.lit(0)).cast("long")
     added = [n_lines.alias("n_lines"), F.size("__gone").cast("long").alias("n_removed")]
     if classes:
-        known = F.map_from_entries(F.transform(F.coalesce("__told", F.from_json(F.lit("[]"), extra.schema["__told"].dataType)), lambda x: F.struct(x["pos"], x["first"])))
-        own = F.struct(F.col("__id0").alias("doc_id"), F.lit(0).alias("pos"))
-        at = F.filter(F.transform(lines, lambda x, i: F.when(~blank(x), i)), lambda i: i.isNotNull())
-        firsts = let(known, lambda m: F.transform(at, lambda i: F.coalesce(F.try_element_at(m, i), own.withField("pos", i))))
+        joined = joined.withColumn("__told", F.coalesce("__told", F.from_json(F.lit("[]"), extra.schema["__told"].dataType)))
+        known = (lambda k: F.get("__told", k)["pos"], F.size("__told"))
+        own = lambda i: F.struct(F.col("__id0").alias("doc_id"), i.alias("pos"))
+        alone = lambda k: F.transform(F.filter(stretch(known, k), lambda i: ~blank(F.get(lines, i))), own)
+        last = lambda k: F.when(k < F.size("__told"), F.array(F.get("__told", k)["first"])).otherwise(F.slice(F.transform("__told", lambda x: x["first"]), 1, 0))
+        listed = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__told")), lambda k: F.concat(alone(k), last(k))))
+        joined = joined.withColumn("__firsts", F.when(lines.isNotNull(), listed))
+        firsts = F.col("__firsts")
         n_links = F.coalesce(F.size(F.filter("__told", lambda x: x["far"])), F.lit(0)).cast("long")
         added += [n_links.alias("n_links"), F.transform(firsts, lambda x: x["doc_id"]).alias("class_docs"), F.transform(firsts, lambda x: x["pos"]).alias("class_places")]
     new = {"n_lines", "n_removed"} | ({"n_links", "class_docs", "class_places"} if classes else set())

@@ -2,7 +2,7 @@
 
 Documents are encoded, ended with an end id and cut: whole windows first, and
 what is left over as one shorter piece. Pieces are dealt at random into groups
-of bounded size, and each group is packed on its own: longest piece first, each
+of about 50,000, and each group is packed on its own: longest piece first, each
 into the open sequence that leaves the least room. A segment tree over the
 remaining capacities finds that sequence. With tens of thousands of pieces in a
 group, what is lost against one global packing is far below a thousandth.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from docloom.llm.tokens import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+_NUMBERED = _PIECE.append(pa.field("number", pa.int64()))
 
 
 class CapacityTree:
@@ -81,10 +83,12 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Pieces of at most capacity ids: doc_id, start, length, ids_crc32,
-    doc_tokens (with the end id) and ids (null unless keep_ids)."""
+    doc_tokens (with the end id), ids (null unless keep_ids) and number, which no
+    two pieces share: the task's, and the piece's within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), np.uint32(end_id).tobytes()
+        number = (TaskContext.get().partitionId() << 40) - 1
         for batch in batches:
             rows = []
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -93,10 +97,11 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, en
                 n = len(raw) // 4
                 for s in range(0, n, capacity):
                     part = raw[4 * s : 4 * (s + capacity)]
-                    rows.append((doc_id, s, len(part) // 4, zlib.crc32(part), n, part if keep_ids else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
+                    number += 1
+                    rows.append((doc_id, s, len(part) // 4, zlib.crc32(part), n, part if keep_ids else None, number))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _NUMBERED)], schema=_NUMBERED)
 
-    return columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE + ", number long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, group_pieces: int = 50_000, keep_ids: bool = False) -> DataFrame:
@@ -105,7 +110,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
 
     A null or empty text is a document of the end id alone. Rows that share a
     doc_id, and null ids, are packed like any other; extra columns are ignored;
-    an empty table gives no pieces. group_pieces bounds a group of the packing.
+    an empty table gives no pieces. Groups of the packing have about group_pieces pieces,
+    dealt by a hash of their numbers, whatever the pieces are.
     """
     pieces = written(cut_documents(docs, tokenizer_path, capacity, end_id, keep_ids), "pieces")
     groups = int(pieces.count() // group_pieces) + 1
@@ -116,7 +122,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
         base = key[0].as_py() << 32
         return table.select(_PIECE.names).append_column("sequence_id", pa.array(np.array(number, np.int64) + base)).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # by their numbers, so that equal pieces are spread like any other
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("number"), F.lit(groups))).drop("number")
     return dealt.groupBy("g").applyInArrow(packed, PIECE + ", sequence_id long, offset long")
 
 

@@ -70,24 +70,53 @@ SPAN = "array<struct<start:int,kind_no:int,kind:string,end:int,score:double>>"
 LEAST_SCORE, CONTEXT_CHARS, CONTEXT_GAIN = 0.6, 40, 0.25
 
 
+BLOCK = 64  # matches that are placed together
+
+
+def placed_matches(matches: Column, pieces: Column) -> Column:
+    """start, m and before (the characters that context is looked for in) of each
+    match, from the matches and the pieces of text around them.
+
+    Places are sums of lengths. They are added up within blocks of matches, and
+    then over the blocks, so that no array grows by one match at a time."""
+    pairs = F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p"))
+    tail = lambda *parts: F.right(F.concat(*parts), F.lit(CONTEXT_CHARS))
+    found = "array<struct<start:int,m:string,before:string>>"
+
+    def block(part: Column) -> Column:
+        """Places from the block's own beginning, its length, and its last characters."""
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(found).alias("found")),
+            lambda a, x: F.struct(
+                (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
+                tail(a["tail"], x["p"], x["m"]).alias("tail"),
+                F.concat(a["found"], F.array(F.struct((a["at"] + F.length(x["p"])).alias("start"), x["m"].alias("m"), tail(a["tail"], x["p"]).alias("before")))).alias("found"),
+            ),
+        )
+
+    def in_blocks(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / BLOCK).cast("int")
+        return F.when(F.size(all_) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: block(F.slice(all_, i * BLOCK + 1, F.lit(BLOCK)))))
+
+    blocks = F.transform(F.array(pairs), in_blocks)[0]  # so that the text is matched once, not once a block
+    moved = lambda a, b: F.transform(b["found"], lambda x: F.struct((x["start"] + a["at"]).alias("start"), x["m"].alias("m"), tail(a["tail"], x["before"]).alias("before")))
+    whole = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{found}>").alias("found")),
+        lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), tail(a["tail"], b["tail"]).alias("tail"), F.concat(a["found"], F.array(moved(a, b))).alias("found")),
+    )["found"]
+    return F.coalesce(F.flatten(whole), F.array().cast(found))
+
+
 def spans_of(text: Column, number: int, kind: Kind) -> Column:
     """The kind's confirmed spans. Matches and the pieces between them, both
     from the same pattern, give the places by adding up lengths."""
-    matches, pieces = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["found"], F.array(F.struct((a["at"] + F.length(x["p"])).alias("start"), x["m"].alias("m")))).alias("found"),
-        ),
-    )["found"]
+    placed = placed_matches(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1))
     kept = F.filter(placed, lambda x: kind.keep(x["m"]))
 
     def scored(x: Column) -> Column:
-        first = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substring(text, first + 1, x["start"] - first))
-        score = F.lit(kind.score) + F.when(near.rlike(kind.words), CONTEXT_GAIN).otherwise(0.0)
+        score = F.lit(kind.score) + F.when(F.lower(x["before"]).rlike(kind.words), CONTEXT_GAIN).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(number).alias("kind_no"), F.lit(kind.name).alias("kind"), (x["start"] + F.length(x["m"])).alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
     found = F.transform(kept, scored)

@@ -7,9 +7,10 @@ anchor: the run of `base` words with the smallest hash. Anchors that occur once
 in the corpus are dropped; those that repeat alone are extended to twice the
 length, and so on up to the window length, or until no candidates survive.
 Only the survivors of the last level, the truly repeated windows, are compared
-with their owners' ids.
+by their owners' ids and their starts.
 
-Documents are dealt into chunks of bounded size. In each round a chunk sends
+Documents are dealt into chunks of bounded size by their ids and texts, so that
+rows that share an id are spread. In each round a chunk sends
 its distinct hashes, one blob for each hash bucket, and gets back one bit for
 each: a text that occurs a million times sends one hash for each chunk, so no
 key is hot.
@@ -86,10 +87,9 @@ class Chunk:
             keys, counts, own = self.candidates(length)
             self.keep(((counts > 1) | bits_of(replies, keys, self.buckets))[own])
 
-    def survivors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """At the last level: the distinct windows as hash and check value, in
-        order of their first owner; the first owner of each; and for each
-        window the place of its own."""
+    def survivors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At the last level: the distinct windows as hash and check value, and
+        for each window the place of its own."""
         h = self.hashes_at(self.window)[self.starts]
         check = gram_hashes(self.h ^ np.uint64(0x5851F42D4C957F2D), self.window)[self.starts] >> np.uint64(32) if len(h) else h
         order = np.lexsort((check, h))
@@ -97,15 +97,26 @@ class Chunk:
         new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
         group = np.empty(len(h), np.int64)
         group[order] = np.cumsum(new) - 1
-        return h[order][new], check[order][new].astype(np.uint32), group, order[new]  # a stable order: the first is the earliest
+        return h[order][new], check[order][new].astype(np.uint32), group
+
+    def leaders(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct window its earliest by (id, start within the
+        document), and for each window its id and start."""
+        ids = np.array([np.iinfo(np.int64).min if i is None else i for i in self.ids], np.int64)
+        begin, mine = self.starts - np.concatenate(([0], self.ends))[self.owner], ids[self.owner]
+        rank = np.lexsort((begin, mine, group))
+        new = np.ones(len(rank), bool)
+        new[1:] = group[rank][1:] != group[rank][:-1]
+        return rank[new], mine, begin
 
     def sent(self, t: int) -> pa.Table:
         """Rows of the last level. In each bucket, keys in order of their
-        owner; beside them check values, then owners and their key counts."""
+        owner; beside them owners and their key counts, check values and starts."""
         if not len(self.starts):
             return BLOB_ARROW.empty_table()
-        h, check, _, first = self.survivors()
-        owner = self.owner[first]
+        h, check, group = self.survivors()
+        lead, _, begin = self.leaders(group)
+        owner, begin = self.owner[lead], begin[lead].astype(np.uint32)
         b = ((h >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.lexsort((h, owner, b))
         present, starts = np.unique(b[order], return_index=True)
@@ -114,30 +125,22 @@ class Chunk:
             part = order[s:e]
             who, n = np.unique(owner[part], return_counts=True)
             ids = np.array([np.iinfo(np.int64).min if self.ids[i] is None else self.ids[i] for i in who], np.int64)
-            side = np.int64(len(who)).tobytes() + ids.tobytes() + n.astype(np.int64).tobytes() + check[part].tobytes()
+            side = np.int64(len(who)).tobytes() + ids.tobytes() + n.astype(np.int64).tobytes() + check[part].tobytes() + begin[part].tobytes()
             rows.append((t, int(bucket), len(part), h[part].tobytes(), side))
         return pa.table([list(c) for c in zip(*rows)], schema=BLOB_ARROW)
 
     def repeated(self, replies: pa.Table) -> np.ndarray:
         """For each surviving window whether it also starts earlier."""
-        h, _, group, first = self.survivors()
-        owner = self.owner[first]
+        h, _, group = self.survivors()
+        lead, mine, begin = self.leaders(group)
+        owner = self.owner[lead]
         b = ((h >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.lexsort((h, owner, b))
         got = dict(zip(replies["bucket"].to_pylist(), zip(replies["n"].to_pylist(), replies["keys"].to_pylist())))
         elsewhere = np.empty(len(h), bool)
         elsewhere[order] = np.concatenate([np.unpackbits(np.frombuffer(raw, np.uint8), count=n) for _, (n, raw) in sorted(got.items())]).astype(bool)
-        # here: later than the first of the same words by (id, start within the document)
-        ids = np.array([np.iinfo(np.int64).min if i is None else i for i in self.ids], np.int64)
-        begin = self.starts - np.concatenate(([0], self.ends))[self.owner]
-        mine, lead = ids[self.owner], first[group]
-        rank = np.lexsort((begin, mine, group))  # the least (id, start) of each group leads
-        new = np.ones(len(rank), bool)
-        new[1:] = group[rank][1:] != group[rank][:-1]
-        lead = np.empty(len(h), np.int64)
-        lead[group[rank][new]] = rank[new]
-        lead = lead[group]
-        later = (mine > mine[lead]) | ((mine == mine[lead]) & (begin > begin[lead]))
+        first = lead[group]  # here: later than the first of the same words
+        later = (mine > mine[first]) | ((mine == mine[first]) & (begin > begin[first]))
         return later | elsewhere[group]
 
     def result(self, replies: pa.Table) -> pa.Table:
@@ -175,7 +178,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, base: int = 5, chunk_byt
     chunks = chunk_count(docs, "text", chunk_bytes)
     buckets = max(1, chunks // 4)
     lengths = level_lengths(window, base)
-    dealt = columns_free_of(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("t"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = columns_free_of(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("t"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def chunk_at(table: pa.Table, replies: pa.Table | None, level: int) -> Chunk:
         chunk = Chunk(table, window, base, buckets)
@@ -196,19 +199,21 @@ def dedup_substrings(docs: DataFrame, window: int = 20, base: int = 5, chunk_byt
         return answered(table, parts, counts[inverse] > 1)
 
     def first_owner(table: pa.Table) -> pa.Table:
-        keys, checks, owners = [], [], []
+        keys, checks, owners, begins = [], [], [], []
         for raw, side in zip(table["keys"].to_pylist(), table["side"].to_pylist()):
-            k = int(np.frombuffer(side, np.int64, 1)[0])
+            k, n = int(np.frombuffer(side, np.int64, 1)[0]), len(raw) // 8
             keys.append(np.frombuffer(raw, np.uint64))
             owners.append(np.repeat(np.frombuffer(side, np.int64, k, 8), np.frombuffer(side, np.int64, k, 8 + 8 * k)))
-            checks.append(np.frombuffer(side, np.uint32, -1, 8 + 16 * k))
-        h, c, o = np.concatenate(keys), np.concatenate(checks), np.concatenate(owners)
-        order = np.lexsort((o, c, h))
+            checks.append(np.frombuffer(side, np.uint32, n, 8 + 16 * k))
+            begins.append(np.frombuffer(side, np.uint32, n, 8 + 16 * k + 4 * n))
+        h, c, o, s = np.concatenate(keys), np.concatenate(checks), np.concatenate(owners), np.concatenate(begins)
+        order = np.lexsort((s, o, c, h))
         new = np.ones(len(h), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
-        least = o[order][new][np.cumsum(new) - 1]
+        place = np.cumsum(new) - 1
+        least_o, least_s = o[order][new][place], s[order][new][place]
         later = np.empty(len(h), bool)
-        later[order] = o[order] > least
+        later[order] = (o[order] > least_o) | ((o[order] == least_o) & (s[order] > least_s))
         return answered(table, keys, later)
 
     def answered(table: pa.Table, parts: list[np.ndarray], flags: np.ndarray) -> pa.Table:

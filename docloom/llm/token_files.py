@@ -27,7 +27,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode docs (doc_id, text) and write them in ascending order of doc_id.
 
     A null or empty text is the end id alone. Null ids come first; rows that
-    share an id are in order of their texts. Extra columns are ignored.
+    share an id are in order of a hash of their texts, null texts by 42, which is
+    that hash of nothing, over however many files they go. Extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +41,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             place += len(raw)
 
     ordered = columns_free_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     encoded = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, FILE_SCHEMA)
     encoded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", row_group).orc(path)
 
