@@ -3,6 +3,7 @@ of documents, and the exchange of sorted hash blobs between chunks."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give freed memory back, where the C library can: a worker that has done a
+    chunk otherwise keeps what its arrays took while the next stage runs."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def columns_free_of(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, so that extra columns cannot clash with ours."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])

@@ -2,9 +2,9 @@
 
 A text is a weighted set of shingles, five lower-cased words each; a shingle's
 weight is its count in the text times its inverse document frequency, taken
-over all documents. 64 ICWS samples a text, four to a band, make texts
-candidates that share a band and agree in about as many samples as texts at the
-threshold do; candidates are verified by their weighted Jaccard similarity.
+over all documents. 128 ICWS samples are drawn of a text; the first 64, four to a
+band, make texts candidates that share a band, if they agree in about as many of
+all samples as texts at the threshold do; candidates are verified by their weighted Jaccard similarity.
 Classes are the components of the verified links. A text whose shingles that no
 other document has weigh more than the threshold leaves room for cannot be
 close to any other, and is not sampled at all.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BLOB_ARROW, BLOB_SCHEMA, chunk_count, columns_free_of, gram_hashes, mixed, word_hashes, written
+from docloom.llm.common import BLOB_ARROW, BLOB_SCHEMA, chunk_count, columns_free_of, gram_hashes, mixed, trim, word_hashes, written
 from docloom.llm.links import linked
 
 BITS = 48
@@ -105,6 +105,7 @@ def _ranges(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _asked(key: tuple, table: pa.Table, n: int, buckets: int) -> pa.Table:
     keys, docs, _ = Shingles(table, n).distinct()
+    trim()
     present, starts = _ranges(keys, buckets)
     rows = [(key[0].as_py(), int(b), int(e - s), planes(np.diff(keys[s:e], prepend=np.uint64(0)), 6), planes(docs[s:e], 4)) for b, s, e in zip(present, starts, starts[1:])]
     return pa.table([list(c) for c in zip(*rows)], schema=BLOB_ARROW) if rows else BLOB_ARROW.empty_table()
@@ -114,9 +115,12 @@ def _counted(table: pa.Table) -> pa.Table:
     """Total document counts, sent back to each chunk for its own keys."""
     rows = list(zip(table["n"].to_pylist(), table["keys"].to_pylist(), table["side"].to_pylist()))
     keys = np.concatenate([np.cumsum(unplanes(k, n, 6), dtype=np.uint64) for n, k, _ in rows])
-    docs = np.concatenate([unplanes(s, n, 4) for n, _, s in rows])
     _, back = np.unique(keys, return_inverse=True)
-    total = np.bincount(back, docs.astype(float))[back].astype(np.int64)
+    del keys
+    docs = np.concatenate([unplanes(s, n, 4).astype(np.float64) for n, _, s in rows])
+    total = np.bincount(back, docs)[back].astype(np.int64)
+    del back, docs
+    trim()
     cuts = np.cumsum([n for n, _, _ in rows])[:-1]
     sent = [planes(x, 5) for x in np.split(total, cuts)]
     return pa.table([table["t"].combine_chunks(), table["bucket"].combine_chunks(), table["n"].combine_chunks(), sent, [b""] * len(sent)], schema=BLOB_ARROW)
@@ -237,6 +241,7 @@ def text_classes(docs: DataFrame, words: int, threshold: float, bands: int, rows
         has = (whole > 0) & (shared >= (threshold - 1e-6) * whole)  # no other text is closer than what is shared at all
         some = has[s.owners]
         signs = icws(s.keys[some], w[some], s.owners[some], n, max(sketch, bands * rows))
+        trim()
         sign = (signs[has, :sketch] & np.uint64(0xFF)).astype(np.uint8)
         of_band = signs[:, : bands * rows]
         out = of_band[:, ::rows]
