@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import columns_free_of, written
+from docloom.llm.common import columns_free_of, trim, written
 
 # fixed values: common insults
 INSULTS = {
@@ -321,6 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, most_stems:
         if len(y):
             y = y.astype(float)
             model = calibrated(model, _logit(model, f, g), y, np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9)))
+    trim()  # the rows it was fitted on
     return model
 
 
