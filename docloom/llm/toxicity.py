@@ -289,6 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, most_stems:
             f = np.array([features(shared.value, t) for t in b.column("text").to_pylist()]).reshape(b.num_rows, width)
             v = np.hstack([votes(f), np.ones((len(f), 1))])
             total += v.T @ v
+            trim()
         yield pa.RecordBatch.from_arrays([pa.array(range(width * width), pa.int32()), pa.array(total.ravel())], ["at", "value"])
 
     sums = rows.mapInArrow(looked, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()  # width squared rows
@@ -348,6 +349,8 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_of(shared.value, list(texts)) >= 0.5)
+        rejected = pd.Series(score_of(shared.value, list(texts)) >= 0.5)
+        trim()
+        return rejected
 
     return docs.where(~toxic("text"))
