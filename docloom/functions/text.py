@@ -34,8 +34,9 @@ def squeezed(text: Column) -> Column:
 
 
 def article_number(text: Column) -> Column:
-    """The article number that a text begins with, else null."""
-    return F.nullif(F.regexp_extract(stripped(text), f"(?U)^({ARTICLE})", 1), F.lit(""))
+    """The article number that a text begins with, else null. Texts
+    without the character of articles are not looked at further."""
+    return F.when(F.contains(text, F.lit("条")), F.nullif(F.regexp_extract(stripped(text), f"(?U)^({ARTICLE})", 1), F.lit("")))
 
 
 def article_references(text: Column) -> Column:
@@ -56,6 +57,11 @@ def heading_level(text: Column) -> Column:
     return F.when(t.rlike(f"(?U)^第{NUMBER}部分"), F.when(part_fits, 1)).when(mark != "", F.when(fits, level)).when(squeezed(t).isin(*UNNUMBERED_SECTIONS), 2)
 
 
+def may_have_heading(text: Column) -> Column:
+    """Whether any line of a text can be a heading: it has a character that headings begin with."""
+    return text.rlike("[" + "".join(sorted({"第", *(s[0] for s in UNNUMBERED_SECTIONS)})) + "]")
+
+
 def is_page_number(text: Column) -> Column:
     return stripped(text).rlike(PAGE_NUMBER)
 
@@ -65,9 +71,10 @@ def is_toc_entry(text: Column) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    """Lower-cased words; a run of CJK characters also gives each of them."""
+    """Lower-cased words; a run of CJK characters also gives each of them. Texts
+    without any are not searched for them word by word."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.flatten(F.transform(words, lambda w: F.when(w.rlike("^[\\u3400-\\u9fff]"), F.concat(F.array(w), F.filter(F.split(w, ""), lambda c: c != ""))).otherwise(F.array(w))))
+    return F.when(~text.rlike("[\\u3400-\\u9fff]"), words).otherwise(F.flatten(F.transform(words, lambda w: F.when(w.rlike("^[\\u3400-\\u9fff]"), F.concat(F.array(w), F.filter(F.split(w, ""), lambda c: c != ""))).otherwise(F.array(w)))))
 
 
 def search_terms(text: Column) -> Column:

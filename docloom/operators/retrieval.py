@@ -15,6 +15,7 @@ from docloom.functions.text import search_terms
 from docloom.operators import kernels
 
 CHANNELS = ("vector", "keyword", "reference")
+MOST_SENT_TERMS = 200_000
 
 
 def ranked(scored: DataFrame, query: str, item: str, score: str, limit: int) -> DataFrame:
@@ -86,16 +87,22 @@ def titles_with(titles: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     """titles: item, title (lower case, several an item at most); terms: term,
     where _ stands for any character. Each term with the first `limit` items of
     which a title holds it. A term meets titles by the first three characters
-    of its longest literal piece, fewer if it is shorter."""
+    of its longest literal piece, fewer if it is shorter. Up to MOST_SENT_TERMS
+    terms go to every task, which looks at its titles where it reads them and
+    gives each term's first items; beyond it titles are looked up by a key."""
     pieces = F.array_sort(F.split("term", "_"), lambda a, b: F.length(b) - F.length(a))
     anchored = terms.withColumn("gram", F.substring(pieces[0], 1, 3))
-    keyed = titles.withColumn("at", F.xxhash64("title"))
-    met = keyed.select("item", "at", F.explode(F.array_union(F.array(F.lit("")), F.concat(*[grams(F.col("title"), n) for n in (1, 2, 3)]))).alias("gram")).join(anchored, "gram").select("item", "at", "term").distinct()
+    all_grams = F.explode(F.array_union(F.array(F.lit("")), F.concat(*[grams(F.col("title"), n) for n in (1, 2, 3)]))).alias("gram")
     pattern = F.concat(F.lit("%"), F.col("term"), F.lit("%"))
     holds = F.when(F.instr("term", "_") > 0, F.call_function("like", F.col("title"), pattern)).otherwise(F.contains("title", "term"))
-    found = met.join(keyed, ["item", "at"]).where(holds).select("term", "item").distinct()
+    if terms.limit(MOST_SENT_TERMS + 1).count() <= MOST_SENT_TERMS:
+        found = titles.select("item", "title", all_grams).join(F.broadcast(anchored), "gram").where(holds).select("term", "item")
+    else:
+        keyed = titles.withColumn("at", F.xxhash64("title"))
+        met = keyed.select("item", "at", all_grams).join(anchored, "gram").select("item", "at", "term").distinct()
+        found = met.join(keyed, ["item", "at"]).where(holds).select("term", "item")
     first = Window.partitionBy("term").orderBy("item")
-    return found.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= limit).drop("__n")
+    return found.withColumn("__n", F.dense_rank().over(first)).where(F.col("__n") <= limit).drop("__n").distinct()
 
 
 def reference_channel(rows: DataFrame, queries: DataFrame, limit: int = 20, most_terms: int = 20) -> DataFrame:

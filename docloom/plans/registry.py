@@ -53,11 +53,11 @@ def _keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _section_title(text: Column) -> Column:
     """The first heading of a text, else null."""
-    return F.get(F.filter(F.split(text, "\n"), lambda x: T.heading_level(x).isNotNull()), 0)
+    return F.when(T.may_have_heading(text), F.get(F.filter(F.split(text, "\n"), lambda x: T.heading_level(x).isNotNull()), 0))
 
 
 def _reference_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.split("text", "\n")[0].alias("title"), _section_title(F.col("text")).alias("section_title"), T.article_number(F.col("text")).alias("article"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.split("text", "\n", 2)[0].alias("title"), _section_title(F.col("text")).alias("section_title"), T.article_number(F.col("text")).alias("article"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text", T.article_references(F.col("text")).alias("articles"))
     return retrieval.reference_channel(rows, asked)
 
