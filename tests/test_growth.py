@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import retrieval
+from docloom.operators.transitions import JobLog
 
 
 def plan_of(df):
@@ -26,3 +27,21 @@ def test_texts_without_articles_and_headings_are_passed_over(spark):
     rows = spark.createDataFrame([("plain text",), ("第3条 x",), ("条 第3条",), ("a\n总 则\nb",), ("汉字 ab",), (None,)], "t string")
     got = rows.select(T.article_number(F.col("t")), T.may_have_heading(F.col("t")), T.word_tokens(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [(None, False, ["plain", "text"]), ("第3条", True, ["第", "第", "3", "条", "条", "x"]), (None, True, ["条", "条", "第", "第", "3", "条", "条"]), (None, True, ["a", "总", "总", "则", "则", "b"]), (None, False, ["汉字", "汉", "字", "ab"]), (None, None, None)]
+
+
+def test_transitions_write_once_and_only_what_changes(spark, tmp_path):
+    log = JobLog(spark, str(tmp_path / "log"), compact_every=9)
+    ask = spark.createDataFrame([("t", f, f"sha-{f}", "{}") for f in "ab"], "tenant_id string, filing string, sha256 string, config string")
+    made = {r["filing"]: r["job"] for r in log.create(ask, "create").collect()}
+    before = {r["job"]: r for r in log.jobs().collect()}
+    failed = spark.createDataFrame([(made["a"], "failed", 3, 0, "lost")], "job string, status string, total_clauses long, completed_clauses long, failure_reason string")
+    log.update(failed, "fail")
+    asked = spark.createDataFrame([(made["a"], "t"), (made["a"], "t"), (made["b"], "x"), (made["a"], None), ("none", "t")], "job string, tenant_id string")
+    told = log.retry(asked, "retry")
+    no = "no such job"
+    assert sorted(map(str, told.collect())) == sorted(str(r) for r in spark.createDataFrame([(made["a"], "t", None), (made["b"], "x", no), (made["a"], None, no), ("none", "t", no)], told.schema).collect())
+    # one table a version, in which a change has no more than it changes
+    assert {p.name for p in (tmp_path / "log").iterdir()} == {"answers", "commits"}
+    assert [(r["job"], r["status"], r["filing"], r["idempotency_key"]) for r in log._changes(1).collect()] == [(made["a"], "failed", None, None)]
+    assert {r["job"]: r for r in log.jobs().collect()} == before
+    assert "max(filing" in plan_of(log.jobs().select("job", "filing")) and "max(idempotency_key" not in plan_of(log.jobs().select("job", "filing"))
