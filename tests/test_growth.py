@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import retrieval
+from docloom.operators.postings import KeywordIndex
 from docloom.operators.transitions import JobLog
 
 
@@ -45,3 +46,26 @@ def test_transitions_write_once_and_only_what_changes(spark, tmp_path):
     assert [(r["job"], r["status"], r["filing"], r["idempotency_key"]) for r in log._changes(1).collect()] == [(made["a"], "failed", None, None)]
     assert {r["job"]: r for r in log.jobs().collect()} == before
     assert "max(filing" in plan_of(log.jobs().select("job", "filing")) and "max(idempotency_key" not in plan_of(log.jobs().select("job", "filing"))
+
+
+def test_tokens_are_made_once_a_batch(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def tokens(n):
+        made.add(1)
+        return ["x", f"w{n % 3}", "x", None]
+
+    rows = spark.range(40, numPartitions=3).select(F.col("id").alias("item"), tokens("id").alias("tokens"))
+    index = KeywordIndex(spark, str(tmp_path / "index"), buckets=4, file_postings=10)
+    index.ingest(rows, "a")
+    assert made.value == 40
+    assert sorted(map(tuple, index.postings().where("item = 7").collect()), key=str) == [("w1", 7, 1), ("x", 7, 2), (None, 7, 1)]
+    assert index.items().where("n_tokens = 4").count() == 40
+    # a batch that all of its items have left is not read, and one that none has left is not joined
+    index.ingest(spark.range(40).select(F.col("id").alias("item"), F.array(F.lit("y")).alias("tokens")), "b", replace=True)
+    whole = plan_of(index.postings())
+    assert "batch=a" not in whole and "Join" not in whole
+    index.ingest(spark.createDataFrame([(3, ["z"])], "item long, tokens array<string>"), "c", replace=True)
+    assert "Join" in plan_of(index.postings()) and index.postings().groupBy("token").count().orderBy("token").collect() == [("y", 39), ("z", 1)]
+    assert not any((tmp_path / "index/staged").iterdir())
