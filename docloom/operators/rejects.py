@@ -126,9 +126,16 @@ def with_facts(rows: DataFrame, facts: DataFrame, on: dict[str, str], name: str)
     return rows.join(keyed, met, "left").drop(*[f"__{i}" for i in range(len(on))])
 
 
-def chunk_rules() -> list[Rule]:
+def hash_fits() -> Column:
+    """Whether a chunk's hash is that of its content: to be asked before its facts
+    are joined, so that contents need not go along."""
+    return F.col("content_sha256").eqNullSafe(F.sha2("content", 256))
+
+
+def chunk_rules(fits: Column | None = None) -> list[Rule]:
     """What a chunk must be, beside its document and its parent (structs
-    `document` and `parent` of with_facts, null where there is none)."""
+    `document` and `parent` of with_facts, null where there is none). fits says
+    whether its hash is right, if that has been looked at (hash_fits)."""
     d, p = F.col("document"), F.col("parent")
     unlike = lambda c: d.isNotNull() & ~F.col(c).eqNullSafe(d[c])
     return [
@@ -140,7 +147,7 @@ def chunk_rules() -> list[Rule]:
         Rule("tenant unlike the document's", unlike("tenant_id")),
         Rule("no parent", F.col("parent_id").isNotNull() & p.isNull()),
         Rule("parent of another document", p.isNotNull() & ~F.col("document_id").eqNullSafe(p["document_id"])),
-        Rule("hash unlike the text", ~F.col("content_sha256").eqNullSafe(F.sha2("content", 256))),
+        Rule("hash unlike the text", ~(hash_fits() if fits is None else fits)),
     ]
 
 

@@ -270,9 +270,10 @@ def chunk_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = knowledge_table(spark, sf_dir)
     n = F.col("doc_id")
     rows = docs.select(n.alias("id"), F.when(n % 37 == 0, -n - 1).otherwise(n).alias("document_id"), F.when(n % 5 > 0, n - n % 5).alias("parent_id"), F.when(n % 31 == 0, "firm").otherwise(F.col("scope")).alias("scope"), "tenant_id", (n % 29 - 1).alias("ordinal"), F.lit(2).alias("page_start"), (n % 23 + 1).alias("page_end"), F.col("text").alias("content"), F.when(n % 19 > 0, F.sha2("text", 256)).alias("content_sha256"))
+    rows = rows.withColumn("fits", rejects.hash_fits()).drop("content", "content_sha256")
     met = rejects.with_facts(rows, docs.select("doc_id", "scope", "tenant_id"), {"document_id": "doc_id"}, "document")
     met = rejects.with_facts(met, rows.select("id", "document_id").where("id % 25 > 0"), {"parent_id": "id"}, "parent")
-    bad = rejects.judged(met, rejects.chunk_rules()).select(F.explode("problems").alias("problem"))
+    bad = rejects.judged(met, rejects.chunk_rules(F.col("fits"))).select(F.explode("problems").alias("problem"))
     return bad.groupBy("problem").agg(F.count("*").alias("n"))
 
 

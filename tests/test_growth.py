@@ -6,6 +6,9 @@ from docloom.functions import text as T
 from docloom.operators import retrieval
 from docloom.operators.postings import KeywordIndex
 from docloom.operators.transitions import JobLog
+from docloom.plans import knowledge
+
+from conftest import SMALL
 
 
 def plan_of(df):
@@ -69,3 +72,8 @@ def test_tokens_are_made_once_a_batch(spark, tmp_path):
     index.ingest(spark.createDataFrame([(3, ["z"])], "item long, tokens array<string>"), "c", replace=True)
     assert "Join" in plan_of(index.postings()) and index.postings().groupBy("token").count().orderBy("token").collect() == [("y", 39), ("z", 1)]
     assert not any((tmp_path / "index/staged").iterdir())
+
+
+def test_chunks_are_hashed_before_their_facts_are_joined(spark):
+    above, below = plan_of(knowledge.chunk_rejects(spark, SMALL)).split("Join", 1)
+    assert "sha2(" in below and "sha2(" not in above
