@@ -41,6 +41,7 @@ GROUPS = 8
 LEVELS = (0, 2, 3, 4, 6, 9)  # occurrences in PER words; 0: once in the whole text
 PER = 400
 BUCKETS = 512
+PART = 512  # rows that the driver looks at together
 _word = re.compile(r"[^\W\d_]+").findall
 _built: dict[str, tuple] = {}
 
@@ -215,16 +216,24 @@ def posterior(model: Model, v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train(model: Model, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> Model:
-    """Logistic regression on soft labels, by Newton's method."""
-    model.means, model.scales = x.mean(0), np.maximum(x.std(0), 1e-3)
-    z = np.hstack([(x - model.means) / model.scales, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    keep = np.full(len(w), ridge * len(x) / 100 + 1e-6)
+def train(model: Model, parts: list[tuple[np.ndarray, np.ndarray]], ridge: float = 1e-2, rounds: int = 25) -> Model:
+    """Logistic regression on the posteriors of the votes, by Newton's method.
+    parts are features and rates of some rows each; what the classifier sees of
+    them is made a part at a time, so memory follows the largest part."""
+    n = sum(len(f) for f, _ in parts)
+    model.means = sum(inputs(f, g).sum(0) for f, g in parts) / n
+    model.scales = np.maximum(np.sqrt(sum(((inputs(f, g) - model.means) ** 2).sum(0) for f, g in parts) / n), 1e-3)
+    w = np.zeros(len(model.means) + 1)
+    keep = np.full(len(w), ridge * n / 100 + 1e-6)
     keep[-1] = 1e-6
     for _ in range(rounds):
-        s = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (s * (1 - s) + 1e-6)[:, None]).T @ z + np.diag(keep), z.T @ (y - s) - keep * w)
+        h, d = np.diag(keep), -keep * w
+        for f, g in parts:
+            z = np.hstack([(inputs(f, g) - model.means) / model.scales, np.ones((len(f), 1))])
+            s = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            h += (z * (s * (1 - s) + 1e-6)[:, None]).T @ z
+            d += z.T @ (posterior(model, votes(f)) - s)
+        step = np.linalg.solve(h, d)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -301,27 +310,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, most_stems:
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            f, g = [features(shared.value, t).tobytes() for t in texts], [grams(t).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(f, pa.binary()), pa.array(g, pa.binary())], ["toxic", "f", "g"])
-
-    def drawn(some: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        got = some.select("text", "toxic").mapInArrow(described, "toxic int, f binary, g binary").toArrow()
-        f = np.frombuffer(b"".join(got["f"].to_pylist())).reshape(-1, width)
-        g = np.frombuffer(b"".join(got["g"].to_pylist()), np.float32).reshape(-1, BUCKETS)
-        return f, g, np.array(got["toxic"].to_pylist())
+            for start in range(0, b.num_rows, PART):
+                part = b.slice(start, PART)
+                texts = part.column("text").to_pylist()
+                values = np.array(part.column("toxic").to_pylist(), float), np.array([features(shared.value, t) for t in texts]), np.array([grams(t) for t in texts])
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["toxic", "f", "g"])
+
+    def drawn(some: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Features, rates and label of rows, in parts that lie where they were received."""
+        got = some.select("text", "toxic").mapInArrow(described, "toxic binary, f binary, g binary").toArrow()
+        read = lambda value, kind: np.frombuffer(value.as_buffer(), kind)
+        return [(read(f, float).reshape(-1, width), read(g, np.float32).reshape(-1, BUCKETS), read(y, float)) for y, f, g in zip(got["toxic"], got["f"], got["g"])]
 
     share = train_rows / max(moments[-1, -1], 1)
     some = rows if share >= 1 else rows.where(F.xxhash64("doc_id", F.lit(11)) < int(-(2**63) + share * 2**64)).limit(2 * train_rows)
-    f, g, _ = drawn(some.withColumn("toxic", F.lit(0)))
-    if not len(f):
-        f, g = np.zeros((1, width)), np.zeros((1, BUCKETS), np.float32)
-    model = train(model, inputs(f, g), posterior(model, votes(f)))
+    parts = [(f, g) for f, g, _ in drawn(some.withColumn("toxic", F.lit(0)))]
+    model = train(model, parts or [(np.zeros((1, width)), np.zeros((1, BUCKETS), np.float32))])
+    del parts
     if known:
-        f, g, y = drawn(rows.join(F.broadcast(chosen), "doc_id").withColumn("toxic", F.col("toxic").cast("int")))  # 2 * per_class rows
-        if len(y):
-            y = y.astype(float)
-            model = calibrated(model, _logit(model, f, g), y, np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9)))
+        rated = [(_logit(model, f, g), y.copy()) for f, g, y in drawn(rows.join(F.broadcast(chosen), "doc_id"))]  # 2 * per_class rows
+        if rated:
+            z, y = (np.concatenate(x) for x in zip(*rated))
+            model = calibrated(model, z, y, np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9)))
     trim()  # the rows it was fitted on
     return model
 

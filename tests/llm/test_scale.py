@@ -87,3 +87,24 @@ def test_texts_of_many_lines(docs):
     assert time.time() - began < 100
     assert got[1].text == text and (got[1].n_lines, got[1].n_removed, got[1].n) == (40_000, 0, 40_000) and got[1].first
     assert got[2].text == "\n".join([x for x in lines[::2] if not x] + ["new line of this text alone, which is long enough to be compared"]) and (got[2].n_removed, got[2].n) == (20_000, 20_001)
+
+
+def test_classifier_is_fitted_in_parts():
+    import tracemalloc
+
+    import numpy as np
+
+    from docloom.llm import toxicity
+
+    rng, width = np.random.default_rng(3), 16
+    parts = [((rng.random((256, width)) < 0.2) * 1.0, rng.random((256, toxicity.BUCKETS)).astype(np.float32)) for _ in range(24)]
+    v = np.vstack([toxicity.votes(f) for f, _ in parts])
+    v = np.hstack([v, np.ones((len(v), 1))])
+    fitted = lambda parts: toxicity.train(toxicity.label_model(v.T @ v, len(v), [], 12, 0.2), parts)
+    tracemalloc.start()
+    model = fitted(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6  # the matrix of all rows alone has 26 MB
+    whole = fitted([tuple(np.vstack(x) for x in zip(*parts))])
+    assert np.allclose(model.weights, whole.weights, atol=1e-9) and np.allclose(model.scales, whole.scales)
