@@ -4,7 +4,8 @@ Lines (doc, page, block, line, text, page_height, x0, top, x1, bottom) come from
 any reader of pages. Page numbers, entries of tables of contents and margin
 lines that repeat go; the rest of a block is cut where headings stand and
 articles begin; a table of contents takes all before it and its own entries.
-Everything is windows over a document's lines, which the limits bound.
+Everything is windows over a document's lines, which the limits bound, so lines
+are shuffled once, by their document.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import article_number, heading_level, is_page_number, is_toc_entry, squeezed, stripped
-from docloom.operators.structure import carried_article, repeated_margins, section_path
+from docloom.operators.structure import LEAST_CHARS, LEAST_TIMES, carried_article, section_path
 
 MARGIN = 0.15  # of a page's height, above and below
 CONTENTS = "目录"
@@ -42,10 +43,12 @@ def _has_text(text: Column) -> Column:
 def body_lines(lines: DataFrame) -> DataFrame:
     """Lines without blank ones, page numbers, entries of contents and repeated margins."""
     said = lines.where(_has_text(F.col("text")) & ~is_page_number(F.col("text")))
-    said = said.withColumn("in_margin", in_margin(F.col("top"), F.col("bottom"), F.col("page_height")))
-    gone = repeated_margins(said).select("doc", F.col("norm").alias("__norm"), F.lit(True).alias("in_margin"))
-    kept = said.where(~is_toc_entry(F.col("text"))).withColumn("__norm", squeezed(F.col("text")))
-    return kept.join(gone, ["doc", "__norm", "in_margin"], "left_anti").drop("__norm", "in_margin")
+    said = said.withColumn("__m", in_margin(F.col("top"), F.col("bottom"), F.col("page_height")))
+    # the text of a margin line that may repeat, white space aside; other lines have none
+    said = said.withColumn("__norm", F.when(F.col("__m"), squeezed(F.col("text")))).withColumn("__norm", F.when(F.length("__norm") >= LEAST_CHARS, F.col("__norm")))
+    times = F.count("__norm").over(Window.partitionBy("doc", "__norm"))
+    kept = said.withColumn("__times", times).where((F.col("__times") < LEAST_TIMES) & ~is_toc_entry(F.col("text")))
+    return kept.drop("__m", "__norm", "__times")
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -90,7 +93,7 @@ def page_blocks(lines: DataFrame, limits: PageLimits | None = None) -> tuple[Dat
     sizes = lines.groupBy("doc").agg(F.max("page").alias("p"), F.count_distinct("page", "block").alias("b"), F.count("*").alias("l"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("c"))
     over = F.when(F.col("p") > limits.pages, "too many pages").when(F.col("b") > limits.blocks, "too many blocks").when(F.col("l") > limits.lines, "too many lines").when(F.col("c") > limits.characters, "too many characters")
     judged = sizes.select("doc", over.alias("reason"))
-    fine = lines.join(judged.where("reason is null").select("doc"), "doc", "left_semi")
+    fine = lines.repartition("doc").join(judged.where("reason is null").select("doc"), "doc", "left_semi")
     seen = with_contents_marked(segments(body_lines(fine))).where("not skipped")
     seen = seen.withColumn("level", heading_level(F.col("text")))
     placed = section_path(carried_article(seen, ("doc", "page"))).where("not cleared")

@@ -20,6 +20,7 @@ CLAUSE_HEADING = "(?U)^(?:第\\s*[〇零一二三四五六七八九十百千万\
 TITLE_SUFFIX = "(?:基本情况|主要内容|概述|简介|介绍|情况|内容|背景|意义|目的|依据|范围|定义|原则|要求|安排|措施|方式|程序|条件|标准|约定|事项|风险|提示|影响|其他|附则|附件|文件|发售时间|发售方式|发售对象|违约责任|争议解决|对象|认购|申购|赎回|登记|发售|时间|地点|期限|当事人|份额|费用|税收|收益|分配|支付|交付|验收|保密|披露|清算|变更|终止|生效|转让|通知|效力|文本)$"
 CLOSING_LINE = "(?U)^(?:特此公告[。．\\.]?|特此通知[。．\\.]?|董\\s*事\\s*会|监\\s*事\\s*会|《[^《》]{1,80}》|[\\u4e00-\\u9fff]{2,20}(?:股份有限公司|有限责任公司|集团有限公司|有限公司)|[〇零一二三四五六七八九十百\\d]+年\\d{1,2}月\\d{1,2}日|[二〇○两〇一二三四五六七八九十百\\d]+年[〇零一二三四五六七八九十百\\d]+月[〇零一二三四五六七八九十百\\d]+日)$"
 LEVELS = 3
+LEAST_CHARS, LEAST_TIMES = 4, 2  # of a margin line that repeats
 
 
 def in_order(*keys: str) -> Window:
@@ -60,7 +61,7 @@ def runs_of(blocks: DataFrame, flag: Column, least: int = 2) -> DataFrame:
     return rows.withColumn("g", island).groupBy("doc", "g").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("g")
 
 
-def repeated_margins(lines: DataFrame, least_chars: int = 4, least_times: int = 2) -> DataFrame:
+def repeated_margins(lines: DataFrame, least_chars: int = LEAST_CHARS, least_times: int = LEAST_TIMES) -> DataFrame:
     """doc and norm (white space aside) of margin lines that repeat in a document."""
     return lines.where("in_margin").select("doc", squeezed(F.col("text")).alias("norm")).where(F.length("norm") >= least_chars).groupBy("doc", "norm").agg(F.count("*").alias("n")).where(F.col("n") >= least_times)
 

@@ -85,3 +85,9 @@ def test_places_of_children_are_laid_out_after_the_shuffle(spark):
     assert {r["k"]: [tuple(x) for x in r["items"]] for r in got.collect()} == {1: [(1, "a"), (1, "x"), (2, "x")], 2: [], 3: []}
     plan = plan_of(reviews.scoped_detail(spark, SMALL))
     assert "Generate" not in plan and "LeftSemi" in plan
+
+
+def test_lines_of_pages_are_shuffled_once(spark):
+    plan = plan_of(knowledge.page_blocks(spark, SMALL))
+    texts = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_COL" in x]
+    assert len(texts) == 1 and plan.count("Exchange hashpartitioning") <= 4  # the others are of sizes, without texts
