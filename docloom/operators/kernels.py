@@ -9,6 +9,7 @@ settled by the item), so nothing that could rank is lost.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,17 @@ SLACK = 1e-9  # scores this close to a block's last place are computed again bef
 Best = Callable[[Iterator[pa.RecordBatch], pa.Table], Iterator[pa.RecordBatch]]
 
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory, where the C library can: a worker otherwise keeps
+    what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def sortable(rows: DataFrame) -> bool:
     return isinstance(rows.schema["item"].dataType, (IntegralType, StringType, DateType))
 
@@ -82,6 +94,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.Table]:
     for b in batches:
         for start in range(0, b.num_rows, step):
             yield pa.Table.from_batches([b.slice(start, step)]).sort_by("item")
+        del b
+        give_back()
 
 
 def _cut(found: pa.Table, order: list[tuple[str, str]], limit: int) -> pa.Table:
@@ -113,18 +127,21 @@ def keyword_best(limit: int) -> Best:
             at = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy() if n_terms else np.full(len(flat), -1)
             some = at >= 0
             cells = pc.list_parent_indices(tokens).to_numpy()[some] * n_terms + at[some]
-            have = np.bincount(cells, None if weights is None else weights[some], minlength=m * n_terms)
-            score = have.reshape(m, n_terms).astype(np.float64) @ wanted if n_terms else np.zeros((m, n_queries))
+            have = np.bincount(cells, np.ones(len(cells)) if weights is None else weights[some], minlength=m * n_terms)
+            score = have.reshape(m, n_terms) @ wanted if n_terms else np.zeros((m, n_queries))
+            del have
             score[_named(t, asked)] = NAMED_UNITS
             if "excluded" in asked.column_names:
                 score[_held(t["item"], asked["excluded"])] = 0
-            # rows are in order of their items, so earlier ones win ties
-            key = score * m + np.arange(m - 1, -1, -1)[:, None]
-            top = np.argpartition(-key, min(limit, m) - 1, axis=0)[:limit]
+            # rows are in order of their items, so earlier ones win ties; the key takes the place of the score, which it holds
+            score *= -m
+            score -= np.arange(m - 1, -1, -1)[:, None]
+            top = np.argpartition(score, min(limit, m) - 1, axis=0)[:limit].copy()
             r, q = top.ravel(), np.tile(np.arange(n_queries), len(top))
-            good = score[r, q] > 0
-            r, q = r[good], q[good]
-            found = pa.table({"q": pa.array(q, pa.int32()), "item": t["item"].take(pa.array(r)), "n": pa.array(score[r, q].astype(np.int64))})
+            n = (-score[r, q]).astype(np.int64) // m
+            del score, top
+            r, q, n = r[n > 0], q[n > 0], n[n > 0]
+            found = pa.table({"q": pa.array(q, pa.int32()), "item": t["item"].take(pa.array(r)), "n": pa.array(n)})
             kept = _cut(found if kept is None else pa.concat_tables([kept, found]), [("n", "descending"), ("item", "ascending")], limit)
         if kept is not None and kept.num_rows:
             out = pa.table({"query": asked["query"].combine_chunks().take(kept["q"].combine_chunks()), "item": kept["item"], "n": kept["n"]})

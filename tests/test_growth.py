@@ -91,3 +91,28 @@ def test_lines_of_pages_are_shuffled_once(spark):
     plan = plan_of(knowledge.page_blocks(spark, SMALL))
     texts = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_COL" in x]
     assert len(texts) == 1 and plan.count("Exchange hashpartitioning") <= 4  # the others are of sizes, without texts
+
+
+def test_keyword_blocks_hold_their_scores_once(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from docloom.operators import kernels
+
+    rng = np.random.default_rng(1)
+    rows = pa.table({"item": np.arange(512), "tokens": [[f"w{x}" for x in rng.integers(0, 900, 30)] for _ in range(512)]})
+    asked = pa.table({"query": np.arange(2_000), "terms": [[f"w{x}" for x in rng.choice(900, 5, replace=False)] for _ in range(2_000)]})
+    given, peaks = [], []
+    monkeypatch.setattr(kernels, "give_back", lambda: given.append(1), raising=False)
+    monkeypatch.setattr(kernels, "CELLS", 512 * 2_000)  # one block, whose scores have 8 MB
+    tracemalloc.start()
+    got = pa.Table.from_batches(kernels.keyword_best(3)(iter(rows.to_batches()), asked)).to_pylist()
+    peaks.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert given and peaks[0] < 4.5 * 8e6  # wanted, what rows have, scores and their order
+    for q in (0, 7, 1_999):
+        terms = set(asked["terms"][q].as_py())
+        n = [(-sum(w in terms for w in ws), i) for i, ws in enumerate(rows["tokens"].to_pylist())]
+        assert [(-r["n"], r["item"]) for r in got if r["query"] == q] == sorted(x for x in n if x[0])[:3]
