@@ -13,9 +13,12 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.kernels import give_back
+
 BATCH = 128
 
 
@@ -41,27 +44,30 @@ def _checked_vectors(made: Any, n: int, dimension: int) -> tuple[list[Any], list
 
 
 def embedding(make: Callable[[], Embedder], dimension: int, batch: int = BATCH) -> Callable[[Column | str], Column]:
-    """A function of a column of texts: a struct of vector and problem. Null texts have neither."""
+    """A function of a column of texts: a struct of vector and problem. Null texts
+    have neither. Texts stay in Arrow, and a batch of them at a time is Python's."""
     if dimension < 1 or batch < 1:
         raise ValueError("dimension and batch are positive")
 
-    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for texts in columns:
             vectors, problems = [None] * len(texts), [None] * len(texts)
-            some = [i for i, t in enumerate(texts) if t is not None]
+            some = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
             for start in range(0, len(some), batch):
                 at = some[start : start + batch]
                 try:
-                    found = _checked_vectors(model.encode([texts.iloc[i] for i in at]), len(at), dimension)
+                    found = _checked_vectors(model.encode(texts.take(pa.array(at)).to_pylist()), len(at), dimension)
                 except Exception as e:  # what a model raises is its own
                     found = [None] * len(at), [f"{type(e).__name__}: {e}"] * len(at)
-                for i, v, p in zip(at, *found):
+                for i, v, p in zip(at.tolist(), *found):
                     vectors[i], problems[i] = v, p
-            yield pd.DataFrame({"vector": vectors, "problem": problems})
+            del texts
+            yield pa.StructArray.from_arrays([pa.array(vectors, pa.list_(pa.float32())), pa.array(problems, pa.string())], ["vector", "problem"])
+            give_back()
 
-    run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "vector array<float>, problem string")
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "vector array<float>, problem string")
 
 
 def scoring(make: Callable[[], Scorer], batch: int = BATCH) -> Callable[[Column | str, Column | str], Column]:

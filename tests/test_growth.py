@@ -116,3 +116,14 @@ def test_keyword_blocks_hold_their_scores_once(monkeypatch):
         terms = set(asked["terms"][q].as_py())
         n = [(-sum(w in terms for w in ws), i) for i, ws in enumerate(rows["tokens"].to_pylist())]
         assert [(-r["n"], r["item"]) for r in got if r["query"] == q] == sorted(x for x in n if x[0])[:3]
+
+
+def test_texts_for_a_model_stay_in_arrow(spark):
+    import pyarrow as pa
+
+    from docloom.operators import models
+
+    embed = models.embedding(models.LetterModel, 26, batch=2)
+    (made,) = embed.func(iter([pa.array(["ab", None, "", "b", "BB"])]))
+    assert isinstance(made, pa.StructArray) and [None if r["vector"] is None else [round(x, 3) for x in r["vector"][:2]] for r in made.to_pylist()] == [[0.707, 0.707], None, [0, 0], [0, 1], [0, 1]]
+    assert made.field("problem").null_count == 5
