@@ -62,22 +62,18 @@ class Shingles:
                 self.copies.append(1)
         place = {node: i for i, node in reversed(list(enumerate(nodes)))}
         self.nodes = list(first)
-        words = [(table["text"][place[node]].as_py() or "").lower().encode().split() for node in self.nodes]
+        # a text's words go as soon as they are hashed: as objects they are many times the text
+        words = [word_hashes((table["text"][place[node]].as_py() or "").lower().encode().split()) for node in self.nodes]
         keys, counts, owners = [], [], []
-        block: list[int] = []
-        for i in range(len(words) + 1):  # at most 2 ** 16 texts share a sort
-            if i == len(words) or len(block) == 60_000:
-                k, c, o = self._block([words[j] for j in block], n)
-                keys.append(k), counts.append(c), owners.append(o + (block[0] if block else 0))
-                block = []
-            if i < len(words):
-                block.append(i)
+        for s in range(0, max(len(words), 1), 60_000):  # at most 2 ** 16 texts share a sort
+            k, c, o = self._block(words[s : s + 60_000], n)
+            keys.append(k), counts.append(c), owners.append(o + s)
         self.keys, self.counts, self.owners = (np.concatenate(x) for x in (keys, counts, owners))
 
     @staticmethod
-    def _block(words: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _block(words: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.array([len(w) for w in words], np.int64)
-        h = word_hashes([w for ws in words for w in ws])
+        h = np.concatenate([np.empty(0, np.uint64), *words])
         room = np.where(lengths >= n, lengths - n + 1, 0)
         ends = np.cumsum(lengths)
         starts = np.repeat(ends - lengths - np.cumsum(room) + room, room) + np.arange(room.sum())

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, packing, pii, substring_dedup, token_files
+from docloom.llm import line_dedup, near_dedup, packing, pii, substring_dedup, token_files
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -108,3 +110,15 @@ def test_classifier_is_fitted_in_parts():
     assert peak < 16e6  # the matrix of all rows alone has 26 MB
     whole = fitted([tuple(np.vstack(x) for x in zip(*parts))])
     assert np.allclose(model.weights, whole.weights, atol=1e-9) and np.allclose(model.scales, whole.scales)
+
+
+def test_words_of_a_chunk_are_not_held_as_objects():
+    """Shingling a chunk takes memory after its words' hashes, not after its words."""
+    text = [" ".join(f"w{(i * 7 + k) % 4099}" for k in range(400)) for i in range(1000)]
+    table = pa.table({"node": [str(i) for i in range(1000)], "text": text})
+    near_dedup.Shingles(table.slice(0, 2), 5)
+    tracemalloc.start()
+    got = near_dedup.Shingles(table, 5)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(got.keys) == 396_000 and most < 20 * sum(map(len, text))
