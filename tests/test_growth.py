@@ -1,9 +1,11 @@
 """What grows with the input is moved and computed once."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import jobs, retrieval
+from docloom.operators import answers, grounding, jobs, reports, retrieval
 from docloom.operators.postings import KeywordIndex
 from docloom.operators.transitions import JobLog
 from docloom.plans import knowledge, reviews
@@ -127,3 +129,20 @@ def test_texts_for_a_model_stay_in_arrow(spark):
     (made,) = embed.func(iter([pa.array(["ab", None, "", "b", "BB"])]))
     assert isinstance(made, pa.StructArray) and [None if r["vector"] is None else [round(x, 3) for x in r["vector"][:2]] for r in made.to_pylist()] == [[0.707, 0.707], None, [0, 0], [0, 1], [0, 1]]
     assert made.field("problem").null_count == 5
+
+
+def test_payloads_are_redacted_in_their_rows(spark):
+    seen = {'x"token': [1], "k,": "token", "l": ["token", {"tokens": 1}, ',"token":', '\\"token":1'], "pa\u017f\u017fword": 2, "\\": {"a": "}"}}
+    secret = {"TO\u212aEN": {"a": [{"b": "]}\\\""}, []]}, "password": "\\", "authorization": -1.5, "api_key": {}, "z": [{"Token": True}]}
+    rows = spark.createDataFrame([(1, json.dumps(seen)), (2, json.dumps(seen | secret)), (3, json.dumps(secret))], "i int, payload string")
+    out = answers.redacted(rows, "payload")
+    assert "Exchange" not in plan_of(out) and "docloom" not in plan_of(out) and "redact-" not in plan_of(out)
+    gone = dict.fromkeys(secret, answers.REDACTED) | {"z": [{"Token": answers.REDACTED}]}
+    assert [json.loads(r["payload"]) for r in out.orderBy("i").collect()] == [seen, seen | gone, gone]
+
+
+def test_values_are_not_read_as_numerals_again(spark):
+    rows = spark.createDataFrame([("2024 年 1 月 2 日，3 %，4，77，五", "二零二四年1月2日，三%，七十七", ["a"], ["a"]), ("5-6 78.5", None, ["b"], ["a"])], "text string, evidence string, evidence_ids array<string>, allowed_ids array<string>")
+    out = grounding.checked(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[零〇一二三四五六七八九十百千万两]+") <= 2
+    assert [(r["unsupported"], r["grounded"]) for r in out.collect()] == [([], True), (["78.5"], False)]
