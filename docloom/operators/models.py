@@ -96,15 +96,16 @@ def scoring(make: Callable[[], Scorer], batch: int = BATCH) -> Callable[[Column
 
 
 class LetterModel:
-    """A model without weights: counts of the 26 letters, at length one. Texts
-    without letters have the zero vector. A pair's score is the cosine."""
+    """A model without weights: counts of the 26 letters in lower case, at length
+    one. Texts without letters have the zero vector. A pair's score is the cosine."""
 
     dimension = 26
 
     def counts(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), 26))
         for i, t in enumerate(texts):
-            raw = np.frombuffer(t.encode(), np.uint8)
+            # of other characters these two alone have one of the letters as their lower case
+            raw = np.frombuffer(t.replace("\u0130", "i").replace("\u212a", "k").encode(), np.uint8)
             out[i] = np.bincount((raw | 32)[((raw | 32) >= 97) & ((raw | 32) <= 122) & (raw < 128)] - 97, minlength=26)
         return out
 

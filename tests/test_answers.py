@@ -2,11 +2,13 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import answers, models, revision
+from docloom.plans import reviews
 
 
 def told(spark, f, *texts):
@@ -100,6 +102,20 @@ def test_models_fail_by_batches(spark):
         models.embedding(Odd, 0)
 
 
+def test_letters_of_odd_texts_match_sql(spark, tmp_path):
+    texts = [None, "", " \n\t", "12 34", "é汉字", "abc z", "A" * 3 + "e" * 4, "a\u0130", "\u0130", "a\u212ae", "\u212a", "a\x00e", "e" + "b" * 31, "\uff21 \U0001d41a ſ ß e", *"aezAEZ"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(f"select doc_id, problem, v0, v4, v25 from ({reviews.ORACLES['model_embeddings']}) order by doc_id").fetchall()
+    got = reviews.model_embeddings(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [repr(tuple(r)) for r in got] == [repr(r) for r in want] and sum("nan" in repr(r) for r in want) == 4
+    # of all characters beyond ASCII, those whose lower case has a letter count as it
+    others = [c for c in map(chr, range(128, 0x110000)) if any("a" <= x <= "z" for x in c.lower())]
+    model = models.LetterModel()
+    assert others == ["\u0130", "\u212a"] and (model.counts(others) == model.counts(["i", "k"])).all()
+
+
 def test_reranking_is_checked(spark):
     given = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c"), ("q", 4, "d"), ("q", 4, "e"), ("q", 5, "f")], "query string, item int, sha string")
     back = spark.createDataFrame([("q", 1, "a", 0.5), ("q", 1, "a", 0.7), ("q", 2, "x", 0.9), ("q", 3, "c", float("nan")), ("q", 4, "d", 0.1), ("q", 9, "z", 0.1), ("q", 5, "f", 0.7)], "query string, item int, sha string, score double")
