@@ -1,5 +1,6 @@
 import pytest
 
+SMALL = "/root/testdata/sf0.001"  # tests above this folder import it from the conftest that was loaded last, which is this one
 DOC = "doc_id long, text string, lang string, source string, n_chars long, t long, node string, g long, level int, ids binary"
 
 
